@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from vireo.llm import quality
+from vireo.llm import quality, tokencount
 
-QUERIES: dict = {"op10_quality_rules": quality.op10_quality_rules}
+QUERIES: dict = {"op1_token_counts": tokencount.op1_token_counts, "op10_quality_rules": quality.op10_quality_rules}
 ORACLES: dict[str, str] = {}
