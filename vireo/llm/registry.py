@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from vireo.llm import quality, tokencount
+from vireo.llm import bpe, quality, tokencount
 
-QUERIES: dict = {"op1_token_counts": tokencount.op1_token_counts, "op10_quality_rules": quality.op10_quality_rules}
+QUERIES: dict = {"op1_token_counts": tokencount.op1_token_counts, "op5_bpe_round_trip": bpe.op5_bpe_round_trip, "op10_quality_rules": quality.op10_quality_rules}
 ORACLES: dict[str, str] = {}
