@@ -2,7 +2,14 @@
 
 from __future__ import annotations
 
-from vireo.llm import bpe, quality, tokencount
+from vireo.llm import ann, bpe, chat, packing, quality, tokencount
 
-QUERIES: dict = {"op1_token_counts": tokencount.op1_token_counts, "op5_bpe_round_trip": bpe.op5_bpe_round_trip, "op10_quality_rules": quality.op10_quality_rules}
-ORACLES: dict[str, str] = {}
+QUERIES: dict = {
+    "op1_token_counts": tokencount.op1_token_counts,
+    "op2_nearest": ann.op2_nearest,
+    "op5_bpe_round_trip": bpe.op5_bpe_round_trip,
+    "op8_chat_formatting": chat.op8_chat_formatting,
+    "op9_packing": packing.op9_packing,
+    "op10_quality_rules": quality.op10_quality_rules,
+}
+ORACLES: dict[str, str] = {"op2_nearest": ann.ORACLE_OP2, "op8_chat_formatting": chat.ORACLE_OP8}
