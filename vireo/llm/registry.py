@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from vireo.llm import ann, bpe, chat, packing, quality, tokencount
+from vireo.llm import ann, bpe, chat, langid, packing, quality, substrings, tokencount
 
 QUERIES: dict = {
     "op1_token_counts": tokencount.op1_token_counts,
     "op2_nearest": ann.op2_nearest,
+    "op4_substring_dedup": substrings.op4_substring_dedup,
     "op5_bpe_round_trip": bpe.op5_bpe_round_trip,
+    "op7_language_id": langid.op7_language_id,
     "op8_chat_formatting": chat.op8_chat_formatting,
     "op9_packing": packing.op9_packing,
     "op10_quality_rules": quality.op10_quality_rules,
