@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from vireo.llm import ann, bpe, chat, langid, packing, quality, substrings, tokencount
+from vireo.llm import ann, bpe, chat, jaccard, langid, packing, quality, substrings, tokencount
 
 QUERIES: dict = {
     "op1_token_counts": tokencount.op1_token_counts,
     "op2_nearest": ann.op2_nearest,
+    "op3_jaccard_join": jaccard.op3_jaccard_join,
     "op4_substring_dedup": substrings.op4_substring_dedup,
     "op5_bpe_round_trip": bpe.op5_bpe_round_trip,
     "op7_language_id": langid.op7_language_id,
