@@ -133,10 +133,13 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules keep, with the columns of docs.  Only measures of labelled documents are shuffled, never texts."""
-    labels = table(spark, sf_dir, "labels")
-    cuts = cut(cutoffs(measures(docs, ["doc_id", "lang"]), labels))
+    """Documents that the rules keep, with the columns of docs.
+
+    Texts are measured once and written with their measures to the shared folder: a filter pushed below the measures would
+    compute them again for each rule.  Only measures of labelled documents are shuffled, never texts.
+    """
     extra = [c for c in docs.columns if c not in ("doc_id", "lang")]
-    whole = docs.select("doc_id", "lang", F.struct(*extra).alias("_vrow"), "text") if extra else docs
-    judged = judge(measures(whole, ["doc_id", "lang", "_vrow"]), cuts)
-    return judged.where("kept").select("doc_id", "lang", "_vrow.*").select(*docs.columns)
+    whole = docs.select("doc_id", "lang", F.struct(*extra).alias("_vrow"), "text")
+    measured = cut(measures(whole, ["doc_id", "lang", "_vrow"]))
+    cuts = cut(cutoffs(measured.drop("_vrow"), table(spark, sf_dir, "labels")))
+    return judge(measured, cuts).where("kept").select("doc_id", "lang", "_vrow.*").select(*docs.columns)
