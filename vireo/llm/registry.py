@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from vireo.llm import ann, bpe, chat, jaccard, langid, packing, quality, substrings, tokencount
+from vireo.llm import ann, bpe, chat, jaccard, langid, lm, packing, quality, substrings, tokencount
 
 QUERIES: dict = {
     "op1_token_counts": tokencount.op1_token_counts,
@@ -10,6 +10,7 @@ QUERIES: dict = {
     "op3_jaccard_join": jaccard.op3_jaccard_join,
     "op4_substring_dedup": substrings.op4_substring_dedup,
     "op5_bpe_round_trip": bpe.op5_bpe_round_trip,
+    "op6_lm_scoring": lm.op6_lm_scoring,
     "op7_language_id": langid.op7_language_id,
     "op8_chat_formatting": chat.op8_chat_formatting,
     "op9_packing": packing.op9_packing,
