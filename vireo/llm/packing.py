@@ -62,10 +62,11 @@ def windows_of(sizes: list[int], capacity: int = CAPACITY) -> list[list[int]]:
 
 def token_ids(library: Library, texts: list[str]) -> list[bytes]:
     """Ids of whole texts as little-endian unsigned 32-bit integers."""
-    as_bytes = lambda pieces: [x.astype("<u4").tobytes() for x in library.encode(pieces)]
+    if library.ranked is None:
+        return library.encode(texts)
     cut = [keys(t) for t in texts]
-    first = as_bytes([ks[0] for ks in cut])
-    rest = lookup([ks[1:] for ks in cut], library.ids, as_bytes)
+    first = library.encode([ks[0] for ks in cut])
+    rest = lookup([ks[1:] for ks in cut], library.ids, library.encode)
     return [f + b"".join(vs) for f, vs in zip(first, rest)]
 
 

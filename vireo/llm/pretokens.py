@@ -8,8 +8,10 @@ most of a corpus and can be looked up.
 
 from __future__ import annotations
 
+import json
 import os
 import re
+from itertools import chain
 
 import numpy as np
 
@@ -36,8 +38,19 @@ def piece(key: str) -> str:
     return key if key[:1] == "\n" else " " + key
 
 
+def _alphabet() -> dict[str, int]:
+    """The byte of each character of the byte-level alphabet: printable bytes stand for themselves, the others follow from 256 on."""
+    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
+    hidden = [b for b in range(256) if b not in shown]
+    return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
+
+
 class Library:
-    """Ids by the tokenizers library for pieces; one per worker and file."""
+    """The library's ids for pieces; one per worker and file.
+
+    Where a byte-level file's merges are its ids in order (checked on loading), merging by rank gives the same ids; pieces
+    without special strings then take that faster way.  Everything else is encoded by the tokenizers library itself.
+    """
 
     _made: dict[str, "Library"] = {}
 
@@ -47,49 +60,68 @@ class Library:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
-        self.added = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
-        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
-        self.n_bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
-        for token, i in vocabulary.items():  # a byte is one character in the vocabulary's alphabet
-            self.n_bytes[i] = len(token.encode()) if token in self.added else len(token)
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.ranked = self._by_rank(json.loads(self.tokenizer.to_str()), public_tokenizers.PATTERN)
+        if self.ranked is not None:
+            self.n_bytes = np.array([len(self.ranked.decode_single_token_bytes(i)) for i in range(self.ranked.n_vocab)])
         self.ids: dict[str, bytes] = {}
         self.counts: dict[str, int] = {}
 
+    @staticmethod
+    def _by_rank(file: dict, pattern: str):
+        import tiktoken
+
+        model, before = file["model"], file.get("pre_tokenizer") or {}
+        if model["type"] != "BPE" or file.get("normalizer") or before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex", True) or model.get("ignore_merges") or model.get("dropout"):
+            return None
+        vocabulary, byte = model["vocab"], _alphabet()
+        merged = [vocabulary["".join(m if isinstance(m, list) else m.split(" "))] for m in model["merges"]]
+        if merged != list(range(256, 256 + len(merged))) or any(len(t) != 1 for t, i in vocabulary.items() if i < 256):
+            return None
+        ranks = {bytes(byte[c] for c in t): i for t, i in vocabulary.items() if i < 256 + len(merged)}
+        return tiktoken.Encoding("ranked", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+
     @classmethod
     def of(cls, name: str) -> "Library":
         if name not in cls._made:
             cls._made[name] = cls(name)
         return cls._made[name]
 
-    def encode(self, pieces: list[str]) -> list[np.ndarray]:
-        """Ids of each piece.  Pieces that start with white space and don't end with it are encoded joined, which is faster."""
+    def encode(self, pieces: list[str]) -> list[bytes]:
+        """Ids of each piece as little-endian unsigned 32-bit integers.
+
+        Pieces that start with white space and don't end with it keep their ids when joined, and are encoded together.
+        """
         out: list = [None] * len(pieces)
-        joined = [i for i, p in enumerate(pieces) if p[:1] in (" ", "\n") and not p[-1:].isspace()]
-        at = 0
-        while at < len(joined):
-            part = joined[at : at + 2000]
-            at += 2000
-            ids = np.array(self.tokenizer.encode("".join([pieces[i] for i in part]), add_special_tokens=False).ids, np.uint32)
-            ends = np.cumsum(np.array([len(pieces[i].encode()) for i in part], np.int64))
-            stops = np.searchsorted(np.cumsum(self.n_bytes[ids]), ends) + 1
-            for i, x in zip(part, np.split(ids, stops[:-1])):
-                out[i] = x
+        if self.ranked is not None:
+            joined = [i for i, p in enumerate(pieces) if p[:1] in (" ", "\n") and not p[-1:].isspace() and not any(t in p for t in self.added)]
+            for at in range(0, len(joined), 20_000):
+                part = joined[at : at + 20_000]
+                ids = np.array(self.ranked.encode_ordinary("".join([pieces[i] for i in part])), "<u4")
+                ends = np.cumsum([len(pieces[i].encode()) for i in part])
+                stops = 4 * (np.searchsorted(np.cumsum(self.n_bytes[ids]), ends) + 1)
+                data, start = ids.tobytes(), 0
+                for i, stop in zip(part, stops.tolist()):
+                    out[i] = data[start:stop]
+                    start = stop
         alone = [i for i, x in enumerate(out) if x is None]
         for i, e in zip(alone, self.tokenizer.encode_batch([pieces[i] for i in alone], add_special_tokens=False)):
-            out[i] = np.array(e.ids, np.uint32)
+            out[i] = np.array(e.ids, "<u4").tobytes()
         return out
 
 
 def lookup(batch: list[list[str]], cache: dict, make) -> list[list]:
     """For each document's later keys their cached values; make(pieces) gives the values of those that are not cached."""
-    found = [list(map(cache.get, ks)) for ks in batch]
-    lacking = [i for i, vs in enumerate(found) if None in vs]
-    misses = list({k for i in lacking for k, v in zip(batch[i], found[i]) if v is None})
-    if misses:
-        made = dict(zip(misses, make([piece(k) for k in misses])))
-        for i in lacking:
-            found[i] = [made[k] if v is None else v for k, v in zip(batch[i], found[i])]
-        if len(cache) + len(made) > CACHE_ENTRIES:
-            cache.clear()
-        cache.update((k, v) for k, v in made.items() if len(k) <= CACHE_CHARS)
+    wanted = set(chain.from_iterable(batch))
+    new = list(wanted.difference(cache))
+    if len(cache) + len(new) > CACHE_ENTRIES:
+        cache.clear()
+        new = list(wanted)
+    cache.update(zip(new, make([piece(k) for k in new])))
+    found = [list(map(cache.__getitem__, ks)) for ks in batch]
+    if len(cache) > CACHE_ENTRIES:  # a batch with more distinct pieces than a worker keeps
+        cache.clear()
+    for k in new:
+        if len(k) > CACHE_CHARS:
+            cache.pop(k, None)
     return found

@@ -46,7 +46,7 @@ def frequent_lengths(docs: DataFrame, tokenizer: str, text: str = "text") -> dic
     found = docs.select(F.col(text)).mapInArrow(_candidates, "k string, n long")
     best = found.groupBy("k").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "k").limit(TABLE).collect()
     ks = [r.k for r in best]
-    return dict(zip(ks, map(len, Library.of(tokenizer).encode([piece(k) for k in ks])))) if ks else {}
+    return dict(zip(ks, [len(x) // 4 for x in Library.of(tokenizer).encode([piece(k) for k in ks])])) if ks else {}
 
 
 def count_tokens(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", limit: int = 1024, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -71,7 +71,9 @@ def count_tokens(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", limit: i
 def _two_tier_counts(tokenizer: str, frequent):
     def counts(texts: list[str]) -> list[int]:
         library, table = Library.of(tokenizer), frequent.value
-        lengths = lambda pieces: list(map(len, library.encode(pieces)))
+        lengths = lambda pieces: [len(x) // 4 for x in library.encode(pieces)]
+        if library.ranked is None:
+            return lengths(texts)
         cut = [keys(t) for t in texts]
         out = lengths([ks[0] for ks in cut])  # a text's first pre-token has no white space before it
         rest = []
