@@ -41,6 +41,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small(df: DataFrame, most: int = 500_000) -> DataFrame:
+    """df, written, and broadcast if it has at most ``most`` (narrow) rows; beyond that Spark joins it by a shuffle."""
+    df = cut(df)
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def crc_mod(column: str, n: int):
     """crc32 of the id as text, modulo n (null ids count as the empty text)."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % n

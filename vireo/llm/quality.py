@@ -19,7 +19,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vireo.llm.common import SPACES, cut, table
+from vireo.llm.common import SPACES, cut, small, table
 
 #: Share of good documents of a stratum that all rules together may reject, and the error level of that statement.
 RISK, LEVEL = 0.02, 0.05
@@ -135,11 +135,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules keep, with the columns of docs.
 
-    Texts are measured once and written with their measures to the shared folder: a filter pushed below the measures would
-    compute them again for each rule.  Only measures of labelled documents are shuffled, never texts.
+    Texts are measured once; the measures are written, and the rejected documents leave by a join on id and text hash.
     """
-    extra = [c for c in docs.columns if c not in ("doc_id", "lang")]
-    whole = docs.select("doc_id", "lang", F.struct(*extra).alias("_vrow"), "text")
-    measured = cut(measures(whole, ["doc_id", "lang", "_vrow"]))
-    cuts = cut(cutoffs(measured.drop("_vrow"), table(spark, sf_dir, "labels")))
-    return judge(measured, cuts).where("kept").select("doc_id", "lang", "_vrow.*").select(*docs.columns)
+    measured = cut(measures(docs.withColumn("_vhash", F.xxhash64("text")), ["doc_id", "lang", "_vhash"]))
+    cuts = cut(cutoffs(measured, table(spark, sf_dir, "labels")))
+    gone = judge(measured, cuts).where("NOT kept").select(F.col("doc_id").alias("_vdoc"), "_vhash").distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("_vdoc")) & (F.xxhash64("text") == F.col("_vhash"))
+    return docs.join(small(gone), same, "left_anti")
