@@ -3,8 +3,10 @@
 A document's set holds the hashes of its word shingles.  Equal sets are one node.  Sets that can reach the similarity differ in at most
 H = (100 - percent) / percent times the smaller size elements.  Sizes fall into bands; a band's sets are split by hash into H + 2
 parts, so two sets that link agree in two parts at least, one of which holds something (sets with two empty parts also report
-those).  The parts' hashes, packed by bucket, are matched within buckets; sets that agree in a part, taken together, make
-clusters outside of which there are no links.
+those).  The parts' hashes, packed by bucket, are matched within buckets.  Sets that agree in a part form a group, and each
+different group is looked at once: two of its sets stay together unless their odd sketches (bitmaps in which each element
+flips a bit) differ in more bits than linked sets can differ in elements.  Groups of over GROUP sets stay together as they
+are.  What stays together makes clusters outside of which there are no links.
 
 Clusters are compared in tiles.  Small ones are one tile.  Larger ones are cut into blocks by size band and salt, each tile
 holds two blocks of the same or neighbouring bands, and no task gets more than two blocks.  In a tile every set has a
@@ -19,18 +21,24 @@ rows are copies; an empty table gives no rows; other columns are ignored.  Hashe
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vireo.llm.common import cut, small_batches, table
+from vireo.llm.common import cut, small, small_batches, table
 from vireo.llm.components import components, forest
 from vireo.llm.shingles import as_long, mix, runs, word_hashes
 
 #: Part hashes of a bucket on average, those a task holds at most, and shingles of a block of a tile.
 BUCKET, HELD, BLOCK = 1_000_000, 4_000_000, 1_000_000
+#: Nodes up to which those that share a key are held against each other by sketches.
+GROUP = 256
+#: Places of documents in clusters up to which they are broadcast; beyond, texts are dealt by id.
+PLACED = 200_000
 #: Ratio of a band's sizes; the least similarity of 67 percent reaches the next band only.
 RATIO = 1.5
 
@@ -80,22 +88,38 @@ def part_keys(s: np.ndarray, percent: int) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
-def _scanned(k: int, percent: int):
+def odd_sketch(s: np.ndarray) -> bytes:
+    """A bitmap in which each element flips one bit: two of them differ in at most as many bits as their sets in elements."""
+    width = 1 << max(7, int(0.75 * len(s) - 1).bit_length())
+    return np.packbits((np.bincount((s & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def may_link(a: tuple[int, int, int], b: tuple[int, int, int], percent: int) -> bool:
+    """Whether sets of (size, sketch width, sketch) can reach the similarity; a wider sketch is folded to the other's width."""
+    (n, w, x), (m, v, y) = a, b
+    if 100 * min(n, m) < percent * max(n, m):
+        return False
+    while w > v:
+        w //= 2
+        x = (x >> w) ^ (x & ((1 << w) - 1))
+    while v > w:
+        v //= 2
+        y = (y >> v) ^ (y & ((1 << v) - 1))
+    return (x ^ y).bit_count() * (100 + percent) <= (100 - percent) * (n + m)
+
+
+def _scanned(k: int):
     def run(batches):
         for b in batches:
-            n, nodes, keys = [], [], []
-            for t in b.column(2).to_pylist():
-                s = shingle_set(t or b"", k)
-                n.append(len(s))
-                nodes.append(set_hash(s))
-                keys.append(part_keys(s, percent).tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(nodes, pa.int64()), pa.array(keys, pa.binary())], ["doc_id", "row", "n", "node", "keys"])
+            sets = [shingle_set(t or b"", k) for t in b.column(2).to_pylist()]
+            made = [pa.array([len(s) for s in sets], pa.int64()), pa.array(list(map(set_hash, sets)), pa.int64()), pa.array([odd_sketch(s) for s in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *made], ["doc_id", "row", "n", "node", "sketch"])
 
     return run
 
 
-def _dealt(buckets: int):
-    """(node, keys) rows to, for each bucket, the nodes of a batch, how many keys each has there, and the keys."""
+def _dealt(k: int, percent: int, buckets: int):
+    """Texts to, for each bucket, the nodes of a batch that have parts there, how many each has, and the parts' hashes."""
 
     def run(batches):
         seen: set = set()
@@ -103,55 +127,113 @@ def _dealt(buckets: int):
             if len(seen) > 1_000_000:
                 seen.clear()
             rows = []
-            for node, keys in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                if keys and node not in seen:
+            for t in b.column(0).to_pylist():
+                s = shingle_set(t or b"", k)
+                node = set_hash(s)
+                if node is not None and node not in seen:
                     seen.add(node)
-                    rows.append((node, np.frombuffer(keys, np.uint64)))
+                    if len(keys := part_keys(s, percent)):
+                        rows.append((node, keys))
             if not rows:
                 continue
-            keys = np.concatenate([k for _, k in rows])
-            owner = np.repeat(np.arange(len(rows)), [len(k) for _, k in rows])
+            keys = np.concatenate([r[1] for r in rows])
+            owner = np.repeat(np.arange(len(rows)), [len(r[1]) for r in rows])
             bucket = (keys % np.uint64(buckets)).astype(np.int64)
             order = np.lexsort((owner, bucket))
             keys, owner, bucket = keys[order], owner[order], bucket[order]
-            nodes = np.array([x for x, _ in rows], np.int64)
+            nodes = np.array([r[0] for r in rows], np.int64)
             cuts = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]])
             out = []
             for i, j in zip(cuts[:-1], cuts[1:]):
                 own, counts = np.unique(owner[i:j], return_counts=True)
-                out.append((int(bucket[i]), nodes[own].tobytes(), counts.astype(np.uint32).tobytes(), keys[i:j].tobytes()))
+                out.append((int(bucket[i]), nodes[own].tobytes(), counts.astype(np.uint16 if counts.max() < 1 << 16 else np.uint32).tobytes(), keys[i:j].tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.binary(), pa.binary(), pa.binary()))], ["bucket", "nodes", "counts", "keys"])
 
     return run
 
 
 def _matched(batches):
-    """Packed keys, sorted by bucket, to a forest of the nodes that share a key."""
-    at, held, size = None, [], 0
+    """Packed keys, sorted by bucket, to groups of nodes that share a key, each group once for a bucket.
+
+    A group of more than GROUP nodes, or one that a full task can't hold, comes as pairs with its least node, ``sure`` to stay
+    together; the others are held against each other by their sketches.
+    """
+    at, held, size, thinned = None, [], 0, False
 
-    def joined():
-        """Edges among what is held; of each key only the least node stays held."""
-        nonlocal held, size
+    def grouped(last: bool):
+        nonlocal held, size, thinned
         keys, nodes = (np.concatenate(x) for x in zip(*held))
         order = np.lexsort((nodes, keys))
         keys, nodes = keys[order], nodes[order]
-        new = np.concatenate([[True], keys[1:] != keys[:-1]])
-        first = nodes[np.flatnonzero(new)][np.cumsum(new) - 1]
-        apart = first != nodes
-        held, size = [(keys[new], nodes[new])], int(new.sum())
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in forest(nodes[apart], first[apart])], ["a", "b"])
+        again = np.concatenate([[False], (keys[1:] == keys[:-1]) & (nodes[1:] == nodes[:-1])])
+        keys, nodes = keys[~again], nodes[~again]
+        starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        sizes = np.diff(np.append(starts, len(keys)))
+        thinned = thinned or not last
+        whole = (sizes > 1) & (sizes <= GROUP) & (not thinned)
+        found = {nodes[s : s + n].tobytes() for s, n in zip(starts[whole].tolist(), sizes[whole].tolist())}
+        first = np.repeat(nodes[starts], sizes)
+        star = np.repeat((sizes > 1) & ~whole, sizes) & (first != nodes)
+        a, b = forest(nodes[star], first[star])
+        held, size = [(keys[starts], nodes[starts])], len(starts)
+        groups = [np.frombuffer(g, np.int64) for g in found] + list(np.stack([b, a], 1))
+        if groups:
+            ends = np.concatenate([[0], np.cumsum([len(g) for g in groups])])
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(groups)))
+            yield pa.RecordBatch.from_arrays([lists, pa.array([False] * len(found) + [True] * len(a))], ["members", "sure"])
 
     for b in batches:
         for bucket, nodes, counts, keys in zip(*(c.to_pylist() for c in b.columns)):
-            if bucket != at or size > HELD:
+            if bucket != at:
                 if held:
-                    yield joined()
-                if bucket != at:
-                    at, held, size = bucket, [], 0
-            held.append((np.frombuffer(keys, np.uint64), np.repeat(np.frombuffer(nodes, np.int64), np.frombuffer(counts, np.uint32))))
+                    yield from grouped(True)
+                at, held, size, thinned = bucket, [], 0, False
+            elif size > HELD:
+                yield from grouped(False)
+            nodes = np.frombuffer(nodes, np.int64)
+            held.append((np.frombuffer(keys, np.uint64), np.repeat(nodes, np.frombuffer(counts, np.uint16 if len(counts) == 2 * len(nodes) else np.uint32))))
             size += len(held[-1][0])
     if held:
-        yield joined()
+        yield from grouped(True)
+
+
+def _fitting(percent: int):
+    """(group, node, n, sketch) rows sorted by group and size to a forest of the nodes that may link."""
+
+    def settle(members):
+        root = list(range(len(members)))
+
+        def top(x):
+            while root[x] != x:
+                root[x] = x = root[root[x]]
+            return x
+
+        for i, (_, a) in enumerate(members):
+            most = a[0] * 100 // percent
+            for j in range(i + 1, len(members)):
+                b = members[j][1]
+                if b[0] > most:
+                    break
+                x, y = top(i), top(j)
+                if x != y and may_link(a, b, percent):
+                    root[y] = x
+                    yield members[i][0], members[j][0]
+
+    def run(batches):
+        at, members = None, []
+        for b in batches:
+            out = []
+            for group, node, n, sketch in zip(*(c.to_pylist() for c in b.columns)):
+                if group != at:
+                    out += settle(members)
+                    at, members = group, []
+                members.append((node, (n, 8 * len(sketch), int.from_bytes(sketch, "little"))))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["a", "b"])
+        if out := list(settle(members)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["a", "b"])
+
+    return run
 
 
 def _tiled(k: int):
@@ -251,12 +333,16 @@ def jaccard_classes(docs: DataFrame, k: int = 3, percent: int = 90, id: str = "d
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.select(F.col(id).cast("long").alias("doc_id"), F.xxhash64(text).alias("row"), F.col(text).cast("binary").alias("text"))
-    scanned = cut(rows.mapInArrow(_scanned(k, percent), "doc_id long, row long, n long, node long, keys binary"))
-    keys = scanned.where("octet_length(keys) > 0").select("node", "keys")
-    total = keys.agg(F.sum(F.octet_length("keys"))).first()[0] or 0
-    buckets = max(1, -(-total // (8 * BUCKET)))
-    dealt = keys.mapInArrow(_dealt(buckets), "bucket long, nodes binary, counts binary, keys binary")
-    near = components(dealt.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_matched, "a long, b long"))
+    scanned = cut(rows.mapInArrow(_scanned(k), "doc_id long, row long, n long, node long, sketch binary"))
+    # About so many parts: those of the own band, and of the band below for some.
+    total = (scanned.agg(F.sum("n")).first()[0] or 0) * (100 - percent) / percent * RATIO
+    buckets = max(1, math.ceil(total / BUCKET))
+    dealt = rows.where("text IS NOT NULL").select("text").mapInArrow(_dealt(k, percent, buckets), "bucket long, nodes binary, counts binary, keys binary")
+    groups = cut(dealt.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_matched, "members array<long>, sure boolean").distinct())
+    sets = scanned.where("node IS NOT NULL").groupBy("node").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    members = groups.where("NOT sure").select(F.xxhash64("members").alias("group"), F.explode("members").alias("node")).join(sets, "node")
+    fits = members.select("group", "node", "n", "sketch").repartition("group").sortWithinPartitions("group", "n").mapInArrow(_fitting(percent), "a long, b long")
+    near = components(fits.union(groups.where("sure").select(F.col("members")[0], F.col("members")[1])))
     roots = near.select(F.col("label").alias("node"), "label").distinct()
     placed = scanned.groupBy("node").agg(F.min(F.struct("doc_id", "row")).alias("at"), F.first("n").alias("n")).join(near.union(roots).withColumnRenamed("label", "cluster"), "node")
     links = components(_links(rows, cut(placed), k, percent))
@@ -275,6 +361,7 @@ def _links(rows: DataFrame, placed: DataFrame, k: int, percent: int) -> DataFram
     next_to = lambda d, name: blocks.select("cluster", (F.col("band") + d).alias("band"), F.col("own").alias(name))
     sized = blocks.select("cluster", "band", "own").join(next_to(1, "below"), ["cluster", "band"], "left").join(next_to(-1, "above"), ["cluster", "band"], "left").join(whole, "cluster").na.fill(0)
     at = placed.join(sized, ["cluster", "band"]).select(F.col("at.doc_id").alias("_doc"), F.col("at.row").alias("_row"), "node", "cluster", "band", F.pmod(F.xxhash64("node"), "own").alias("salt"), "own", "below", "above", "whole")
+    at = small(at, PLACED)
     texts = rows.join(at, (F.col("row") == F.col("_row")) & F.col("doc_id").eqNullSafe(F.col("_doc")))
     tiles = texts.select("text", "node", "cluster", "band", "salt", "own", "below", "above", "whole").mapInArrow(_tiled(k), "tile long, side int, node long, elements binary")
     return tiles.groupBy("tile").applyInArrow(_compared(percent), "a long, b long")
@@ -286,6 +373,6 @@ def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the smallest id of each class of five-word shingles with a similarity of 0.8, with the columns of docs."""
-    kept = jaccard_classes(docs, k=5, percent=80).where("doc_id <=> component_id").select(F.col("doc_id").alias("_vdoc"), F.col("row").alias("_vhash")).distinct()
-    joined = docs.withColumn("_vtext", F.xxhash64("text")).join(kept, F.col("doc_id").eqNullSafe(F.col("_vdoc")) & (F.col("_vtext") == F.col("_vhash")), "left_semi")
-    return joined.select(*docs.columns)
+    gone = jaccard_classes(docs, k=5, percent=80).where("NOT doc_id <=> component_id").select(F.col("doc_id").alias("_vdoc"), F.col("row").alias("_vhash")).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("_vdoc")) & (F.xxhash64("text") == F.col("_vhash"))
+    return docs.join(small(gone), same, "left_anti")
