@@ -1,0 +1,191 @@
+"""Operators on small fixtures with nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns."""
+
+import hashlib
+import random
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+
+from vireo.llm import ann, bpe, chat, jaccard, langid, lm, packing, quality, substrings, tokencount
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row long, label string, node int, hash string, key long"
+
+
+def texts():
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 6))) for _ in range(300)]
+    prose = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    passage, base = prose(60), prose(120)
+    near = base.split()
+    near[60] = "other"
+    return [None, "", "  \n\t ", "a b", "A  B", prose(80) + " " + passage + " " + prose(30), passage, prose(20) + "\n" + passage, base, base, " ".join(near), base.upper(), prose(6000), "<|endoftext|> x<|endoftext|>", "\u65e5\u672c \u00e9t\u00e9", prose(55) * 2]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = [(i, t, ["en", "fr", None][i % 3], None, None, i, "x", 1, "h", 5) for i, t in enumerate(texts())]
+    rows += [(None, texts()[5], "en", None, None, 0, "x", 1, "h", 5), rows[8], rows[8]]
+    return spark.createDataFrame(rows, SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def plain(docs):
+    return [(r.doc_id, r.text or "") for r in docs.select("doc_id", "text").collect()]
+
+
+def test_token_counts_and_packing(spark, docs, empty):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    ids = {x: t.encode(x, add_special_tokens=False).ids for _, x in plain(docs)}
+    got = Counter((r.doc_id, r.n_bytes, r.n_tokens, r.over_limit) for r in tokencount.count_tokens(docs).collect())
+    assert got == Counter((d, len(x.encode()), len(ids[x]), len(ids[x]) > 1024) for d, x in plain(docs))
+    assert tokencount.count_tokens(empty).count() == 0 and packing.pack(empty).count() == 0
+    pieces, total = packing.pack(docs).collect(), 0
+    for r in pieces:
+        total += r.length
+    assert total == sum(len(ids[x]) + 1 for _, x in plain(docs))
+    filled = Counter()
+    for r in sorted(pieces, key=lambda r: (r.sequence_id, r.offset)):
+        assert r.offset == filled[r.sequence_id]
+        filled[r.sequence_id] += r.length
+    assert max(filled.values()) <= 1024
+    long = sorted((r.start, r.ids) for r in pieces if r.doc_id == 12)
+    assert b"".join(x for _, x in long) == np.array(ids[texts()[12]] + [0], "<u4").tobytes()
+
+
+def test_bpe(spark, docs, empty):
+    import base64
+
+    import public_tokenizers
+    import tiktoken
+
+    with open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    got = Counter((r.doc_id, bytes(r.ids), bytes(r.decoded)) for r in bpe.decode(bpe.encode(docs)).collect())
+    assert got == Counter((d, np.array(library.encode_ordinary(x), "<u4").tobytes(), x.encode()) for d, x in plain(docs))
+    assert bpe.decode(bpe.encode(empty)).count() == 0
+
+
+@pytest.mark.parametrize("k,percent", [(3, 90), (5, 80)])
+def test_jaccard(spark, docs, empty, k, percent):
+    rows = plain(docs)
+    sets = []
+    for _, x in rows:
+        w = x.encode().lower().split()
+        sets.append({tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else {tuple(w)} - {()})
+    root = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if sets[i] and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]):
+                a, b = root[i], root[j]
+                root = [min(a, b) if r in (a, b) else r for r in root]
+    least = {}
+    for (d, _), r in zip(rows, root):
+        if d is not None:
+            least[r] = min(d, least.get(r, d))
+    want = Counter((d, len(s), least.get(r)) for (d, _), s, r in zip(rows, sets, root))
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.jaccard_classes(docs, k, percent).collect()) == want
+    assert jaccard.jaccard_classes(empty).count() == 0
+
+
+def test_substrings(spark, docs, empty):
+    rows = plain(docs)
+    first = {}
+    for d, x in rows:
+        w = x.encode().split()
+        for i in range(len(w) - 49):
+            if d is not None:
+                key = tuple(w[i : i + 50])
+                first[key] = min(d, first.get(key, d))
+    want = Counter()
+    for d, x in rows:
+        w = x.encode().split()
+        gone = [False] * len(w)
+        for i in range(len(w) - 49):
+            if d is not None and first[tuple(w[i : i + 50])] < d:
+                gone[i : i + 50] = [True] * 50
+        want[d, len(w), sum(gone), b" ".join(y for y, g in zip(w, gone) if not g).decode()] += 1
+    assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept) for r in substrings.dedup(docs, ["doc_id"]).collect()) == want
+    assert substrings.dedup(empty, ["doc_id"]).count() == 0
+    assert substrings.substring_stage(spark, docs, "").columns == docs.columns
+
+
+def test_nearest(spark):
+    rng = np.random.default_rng(1)
+    vectors = rng.standard_normal((300, 16)).round(2)
+    vectors[50:90] = vectors[3]
+    rows = [(i, v.tolist(), "x") for i, v in enumerate(vectors)] + [(400, None, "x"), (401, [0.0] * 16, "x"), (402, [float("nan")] * 16, "x"), (403, [None] * 16, "x"), (404, [], "x")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, ids string")
+    got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in ann.nearest(df, df.where("vec_id % 50 = 0")).collect()}
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    for q in range(0, 300, 50):
+        cos = unit @ unit[q]
+        best = sorted((i for i in range(300) if i != q), key=lambda i: (-cos[i].round(12), i))[:5]
+        assert [got[q, r][0] for r in range(1, 6)] == best and np.allclose([got[q, r][1] for r in range(1, 6)], cos[best])
+    assert len(got) == 30 and ann.nearest(df.where("false"), df.where("false")).count() == 0
+
+
+def test_chat(spark):
+    turns = [(1, 1, "assistant", "b<|im_end|>"), (1, 0, "user", None), (2, 0, None, "x<\\\\|y"), (None, 0, "assistant", "z"), (1, 2, "assistant", "<\\|c")]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    got = {r.conv_id: r for r in chat.digest(chat.format_log(chat.events_of(df))).collect()}
+    assert got[1].n_turns == 3 and got[1].turns_sha256 == hashlib.sha256("user\n\nassistant\nb<|im_end|>\nassistant\n<\\|c\n".encode()).hexdigest()
+    assert got[1].loss_sha256 == hashlib.sha256("b<|im_end|><\\|c".encode()).hexdigest() and set(got) == {1, 2, None}
+    log = [(1, 0, 0, "message", "user", "hi"), (1, 1, 1, "delta", "assistant", "he"), (1, 1, 2, "delta", None, "y"), (1, 1, 3, "regenerate", None, None), (1, 1, 4, "delta", None, "yo"), (1, 0, 5, "edit", None, "hello"), (1, 2, 6, "message", "user", "bye"), (1, 2, 7, "delete", None, None)]
+    events = spark.createDataFrame(log, "conv_id long, turn long, seq long, kind string, role string, text string")
+    assert [chat.read_back(r.segment) for r in chat.format_log(events).collect()] == [("user", "hello"), ("assistant", "yo")]
+    assert chat.digest(chat.format_log(events.where("false"))).count() == 0
+
+
+def test_language(spark, docs, empty):
+    got = langid.predict(docs, langid.fit(docs), ["doc_id", "row", "label"]).collect()
+    assert len(got) == docs.count() and all((r.lang_pred == "und") == (r.doc_id in (0, 1, 2)) for r in got) and all(0 <= r.score <= 1 for r in got)
+    assert langid.predict(docs, langid.fit(empty), ["doc_id"]).where("lang_pred <> 'und'").count() == 0
+    for n in (2, 5, 9):
+        code = langid.codewords(n)
+        assert len({tuple(c) for c in code.tolist()}) == n
+    rows = [(i, ["the cat and the dog of the town", "le chat et le chien de la ville"][i % 2] + f" {i}", ["en", "fr"][i % 2]) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert langid.predict(df, langid.fit(langid.training_rows(df)), ["doc_id", "lang"]).where("lang <> lang_pred").count() == 0
+
+
+def test_lm(spark, docs, empty):
+    rows = [(d, x.encode().lower().split() + [b"\n"]) for d, x in plain(docs)]
+    out = lambda d: zlib.crc32(b"" if d is None else str(d).encode()) % 7 == 2
+    c = Counter(w for d, ws in rows if not out(d) for w in ws)
+    n, v = sum(c.values()), len(c)
+    got = sorted((str(r.doc_id), r.n_tokens, r.n_known, r.train_tokens, r.held_out, round(r.base_score, 5)) for r in lm.score_documents(docs).collect())
+    want = sorted((str(d), len(ws), sum(c[w] > 0 for w in ws), n, out(d), round(sum(np.log10((c[w] + 1) / (n + v + 1)) for w in ws), 5)) for d, ws in rows)
+    assert [g[:5] for g in got] == [w[:5] for w in want] and np.allclose([g[5] for g in got], [w[5] for w in want])
+    assert all(np.isfinite(r.score) and r.score < 0 for r in lm.score_documents(docs).collect()) and lm.score_documents(empty).count() == 0
+
+
+def test_quality(spark, docs, empty):
+    import re
+
+    for r in quality.measures(docs, ["doc_id", "text"]).collect():
+        x = r.text or ""
+        words = re.findall("[^\\x20\\x09-\\x0D]+", x)
+        seen = Counter(tuple(words[i : i + 5]) for i in range(len(words) - 4))
+        covered = {p for i in range(len(words) - 4) if seen[tuple(words[i : i + 5])] > 1 for p in range(i, i + 5)}
+        lines = [y for y in x.split("\n") if re.search("[^\\x20\\x09-\\x0D]", y)]
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (len(words), sum(map(len, words)), len(re.findall("[#*$%&|<>]", x)), len(lines) - len(set(lines)), len(covered))
+    assert quality.measures(empty, ["doc_id"]).count() == 0
+    assert spark.sql(f"SELECT {quality.binomial_cdf('3e0', '200e0', 0.05)} AS p").first().p == pytest.approx(0.0090, abs=2e-4)
+
+
+def test_pipeline(spark, tmp_path):
+    import corpus_pipeline
+
+    made = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "language_id", "jaccard_join", "substring_dedup", "sequence_packing"]
+    assert made.groupBy("sequence_id").sum("length").where("`sum(length)` > 1024").count() == 0 and made.count() > 0

@@ -36,7 +36,7 @@ from vireo.llm.shingles import as_long, mix, runs, word_hashes
 #: Part hashes of a bucket on average, those a task holds at most, and shingles of a block of a tile.
 BUCKET, HELD, BLOCK = 1_000_000, 4_000_000, 1_000_000
 #: Nodes up to which those that share a key are held against each other by sketches.
-GROUP = 256
+GROUP = 16_384
 #: Places of documents in clusters up to which they are broadcast; beyond, texts are dealt by id.
 PLACED = 200_000
 #: Ratio of a band's sizes; the least similarity of 67 percent reaches the next band only.
@@ -94,20 +94,6 @@ def odd_sketch(s: np.ndarray) -> bytes:
     return np.packbits((np.bincount((s & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1).astype(np.uint8), bitorder="little").tobytes()
 
 
-def may_link(a: tuple[int, int, int], b: tuple[int, int, int], percent: int) -> bool:
-    """Whether sets of (size, sketch width, sketch) can reach the similarity; a wider sketch is folded to the other's width."""
-    (n, w, x), (m, v, y) = a, b
-    if 100 * min(n, m) < percent * max(n, m):
-        return False
-    while w > v:
-        w //= 2
-        x = (x >> w) ^ (x & ((1 << w) - 1))
-    while v > w:
-        v //= 2
-        y = (y >> v) ^ (y & ((1 << v) - 1))
-    return (x ^ y).bit_count() * (100 + percent) <= (100 - percent) * (n + m)
-
-
 def _scanned(k: int):
     def run(batches):
         for b in batches:
@@ -201,23 +187,24 @@ def _fitting(percent: int):
     """(group, node, n, sketch) rows sorted by group and size to a forest of the nodes that may link."""
 
     def settle(members):
-        root = list(range(len(members)))
-
-        def top(x):
-            while root[x] != x:
-                root[x] = x = root[root[x]]
-            return x
-
-        for i, (_, a) in enumerate(members):
-            most = a[0] * 100 // percent
-            for j in range(i + 1, len(members)):
-                b = members[j][1]
-                if b[0] > most:
-                    break
-                x, y = top(i), top(j)
-                if x != y and may_link(a, b, percent):
-                    root[y] = x
-                    yield members[i][0], members[j][0]
+        if len(members) < 2:
+            return
+        width = min(len(x) for _, _, x in members)
+        maps = np.zeros((len(members), width // 8), np.uint64)
+        for i, (_, _, x) in enumerate(members):
+            maps[i] = np.bitwise_xor.reduce(np.frombuffer(x, np.uint64).reshape(-1, width // 8))  # folded to the least width
+        nodes, n, label = [m[0] for m in members], np.array([m[1] for m in members]), np.arange(len(members))
+        until = np.searchsorted(n, n * 100 // percent, "right")
+        for i in range(len(members) - 1):
+            j = np.arange(i + 1, until[i])
+            j = j[label[j] != label[i]]
+            if not len(j):
+                continue
+            apart = np.bitwise_count(maps[j] ^ maps[i]).sum(1, dtype=np.int64)
+            j = j[apart * (100 + percent) <= (100 - percent) * (n[j] + n[i])]
+            if len(j):
+                yield from ((nodes[i], nodes[x]) for x in j.tolist())
+                label[np.isin(label, label[j])] = label[i]
 
     def run(batches):
         at, members = None, []
@@ -227,7 +214,7 @@ def _fitting(percent: int):
                 if group != at:
                     out += settle(members)
                     at, members = group, []
-                members.append((node, (n, 8 * len(sketch), int.from_bytes(sketch, "little"))))
+                members.append((node, n, sketch))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["a", "b"])
         if out := list(settle(members)):
