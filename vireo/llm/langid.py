@@ -17,6 +17,7 @@ for the fold; other columns are ignored.  Predictions use the text alone.
 from __future__ import annotations
 
 from collections import Counter
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,7 @@ from vireo.llm.common import crc_mod, small_batches, table
 
 FEATURES, MAX_LANGS, FOLDS, HELD_OUT = 1 << 15, 256, 4, 2
 #: Words a worker counts or keeps scores of at most.
-WORDS = 300_000
+WORDS = 150_000
 #: Scale of the mean log-odds before decoding, and the score below which a prediction is ambiguous.
 SHARPNESS, AMBIGUOUS = 8.0, 0.4
 
@@ -72,10 +73,11 @@ def _counts(langs: list[str]):
 
         def flush():
             for i, words in seen.items():
-                if words:
-                    grams, word = features(list(words))
-                    totals[i] += np.bincount(grams, np.fromiter(words.values(), np.float64, len(words))[word], FEATURES)
-                    words.clear()
+                pairs = iter(words.items())
+                while part := list(islice(pairs, 20_000)):
+                    grams, word = features([w for w, _ in part])
+                    totals[i] += np.bincount(grams, np.array([n for _, n in part], np.float64)[word], FEATURES)
+                words.clear()
 
         for b in batches:
             for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):

@@ -18,7 +18,7 @@ import numpy as np
 _CUT = re.compile(r"(?<=\S)(?=\n| (?!\n))")
 _RUN = re.compile(r"\s[ \n]")
 #: Entries a worker keeps at most in a cache of pieces, and the longest piece that it keeps.
-CACHE_ENTRIES, CACHE_CHARS = 400_000, 48
+CACHE_ENTRIES, CACHE_CHARS = 300_000, 48
 
 
 def keys(text: str) -> list[str]:

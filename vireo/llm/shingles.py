@@ -10,7 +10,7 @@ _INVERSE = pow(_B, -1, 1 << 64)
 _powers = np.ones(1, np.uint64)
 _inverses = np.ones(1, np.uint64)
 #: Words a worker keeps hashes of at most.
-KEPT = 400_000
+KEPT = 200_000
 
 
 class _Hashes(dict):
