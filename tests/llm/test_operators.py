@@ -8,7 +8,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from vireo.llm import ann, bpe, chat, jaccard, langid, lm, packing, quality, substrings, tokencount
+from vireo.llm import ann, bpe, chat, jaccard, langid, lm, packing, quality, registry, substrings, tokencount
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row long, label string, node int, hash string, key long"
 
@@ -183,6 +183,27 @@ def test_quality(spark, docs, empty):
     assert spark.sql(f"SELECT {quality.binomial_cdf('3e0', '200e0', 0.05)} AS p").first().p == pytest.approx(0.0090, abs=2e-4)
 
 
+def test_quality_of_blank_texts_under_cutoffs(spark):
+    rows = [(1, "en", ""), (2, "en", None), (3, None, " \n "), (4, "en", " ".join(map(str, range(40))) + " ####################")]
+    measured = quality.measures(spark.createDataFrame(rows, "doc_id long, lang string, text string"), ["doc_id", "lang"])
+    cuts = spark.createDataFrame([("en", 0.1, 0.1, 0.1, 7.0, -1.0), ("*", 0.1, 0.1, 0.1, 7.0, -1.0)], "stratum string, " + ", ".join(f"cut_{r} double" for r in quality.RULES))
+    got = {r.doc_id: (r.base_failed, r.failed_rules, r.kept) for r in quality.judge(measured, cuts).collect()}
+    assert got == {1: (True, [], False), 2: (True, [], False), 3: (True, [], False), 4: (False, ["symbols"], False)}
+
+
+@pytest.mark.parametrize("name", ["op3_jaccard_join", "op4_substring_dedup", "op8_chat_formatting", "op10_quality_rules"])
+def test_against_sql(spark, name):
+    import duckdb
+
+    con, sf = duckdb.connect(), "/root/testdata/sf0.001"
+    for t in ("documents", "labels", "conversations"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet')")
+    got, want = registry.QUERIES[name](spark, sf).toPandas(), con.execute(registry.ORACLES[name]).df()
+    columns = sorted(want)
+    assert sorted(got) == columns
+    assert Counter(map(tuple, got[columns].astype(str).values)) == Counter(map(tuple, want[columns].astype(str).values))
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 

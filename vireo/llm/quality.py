@@ -27,13 +27,13 @@ RISK, LEVEL = 0.02, 0.05
 MAX_STRATA = 64
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 10, 20, 5
 
-#: Measure of each rule (larger is worse) and its grid of cutoffs, fixed before any data are seen.
+#: Measure of each rule (larger is worse; null, which no rule rejects, where there are no words) and its grid of cutoffs, fixed before any data are seen.
 RULES: dict[str, tuple[str, list[float]]] = {
-    "symbols": ("n_symbols / word_chars", [round(0.01 * k, 4) for k in range(1, 21)]),
-    "dup_lines": ("n_dup_lines / n_lines", [round(0.05 * k, 4) for k in range(1, 17)]),
-    "repeats": ("n_repeat_words / n_words", [round(0.01 * k, 4) for k in range(1, 20)]),
-    "long_words": ("word_chars / n_words", [6 + 0.5 * k for k in range(1, 21)]),
-    "short_words": ("-(word_chars / n_words)", [-0.5 * k for k in range(9, 3, -1)]),
+    "symbols": ("n_symbols / nullif(word_chars, 0)", [round(0.01 * k, 4) for k in range(1, 21)]),
+    "dup_lines": ("n_dup_lines / nullif(n_lines, 0)", [round(0.05 * k, 4) for k in range(1, 17)]),
+    "repeats": ("n_repeat_words / nullif(n_words, 0)", [round(0.01 * k, 4) for k in range(1, 20)]),
+    "long_words": ("word_chars / nullif(n_words, 0)", [6 + 0.5 * k for k in range(1, 21)]),
+    "short_words": ("-(word_chars / nullif(n_words, 0))", [-0.5 * k for k in range(9, 3, -1)]),
 }
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
@@ -129,7 +129,7 @@ def judge(measured: DataFrame, cuts: DataFrame) -> DataFrame:
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     measured = cut(measures(table(spark, sf_dir, "documents"), ["doc_id", "lang"]))
     cuts = cutoffs(measured, table(spark, sf_dir, "labels"))
-    return judge(measured, cuts).select("doc_id", *BASE, "base_failed", "kept", "failed_rules")
+    return judge(measured, cuts).select("doc_id", *BASE, "base_failed", "kept", F.array_join("failed_rules", ",").alias("failed_rules"))
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

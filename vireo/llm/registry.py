@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from vireo.llm import ann, bpe, chat, jaccard, langid, lm, packing, quality, substrings, tokencount
+from vireo.llm import ann, bpe, chat, jaccard, langid, lm, oracles, packing, quality, substrings, tokencount
 
 QUERIES: dict = {
     "op1_token_counts": tokencount.op1_token_counts,
@@ -16,4 +16,4 @@ QUERIES: dict = {
     "op9_packing": packing.op9_packing,
     "op10_quality_rules": quality.op10_quality_rules,
 }
-ORACLES: dict[str, str] = {"op2_nearest": ann.ORACLE_OP2, "op8_chat_formatting": chat.ORACLE_OP8}
+ORACLES: dict[str, str] = oracles.ORACLES | {"op2_nearest": ann.ORACLE_OP2, "op8_chat_formatting": chat.ORACLE_OP8}
