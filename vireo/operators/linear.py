@@ -63,14 +63,15 @@ def bilinear_weights(n: int, size: int) -> Weights:
     return _summed(rows)
 
 
-def apply_axis(df: DataFrame, axis: str, weights: Weights, keys: list[str], value: str = "v") -> DataFrame:
-    """df's values filtered along one axis; keys are the other columns that tell samples apart."""
-    table = df.sparkSession.createDataFrame(weights, "_o int, _i int, _w double")
+def apply_axis(df: DataFrame, axis: str, weights: Weights, keys: list[str], value: str | list[str] = "v") -> DataFrame:
+    """df's values (one column or several) filtered along one axis; keys are the other columns that tell samples apart."""
+    values = [value] if isinstance(value, str) else value
+    table = df.sparkSession.sql(f"SELECT o AS _o, i AS _i, w AS _w FROM {sql_values(weights)}")
     joined = df.join(F.broadcast(table), F.col(axis) == F.col("_i"))
-    return joined.groupBy(*keys, F.col("_o").alias(axis)).agg(F.sum(F.col(value) * F.col("_w")).alias(value))
+    return joined.groupBy(*keys, F.col("_o").alias(axis)).agg(*(F.sum(F.col(v) * F.col("_w")).alias(v) for v in values))
 
 
-def separable(df: DataFrame, rows: Weights, columns: Weights, key: str = "vec_id", value: str = "v") -> DataFrame:
+def separable(df: DataFrame, rows: Weights, columns: Weights, key: str = "vec_id", value: str | list[str] = "v") -> DataFrame:
     return apply_axis(apply_axis(df, "y", rows, [key, "x"], value), "x", columns, [key, "y"], value)
 
 

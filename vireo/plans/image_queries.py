@@ -40,10 +40,10 @@ _stencil("chroma_upsample_420", L.bilinear_weights(8, 16), L.bilinear_weights(8,
 _stencil("chroma_upsample_422", [(i, i, 1.0) for i in range(8)], L.bilinear_weights(8, 16))
 
 
-def levels(images: DataFrame, keys: str = "vec_id") -> list[DataFrame]:
+def levels(images: DataFrame, values: list[str] = ["v"]) -> list[DataFrame]:
     """The Gaussian pyramid of 8 x 8 images: 8, 4 and 2 samples an axis."""
-    g1 = L.separable(images, R8, R8, keys)
-    return [images, g1, L.separable(g1, R4, R4, keys)]
+    g1 = L.separable(images, R8, R8, value=values)
+    return [images, g1, L.separable(g1, R4, R4, value=values)]
 
 
 def _sub(a: DataFrame, b: DataFrame, sign: int = -1) -> DataFrame:
@@ -78,17 +78,20 @@ ORACLES |= {
 }
 
 
-def contrast_bands(images: DataFrame) -> DataFrame:
-    """vec_id, band, y, x, c: layers over their own local background (at least .01, contrast at most 1000)."""
-    lum = images.select("vec_id", "y", "x", F.expr(E.display_forward("v")).alias("v"))
-    g = levels(lum)
-    out = None
-    for band, (size, up) in enumerate(((8, X4), (4, X2))):
-        e = L.separable(g[band + 1], up, up).withColumnRenamed("v", "_e")
-        c = g[band].join(e, KEYS).select("vec_id", F.lit(band).alias("band"), "y", "x", F.least((F.col("v") - F.col("_e")) / F.greatest("_e", F.lit(0.01)), F.lit(1000.0)).alias("c"))
-        out = c if out is None else out.union(c.withColumn("c", F.col("c") * 2))
-    mean = g[2].groupBy("vec_id").agg(F.avg(F.greatest("v", F.lit(0.01))).alias("_m"))
-    return out.union(g[2].join(mean, "vec_id").select("vec_id", F.lit(2), "y", "x", F.least(F.col("v") / F.col("_m"), F.lit(1000.0))))
+def contrast_bands(images: DataFrame, values: list[str] = ["v"]) -> DataFrame:
+    """vec_id, band, y, x and contrasts: layers over their own local background (at least .01, contrast at most 1000).
+
+    Test and reference are best given as two value columns, so that each filter step serves both.
+    """
+    g = levels(images.select("vec_id", "y", "x", *(F.expr(E.display_forward(v)).alias(v) for v in values)), values)
+    bands = []
+    for band, up in enumerate((X4, X2)):
+        e = L.separable(g[band + 1], up, up, value=values).select(*KEYS, *(F.col(v).alias(f"_{v}") for v in values))
+        c = [(F.least((F.col(v) - F.col(f"_{v}")) / F.greatest(f"_{v}", F.lit(0.01)), F.lit(1000.0)) * (2 if band else 1)).alias(v) for v in values]
+        bands.append(g[band].join(e, KEYS).select("vec_id", F.lit(band).alias("band"), "y", "x", *c))
+    mean = g[2].groupBy("vec_id").agg(*(F.avg(F.greatest(v, F.lit(0.01))).alias(f"_{v}") for v in values))
+    base = g[2].join(mean, "vec_id").select("vec_id", F.lit(2).alias("band"), "y", "x", *(F.least(F.col(v) / F.col(f"_{v}"), F.lit(1000.0)).alias(v) for v in values))
+    return bands[0].unionByName(bands[1]).unionByName(base)
 
 
 CONTRAST_SQL = f"""raw AS ({signals.IMAGES_DUCKDB}), img AS (SELECT vec_id, y, x, {E.display_forward('v')} AS v FROM raw), {LEVELS_SQL[LEVELS_SQL.index('g1 AS') :]},
@@ -99,11 +102,11 @@ con AS (SELECT vec_id, 0 AS band, y, x, least((img.v - e0.v) / greatest(e0.v, 1e
 
 
 def weber_contrast(spark, sf_dir):
-    return contrast_bands(signals.images(spark, sf_dir)).select("vec_id", "band", "y", "x", F.round("c", 6).alias("c"))
+    return contrast_bands(signals.images(spark, sf_dir)).select("vec_id", "band", "y", "x", F.round("v", 6).alias("c"))
 
 
 def log_contrast(spark, sf_dir):
-    return contrast_bands(signals.images(spark, sf_dir)).where("band < 2").select("vec_id", "band", "y", "x", F.round(F.log10(F.greatest(1 + F.col("c"), F.lit(1e-12))), 6).alias("c"))
+    return contrast_bands(signals.images(spark, sf_dir)).where("band < 2").select("vec_id", "band", "y", "x", F.round(F.log10(F.greatest(1 + F.col("v"), F.lit(1e-12))), 6).alias("c"))
 
 
 QUERIES |= {"weber_contrast": weber_contrast, "log_contrast": log_contrast}
@@ -128,9 +131,9 @@ PHASE = L.gaussian_weights(8, 3, 13)
 
 def differences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """vec_id, band, y, x, t, r, m: contrasts of an image and of the next, and the masking signal (blurred in the finest band)."""
-    bands = contrast_bands(signals.images(spark, sf_dir))
-    pairs = bands.select("vec_id", "band", "y", "x", F.col("c").alias("t")).join(bands.select((F.col("vec_id") - 1).alias("vec_id"), "band", "y", "x", F.col("c").alias("r")), ["vec_id", "band", "y", "x"])
-    pairs = pairs.withColumn("v", F.expr(MUTUAL))
+    images = signals.images(spark, sf_dir)
+    sides = images.withColumnRenamed("v", "t").join(images.select((F.col("vec_id") - 1).alias("vec_id"), "y", "x", F.col("v").alias("r")), KEYS)
+    pairs = contrast_bands(sides, ["t", "r"]).withColumn("v", F.expr(MUTUAL))
     fine = L.separable(pairs.where("band = 0").select(*KEYS, "v"), PHASE, PHASE).withColumnRenamed("v", "_f")
     joined = pairs.join(fine.withColumn("band", F.lit(0)), ["vec_id", "band", "y", "x"], "left")
     return joined.select("vec_id", "band", "y", "x", "t", "r", (F.coalesce("_f", "v") * float(10**MASK_C)).alias("m"))

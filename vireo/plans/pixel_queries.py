@@ -94,7 +94,8 @@ def _pnorm(source: str, keys: str, p: float, value: str, normalised: bool, out:
 
 
 Q1 = _pnorm(f"({signals.QUALITY}) AS a", "pair, vch, frame, band", 2, "d", True, "q1")
-WEIGHT = "(CASE vch WHEN 'F' THEN 1e0 ELSE 8.081134557723999e-1 END)"
+WEIGHT_TRANSIENT = 0.8081134557723999
+WEIGHT = f"(CASE vch WHEN 'F' THEN 1e0 ELSE {num(WEIGHT_TRANSIENT)} END)"
 Q2 = _pnorm(f"({Q1}) AS b", "pair, vch, frame", 4, f"(q1 * {WEIGHT})", False, "q2")
 Q3 = _pnorm(f"({Q2}) AS c", "pair, frame", 4, "q2", False, "q3")
 Q4 = _pnorm(f"({Q3}) AS d", "pair", 2, "q3", True, "q4")
