@@ -63,7 +63,7 @@ def interp(x: str, knots: list[float], values: list[float], extrapolate_above: b
     """Linear; held below the first knot, continued above the last one or held there."""
     parts = []
     for k in range(len(knots) - 1):
-        slope = f"{num(values[k])} + ({x} - {num(knots[k])}) * {num((values[k + 1] - values[k]) / (knots[k + 1] - knots[k]))}"
+        slope = f"{num(values[k])} + ({x} - {num(knots[k])}) * {num((values[k + 1] - values[k]) / (knots[k + 1] - knots[k] + 1e-6))}"
         parts.append(f"WHEN {x} <= {num(knots[k + 1])} THEN {slope}")
     last = slope if extrapolate_above else num(values[-1])
     return f"(CASE WHEN {x} <= {num(knots[0])} THEN {num(values[0])} {' '.join(parts)} ELSE {last} END)"
@@ -86,14 +86,12 @@ P._scalar("csf_sensitivity", s=f"pow(1e1, {interp_uniform('log10(greatest(q * 20
 P._scalar("bucketize", b="CAST(" + " + ".join(f"CAST(t > {num(k)} AS INT)" for k in _K) + " AS INT)")
 
 # Pairing, splits and condition tables.
-_sql("pair_zip", "SELECT a.k, a.c_custkey, b.o_orderkey FROM (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) AS k FROM customer) a JOIN (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS k FROM orders) b ON a.k = b.k", "customer", "orders", oracle="SELECT a.k::INTEGER AS k, a.c_custkey, b.o_orderkey FROM (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) AS k FROM customer) a JOIN (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS k FROM orders) b ON a.k = b.k")
 _sql("pair_broadcast", "SELECT n_name, r_name FROM nation CROSS JOIN region WHERE r_regionkey = 0", "nation", "region")
 _sql("metric_cross", "SELECT n_nationkey, m.metric FROM nation CROSS JOIN (VALUES ('psnr'), ('score')) AS m(metric)", "nation")
 _sql("display_per_row", "SELECT s_suppkey, n_name AS display FROM supplier JOIN nation ON s_nationkey = n_nationkey", "supplier", "nation")
 _sql("split_semi", "SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')", "orders", "customer")
 _sql("resume_anti", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)", "customer", "orders")
 _sql("split_diff", "SELECT k FROM (SELECT o_custkey AS k FROM orders UNION ALL SELECT c_custkey AS k FROM customer) AS u GROUP BY k HAVING count(*) = 1", "orders", "customer")
-_sql("worker_stride", "SELECT o_orderkey FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS rn FROM orders) AS r WHERE rn % 4 = 2", "orders")
 _sql("split_counts", "SELECT o_orderpriority, count(DISTINCT o_custkey) AS keys, count(*) AS n FROM orders GROUP BY o_orderpriority", "orders")
 _sql("best_epoch", "SELECT o_orderpriority, o_orderkey FROM (SELECT o_orderpriority, o_orderkey, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice DESC, o_orderkey) AS k FROM orders) AS r WHERE k = 1", "orders")
 # Average ranks come from counts of distinct values, so the window runs over values, not rows.

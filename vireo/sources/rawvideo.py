@@ -20,15 +20,14 @@ def with_video_format(files: DataFrame, path: str = "path") -> DataFrame:
     """
     base = F.coalesce(F.regexp_replace(F.regexp_extract(path, "([^/]*)$", 1), "[.][^.]*$", ""), F.lit(""))
     parts = F.split(base, "_")
-    last = lambda *options: F.element_at(F.filter(parts, lambda p: p.rlike("|".join(options))), -1)
-    size = last("^[0-9]+x[0-9]+")
-    rate = F.greatest(*(F.array_position(F.transform(parts, lambda p, e=e: p.rlike(e)), F.lit(True)) for e in ("^[0-9.]+fps$",)))
+    last = lambda *options: F.get(F.reverse(F.filter(parts, lambda p: p.rlike("|".join(options)))), 0)
     number = lambda text, pattern: F.nullif(F.regexp_extract(text, pattern, 1), F.lit("")).cast("double")
-    fps = F.when(rate > 0, number(last("^[0-9.]+fps$"), "^([0-9.]+)fps$")).otherwise(number(size, "^[0-9]+x[0-9]+p?([0-9]+)"))
+    size, rate = last("^[0-9]+x[0-9]+"), last("^[0-9]+x[0-9]+p[0-9]+", "^[0-9.]+fps$")
+    fps = F.coalesce(number(rate, "^([0-9.]+)fps$"), number(rate, "^[0-9]+x[0-9]+p([0-9]+)"))
     space = last("^(2020|ct2020|pq2020|hdr|709|bt709|sdr)$")
     columns = {
         "width": F.coalesce(number(size, "^([0-9]+)x"), F.lit(1920.0)).cast("int"),
-        "height": F.coalesce(number(size, "^[0-9]+x([0-9]+?)(?:p|$)"), F.lit(1080.0)).cast("int"),
+        "height": F.coalesce(number(size, "^[0-9]+x([0-9]+)"), F.lit(1080.0)).cast("int"),
         "bits": F.coalesce(number(last("^(8|10)(b|bit)?$"), "^([0-9]+)"), F.lit(8.0)).cast("int"),
         "chroma": F.coalesce(last("^(444|422|420)$"), F.lit("420")),
         "space": F.when(space.isin("2020", "ct2020", "pq2020", "hdr"), F.lit("2020")).otherwise(F.lit("709")),
@@ -105,23 +104,20 @@ def sequence_frames(names: DataFrame, pattern: str, name: str = "name", start: i
 def read_condition_table(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, dict[str, str]]:
     """Rows of a table of comma-separated values and the ``key: value`` settings that stand before its header.
 
-    Blank lines and lines with # before the header are skipped, keys have - turned to _.  Only the head of the file, at most 64 KB,
-    is read by the driver.
+    Blank lines and lines that start with # are skipped, keys have - turned to _.  The driver reads the first 1000 lines at most, for
+    the settings; the rows are parsed in tasks.
     """
     head = spark.read.text(path, wholetext=False).limit(1000).collect()
-    settings, header = {}, None
-    for (line,) in head:
-        line = line.strip("\n ")
+    settings, before = {}, []
+    for (whole,) in head:
+        line = whole.strip("\n ")
         if line == "" or line.startswith("#"):
             continue
+        before.append(whole)
         if ":" not in line:
-            header = line
             break
         key, value = line.split(":", 1)
         settings[key.replace("-", "_")] = value.strip()
     lines = spark.read.text(path)
-    skip = [f"{k}:" for k in settings] + [f"{k.replace('_', '-')}:" for k in settings]
-    data = lines.where((F.trim("value") != "") & ~F.col("value").startswith("#") & (F.trim("value") != (header or "")))
-    for s in skip:
-        data = data.where(~F.ltrim("value").startswith(s))
+    data = lines.where((F.trim("value") != "") & ~F.col("value").startswith("#") & ~F.col("value").isin(before))
     return data.select(F.from_csv("value", schema).alias("r")).select("r.*"), settings
