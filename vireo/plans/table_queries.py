@@ -54,7 +54,7 @@ _dkl = E.matrix(E.folded(E.LMS_TO_DKL, E.XYZ_TO_LMS, E.RGB_TO_XYZ["sRGB"]), ("t"
 P._scalar("dkl_to_rgb", **dict(zip(("red", "green", "blue"), [E.clamp(v, 0, 1) for v in E.matrix(_TO_RGB, _dkl)])))
 P._scalar("quantise", c8="CAST(floor(least(greatest(q, 0e0), 1e0) * 255e0 + 5e-1) AS INT)", c16="CAST(floor(least(greatest(q, 0e0), 1e0) * 65535e0 + 5e-1) AS INT)", up8="CAST(ceil(q * 50e0 / 8e0) * 8 AS INT)")
 _gain = lambda v, s, g: f"(CAST(sign({v}) AS DOUBLE) * greatest((abs({v}) - 1e0 / {s}) * {g} + 1e0, 0e0))"
-P._scalar("gain_control", **{f"g{c}": _gain("(t - r)", "(3e1 * sqrt(q + 1.73e0))", num(1.5 * g)) for c, g in enumerate((1, 1.7, 0.237, 1))})
+P._scalar("gain_control", **{f"g{c}": _gain("(t - r)", "(3e1 * ln(q + 3e0))", num(1.5 * g)) for c, g in enumerate((1, 1.7, 0.237, 1))})
 P._scalar("yxy", x=f"({E.matrix(P.xyz, P.light)[0]} / ({' + '.join(E.matrix(P.xyz, P.light))}))", y=f"({E.matrix(P.xyz, P.light)[1]} / ({' + '.join(E.matrix(P.xyz, P.light))}))")
 _SQUARES = " + ".join(f"pow({E.pu_encode(f'greatest({a}, 5e-3)')} - {E.pu_encode(f'greatest({b}, 5e-3)')}, 2e0)" for a, b in zip(E.matrix(E.folded(E.XYZ_TO_RGB2020, P.xyz), P.light), E.matrix(E.folded(E.XYZ_TO_RGB2020, P.xyz), [E.display_forward(v) for v in ("r", "q", "t")])))
 _sql("pu_psnr_rgb2020", f"SELECT pair, {P._psnr(E.pu_encode('100e0'), f'(avg({_SQUARES}) / 3e0)')} AS psnr FROM ({P._rows}) AS p GROUP BY pair", "lineitem")
