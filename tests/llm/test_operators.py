@@ -146,6 +146,24 @@ def test_chat(spark):
     assert chat.digest(chat.format_log(events.where("false"))).count() == 0
 
 
+def test_chat_keeps_every_row(spark):
+    """Rows that share a turn's number, repeated rows and null turns, against SQL with a total order."""
+    import duckdb
+
+    turns = [(1, 0, "user", "q"), (1, 0, "assistant", "a"), (1, 1, "user", "r"), (1, 1, "user", "r"), (2, None, "user", "x"), (2, None, "assistant", "y"), (2, None, "assistant", "y"), (2, 0, "user", None)]
+    turns += [(3, 0, None, "b"), (3, 0, "", "a"), (3, 0, None, None), (None, None, "assistant", "z"), (None, None, "assistant", "w<|")] + [(4, 0, "assistant", f"{i:04}") for i in range(2500)]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    got = chat.digest(chat.format_log(chat.events_of(chat.with_hostile(df)))).toPandas()
+    con = duckdb.connect()
+    con.execute("CREATE TABLE conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
+    con.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", turns)
+    want = con.execute(chat.ORACLE_OP8.replace("ORDER BY turn", "ORDER BY turn NULLS FIRST, role, text")).df()
+    columns = sorted(want)
+    assert sorted(got) == columns
+    rows = lambda x: Counter(map(tuple, x[columns].astype({"conv_id": "Int64"}).astype(str).values))
+    assert rows(got) == rows(want) and got.n_turns.sum() == len(turns) + 2
+
+
 def test_language(spark, docs, empty):
     got = langid.predict(docs, langid.fit(docs), ["doc_id", "row", "label"]).collect()
     assert len(got) == docs.count() and all((r.lang_pred == "und") == (r.doc_id in (0, 1, 2)) for r in got) and all(0 <= r.score <= 1 for r in got)

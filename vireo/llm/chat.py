@@ -3,7 +3,7 @@
 A conversation is reconstructed from its events: logs are partitioned by conversation, sorted by turn and sequence, and the
 events of a turn are folded into its final message, which is then rendered.  Events by ``kind``: ``message`` and ``edit`` set
 the text of the turn (and its role, unless null), ``delta`` appends to it, ``regenerate`` empties it for the deltas that
-follow, ``delete`` takes the turn back.  Folding streams over sorted rows, so a task holds one turn, however long its
+follow, ``delete`` takes the turn back, and ``turn`` is a whole turn of its own, whatever else has its number.  Folding streams over sorted rows, so a task holds one turn, however long its
 conversation is.
 
 Template: ``<|im_start|>role\\ntext<|im_end|>\\n``.  Control strings can't arise inside texts: ``<``, any backslashes, ``|``
@@ -11,8 +11,8 @@ gets one more backslash, and reading back takes one away.  In roles, backslash a
 of a turn is the span of its text if its role is assistant.
 
 Defined cases: null text counts as empty, null role as the empty role; null conversation ids make up one conversation, null turns
-come first; of events that tie in turn and sequence the order is by kind, role and text; an empty log gives no rows; other
-columns are ignored.
+come first; of events that tie in turn and sequence the order is by kind, role and text; turn rows that share a number, or have
+none, and repeated rows stay turns each, ordered by role and text; an empty log gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -57,8 +57,8 @@ def read_back(segment: str) -> tuple[str, str]:
 
 
 def events_of(conversations: DataFrame) -> DataFrame:
-    """Turn rows (conv_id, turn, role, text) as an event log."""
-    return conversations.select("conv_id", "turn", F.lit(0).cast("long").alias("seq"), F.lit("message").alias("kind"), "role", "text")
+    """Turn rows (conv_id, turn, role, text) as an event log: each row is a turn, also where rows share a number."""
+    return conversations.select("conv_id", "turn", F.lit(0).cast("long").alias("seq"), F.lit("turn").alias("kind"), *(F.coalesce(c, F.lit("")).alias(c) for c in ("role", "text")))
 
 
 def fold(events) -> tuple[str, str] | None:
@@ -104,7 +104,7 @@ def format_log(events: DataFrame) -> DataFrame:
             id_type = b.column(0).type
             conv, turn, _, kinds, roles, texts = (c.to_pylist() for c in b.columns)
             for c, t, event in zip(conv, turn, zip(kinds, roles, texts)):
-                if at != (c, t):
+                if at != (c, t) or event[0] == "turn":
                     close()
                     if at is None or at[0] != c:
                         n = 0
