@@ -97,6 +97,26 @@ def test_jaccard(spark, docs, empty, k, percent):
     assert jaccard.jaccard_classes(empty).count() == 0
 
 
+def test_jaccard_stage(spark, docs, empty):
+    """One row of each class stays, also where its rows are repeated, share an id or have none; blank texts all stay."""
+    rng = random.Random(8)
+    prose = lambda: " ".join(str(rng.randrange(10**6)) for _ in range(100))
+    repeated, shared, none, mixed, lone, last = (prose() for _ in range(6))
+    rows = [(1, repeated, "a"), (1, repeated, "b"), (1, repeated, "a"), (2, repeated, "a"), (3, shared, "a"), (3, shared + " more", "a"), (3, prose(), "a")]
+    rows += [(None, none, "a")] * 3 + [(None, none + " more", "a"), (None, mixed, "a"), (9, mixed + " more", "a"), (None, lone, "a"), (7, last, "a"), (6, last, "a")]
+    rows += [(4, "", "a"), (4, "", "a"), (None, None, "a"), (None, None, "a")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    got = jaccard.jaccard_stage(spark, df, "")
+    assert got.columns == df.columns
+    got = [(r.doc_id, r.text) for r in got.collect()]
+    least = lambda *texts: [x for x in got if x[1] in texts]
+    assert least(repeated) == [(1, repeated)] and least(mixed, mixed + " more") == [(9, mixed + " more")] and least(last) == [(6, last)]
+    assert [d for d, _ in least(shared, shared + " more")] == [3] and [d for d, _ in least(none, none + " more")] == [None]
+    assert least(lone) == [(None, lone)] and least(rows[6][1]) == [(3, rows[6][1])]
+    assert sorted(map(str, least("", None))) == sorted(map(str, [(4, "")] * 2 + [(None, None)] * 2)) and len(got) == 11
+    assert jaccard.jaccard_stage(spark, empty, "").count() == 0
+
+
 def test_substrings(spark, docs, empty):
     rows = plain(docs)
     first = {}

@@ -313,8 +313,8 @@ def _compared(percent: int):
     return run
 
 
-def jaccard_classes(docs: DataFrame, k: int = 3, percent: int = 90, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, row (xxhash64 of the text), n_shingles, component_id: one row per row of docs."""
+def labelled(docs: DataFrame, k: int, percent: int, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, row (xxhash64 of the text), n_shingles, label (of the class; null for empty sets): one row per row of docs."""
     if not 67 <= percent <= 100:
         raise ValueError("percent must lie between 67 and 100")
     spark = docs.sparkSession
@@ -334,7 +334,12 @@ def jaccard_classes(docs: DataFrame, k: int = 3, percent: int = 90, id: str = "d
     placed = scanned.groupBy("node").agg(F.min(F.struct("doc_id", "row")).alias("at"), F.first("n").alias("n")).join(near.union(roots).withColumnRenamed("label", "cluster"), "node")
     links = components(_links(rows, cut(placed), k, percent))
     label = F.coalesce("label", "node")
-    nodes = scanned.select("doc_id", "row", F.col("n").alias("n_shingles"), "node").join(links, "node", "left").select("doc_id", "row", "n_shingles", label.alias("label"))
+    return scanned.select("doc_id", "row", F.col("n").alias("n_shingles"), "node").join(links, "node", "left").select("doc_id", "row", "n_shingles", label.alias("label"))
+
+
+def jaccard_classes(docs: DataFrame, k: int = 3, percent: int = 90, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, row (xxhash64 of the text), n_shingles, component_id: one row per row of docs."""
+    nodes = labelled(docs, k, percent, id, text)
     least = nodes.where("label IS NOT NULL").groupBy("label").agg(F.min("doc_id").alias("least"))
     return nodes.join(least, "label", "left").select("doc_id", "row", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
 
@@ -359,7 +364,15 @@ def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each class of five-word shingles with a similarity of 0.8, with the columns of docs."""
-    gone = jaccard_classes(docs, k=5, percent=80).where("NOT doc_id <=> component_id").select(F.col("doc_id").alias("_vdoc"), F.col("row").alias("_vhash")).distinct()
+    """One row of each class of five-word shingles with a similarity of 0.8, with the columns of docs: that of the smallest id
+    (nulls last), then of the smallest hash of the text; of rows equal in both, any one.  Rows with the empty set all stay."""
+    held = cut(labelled(docs, k=5, percent=80).where("label IS NOT NULL").groupBy("label", "doc_id", "row").agg(F.count(F.lit(1)).alias("n")))
+    first = held.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first"))
+    stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("row") == F.col("first.row"))
+    judged = held.join(first, "label").select(F.col("doc_id").alias("_vdoc"), F.col("row").alias("_vhash"), "n", stays.alias("stays"))
     same = F.col("doc_id").eqNullSafe(F.col("_vdoc")) & (F.xxhash64("text") == F.col("_vhash"))
-    return docs.join(small(gone), same, "left_anti")
+    kept = docs.join(small(judged.where("NOT stays").select("_vdoc", "_vhash")), same, "left_anti")
+    repeated = small(judged.where("stays AND n > 1").select("_vdoc", "_vhash"))
+    if repeated.isEmpty():
+        return kept
+    return kept.join(repeated, same, "left_anti").unionByName(kept.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "text"]))
