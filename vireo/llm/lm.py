@@ -10,8 +10,8 @@ proportion to count + 1.  Each class of words outside the table keeps a share fo
 to 1.  The state is a gated recurrence over embeddings of words or classes; it starts empty with each document and is
 carried across windows to its end, so a text is scored whole.
 
-Training.  The weights start as the class-factored unigram model.  The documents of 1 in SAMPLE of the training hash space, a share that
-grows with the corpus, are dealt to ROUNDS; in a round each task runs truncated backpropagation over its documents from the
+Training.  The weights start as the class-factored unigram model.  All documents of the training fold are dealt to
+ROUNDS by id and text, each to one; in a round each task runs truncated backpropagation over its documents from the
 common weights, and the weights are averaged over tasks in levels of at most 64.  Tasks are seeded by partition.
 
 Scoring a batch runs its documents side by side, the longest first.
@@ -40,7 +40,7 @@ TABLE, HEAD, PER_CLASS, ENDINGS = 1 << 18, 1024, 32, 32
 HEADS = HEAD // PER_CLASS
 CLASSES = HEADS + 2 * ENDINGS
 INPUTS = HEAD + 2 * ENDINGS
-HIDDEN, SAMPLE, ROUNDS = 24, 8, 3
+HIDDEN, ROUNDS = 24, 3
 STREAMS, STEPS, RATE = 64, 16, 0.01
 COUNTED, KEPT, BATCH = 400_000, 400_000, 6000
 END = b"\n"
@@ -382,8 +382,7 @@ def score_documents(docs: DataFrame, id: str = "doc_id", text: str = "text") ->
     learned = docs.where(crc_mod(id, FOLDS) != HELD_OUT).select(F.col(id).alias("id"), F.col(text).cast("binary").alias("text"))
     counts = cut(count_words(learned.select("text")))
     lex = lexicon(counts)
-    draw = F.pmod(F.xxhash64("id"), F.lit(SAMPLE * ROUNDS))
-    sample = cut(learned.where(draw < ROUNDS).select("text", draw.cast("int").alias("round")))
+    sample = cut(learned.select("text", F.pmod(F.xxhash64("id", "text"), F.lit(ROUNDS)).cast("int").alias("round")))
     made = score(docs, counts, lex, fit(sample, lex), id, text)
     return made.select("doc_id", (crc_mod("doc_id", FOLDS) == HELD_OUT).alias("held_out"), "n_tokens", "n_known", F.lit(int(lex.total)).cast("long").alias("train_tokens"), "base_score", "score")
 
