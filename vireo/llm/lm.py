@@ -11,8 +11,9 @@ to 1.  The state is a gated recurrence over embeddings of words or classes; it s
 carried across windows to its end, so a text is scored whole.
 
 Training.  The weights start as the class-factored unigram model.  All documents of the training fold are dealt to
-ROUNDS by id and text, each to one; in a round each task runs truncated backpropagation over its documents from the
-common weights, and the weights are averaged over tasks in levels of at most 64.  Tasks are seeded by partition.
+ROUNDS by id and text, each to one; in a round each task runs truncated backpropagation over all tokens of its documents
+from the common weights, and the weights are averaged over tasks, by their tokens, in levels of at most 64.  So scores
+depend a little on how the input is split into tasks; for the same splits they are the same, also if a task runs again.
 
 Scoring a batch runs its documents side by side, the longest first.
 
@@ -36,12 +37,14 @@ from pyspark.sql import functions as F
 from vireo.llm.common import crc_mod, cut, small_batches, table
 
 FOLDS, HELD_OUT = 7, 2
-TABLE, HEAD, PER_CLASS, ENDINGS = 1 << 18, 1024, 32, 32
+TABLE, HEAD, PER_CLASS, ENDINGS = 1 << 18, 1024, 64, 16
 HEADS = HEAD // PER_CLASS
 CLASSES = HEADS + 2 * ENDINGS
 INPUTS = HEAD + 2 * ENDINGS
 HIDDEN, ROUNDS = 24, 3
-STREAMS, STEPS, RATE = 64, 16, 0.01
+STREAMS, STEPS, RATE = 512, 8, 0.015
+#: Tokens that each stream holds at least before streams advance, and states that are scored at once.
+SPAN, SETTLED = 128, 16_384
 COUNTED, KEPT, BATCH = 400_000, 400_000, 6000
 END = b"\n"
 #: Steps of the grid of counts, as logarithms.
@@ -168,100 +171,173 @@ def packed(w: dict[str, np.ndarray]) -> bytes:
     return np.concatenate([w[k].ravel() for k in SHAPES]).astype(np.float32).tobytes()
 
 
-def unpacked(data: bytes) -> dict[str, np.ndarray]:
-    flat, out, at = np.frombuffer(data, np.float32), {}, 0
+def views(flat: np.ndarray) -> dict[str, np.ndarray]:
+    """The weights by name, as views of one array."""
+    out, at = {}, 0
     for k, s in SHAPES.items():
         n = int(np.prod(s))
-        out[k] = flat[at : at + n].reshape(s).copy()
+        out[k] = flat[at : at + n].reshape(s)
         at += n
     return out
 
 
-def step(w, h: np.ndarray, x: np.ndarray):
-    """One step of the recurrence: new states, gates and candidates."""
-    pre = w["embed"][x] + w["bias"]
+def unpacked(data: bytes) -> dict[str, np.ndarray]:
+    return views(np.frombuffer(data, np.float32).copy())
+
+
+def recur(w, h: np.ndarray, pre: np.ndarray, out: np.ndarray | None = None) -> np.ndarray:
+    """One step of the recurrence.  pre: inputs' embeddings and bias; overwritten by twice the gates less one, and the candidates.
+
+    Gates and candidates are squashed by x / (1 + |x|), which numpy does several times as fast as exponentials.
+    """
     pre += h @ w["turn"]
-    pre[:, :HIDDEN] *= 0.5
-    np.tanh(pre, out=pre)
-    z = 0.5 + 0.5 * pre[:, :HIDDEN]
-    c = pre[:, HIDDEN:]
-    return h + z * (c - h), z, c
+    size = np.abs(pre)
+    size += 1
+    pre /= size
+    z, c = 0.5 + 0.5 * pre[:, :HIDDEN], pre[:, HIDDEN:]
+    return np.add(h, z * (c - h), out=out)
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x -= x.max(1, keepdims=True)
-    x -= np.log(np.exp(x).sum(1, keepdims=True))
-    return x
+def _log_sums(x: np.ndarray) -> np.ndarray:
+    """log(sum(exp(x))) by row; x is overwritten."""
+    top = x.max(1)
+    x -= top[:, None]
+    np.exp(x, out=x)
+    return top + np.log(x.sum(1))
 
 
-def log_probs(w, h: np.ndarray, cls: np.ndarray, code: np.ndarray) -> np.ndarray:
-    """Natural log of P(class | h), times P(word | class, h) for words of the head."""
-    each = np.arange(len(h))
-    out = _log_softmax(h @ w["cls"] + w["cls_bias"])[each, cls]
-    order = np.argsort(cls, kind="stable")
+def _by_head(cls: np.ndarray):
+    """(class, places) for each class of the head that occurs in cls."""
+    order = np.argsort(cls.astype(np.uint16), kind="stable")
     ends = np.searchsorted(cls[order], np.arange(HEADS + 1))
     for k in range(HEADS):
-        rows = order[ends[k] : ends[k + 1]]
-        if len(rows):
-            out[rows] += _log_softmax(h[rows] @ w["word"][k] + w["word_bias"][k])[np.arange(len(rows)), code[rows] - k * PER_CLASS]
+        if ends[k] < ends[k + 1]:
+            yield k, order[ends[k] : ends[k + 1]]
+
+
+def log_probs(w, h: np.ndarray, cls: np.ndarray, code: np.ndarray) -> np.ndarray:
+    """Natural log of P(class | h), times P(word | class, h) for words of the head."""
+    x = h @ w["cls"]
+    x += w["cls_bias"]
+    out = x[np.arange(len(h)), cls]
+    out -= _log_sums(x)
+    for k, rows in _by_head(cls):
+        x = h.take(rows, 0) @ w["word"][k]
+        x += w["word_bias"][k]
+        own = x[np.arange(len(rows)), code[rows] - k * PER_CLASS]
+        out[rows] += own - _log_sums(x)
     return out
 
 
-def train(w: dict[str, np.ndarray], lex: Lexicon, texts: list[np.ndarray]) -> int:
-    """Truncated backpropagation over texts (codes), laid in STREAMS; changes w and returns the number of tokens."""
-    codes = np.concatenate(texts)
-    streams = max(1, min(STREAMS, len(codes) // STEPS))
-    length = len(codes) // streams
-    codes = codes[: streams * length].reshape(streams, length).T
-    cls, inputs = lex.classed(codes.ravel())
-    cls, inputs = cls.reshape(codes.shape), inputs.reshape(codes.shape)
-    m, v = ({k: np.zeros(s, np.float32) for k, s in SHAPES.items()} for _ in range(2))
-    h, beat = np.zeros((streams, HIDDEN), np.float32), 0
-    last = np.zeros(streams, np.int64)  # the end comes before a text
-    for at in range(0, length, STEPS):
-        t_n = min(STEPS, length - at)
-        xs, held, hs = [], [], []
-        for t in range(t_n):
-            x = last
-            live = (x != 0).astype(np.float32)[:, None]
-            h = h * live
-            before = h
-            h, z, c = step(w, h, x)
-            xs.append(x)
-            held.append((before, z, c, live))
-            hs.append(h)
-            last = inputs[at + t]
-        y, code, states = cls[at : at + t_n].ravel(), codes[at : at + t_n].ravel(), np.concatenate(hs)
-        g = {k: np.zeros(s, np.float32) for k, s in SHAPES.items()}
-        n, each = len(y), np.arange(len(y))
-        d = np.exp(_log_softmax(states @ w["cls"] + w["cls_bias"]))
-        d[each, y] -= 1
-        d /= n
-        g["cls"], g["cls_bias"], back = states.T @ d, d.sum(0), d @ w["cls"].T
-        for k in np.unique(y[y < HEADS]):
-            rows = np.flatnonzero(y == k)
-            d = np.exp(_log_softmax(states[rows] @ w["word"][k] + w["word_bias"][k]))
-            d[np.arange(len(rows)), code[rows] - k * PER_CLASS] -= 1
-            d /= n
-            g["word"][k], g["word_bias"][k] = states[rows].T @ d, d.sum(0)
-            back[rows] += d @ w["word"][k].T
-        back, ahead, pres = back.reshape(t_n, streams, HIDDEN), np.zeros((streams, HIDDEN), np.float32), []
-        for t in range(t_n - 1, -1, -1):
-            before, z, c, live = held[t]
+def _blame(h: np.ndarray, weights: np.ndarray, bias: np.ndarray, target: np.ndarray, n: int):
+    """Gradients of a softmax layer's mean loss over n tokens: of its weights, its bias and the states."""
+    x = h @ weights
+    x += bias
+    x -= x.max(1, keepdims=True)
+    np.exp(x, out=x)
+    x *= (1 / (n * x.sum(1)))[:, None]
+    x[np.arange(len(h)), target] -= 1 / n
+    return h.T @ x, x.sum(0), x @ weights.T
+
+
+class Trainer:
+    """Truncated backpropagation over documents that arrive one by one, in STREAMS side by side.
+
+    A document goes to the stream with the fewest tokens left and stays whole; streams advance together by windows of STEPS
+    tokens, and states and the optimiser's moments are carried from window to window.  ``finish`` cuts what is left into
+    streams of equal length, so that no token is dropped.
+    """
+
+    def __init__(self, weights: bytes, lex: Lexicon):
+        self.lex, self.flat = lex, np.frombuffer(weights, np.float32).copy()
+        self.grad, self.m, self.v = (np.zeros_like(self.flat) for _ in range(3))
+        self.w, self.g = views(self.flat), views(self.grad)
+        self.beat = self.n = 0
+        self._start(STREAMS)
+
+    def _start(self, streams: int) -> None:
+        self.h, self.last = np.zeros((streams, HIDDEN), np.float32), np.zeros(streams, np.int64)  # the end comes before a text
+        self.queues: list[list[np.ndarray]] = [[] for _ in range(streams)]
+        self.left = np.zeros(streams, np.int64)
+
+    def feed(self, codes: np.ndarray) -> None:
+        k = int(self.left.argmin())
+        self.queues[k].append(codes)
+        self.left[k] += len(codes)
+        if self.left.min() >= SPAN:
+            self._advance(int(self.left.min()) // STEPS * STEPS)
+
+    def _advance(self, length: int) -> None:
+        rows = np.empty((len(self.queues), length), np.int64)
+        for k, queue in enumerate(self.queues):
+            whole = queue[0] if len(queue) == 1 else np.concatenate(queue)
+            rows[k], queue[:] = whole[:length], [whole[length:]]
+        self.left -= length
+        self._learn(rows.T)
+
+    def finish(self) -> None:
+        rest = np.concatenate([c for queue in self.queues for c in queue] or [np.zeros(0, np.int64)])
+        if len(rest):
+            streams = max(1, min(STREAMS, len(rest) // STEPS))
+            rows = np.full((streams, -(-len(rest) // streams)), -1, np.int64)
+            rows.ravel()[: len(rest)] = rest
+            self._start(streams)
+            self._learn(rows.T)
+
+    def _learn(self, codes: np.ndarray) -> None:
+        """codes: one column a stream; -1 where there is no token."""
+        there = codes >= 0
+        cls, inputs = self.lex.classed(np.where(there, codes, 0).ravel())
+        cls, inputs = cls.reshape(codes.shape), inputs.reshape(codes.shape)
+        for at in range(0, len(codes), STEPS):
+            part = slice(at, at + STEPS)
+            xs = np.concatenate([self.last[None], inputs[part][:-1]])
+            self._window(xs, cls[part].ravel(), codes[part].ravel(), np.flatnonzero(there[part].ravel()))
+            self.last = inputs[part][-1]
+
+    def _window(self, xs: np.ndarray, cls: np.ndarray, code: np.ndarray, there: np.ndarray) -> None:
+        w, g, (steps, streams) = self.w, self.g, xs.shape
+        live = (xs != 0).astype(np.float32)[:, :, None]
+        pre = w["embed"].take(xs, 0)
+        pre += w["bias"]
+        before, after = np.empty((2, steps, streams, HIDDEN), np.float32)
+        h = self.h
+        for t in range(steps):
+            before[t] = h * live[t]
+            h = recur(w, before[t], pre[t], after[t])
+        self.h = h
+        slope = 1 - np.abs(pre)  # of the squashing: its square
+        slope *= slope
+        z, c = 0.5 + 0.5 * pre[:, :, :HIDDEN], pre[:, :, HIDDEN:]
+        states, back = after.reshape(-1, HIDDEN), np.zeros((steps * streams, HIDDEN), np.float32)
+        if len(there) < len(states):
+            states, cls, code = states[there], cls[there], code[there]
+        self.grad[:] = 0
+        n = len(states)
+        g["cls"][:], g["cls_bias"][:], blame = _blame(states, w["cls"], w["cls_bias"], cls, n)
+        for k, rows in _by_head(cls):
+            g["word"][k], g["word_bias"][k], own = _blame(states.take(rows, 0), w["word"][k], w["word_bias"][k], code[rows] - k * PER_CLASS, n)
+            blame[rows] += own
+        back[there] = blame
+        back = back.reshape(steps, streams, HIDDEN)
+        to_z, to_c, keep = 0.5 * (c - before) * slope[:, :, :HIDDEN], z * slope[:, :, HIDDEN:], 1 - z
+        pres, ahead, turned = np.empty((steps, streams, 2 * HIDDEN), np.float32), np.zeros((streams, HIDDEN), np.float32), w["turn"].T.copy()
+        for t in range(steps - 1, -1, -1):
             dh = back[t] + ahead
-            pre = np.concatenate([dh * (c - before) * z * (1 - z), dh * z * (1 - c * c)], 1)
-            g["turn"] += before.T @ pre
-            pres.append(pre)
-            ahead = (dh * (1 - z) + pre @ w["turn"].T) * live
-        pres = np.concatenate(pres[::-1])
-        g["bias"] = pres.sum(0)
-        np.add.at(g["embed"], np.concatenate(xs), pres)
-        beat += 1
-        for k in SHAPES:
-            m[k] += 0.1 * (g[k] - m[k])
-            v[k] += 0.001 * (g[k] * g[k] - v[k])
-            w[k] -= RATE * (m[k] / (1 - 0.9**beat)) / (np.sqrt(v[k] / (1 - 0.999**beat)) + 1e-8)
-    return codes.size
+            np.multiply(dh, to_z[t], out=pres[t, :, :HIDDEN])
+            np.multiply(dh, to_c[t], out=pres[t, :, HIDDEN:])
+            ahead = (dh * keep[t] + pres[t] @ turned) * live[t]
+        pres = pres.reshape(-1, 2 * HIDDEN)
+        g["turn"][:], g["bias"][:] = before.reshape(-1, HIDDEN).T @ pres, pres.sum(0)
+        order = np.argsort(xs.ravel().astype(np.uint16), kind="stable")
+        own = xs.ravel()[order]
+        starts = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+        g["embed"][own[starts]] = np.add.reduceat(pres.T.take(order, 1), starts, axis=1).T
+        self.beat += 1
+        self.n += n
+        self.m += 0.1 * (self.grad - self.m)
+        self.v += 0.001 * (self.grad * self.grad - self.v)
+        self.flat -= RATE / (1 - 0.9**self.beat) * self.m / (np.sqrt(self.v / (1 - 0.999**self.beat)) + 1e-8)
 
 
 def fit(sample: DataFrame, lex: Lexicon) -> dict[str, np.ndarray]:
@@ -279,14 +355,13 @@ def fit(sample: DataFrame, lex: Lexicon) -> dict[str, np.ndarray]:
         weights = packed(w)
 
         def trained(batches, weights=weights):
-            own, n = None, 0
+            own = Trainer(weights, sent.value)
             for b in batches:
-                texts = [sent.value.codes(t or b"") for t in b.column(0).to_pylist()]
-                if texts:
-                    own = unpacked(weights) if own is None else own
-                    n += train(own, sent.value, texts)
-            if n:
-                yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() // 64], pa.int64()), pa.array([n], pa.int64()), pa.array([packed(own)], pa.binary())], ["g", "n", "w"])
+                for t in b.column(0).to_pylist():
+                    own.feed(sent.value.codes(t or b""))
+            own.finish()
+            if own.n:
+                yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() // 64], pa.int64()), pa.array([own.n], pa.int64()), pa.array([own.flat.tobytes()], pa.binary())], ["g", "n", "w"])
 
         made = cut(sample.where(F.col("round") == r).select("text").mapInArrow(trained, "g long, n long, w binary"))
         while (k := made.count()) > 1:
@@ -325,13 +400,15 @@ def _score(w, lex: Lexicon, codes: list[np.ndarray]) -> np.ndarray:
     for t in range(int(sizes[0])):
         while sizes[live - 1] <= t:
             live -= 1
-        h = step(w, h[:live], x[:live])[0]
+        pre = w["embed"].take(x[:live], 0)
+        pre += w["bias"]
+        h = recur(w, h[:live], pre)
         at = start[:live] + t
         states.append(h)
         places.append(at)
         x = inputs[at]
         held += live
-        if held > 65_536:
+        if held > SETTLED:
             settle()
             held = 0
     if states:
@@ -382,7 +459,7 @@ def score_documents(docs: DataFrame, id: str = "doc_id", text: str = "text") ->
     learned = docs.where(crc_mod(id, FOLDS) != HELD_OUT).select(F.col(id).alias("id"), F.col(text).cast("binary").alias("text"))
     counts = cut(count_words(learned.select("text")))
     lex = lexicon(counts)
-    sample = cut(learned.select("text", F.pmod(F.xxhash64("id", "text"), F.lit(ROUNDS)).cast("int").alias("round")))
+    sample = learned.select("text", F.pmod(F.xxhash64("id", "text"), F.lit(ROUNDS)).cast("int").alias("round"))
     made = score(docs, counts, lex, fit(sample, lex), id, text)
     return made.select("doc_id", (crc_mod("doc_id", FOLDS) == HELD_OUT).alias("held_out"), "n_tokens", "n_known", F.lit(int(lex.total)).cast("long").alias("train_tokens"), "base_score", "score")
 
