@@ -42,7 +42,7 @@ HEADS = HEAD // PER_CLASS
 CLASSES = HEADS + 2 * ENDINGS
 INPUTS = HEAD + 2 * ENDINGS
 HIDDEN, ROUNDS = 24, 3
-STREAMS, STEPS, RATE = 512, 8, 0.015
+STREAMS, STEPS, RATE = 512, 8, 0.03
 #: Tokens that each stream holds at least before streams advance, and states that are scored at once.
 SPAN, SETTLED = 128, 16_384
 COUNTED, KEPT, BATCH = 400_000, 400_000, 6000

@@ -53,15 +53,13 @@ FROM words w LEFT JOIN texts t ON t.doc_id = w.doc_id"""
 
 
 def quality_sql(risk: float = quality.RISK, level: float = quality.LEVEL) -> str:
-    """Measures by unnesting, cutoffs by summing binomial terms from 0."""
+    """Measures by unnesting, the strictest certified bundle by summing binomial terms from 0."""
     width, rules = quality.WINDOW, quality.RULES
     steps, starts = _next(width)
-    share = risk / len(rules)
-    cells = " UNION ALL ".join(
-        f"SELECT '{r}' AS r, c, lang, CAST({m} > c AS INT) AS over FROM good, (SELECT unnest([{', '.join(f'{c!r}::DOUBLE' for c in grid)}]) AS c)" for r, (m, grid) in rules.items()
-    )
+    grid = ", ".join(f"({k + 1}, {', '.join(f'{g[k]!r}::DOUBLE' for _, g in rules.values())})" for k in range(quality.LEVELS))
+    names = ", ".join(f"cut_{r}" for r in rules)
+    over = " OR ".join(f"coalesce({m} > cut_{r}, false)" for r, (m, _) in rules.items())
     cut = lambda r: f"CASE WHEN o.stratum IS NOT NULL THEN o.cut_{r} ELSE p.cut_{r} END"
-    cuts = ", ".join(f"min(CASE WHEN r = '{r}' AND sure THEN c END) AS cut_{r}" for r in rules)
     failed = ", ".join(f"CASE WHEN {m} > {cut(r)} THEN '{r}' END" for r, (m, _) in rules.items())
     return f"""WITH words AS (SELECT doc_id, lang, coalesce(text, '') AS t, {_WORDS.format(text="coalesce(text, '')")} AS w,
   list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l FROM documents),
@@ -77,10 +75,11 @@ m AS (SELECT w.doc_id, lang, CAST(len(w) AS BIGINT) AS n_words, CAST(length(arra
 b AS (SELECT *, n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality.MAX_REPEAT_PERCENT} * n_words AS base_failed FROM m),
 good AS (SELECT * FROM b WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)),
 langs AS (SELECT lang, CASE WHEN lang IS NOT NULL AND row_number() OVER (ORDER BY lang IS NULL, count(*) DESC, lang) <= {quality.MAX_STRATA} THEN lang ELSE '*' END AS stratum FROM good GROUP BY lang),
-tests AS (SELECT stratum, r, c, sum(over) AS k, count(*) AS n FROM ({cells}) AS z JOIN langs ON z.lang IS NOT DISTINCT FROM langs.lang GROUP BY stratum, r, c),
-certain AS (SELECT *, k < n * {share!r}::DOUBLE AND list_sum([exp(lgamma(n + 1.0) - lgamma(i + 1.0) - lgamma(n - i + 1.0) + i * ln({share!r}) + (n - i) * ln({1 - share!r})) FOR i IN range(0, k::BIGINT + 1)])
-  <= {level / len(rules)!r} / (SELECT count(DISTINCT stratum) FROM langs) AS sure FROM tests),
-cuts AS (SELECT stratum, {cuts} FROM certain GROUP BY stratum),
+grid AS (SELECT * FROM (VALUES {grid}) AS g(level, {names})),
+tests AS (SELECT stratum, level, sum(over) AS k, count(*) AS n FROM (SELECT lang, level, CAST({over} AS INT) AS over FROM good, grid) AS z JOIN langs ON z.lang IS NOT DISTINCT FROM langs.lang GROUP BY stratum, level),
+certain AS (SELECT *, k < n * {risk!r}::DOUBLE AND list_sum([exp(lgamma(n + 1.0) - lgamma(i + 1.0) - lgamma(n - i + 1.0) + i * ln({risk!r}) + (n - i) * ln({1 - risk!r})) FOR i IN range(0, k::BIGINT + 1)])
+  <= {level!r} / (SELECT count(DISTINCT stratum) FROM langs) AS sure FROM tests),
+cuts AS (SELECT c.stratum, g.* FROM (SELECT stratum, max(level) FILTER (sure) AS best FROM certain GROUP BY stratum) AS c LEFT JOIN grid g ON g.level = c.best),
 v AS (SELECT m.*, concat_ws(',', {failed}) AS failed_rules FROM b m LEFT JOIN cuts o ON o.stratum = m.lang AND o.stratum <> '*' LEFT JOIN cuts p ON p.stratum = '*')
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND failed_rules = '' AS kept, failed_rules FROM v"""
 

@@ -1,15 +1,18 @@
 """Quality rules with risk-controlled cutoffs, in DataFrame functions only.
 
-Each rule rejects a document whose measure exceeds a cutoff.  The cutoff of a rule is chosen per stratum (language) from a
-fixed grid, on the labelled documents: a cutoff is certified when the exact binomial (Clopper-Pearson) test shows that the
-share of good documents it rejects is at most ``risk / number of rules``, at level ``level`` divided by the number of
-(stratum, rule) pairs (Bonferroni).  Within a pair the grid is tested from the loosest cutoff on (a fixed sequence, which
-needs no further correction) and the strictest one certified is taken; a rule without one rejects nothing.
-So with probability 1 - level, in every stratum, at most a share ``risk`` of good documents is rejected by the rules.
+Each rule rejects a document whose measure exceeds a cutoff.  Cutoffs come in bundles, one cutoff for each rule, in a fixed
+sequence of LEVELS that runs from customary loose cutoffs to strict ones.  Per stratum (language) the bundles are tested in this order
+on the labelled documents: a bundle is certified when the exact binomial (Clopper-Pearson) test shows that the share of good
+documents which any of its rules rejects is at most ``risk``, at level ``level`` divided by the number of strata (Bonferroni).
+Within a stratum the order is fixed beforehand and stricter bundles reject more, so testing until the first failure needs no
+further correction; the strictest bundle certified is taken, and without one the rules reject nothing.  So with probability
+1 - level, in every stratum, at most a share ``risk`` of good documents is rejected by the rules.  A stratum needs
+ln(level / strata) / ln(1 - risk) good labels at least: 217 with four strata.
 
 Defined cases: null or blank text has no words, fails the base check and is not kept; null language and languages beyond the
-``MAX_STRATA`` best labelled ones form the pooled stratum ``*``; repeated rows give repeated results; without labels no rule
-is certified and only the base check rejects; other columns of the input are ignored, whatever their names.
+``MAX_STRATA`` best labelled ones form the pooled stratum ``*``, which also serves languages without good labels; repeated rows
+give repeated results; of several rows of one labelled id the one that is rejected soonest counts; without labels nothing is
+certified and only the base check rejects; other columns of the input are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,13 +30,20 @@ RISK, LEVEL = 0.02, 0.05
 MAX_STRATA = 64
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 10, 20, 5
 
-#: Measure of each rule (larger is worse; null, which no rule rejects, where there are no words) and its grid of cutoffs, fixed before any data are seen.
+LEVELS = 20
+
+
+def _path(loose: float, strict: float) -> list[float]:
+    return [round(loose + (strict - loose) * k / (LEVELS - 1), 6) for k in range(LEVELS)]
+
+
+#: Measure of each rule (larger is worse; null, which no rule rejects, where there are no words) and its cutoffs by level, fixed before any data are seen.
 RULES: dict[str, tuple[str, list[float]]] = {
-    "symbols": ("n_symbols / nullif(word_chars, 0)", [round(0.01 * k, 4) for k in range(1, 21)]),
-    "dup_lines": ("n_dup_lines / nullif(n_lines, 0)", [round(0.05 * k, 4) for k in range(1, 17)]),
-    "repeats": ("n_repeat_words / nullif(n_words, 0)", [round(0.01 * k, 4) for k in range(1, 20)]),
-    "long_words": ("word_chars / nullif(n_words, 0)", [6 + 0.5 * k for k in range(1, 21)]),
-    "short_words": ("-(word_chars / nullif(n_words, 0))", [-0.5 * k for k in range(9, 3, -1)]),
+    "symbols": ("n_symbols / nullif(word_chars, 0)", _path(0.1, 0.005)),
+    "dup_lines": ("n_dup_lines / nullif(n_lines, 0)", _path(0.5, 0.12)),
+    "repeats": ("n_repeat_words / nullif(n_words, 0)", _path(0.2, 0.01)),
+    "long_words": ("word_chars / nullif(n_words, 0)", _path(10, 6)),
+    "short_words": ("-(word_chars / nullif(n_words, 0))", _path(-3, -4.5)),
 }
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
@@ -91,24 +101,30 @@ def binomial_cdf(k: str, n: str, p: float) -> str:
     return f"CASE WHEN {k} >= {n} * {p!r}D THEN 1D ELSE exp({top}) * {ratio} END"
 
 
+def first_level() -> Column:
+    """The first level, from 1, at which some rule rejects a measured document; LEVELS + 1 if none does."""
+    passed = [F.coalesce(F.size(F.filter(F.lit(grid), lambda c: F.expr(m) <= c)), F.lit(LEVELS)) for m, grid in RULES.values()]
+    return F.least(*(F.when(F.expr(m).isNull(), LEVELS).otherwise(n) for (m, _), n in zip(RULES.values(), passed))) + 1
+
+
 def cutoffs(measured: DataFrame, labels: DataFrame, risk: float = RISK, level: float = LEVEL) -> DataFrame:
-    """One row per stratum: ``stratum`` and ``cut_<rule>`` (null: the rule rejects nothing there).
+    """One row per stratum: ``stratum``, ``level`` of the bundle and ``cut_<rule>`` (null: nothing is certified there).
 
     measured: doc_id, lang and the measures.  labels: doc_id, quality; only quality = 1 rows whose document passes the base
     check count as good.  A label that is repeated or joins repeated documents counts once.  At most MAX_STRATA + 1 rows.
     """
     good = labels.where("quality = 1 AND doc_id IS NOT NULL").select("doc_id").distinct()
-    rows = measured.where(~base_failed()).dropDuplicates(["doc_id"]).join(good, "doc_id", "left_semi")
-    counts = [F.sum((F.expr(m) > c).cast("double")).alias(f"k_{r}_{i}") for r, (m, grid) in RULES.items() for i, c in enumerate(grid)]
-    by_lang = rows.groupBy("lang").agg(F.count(F.lit(1)).cast("double").alias("n"), *counts)
+    rows = measured.where(~base_failed()).select("doc_id", "lang", first_level().alias("first")).join(good, "doc_id", "left_semi")
+    rows = rows.groupBy("doc_id").agg(F.min(F.struct("first", "lang")).alias("r")).select("r.*")
+    by_lang = rows.groupBy("lang").agg(F.count(F.lit(1)).cast("double").alias("n"), *(F.sum((F.col("first") <= k).cast("double")).alias(f"k_{k}") for k in range(1, LEVELS + 1)))
     own = F.when((F.row_number().over(_best()) <= MAX_STRATA) & F.col("lang").isNotNull(), F.col("lang")).otherwise("*")
     names = [c for c in by_lang.columns if c != "lang"]
     strata = by_lang.select(own.alias("stratum"), *names).groupBy("stratum").agg(*(F.sum(c).alias(c) for c in names))
     strata = strata.withColumn("strata", F.count(F.lit(1)).over(Window.partitionBy()))
-    cells = ", ".join(f"named_struct('r', '{r}', 'c', CAST({c!r} AS DOUBLE), 'k', k_{r}_{i})" for r, (_, g) in RULES.items() for i, c in enumerate(g))
-    tested = strata.select("stratum", "strata", "n", F.explode(F.expr(f"array({cells})")).alias("t")).select("stratum", "strata", "n", "t.*")
-    certified = F.expr(f"({binomial_cdf('k', 'n', risk / len(RULES))}) <= {level / len(RULES)!r}D / strata")
-    return tested.groupBy("stratum").agg(*(F.min(F.when((F.col("r") == r) & certified, F.col("c"))).alias(f"cut_{r}") for r in RULES))
+    tested = strata.select("stratum", "strata", "n", F.posexplode(F.array(*(f"k_{k}" for k in range(1, LEVELS + 1)))).alias("at", "k"))
+    certified = F.expr(f"({binomial_cdf('k', 'n', risk)}) <= {level!r}D / strata")
+    best = tested.groupBy("stratum").agg(F.max(F.when(certified, F.col("at") + 1)).alias("level"))
+    return best.select("stratum", "level", *(F.expr(f"CASE level {' '.join(f'WHEN {k} THEN {c!r}D' for k, c in enumerate(grid, 1))} END").alias(f"cut_{r}") for r, (_, grid) in RULES.items()))
 
 
 def _best():
@@ -137,8 +153,9 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
     Texts are measured once; the measures are written, and the rejected documents leave by a join on id and text hash.
     """
-    measured = cut(measures(docs.withColumn("_vhash", F.xxhash64("text")), ["doc_id", "lang", "_vhash"]))
+    whole = docs.select("doc_id", "lang", "text", F.xxhash64("text").alias("hash"), F.struct(*docs.columns).alias("row"))
+    measured = cut(measures(whole, ["doc_id", "lang", "hash"]))
     cuts = cut(cutoffs(measured, table(spark, sf_dir, "labels")))
-    gone = judge(measured, cuts).where("NOT kept").select(F.col("doc_id").alias("_vdoc"), "_vhash").distinct()
-    same = F.col("doc_id").eqNullSafe(F.col("_vdoc")) & (F.xxhash64("text") == F.col("_vhash"))
-    return docs.join(small(gone), same, "left_anti")
+    gone = judge(measured, cuts).where("NOT kept").select(F.col("doc_id").alias("gone_id"), F.col("hash").alias("gone_hash")).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.col("hash") == F.col("gone_hash"))
+    return whole.join(small(gone), same, "left_anti").select("row.*")
