@@ -1,4 +1,7 @@
-"""Stencil queries over 8 x 8 images: pyramids, contrast, blur, resizing, masking and the whole image score."""
+"""Stencil queries over images: pyramids, contrast, blur, resizing, masking models and the whole image score.
+
+Vectors are read as 8 x 8 planes, or as 6 x 7 planes of mixed parity.  Queries filter plane rows in tasks; their SQL joins weight tables.
+"""
 
 from __future__ import annotations
 
@@ -8,164 +11,183 @@ from pyspark.sql import functions as F
 
 from vireo.functions import expressions as E
 from vireo.operators import linear as L
+from vireo.operators import planes as P
+from vireo.operators import visibility as V
 from vireo.sources import signals
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 num = E.num
 KEYS = ["vec_id", "y", "x"]
+MODEL = V.Model()
+RHO = V.band_frequencies(8, 8, MODEL.ppd)
 
 R8, R4, X4, X2 = L.reduce_weights(8), L.reduce_weights(4), L.expand_weights(4, 8), L.expand_weights(2, 4)
-# Stand-in sensitivity: a smooth log-parabola over frequency, flat over luminance; uncalibrated, replaceable by a measured table.
-BAND_RHO = (12.17, 6.085, 0.1)
-SENSITIVITY = [10 ** (2.2 - 0.35 * (np.log10(r) - 0.5) ** 2 - 0.2797423303127289 / 20) for r in BAND_RHO]
-MASK_P, MASK_Q, MASK_C, MASK_W = 2.264355182647705, 1.302622675895691, -0.7954971194267273, -0.18950104713439941
-BASEBAND, IMAGE = 0.0036334486212581396, 0.577918291091919
-
-
-def _rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    return df.select(*KEYS, F.round("v", digits).alias("v"))
-
-
-def _stencil(name: str, rows: L.Weights, columns: L.Weights) -> None:
-    QUERIES[name] = lambda spark, sf_dir: _rounded(L.separable(signals.images(spark, sf_dir), rows, columns))
-    ORACLES[name] = f"WITH img AS ({signals.IMAGES_DUCKDB}) SELECT vec_id, y, x, round(v, 6) AS v FROM {L.separable_sql('img', rows, columns)} AS z"
 
 
-_stencil("gauss_reduce", R8, R8)
-_stencil("gaussian_blur", L.gaussian_weights(8, 1.5), L.gaussian_weights(8, 1.5))
-_stencil("phase_blur", L.gaussian_weights(8, 3, 13), L.gaussian_weights(8, 3, 13))
-_stencil("resize_bilinear", L.bilinear_weights(8, 12), L.bilinear_weights(8, 5))
-_stencil("chroma_upsample_420", L.bilinear_weights(8, 16), L.bilinear_weights(8, 16))
-_stencil("chroma_upsample_422", [(i, i, 1.0) for i in range(8)], L.bilinear_weights(8, 16))
+def _samples(df: DataFrame, columns: list[str] = ["v"], keys: list[str] = ["vec_id"], digits: int = 6) -> DataFrame:
+    return P.long(df, columns, keys).select(*keys, "y", "x", *(F.round(c, digits).alias(c) for c in columns))
 
 
-def levels(images: DataFrame, values: list[str] = ["v"]) -> list[DataFrame]:
-    """The Gaussian pyramid of 8 x 8 images: 8, 4 and 2 samples an axis."""
-    g1 = L.separable(images, R8, R8, value=values)
-    return [images, g1, L.separable(g1, R4, R4, value=values)]
+def _stencil(name: str, fn, rows: L.Weights, columns: L.Weights, h: int = 8, w: int = 8) -> None:
+    QUERIES[name] = lambda spark, sf_dir: _samples(P.filtered(signals.images(spark, sf_dir, h, w), fn, ["v"], keep=["vec_id"]))
+    ORACLES[name] = f"WITH img AS ({signals.images_sql(h, w)}) SELECT vec_id, y, x, round(v, 6) AS v FROM {L.separable_sql('img', rows, columns)} AS z"
 
 
-def _sub(a: DataFrame, b: DataFrame, sign: int = -1) -> DataFrame:
-    return a.join(b.withColumnRenamed("v", "_b"), KEYS).select(*KEYS, (F.col("v") + sign * F.col("_b")).alias("v"))
+_stencil("gauss_reduce", P.reduce, R8, R8)
+_stencil("gauss_reduce_mixed", P.reduce, L.reduce_weights(6), L.reduce_weights(7, False), 6, 7)
+_stencil("gauss_expand_mixed", lambda x: P.expand(x, 11, 14), L.expand_weights(6, 11), L.expand_weights(7, 14), 6, 7)
+_stencil("gaussian_blur", lambda x: P.blur(x, 1.5), L.gaussian_weights(8, 1.5), L.gaussian_weights(8, 1.5))
+_stencil("phase_blur", lambda x: P.blur(x, 3, 13), L.gaussian_weights(8, 3, 13), L.gaussian_weights(8, 3, 13))
+_stencil("texture_mean", lambda x: P.blur(x, 8, 33), L.gaussian_weights(8, 8, 33), L.gaussian_weights(8, 8, 33))
+for _method, _weights in L.RESIZE.items():
+    _stencil(f"resize_{_method}", lambda x, m=_method: P.resize(x, 12, 5, m), _weights(8, 12), _weights(8, 5))
+_stencil("chroma_upsample_420", lambda x: P.resize(x, 16, 16), L.bilinear_weights(8, 16), L.bilinear_weights(8, 16))
+_stencil("chroma_upsample_422", lambda x: P.resize(x, 8, 16), [(i, i, 1.0) for i in range(8)], L.bilinear_weights(8, 16))
 
+LEVELS_SQL = f"g1 AS (SELECT * FROM {L.separable_sql('img', R8, R8)} AS z), g2 AS (SELECT * FROM {L.separable_sql('g1', R4, R4)} AS z), e0 AS (SELECT * FROM {L.separable_sql('g1', X4, X4)} AS z), e1 AS (SELECT * FROM {L.separable_sql('g2', X2, X2)} AS z)"
+_IMG = f"WITH img AS ({signals.IMAGES_DUCKDB}), {LEVELS_SQL}"
+_BANDS = "SELECT vec_id, 0 AS band, y, x, img.v - e0.v AS v FROM img JOIN e0 USING (vec_id, y, x) UNION ALL SELECT vec_id, 1, y, x, g1.v - e1.v FROM g1 JOIN e1 USING (vec_id, y, x) UNION ALL SELECT vec_id, 2, y, x, v FROM g2"
 
-LEVELS_SQL = f"img AS ({signals.IMAGES_DUCKDB}), g1 AS (SELECT * FROM {L.separable_sql('img', R8, R8)} AS z), g2 AS (SELECT * FROM {L.separable_sql('g1', R4, R4)} AS z), e0 AS (SELECT * FROM {L.separable_sql('g1', X4, X4)} AS z), e1 AS (SELECT * FROM {L.separable_sql('g2', X2, X2)} AS z)"
 
+def _banded(name: str, stencil, sql: str) -> None:
+    """A query of all bands that a stencil makes of each image."""
+    QUERIES[name] = lambda spark, sf_dir: _samples(P.over_planes(signals.images(spark, sf_dir), stencil, ["v"], keep=["vec_id"]), keys=["vec_id", "band"])
+    ORACLES[name] = f"{_IMG} SELECT vec_id, band, y, x, round(v, 6) AS v FROM ({sql}) AS z"
 
-def gauss_expand(spark, sf_dir):
-    return _rounded(L.separable(levels(signals.images(spark, sf_dir))[1], X4, X4))
 
+_numbered = lambda bands: enumerate(bands)
+_banded("gaussian_pyramid", lambda x: _numbered(P.gaussian(x, 3)), "SELECT vec_id, 0 AS band, y, x, v FROM img UNION ALL SELECT vec_id, 1, y, x, v FROM g1 UNION ALL SELECT vec_id, 2, y, x, v FROM g2")
+_banded("laplacian_pyramid", lambda x: _numbered(P.laplacian(x, 3)), _BANDS)
+_banded("band_multiplier", lambda x: ((k, b * (2 if k == 1 else 1)) for k, b in enumerate(P.laplacian(x, 3))), f"SELECT vec_id, band, y, x, v * CASE WHEN band = 1 THEN 2 ELSE 1 END AS v FROM ({_BANDS}) AS b")
+_banded("band_crop", lambda x: ((k, b[..., : b.shape[-2] // 2, :]) for k, b in enumerate(P.laplacian(x, 3))), f"SELECT * FROM ({_BANDS}) AS b WHERE y < CASE band WHEN 0 THEN 4 WHEN 1 THEN 2 ELSE 1 END")
+_stencil("gauss_expand", lambda x: P.expand(P.reduce(x), 8, 8), R8, R8)
+ORACLES["gauss_expand"] = f"{_IMG} SELECT vec_id, y, x, round(v, 6) AS v FROM e0"
+_stencil("laplacian_band0", lambda x: P.laplacian(x, 2)[0], R8, R8)
+ORACLES["laplacian_band0"] = f"{_IMG} SELECT vec_id, y, x, round(img.v - e0.v, 6) AS v FROM img JOIN e0 USING (vec_id, y, x)"
 
-def laplacian_band0(spark, sf_dir):
-    g = levels(signals.images(spark, sf_dir))
-    return _rounded(_sub(g[0], L.separable(g[1], X4, X4)))
 
-
-def pyr_reconstruct(spark, sf_dir):
-    """Decomposes and adds up again; equals the images."""
-    g = levels(signals.images(spark, sf_dir))
-    b1, b0 = _sub(g[1], L.separable(g[2], X2, X2)), _sub(g[0], L.separable(g[1], X4, X4))
-    g1 = _sub(b1, L.separable(g[2], X2, X2), 1)
-    return _rounded(_sub(b0, L.separable(g1, X4, X4), 1))
-
-
-QUERIES |= {"gauss_expand": gauss_expand, "laplacian_band0": laplacian_band0, "pyr_reconstruct": pyr_reconstruct}
-ORACLES |= {
-    "gauss_expand": f"WITH {LEVELS_SQL} SELECT vec_id, y, x, round(v, 6) AS v FROM e0",
-    "laplacian_band0": f"WITH {LEVELS_SQL} SELECT vec_id, y, x, round(img.v - e0.v, 6) AS v FROM img JOIN e0 USING (vec_id, y, x)",
-    "pyr_reconstruct": f"WITH {LEVELS_SQL} SELECT vec_id, y, x, round(v, 6) AS v FROM img",
-}
+def pyr_reconstruct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decomposes into band rows, gathers a plane's bands again and adds them up; equals the images."""
+    bands = P.over_planes(signals.images(spark, sf_dir), lambda x: enumerate(P.laplacian(x, 3)), ["v"], keep=["vec_id"])
+    return _samples(P.reconstructed(bands, ["vec_id"], "v"))
 
 
-def contrast_bands(images: DataFrame, values: list[str] = ["v"]) -> DataFrame:
-    """vec_id, band, y, x and contrasts: layers over their own local background (at least .01, contrast at most 1000).
+QUERIES["pyr_reconstruct"] = pyr_reconstruct
+ORACLES["pyr_reconstruct"] = f"WITH img AS ({signals.IMAGES_DUCKDB}) SELECT vec_id, y, x, round(v, 6) AS v FROM img"
 
-    Test and reference are best given as two value columns, so that each filter step serves both.
-    """
-    g = levels(images.select("vec_id", "y", "x", *(F.expr(E.display_forward(v)).alias(v) for v in values)), values)
-    bands = []
-    for band, up in enumerate((X4, X2)):
-        e = L.separable(g[band + 1], up, up, value=values).select(*KEYS, *(F.col(v).alias(f"_{v}") for v in values))
-        c = [(F.least((F.col(v) - F.col(f"_{v}")) / F.greatest(f"_{v}", F.lit(0.01)), F.lit(1000.0)) * (2 if band else 1)).alias(v) for v in values]
-        bands.append(g[band].join(e, KEYS).select("vec_id", F.lit(band).alias("band"), "y", "x", *c))
-    mean = g[2].groupBy("vec_id").agg(*(F.avg(F.greatest(v, F.lit(0.01))).alias(f"_{v}") for v in values))
-    base = g[2].join(mean, "vec_id").select("vec_id", F.lit(2).alias("band"), "y", "x", *(F.least(F.col(v) / F.col(f"_{v}"), F.lit(1000.0)).alias(v) for v in values))
-    return bands[0].unionByName(bands[1]).unionByName(base)
+# Contrast ---------------------------------------------------------------------------------------------------------
 
 
-CONTRAST_SQL = f"""raw AS ({signals.IMAGES_DUCKDB}), img AS (SELECT vec_id, y, x, {E.display_forward('v')} AS v FROM raw), {LEVELS_SQL[LEVELS_SQL.index('g1 AS') :]},
-m AS (SELECT vec_id, avg(greatest(v, 1e-2)) AS m FROM g2 GROUP BY vec_id),
-con AS (SELECT vec_id, 0 AS band, y, x, least((img.v - e0.v) / greatest(e0.v, 1e-2), 1e3) AS c FROM img JOIN e0 USING (vec_id, y, x)
-  UNION ALL SELECT vec_id, 1, y, x, 2 * least((g1.v - e1.v) / greatest(e1.v, 1e-2), 1e3) FROM g1 JOIN e1 USING (vec_id, y, x)
-  UNION ALL SELECT vec_id, 2, y, x, least(g2.v / m.m, 1e3) FROM g2 JOIN m USING (vec_id))"""
+def lit_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """vec_id, h, w, t, r: an image and the next one, in light of the standard display."""
+    lit = signals.images(spark, sf_dir).withColumn("v", F.expr(f"transform(v, e -> {E.display_forward('e')})"))
+    return lit.withColumnRenamed("v", "t").join(lit.select((F.col("vec_id") - 1).alias("vec_id"), F.col("v").alias("r")), "vec_id")
 
 
-def weber_contrast(spark, sf_dir):
-    return contrast_bands(signals.images(spark, sf_dir)).select("vec_id", "band", "y", "x", F.round("v", 6).alias("c"))
+def _contrast(name: str, mode: str, light: str = "e") -> None:
+    """Contrasts of both sides and the log background of the reference."""
 
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        pairs = lit_pairs(spark, sf_dir).withColumns({c: F.expr(f"transform({c}, e -> {light})") for c in "tr"})
+        stencil = lambda x: ((k, np.concatenate([c, np.broadcast_to(b, (*c.shape[:1], 1, *c.shape[2:]))], 1)) for k, c, b in V.contrast_bands(x, 3, mode))
+        return _samples(P.over_planes(pairs, stencil, ["t", "r"], ["t", "r", "background"], ["vec_id"]), ["t", "r", "background"], ["vec_id", "band"])
 
-def log_contrast(spark, sf_dir):
-    return contrast_bands(signals.images(spark, sf_dir)).where("band < 2").select("vec_id", "band", "y", "x", F.round(F.log10(F.greatest(1 + F.col("v"), F.lit(1e-12))), 6).alias("c"))
-
-
-QUERIES |= {"weber_contrast": weber_contrast, "log_contrast": log_contrast}
-ORACLES |= {
-    "weber_contrast": f"WITH {CONTRAST_SQL} SELECT vec_id, band, y, x, round(c, 6) AS c FROM con",
-    "log_contrast": f"WITH {CONTRAST_SQL} SELECT vec_id, band, y, x, round(log10(greatest(1 + c, 1e-12)), 6) AS c FROM con WHERE band < 2",
-}
-
-SENSE = "(CASE band " + " ".join(f"WHEN {b} THEN {num(s)}" for b, s in enumerate(SENSITIVITY)) + " END)"
-_T, _R = f"(t * {SENSE})", f"(r * {SENSE})"
-MUTUAL = f"least(abs({_T}), abs({_R}))"
-#: Difference models over test and reference contrast t, r; ``m`` is the masking signal.
-_masked = f"({E.safe_pow(f'abs({_T} - {_R})', MASK_P)} / (1e0 + {num(2**MASK_W)} * {E.safe_pow('m', MASK_Q)}))"
+    QUERIES[name] = query
+    ORACLES[name] = f"WITH {contrast_sql(mode, light)} SELECT vec_id, band, y, x, round(t, 6) AS t, round(r, 6) AS r, round(lb, 6) AS background FROM con"
+
+
+def contrast_sql(mode: str = "weber_g1", light: str = "e") -> str:
+    """con(vec_id, band, y, x, t, r, lb) of pairs."""
+    values = ("t", "r")
+    sep = lambda s, a, b: f"(SELECT * FROM {L.separable_sql(s, a, b, values=values)} AS z)"
+    own = light.replace("greatest(e,", f"greatest({E.display_forward('v')},") if light != "e" else E.display_forward("v")
+    start = f"""raw AS ({signals.IMAGES_DUCKDB}), lit AS (SELECT vec_id, y, x, {own} AS v FROM raw),
+img AS (SELECT a.vec_id, a.y, a.x, a.v AS t, b.v AS r FROM lit a JOIN lit b ON b.vec_id = a.vec_id + 1 AND a.y = b.y AND a.x = b.x),
+g1 AS {sep('img', R8, R8)}, g2 AS {sep('g1', R4, R4)}, e0 AS {sep('g1', X4, X4)}, e1 AS {sep('g2', X2, X2)},
+m AS (SELECT vec_id, avg(greatest(t, 1e-2)) AS mt, avg(greatest(r, 1e-2)) AS mr FROM g2 GROUP BY vec_id)"""
+    parts = []
+    for band, (g, e) in enumerate((("img", "e0"), ("g1", "e1"), ("g2", "m"))):
+        factor = "2 * " if band == 1 else ""
+        if mode == "log":
+            shift = num(-np.log10(V.LOG_LMS[0]) + np.log10(V.LOG_LMS[1]) - np.log10(sum(V.LOG_LMS)))
+            c = [f"{factor}({g}.{v} - {e}.{v})" if band < 2 else f"g2.{v}" for v in values]
+            held = f"5e-1 * ({e if band < 2 else 'g2'}.r + {shift})"
+        else:
+            side = {"t": "t", "r": "r"} if mode == "weber_g1" else {"t": "r", "r": "r"}
+            around = {v: f"greatest({g if mode == 'weber_g0_ref' else e}.{side[v]}, 1e-2)" if band < 2 else f"m.m{v}" if mode == "weber_g1" else "greatest(g2.r, 1e-2)" for v in values}
+            c = [f"{factor}least(({g}.{v}{f' - {e}.{v}' if band < 2 else ''}) / {around[v]}, 1e3)" for v in values]
+            held = f"log10({around['r']})"
+        parts.append(f"SELECT vec_id, {band} AS band, {g}.y, {g}.x, {c[0]} AS t, {c[1]} AS r, {held} AS lb FROM {g} JOIN {e} USING ({'vec_id, y, x' if band < 2 else 'vec_id'})")
+    return f"{start},\ncon AS ({' UNION ALL '.join(parts)})"
+
+
+_contrast("weber_contrast", "weber_g1")
+_contrast("weber_contrast_ref", "weber_g1_ref")
+_contrast("weber_contrast_g0_ref", "weber_g0_ref")
+_contrast("log_contrast", "log", "2e0 * log10(greatest(e, 1e-5))")
+
+# Differences and scores -------------------------------------------------------------------------------------------
+
+SENSE = "(CASE band " + " ".join(f"WHEN {b} THEN {MODEL.sensitivity.sql('lb', rho, 0)}" for b, rho in enumerate(RHO)) + " END)"
+OWN = num(2 ** V.CROSS[0][0])
+_P, _Q, _MOST = V.MASK_P, V.MASK_Q[0], num(10**V.D_MAX)
+_added = lambda v: f"(CAST(sign({v}) AS DOUBLE) * greatest(abs({v}) - 1e0 / s + 1e0, 0e0))"
+#: What masks, by name; blurred in the finest band.
+SIGNALS = {"m": "least(abs(tt), abs(rr))", "pt": f"{OWN} * {E.safe_pow('abs(tt)', _Q)}", "pr": f"{OWN} * {E.safe_pow('abs(rr)', _Q)}", "ut": f"{OWN} * abs(tt)", "ur": f"{OWN} * abs(rr)"}
+_transduced = lambda v, m: f"({_MOST} * {E.pow_even(v, _P)} / (2e-1 + {m}))"
+_old = f"({E.safe_pow('abs(tt - rr)', _P)} / (1e0 + {E.safe_pow(f'({OWN} * m)', _Q)}))"
+#: Difference models over contrast times sensitivity (or additive gain) tt, rr.
 MODELS = {
-    "mask_mutual": f"(CASE WHEN band = 2 THEN abs(t - r) * {SENSE} ELSE {E.clamp_difference(_masked)} END)",
-    "mask_none": f"abs({_T} - {_R})",
-    "mask_transducer": f"abs(sign({_T}) * {E.safe_pow(f'abs({_T})', MASK_P)} / (1e0 + {E.safe_pow(f'abs({_T})', MASK_Q)}) - sign({_R}) * {E.safe_pow(f'abs({_R})', MASK_P)} / (1e0 + {E.safe_pow(f'abs({_R})', MASK_Q)}))",
-    "mask_similarity": f"(1e0 - (2e0 * {_T} * {_R} + 1e-2) / (pow({_T}, 2e0) + pow({_R}, 2e0) + 1e-2))",
+    "mask_none": ("mult-none", E.clamp_difference("abs(tt - rr)")),
+    "mask_mutual": ("mult-mutual", E.clamp_difference(f"({E.safe_pow('abs(tt - rr)', _P)} / (1e0 + {OWN} * {E.safe_pow('m', _Q)}))")),
+    "mask_mutual_added": ("add-mutual", E.clamp_difference(f"({E.safe_pow('abs(tt - rr)', _P)} / (1e0 + {OWN} * {E.safe_pow('m', _Q)}))")),
+    "mask_mutual_old": ("mult-mutual-old", f"({_MOST} * {_old} / ({_MOST} + {_old}))"),
+    "mask_transducer": ("mult-transducer", f"abs({_transduced('tt', 'pt')} - {_transduced('rr', 'pr')})"),
+    "mask_texture_small": ("mult-transducer-texture", f"abs({_transduced('tt', 'pt')} - {_transduced('rr', 'pr')})"),
+    "mask_similarity": ("mult-similarity", f"({_MOST} - {_MOST} * (2e0 * abs(tt) * abs(rr) + {_MOST} - 1e0) / (ut * ut + ur * ur + {_MOST} - 1e0))"),
 }
-PHASE = L.gaussian_weights(8, 3, 13)
+PHASE = L.gaussian_weights(8, V.PHASE, 4 * V.PHASE + 1)
+
 
+def diff_sql(masking: str) -> str:
+    """dif(vec_id, band, y, x, t, r, s, tt, rr and the masking signals)."""
+    sensed = {"t": "t * s", "r": "r * s"} if masking.startswith("mult") else {"t": _added("t"), "r": _added("r")}
+    names = tuple(SIGNALS)
+    return f"""{contrast_sql()}, sen AS (SELECT *, {SENSE} AS s FROM con), pr AS (SELECT *, {sensed['t']} AS tt, {sensed['r']} AS rr FROM sen),
+sig AS (SELECT *, {', '.join(f'{e} AS {k}' for k, e in SIGNALS.items())} FROM pr), fine AS (SELECT * FROM sig WHERE band = 0),
+blur AS (SELECT vec_id, 0 AS band, y, x, {', '.join(f'{k} AS f_{k}' for k in names)} FROM {L.separable_sql('fine', PHASE, PHASE, values=names)} AS z),
+dif AS (SELECT vec_id, band, y, x, t, r, s, tt, rr, {', '.join(f'coalesce(f_{k}, {k}) * {num(10**V.MASK_C)} AS {k}' for k in names)} FROM sig LEFT JOIN blur USING (vec_id, band, y, x))"""
 
-def differences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """vec_id, band, y, x, t, r, m: contrasts of an image and of the next, and the masking signal (blurred in the finest band)."""
-    images = signals.images(spark, sf_dir)
-    sides = images.withColumnRenamed("v", "t").join(images.select((F.col("vec_id") - 1).alias("vec_id"), "y", "x", F.col("v").alias("r")), KEYS)
-    pairs = contrast_bands(sides, ["t", "r"]).withColumn("v", F.expr(MUTUAL))
-    fine = L.separable(pairs.where("band = 0").select(*KEYS, "v"), PHASE, PHASE).withColumnRenamed("v", "_f")
-    joined = pairs.join(fine.withColumn("band", F.lit(0)), ["vec_id", "band", "y", "x"], "left")
-    return joined.select("vec_id", "band", "y", "x", "t", "r", (F.coalesce("_f", "v") * float(10**MASK_C)).alias("m"))
 
+def _difference(name: str, masking: str, sql: str) -> None:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        made = P.over_planes(lit_pairs(spark, sf_dir), V.Model(masking=masking).differences, ["t", "r"], ["d"], ["vec_id"])
+        return _samples(made, ["d"], ["vec_id", "band"], 4)
+
+    QUERIES[name] = query
+    ORACLES[name] = f"WITH {diff_sql(masking)} SELECT vec_id, band, y, x, round(CASE WHEN band = 2 THEN abs(t - r) * s ELSE {sql} END, 4) AS d FROM dif"
 
-DIFF_SQL = f"""{CONTRAST_SQL}, pr AS (SELECT *, {MUTUAL} AS v FROM (SELECT a.vec_id, a.band, a.y, a.x, a.c AS t, b.c AS r FROM con a JOIN con b ON b.vec_id = a.vec_id + 1 AND a.band = b.band AND a.y = b.y AND a.x = b.x) AS j),
-fine AS (SELECT vec_id, y, x, v FROM pr WHERE band = 0), blur AS (SELECT vec_id, 0 AS band, y, x, v AS f FROM {L.separable_sql('fine', PHASE, PHASE)} AS z),
-dif AS (SELECT vec_id, band, y, x, t, r, coalesce(f, v) * {num(10**MASK_C)} AS m FROM pr LEFT JOIN blur USING (vec_id, band, y, x))"""
 
 for _name, _model in MODELS.items():
-    QUERIES[_name] = lambda spark, sf_dir, m=_model: differences(spark, sf_dir).select("vec_id", "band", "y", "x", F.round(F.expr(m), 4).alias("d"))
-    ORACLES[_name] = f"WITH {DIFF_SQL} SELECT vec_id, band, y, x, round({_model}, 4) AS d FROM dif"
+    _difference(_name, *_model)
 
 
 def image_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole chain for image pairs (achromatic channel): light, pyramid, contrast, sensitivity, masking, pooling, score."""
-    d = differences(spark, sf_dir).select("vec_id", "band", F.expr(MODELS["mask_mutual"]).alias("d"))
-    q = d.groupBy("vec_id", "band").agg(F.expr(E.safe_pow(f"(sum({E.safe_pow('d', 2)}) / count(*))", 0.5)).alias("q"))
-    weighted = f"(q * CASE WHEN band = 2 THEN {num(BASEBAND)} ELSE 1e0 END)"
-    pooled = q.groupBy("vec_id").agg(F.expr(E.safe_pow(f"sum({E.safe_pow(weighted, 4)})", 0.25)).alias("q"))
-    return pooled.select("vec_id", F.round(F.col("q") * IMAGE, 5).alias("q"), F.round(F.expr(E.jod(f"(q * {num(IMAGE)})")), 5).alias("score"))
+    scores = V.image_scores(lit_pairs(spark, sf_dir), ["t", "r"], ["vec_id"])
+    return scores.select("vec_id", F.round("q", 5).alias("q"), F.round("score", 5).alias("score"))
 
 
-_w = f"(q * CASE WHEN band = 2 THEN {num(BASEBAND)} ELSE 1e0 END)"
+_w = f"(q * CASE WHEN band = 2 THEN {num(V.BASEBAND[0])} ELSE 1e0 END)"
 QUERIES["image_score"] = image_score
-ORACLES["image_score"] = f"""WITH {DIFF_SQL}, b AS (SELECT vec_id, band, {E.safe_pow(f"(sum({E.safe_pow('d', 2)}) / count(*))", 0.5)} AS q FROM (SELECT vec_id, band, {MODELS['mask_mutual']} AS d FROM dif) AS z GROUP BY vec_id, band),
-p AS (SELECT vec_id, {E.safe_pow(f"sum({E.safe_pow(_w, 4)})", 0.25)} AS q FROM b GROUP BY vec_id) SELECT vec_id, round(q * {num(IMAGE)}, 5) AS q, round({E.jod(f'(q * {num(IMAGE)})')}, 5) AS score FROM p"""
+ORACLES["image_score"] = f"""WITH {diff_sql('mult-mutual')}, b AS (SELECT vec_id, band, {E.safe_pow(f"(sum({E.safe_pow('d', 2)}) / count(*))", 0.5)} AS q FROM (SELECT vec_id, band, CASE WHEN band = 2 THEN abs(t - r) * s ELSE {MODELS['mask_mutual'][1]} END AS d FROM dif) AS z GROUP BY vec_id, band),
+p AS (SELECT vec_id, {E.safe_pow(E.safe_pow(f"sum({E.safe_pow(_w, 4)})", 0.25), 4)} AS q4 FROM b GROUP BY vec_id), f AS (SELECT vec_id, {E.safe_pow('q4', 0.25)} * {num(V.IMAGE)} AS q FROM p) SELECT vec_id, round(q, 5) AS q, round({E.jod('q')}, 5) AS score FROM f"""
 
 
 def _over_images(name: str, sql: str) -> None:
     def query(spark, sf_dir):
-        signals.images(spark, sf_dir).createOrReplaceTempView("img")
+        P.long(signals.images(spark, sf_dir), ["v"], ["vec_id"]).createOrReplaceTempView("img")
         return spark.sql(sql)
 
     QUERIES[name] = query
@@ -175,6 +197,4 @@ def _over_images(name: str, sql: str) -> None:
 _over_images("avg_pool_features", "SELECT vec_id, CAST(floor(y / 3e0) AS INT) AS py, CAST(floor(x / 3e0) AS INT) AS px, round(avg(v), 6) AS mean, round(avg(v * v) - avg(v) * avg(v), 6) AS var FROM img GROUP BY vec_id, CAST(floor(y / 3e0) AS INT), CAST(floor(x / 3e0) AS INT)")
 _moments = "avg(t) AS mt, avg(r) AS mr, avg(t * t) AS tt, avg(r * r) AS rr, avg(t * r) AS tr"
 _over_images("ssim_blocks", f"SELECT vec_id, round(avg((2e0 * mt * mr + 1e-4) * (2e0 * (tr - mt * mr) + 9e-4) / ((mt * mt + mr * mr + 1e-4) * (tt - mt * mt + rr - mr * mr + 9e-4))), 6) AS ssim FROM (SELECT a.vec_id, CAST(floor(a.y / 4e0) AS INT) AS by_, CAST(floor(a.x / 4e0) AS INT) AS bx_, {_moments} FROM (SELECT vec_id, y, x, v AS t FROM img) a JOIN (SELECT vec_id - 1 AS vec_id, y, x, v AS r FROM img) b ON a.vec_id = b.vec_id AND a.y = b.y AND a.x = b.x GROUP BY a.vec_id, CAST(floor(a.y / 4e0) AS INT), CAST(floor(a.x / 4e0) AS INT)) AS s GROUP BY vec_id")
-_over_images("tonemap_hist", "SELECT bin, n, round(sum(p) OVER (ORDER BY bin) / sum(p) OVER (), 6) AS level FROM (SELECT bin, count(*) AS n, pow(CAST(count(*) AS DOUBLE), 1e0 / 3e0) AS p FROM (SELECT CAST(least(floor(v * 64e0), 63e0) AS INT) AS bin FROM img) AS b GROUP BY bin) AS h")
 _over_images("log_context", "SELECT vec_id, y, x, round(ln(greatest(v, min(CASE WHEN v > 0 THEN v END) OVER (PARTITION BY vec_id))), 6) AS c FROM img")
-_over_images("heatmap_color", "SELECT vec_id, y, x, round(least(greatest(CASE WHEN v < 5e-1 THEN 2e0 * v ELSE 1e0 END, 0e0), 1e0), 6) AS red, round(1e0 - abs(2e0 * v - 1e0), 6) AS green, round(least(greatest(CASE WHEN v < 5e-1 THEN 1e0 ELSE 2e0 - 2e0 * v END, 0e0), 1e0), 6) AS blue FROM img")

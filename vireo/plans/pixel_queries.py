@@ -76,7 +76,7 @@ _scalar("clamp_smooth", d="((1e2 * pow(q, 2e0) + 1e0) / (1e2 + pow(q, 2e0)))")
 _scalar("weber_to_log", c="log10(greatest(1e0 + t - r, 1e-12))", s="CAST(sign(t - r) AS DOUBLE)")
 _scalar("luma", y="(" + " + ".join(f"{num(k)} * {v}" for k, v in zip(E.LUMA, V)) + ")")
 PACKED = "CAST(round(l_discount * 655350e0) AS INTEGER)"
-_sql("uint16_unpack", f"SELECT DISTINCT {PACKED} AS packed, ((CASE WHEN {PACKED} >= 32768 THEN {PACKED} - 65536 ELSE {PACKED} END) & 65535) / 65535e0 AS v FROM lineitem", "lineitem")
+_sql("uint16_unpack", f"SELECT {PACKED} AS packed, ((CASE WHEN {PACKED} >= 32768 THEN {PACKED} - 65536 ELSE {PACKED} END) & 65535) / 65535e0 AS v FROM lineitem", "lineitem")
 
 DISPLAYS = {"standard_4k": (3840, 2160, 0.7472, 30), "standard_fhd": (1920, 1080, 0.6, 24)}
 _constant("display_geometry_ppd", [f"'{k}' AS display, " + ", ".join(f"round({e}, 6) AS {c}" for c, e in E.geometry(*d).items()) for k, d in DISPLAYS.items()])

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vireo.functions import expressions as E
+from vireo.functions.lookup import interp, interp_uniform, stand_in
 from vireo.operators import linear as L
 from vireo.plans import pixel_queries as P
 from vireo.sources import signals
@@ -58,31 +59,15 @@ _sql("frame_limit", f"WITH {_SEQUENCE} SELECT user_id, count(*) AS frames, round
 _sql("frame_rolling_mean", f"WITH {_SEQUENCE} SELECT user_id, CAST(frame AS INT) AS frame, round(avg(v) OVER (PARTITION BY user_id ORDER BY frame ROWS BETWEEN 8 PRECEDING AND CURRENT ROW), 6) AS m FROM seq", "events")
 
 
-# Look-ups: knots are literals, so a bracket is found by comparing, without a join.
-def interp(x: str, knots: list[float], values: list[float], extrapolate_above: bool = True) -> str:
-    """Linear; held below the first knot, continued above the last one or held there."""
-    parts = []
-    for k in range(len(knots) - 1):
-        slope = f"{num(values[k])} + ({x} - {num(knots[k])}) * {num((values[k + 1] - values[k]) / (knots[k + 1] - knots[k] + 1e-6))}"
-        parts.append(f"WHEN {x} <= {num(knots[k + 1])} THEN {slope}")
-    last = slope if extrapolate_above else num(values[-1])
-    return f"(CASE WHEN {x} <= {num(knots[0])} THEN {num(values[0])} {' '.join(parts)} ELSE {last} END)"
-
-
-def interp_uniform(x: str, first: float, spacing: float, values: list[float]) -> str:
-    """Linear on a uniform grid by index arithmetic, held at both ends."""
-    at = f"least(greatest(({x} - {num(first)}) / {num(spacing)}, 0e0), {num(len(values) - 1)})"
-    pick = lambda shift: f"(CASE least(CAST(floor({at}) AS INT) + {shift}, {len(values) - 1}) " + " ".join(f"WHEN {k} THEN {num(v)}" for k, v in enumerate(values)) + " END)"
-    return f"({pick(0)} + ({at} - floor({at})) * ({pick(1)} - {pick(0)}))"
-
-
+# Look-ups.
 _K, _VALS = [0.0, 0.1, 0.35, 0.7], [0.2, 1.0, 0.4, 2.0]
 P._scalar("interp1", y=interp("t", _K, _VALS))
 P._scalar("interp1_held", y=interp("t", _K, _VALS, False))
 P._scalar("interp_uniform", y=interp_uniform("q", 0.1, 0.2, [0.3, 1.1, 0.7, 1.9]))
 _corner = lambda i, j, k: num(np.sin(i + 2 * j + 3 * k))
 P._scalar("interp3", y="(" + " + ".join(f"{_corner(i, j, k)} * {('t' if i else '(1e0 - t)')} * {('r' if j else '(1e0 - r)')} * {('q' if k else '(1e0 - q)')}" for i in (0, 1) for j in (0, 1) for k in (0, 1)) + ")")
-P._scalar("csf_sensitivity", s=f"pow(1e1, {interp_uniform('log10(greatest(q * 200e0, 1e-3))', -1.0, 0.8, [0.6, 1.2, 1.7, 2.1, 2.2])})")
+_csf, _log_l = stand_in(), "log10(greatest(q * 200e0, 1e-3))"
+P._scalar("csf_sensitivity", **{f"s{c}_{k}": _csf.sql(_log_l, rho, c) for c in range(4) for k, rho in enumerate((0.1, 3.0, 37.7))})
 P._scalar("bucketize", b="CAST(" + " + ".join(f"CAST(t > {num(k)} AS INT)" for k in _K) + " AS INT)")
 
 # Pairing, splits and condition tables.
@@ -117,7 +102,7 @@ _get = lambda p: f"CAST(regexp_extract(name, '{p}', 1) AS INT)"
 _sql("yuv_name_parse", f"SELECT p_partkey, {_get('_([0-9]+)x')} AS width, {_get('x([0-9]+)_')} AS height, {_get('_([0-9]+)b_')} AS bits, {_get('_(4[24][024])_')} AS chroma, {_get('_(709|2020)_')} AS space, {_get('_([0-9]+)fps')} AS fps FROM (SELECT p_partkey, {_name} AS name FROM part) AS n", "part")
 _sql("condition_id", "SELECT p_partkey, replace(regexp_replace(concat('set/', p_brand, '/', CAST(p_partkey AS VARCHAR(20)), '.mp4'), '[.][a-z0-9]+$', ''), '/', '_') AS id FROM part", "part")
 _sql("feature_json", "SELECT o_custkey, get_json_object(j, '$.t0_b1') AS t0_b1, get_json_object(j, '$.n') AS n FROM (SELECT o_custkey, to_json(named_struct('t0_b1', CAST(count(*) AS STRING), 'n', CAST(max(o_orderkey) AS STRING))) AS j FROM orders GROUP BY o_custkey) AS f", "orders", oracle="SELECT o_custkey, CAST(count(*) AS VARCHAR) AS t0_b1, CAST(max(o_orderkey) AS VARCHAR) AS n FROM orders GROUP BY o_custkey")
-_sql("feature_band_resample", f"SELECT DISTINCT l_tax AS b, round({interp('(log2(greatest(l_tax * 100e0, 1e-3)))', [-1.0, 1.0, 2.0, 6.0], [0.1, 0.5, 0.9, 0.2])}, 6) AS f FROM lineitem", "lineitem")
+_sql("feature_band_resample", f"SELECT l_tax AS b, round({interp('(log2(greatest(l_tax * 100e0, 1e-3)))', [-1.0, 1.0, 2.0, 6.0], [0.1, 0.5, 0.9, 0.2])}, 6) AS f FROM lineitem", "lineitem")
 
 QUERIES |= {"stream_fir_state": stream.fir_query, "stream_tumbling": stream.tumbling_query}
 ORACLES |= {

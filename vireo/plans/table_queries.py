@@ -7,12 +7,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vireo.functions import expressions as E
+from vireo.functions.lookup import interp
 from vireo.operators import linear as L
+from vireo.operators import planes as PL
 from vireo.operators.numbering import numbered
-from vireo.plans import image_queries as I
 from vireo.plans import pixel_queries as P
 from vireo.plans import video_queries as V
-from vireo.plans.signal_queries import interp
 from vireo.sources import signals
 
 QUERIES: dict = {}
@@ -105,11 +105,18 @@ _PAIRS = "SELECT a.vec_id, a.y, a.x, a.v AS t, b.v AS r FROM {img} a JOIN {img}
 _MOMENTS = ", ".join(f"{e} AS {k}" for k, e in MOMENTS.items())
 
 
+def ssim(x: np.ndarray) -> np.ndarray:
+    """Mean similarity of two planes of a stack, as 1 x 1 planes."""
+    t, r = x[:, :1], x[:, 1:]
+    mt, mr, tt, rr, tr = (PL.blur(v, 1.5, 11) for v in (t, r, t * t, r * r, t * r))
+    s = (2 * mt * mr + 1e-4) * (2 * (tr - mt * mr) + 9e-4) / ((mt * mt + mr * mr + 1e-4) * (tt - mt * mt + rr - mr * mr + 9e-4))
+    return s.mean((-2, -1), keepdims=True)
+
+
 def ssim_gaussian(spark: SparkSession, sf_dir: str) -> DataFrame:
-    signals.images(spark, sf_dir).createOrReplaceTempView("vireo_img")
-    moments = spark.sql(f"SELECT vec_id, y, x, {_MOMENTS} FROM ({_PAIRS.format(img='vireo_img')}) AS p")
-    smooth = L.separable(moments, WINDOW, WINDOW, value=list(MOMENTS))
-    return smooth.groupBy("vec_id").agg(F.round(F.avg(F.expr(SIMILAR)), 6).alias("ssim"))
+    img = signals.images(spark, sf_dir)
+    pairs = img.withColumnRenamed("v", "t").join(img.select((F.col("vec_id") - 1).alias("vec_id"), F.col("v").alias("r")), "vec_id")
+    return PL.filtered(pairs, ssim, ["t", "r"], ["s"], ["vec_id"]).select("vec_id", F.round(F.col("s")[0], 6).alias("ssim"))
 
 
 _MOSAIC = [f"named_struct('c', {c}, 'v', t{c})" for c in range(4)]
@@ -119,12 +126,13 @@ _AT = "vec_id, CAST(y + 8 * floor(c / 2e0) AS INT) AS y, CAST(x + 8 * (c % 2) AS
 
 def channel_dump(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Temporal channels of the test side, two by two in one picture, as 8-bit codes."""
-    long = V.planes(spark, sf_dir).selectExpr("vec_id", "y", "x", f"inline(array({', '.join(_MOSAIC)}))")
-    return long.selectExpr(*[f"{e}" for e in ("vec_id", "CAST(y + 8 * floor(c / 2e0) AS INT) AS y", "CAST(x + 8 * (c % 2) AS INT) AS x")], f"{_CODE} AS code")
+    planes = V._of_frames(V.planes(spark, sf_dir))
+    wide = PL.long(planes, ["t0", "t1", "t2", "t3"], ["vec_id"]).selectExpr("vec_id", "y", "x", f"inline(array({', '.join(_MOSAIC)}))")
+    return wide.selectExpr("vec_id", "CAST(y + 8 * floor(c / 2e0) AS INT) AS y", "CAST(x + 8 * (c % 2) AS INT) AS x", f"{_CODE} AS code")
 
 
 QUERIES |= {"ssim_gaussian": ssim_gaussian, "channel_dump": channel_dump}
 ORACLES |= {
-    "ssim_gaussian": f"WITH img AS ({signals.IMAGES_DUCKDB}), mo AS (SELECT vec_id, y, x, {_MOMENTS} FROM ({_PAIRS.format(img='img')}) AS p) SELECT vec_id, round(avg({SIMILAR}), 6) AS ssim FROM {V._separable_sql('mo', WINDOW, WINDOW, list(MOMENTS))} AS z GROUP BY vec_id",
-    "channel_dump": f"WITH {V._DIFF_SQL.split('g1 AS (')[0].rstrip().rstrip(',')}, l AS (" + " UNION ALL ".join(f"SELECT vec_id, y, x, {c} AS c, t{c} AS v FROM g0" for c in range(4)) + f") SELECT {_AT}, {_CODE} AS code FROM l",
+    "ssim_gaussian": f"WITH img AS ({signals.IMAGES_DUCKDB}), mo AS (SELECT vec_id, y, x, {_MOMENTS} FROM ({_PAIRS.format(img='img')}) AS p) SELECT vec_id, round(avg({SIMILAR}), 6) AS ssim FROM {L.separable_sql('mo', WINDOW, WINDOW, values=tuple(MOMENTS))} AS z GROUP BY vec_id",
+    "channel_dump": f"WITH {V.PLANES_SQL}, l AS (" + " UNION ALL ".join(f"SELECT vec_id, y, x, {c} AS c, t{c} AS v FROM g0" for c in range(4)) + f") SELECT {_AT}, {_CODE} AS code FROM l",
 }

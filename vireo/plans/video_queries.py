@@ -1,19 +1,20 @@
-"""Clips of 8 x 8 frames through the whole chain: temporal channels, pyramids, contrast, cross-channel masking, pooling, heatmaps.
+"""Clips of 8 x 8 frames through the whole chain: temporal channels, contrast, cross-channel masking, pooling, heatmaps.
 
-The four channels of both sides are columns of one row per sample, so each filter step costs one join with a broadcast
-weight table and one aggregation for all eight planes.  A single-plane clip feeds every channel with its luminance.
+Sides are paired by one aggregation, frames filtered over time by a second shuffle of their blocks, and clips pooled by a third.
+A single-plane clip feeds every channel with its luminance.
 """
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vireo.functions import expressions as E
 from vireo.operators import linear as L
+from vireo.operators import planes as P
+from vireo.operators import visibility as V
+from vireo.operators.temporal import temporal_channels
 from vireo.plans import image_queries as I
-from vireo.plans.pixel_queries import WEIGHT_TRANSIENT
 from vireo.sources import signals
 
 QUERIES: dict = {}
@@ -24,155 +25,92 @@ CHANNELS = ("Ysust", "RG", "YV", "Ytrans")
 FRAMES, FPS = 10, 30
 #: Planes of a row: test and reference by channel.
 PLANES = [f"{s}{c}" for s in "tr" for c in range(4)]
+D, M, S = ([f"{x}{c}" for c in range(4)] for x in "dms")
 
-# Exponent q and channel gain by channel, base-band weights, and log2 weights of masking by row = masker channel.
-MASK_Q = (1.302622675895691, 2.8885908126831055, 3.6807713508605957, 3.588787317276001)
-GAIN = (1.0, 1.45, 1.0, 1.0)
-BASEBAND = (0.0036334486212581396, 1.6627724170684814, 4.11874532699585, 25.25969886779785)
-CROSS = (
-    (-0.18950104713439941, -5.962151050567627, -4.31834602355957, -1.9321587085723877),
-    (2.5655593872070312, 0.34406712651252747, -2.719646453857422, -0.4970424771308899),
-    (3.8118371963500977, -1.0051705837249756, -0.5193376541137695, -0.5653647780418396),
-    (-7.054771423339844, -5.527150630950928, -3.5106418132781982, -2.08804988861084),
-)
-#: Stand-in for the share of the achromatic sensitivity that a channel has; see the README on the missing table.
-SHARE = (1.0, 0.6, 0.4, 0.8)
-CHANNEL_WEIGHT = (1.0, 1.0, 1.0, WEIGHT_TRANSIENT)
-
-#: Frames: vectors in order of id, FRAMES a clip; a clip's reference is the next clip.  Incomplete clips are left out.
+#: Frames: vectors in order of id, FRAMES a clip; a clip's reference is the next clip.  Frames without a reference are left out.
 CLIPS = f"SELECT a.vec_id, a.y, a.x, a.v AS t, b.v AS r FROM {{img}} a JOIN {{img}} b ON b.vec_id = a.vec_id + {FRAMES} AND b.y = a.y AND b.x = a.x"
 
 
-def temporal_rows(frames: int = FRAMES, fps: float = FPS) -> list[tuple[int, int, float, float, float, float]]:
-    """(o, i, w0..w3): output frame, input frame, weight by channel; the first frame repeats before the clip."""
-    out = {}
-    for c, name in enumerate(CHANNELS):
-        for k, w in enumerate(L.temporal_taps(fps, name)):
-            for o in range(frames):
-                out.setdefault((o, max(o - k, 0)), [0.0] * 4)[c] += w
-    return [(o, i, *w) for (o, i), w in sorted(out.items())]
-
-
-TEMPORAL = temporal_rows()
-TAPS_SQL = "(VALUES " + ", ".join(f"({o}, {i}, {', '.join(num(x) for x in w)})" for o, i, *w in TEMPORAL) + ") AS h(o, i, w0, w1, w2, w3)"
-
-
 def planes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """vec_id (clip * FRAMES + frame), y, x and the filtered planes, in light of the standard display."""
-    signals.images(spark, sf_dir).createOrReplaceTempView("vireo_img")
-    lit = spark.sql(f"SELECT vec_id, y, x, {E.display_forward('t')} AS t, {E.display_forward('r')} AS r FROM ({CLIPS.format(img='vireo_img')}) AS c")
-    taps = spark.sql(f"SELECT o AS _o, i AS _i, w0, w1, w2, w3 FROM {TAPS_SQL}")
-    joined = lit.join(F.broadcast(taps), F.col("vec_id") % FRAMES == F.col("_i"))
-    start = F.col("vec_id") - F.col("vec_id") % FRAMES
-    return joined.groupBy((start + F.col("_o")).alias("vec_id"), "y", "x").agg(*(F.sum(F.col(p[0]) * F.col(f"w{p[1]}")).alias(p) for p in PLANES))
-
-
-def _apart(g: DataFrame, e: DataFrame) -> DataFrame:
-    """Contrast planes: a layer less its expansion, over the own side's achromatic background."""
-    e = e.select("vec_id", "y", "x", *(F.col(p).alias(f"_{p}") for p in PLANES))
-    c = [F.least((F.col(p) - F.col(f"_{p}")) / F.greatest(F.col(f"_{p[0]}0"), F.lit(0.01)), F.lit(1000.0)).alias(p) for p in PLANES]
-    return g.join(e, ["vec_id", "y", "x"]).select("vec_id", "y", "x", *c)
-
-
-def contrast(g0: DataFrame) -> DataFrame:
-    """vec_id, band, y, x and contrast planes of the three bands of 8 x 8 frames."""
-    g1 = L.separable(g0, I.R8, I.R8, value=PLANES)
-    g2 = L.separable(g1, I.R4, I.R4, value=PLANES)
-    b0 = _apart(g0, L.separable(g1, I.X4, I.X4, value=PLANES))
-    b1 = _apart(g1, L.separable(g2, I.X2, I.X2, value=PLANES)).select("vec_id", "y", "x", *((2 * F.col(p)).alias(p) for p in PLANES))
-    mean = g2.groupBy("vec_id").agg(*(F.avg(F.greatest(f"{s}0", F.lit(0.01))).alias(f"_{s}") for s in "tr"))
-    b2 = g2.join(mean, "vec_id").select("vec_id", "y", "x", *(F.least(F.col(p) / F.col(f"_{p[0]}"), F.lit(1000.0)).alias(p) for p in PLANES))
-    out = None
-    for band, b in enumerate((b0, b1, b2)):
-        b = b.select("vec_id", F.lit(band).alias("band"), "y", "x", *PLANES)
-        out = b if out is None else out.unionByName(b)
-    return out
-
-
-def _scaled(side: str, c: int) -> str:
-    return f"({side}{c} * {I.SENSE} * {num(GAIN[c] * SHARE[c])})"
-
-
-MUTUAL = [f"least(abs({_scaled('t', c)}), abs({_scaled('r', c)})) AS m{c}" for c in range(4)]
-_masking = lambda cc: "(" + " + ".join(f"{num(2 ** CROSS[c][cc])} * {E.safe_pow(f'(m{c} * {num(10**I.MASK_C)})', MASK_Q[c])}" for c in range(4)) + ")"
-_raw = lambda c: E.safe_pow(f"abs({_scaled('t', c)} - {_scaled('r', c)})", I.MASK_P)
-#: Difference by channel: masked by all channels, or the plain one in the base band.
-DIFFERENCE = [
-    f"(CASE WHEN band = 2 THEN abs(t{c} - r{c}) * {I.SENSE} * {num(SHARE[c])} ELSE {E.clamp_difference(f'({_raw(c)} / (1e0 + {_masking(c)}))')} END) AS d{c}" for c in range(4)
-]
-_POOL = [f"{E.safe_pow(f'(sum({E.safe_pow(f"d{c}", 2)}) / count(*))', 0.5)} AS q{c}" for c in range(4)]
-_base = lambda c: f"(CASE band WHEN 2 THEN {num(BASEBAND[c])} ELSE 1e0 END)"
-_BANDS = [f"{E.safe_pow(f'sum({E.safe_pow(f"(q{c} * {num(CHANNEL_WEIGHT[c])} * {_base(c)})", 4)})', 0.25)} AS q{c}" for c in range(4)]
-_OVER = E.safe_pow("(" + " + ".join(E.safe_pow(f"q{c}", 4) for c in range(4)) + ")", 0.25)
-_CLIP = E.safe_pow(f"(sum({E.safe_pow('q', 2)}) / count(*))", 0.5)
-_HEAT = E.safe_pow("(" + " + ".join(E.safe_pow(f"(d{c} * {num(CHANNEL_WEIGHT[c])} * {_base(c)})", 4) for c in range(4)) + ")", 0.25)
-D = [f"d{c}" for c in range(4)]
-M = [f"m{c}" for c in range(4)]
+    """clip, frame, h, w and the filtered planes, in light of the standard display."""
+    lit = signals.images(spark, sf_dir).withColumn("v", F.expr(f"transform(v, e -> {E.display_forward('e')})"))
+    clip = F.expr(f"vec_id DIV {FRAMES}")
+    sided = lit.select(F.explode(F.array(F.struct(clip.alias("clip"), F.lit("t").alias("side")), F.struct((clip - 1).alias("clip"), F.lit("r").alias("side")))).alias("s"), (F.col("vec_id") % FRAMES).alias("frame"), "h", "w", "v")
+    side = lambda s: F.first(F.when(F.col("s.side") == s, F.col("v")), ignorenulls=True).alias(s)
+    paired = sided.groupBy(F.col("s.clip").alias("clip"), "frame").agg(F.first("h").alias("h"), F.first("w").alias("w"), side("t"), side("r"))
+    return temporal_channels(paired.where("t IS NOT NULL AND r IS NOT NULL"), FPS, ["t", "r"])
 
 
-def differences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """vec_id, band, y, x, d0..d3; the masking signal of the finest band is blurred."""
-    bands = contrast(planes(spark, sf_dir)).selectExpr("*", *MUTUAL)
-    fine = L.separable(bands.where("band = 0").select("vec_id", "y", "x", *M), I.PHASE, I.PHASE, value=M).select("vec_id", F.lit(0).alias("band"), "y", "x", *(F.col(m).alias(f"_{m}") for m in M))
-    joined = bands.join(fine, ["vec_id", "band", "y", "x"], "left")
-    joined = joined.select("vec_id", "band", "y", "x", *PLANES, *(F.coalesce(f"_{m}", m).alias(m) for m in M))
-    return joined.selectExpr("vec_id", "band", "y", "x", *DIFFERENCE)
+def _of_frames(df: DataFrame) -> DataFrame:
+    return df.withColumn("vec_id", F.col("clip") * FRAMES + F.col("frame"))
 
 
 def mask_cross_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return differences(spark, sf_dir).select("vec_id", "band", "y", "x", *(F.round(d, 4).alias(d) for d in D))
-
-
-def pooled(d: DataFrame) -> DataFrame:
-    """vec_id, q0..q3: pooled over space, weighted, pooled over bands; one row a frame."""
-    by_band = d.groupBy("vec_id", "band").agg(*(F.expr(e.rsplit(" AS ", 1)[0]).alias(f"q{c}") for c, e in enumerate(_POOL)))
-    return by_band.groupBy("vec_id").agg(*(F.expr(e.rsplit(" AS ", 1)[0]).alias(f"q{c}") for c, e in enumerate(_BANDS)))
+    made = P.over_planes(planes(spark, sf_dir), I.MODEL.differences, PLANES, D, ["clip", "frame"])
+    return I._samples(_of_frames(made), D, ["vec_id", "band"], 4)
 
 
 def video_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pooled(differences(spark, sf_dir)).select("vec_id", *(F.round(f"q{c}", 4).alias(f"q{c}") for c in range(4)))
+    held = _of_frames(V.band_values(planes(spark, sf_dir), PLANES, ["clip", "frame"]))
+    return held.select("vec_id", *(F.round(V.norm(F.col("channels")[c], 4), 4).alias(f"q{c}") for c in range(4)))
 
 
 def video_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score of each clip: channels, then frames."""
-    q = pooled(differences(spark, sf_dir)).select(F.expr(f"vec_id DIV {FRAMES}").alias("clip"), F.expr(_OVER).alias("q"))
-    q = q.groupBy("clip").agg(F.count(F.lit(1)).alias("frames"), F.expr(_CLIP).alias("q"))
-    return q.select("clip", "frames", F.round("q", 4).alias("q"), F.round(F.expr(E.jod("q")), 4).alias("score"))
+    scores = V.video_scores(planes(spark, sf_dir), PLANES, ["clip"])
+    return scores.select("clip", "frames", F.round("q", 4).alias("q"), F.round("score", 4).alias("score"))
 
 
 def heatmap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Differences of all channels by band, put together again from coarse to fine, as the share of quality lost."""
-    d = differences(spark, sf_dir).selectExpr("vec_id", "band", "y", "x", f"{_HEAT} * (CASE band WHEN 1 THEN 5e-1 ELSE 1e0 END) AS v")
-    part = lambda b: d.where(f"band = {b}").select("vec_id", "y", "x", "v")
-    g1 = I._sub(part(1), L.separable(part(2), I.X2, I.X2), 1)
-    return I._sub(part(0), L.separable(g1, I.X4, I.X4), 1).select("vec_id", "y", "x", F.round(1 - F.expr(E.jod("v")) / 10, 4).alias("v"))
+    return I._samples(_of_frames(V.heatmaps(planes(spark, sf_dir), PLANES, ["clip", "frame"])).withColumnRenamed("heat", "v"), digits=4)
 
 
 # The same as SQL -----------------------------------------------------------------------------------------------
 
 
-def _separable_sql(source: str, rows: L.Weights, columns: L.Weights, values: list[str]) -> str:
-    total = ", ".join(f"sum({v} * w.w) AS {v}" for v in values)
-    down = f"(SELECT vec_id, w.o AS y, x, {total} FROM {source} AS s JOIN {L.sql_values(rows)} ON s.y = w.i GROUP BY vec_id, w.o, x)"
-    return f"(SELECT vec_id, y, w.o AS x, {total} FROM {down} AS s JOIN {L.sql_values(columns)} ON s.x = w.i GROUP BY vec_id, y, w.o)"
+def temporal_rows(frames: int = FRAMES, fps: float = FPS) -> list[tuple[int, int, float, float, float, float]]:
+    """(o, i, w0..w3): output frame, input frame, weight by channel; the first frame repeats before the clip."""
+    out = {}
+    for c, name in enumerate(CHANNELS):
+        for k, w in enumerate(L.temporal_taps(fps, name)):
+            for o in range(frames):
+                out.setdefault((o, max(o - k, 0)), [0.0] * 4)[c] += w
+    return [(o, i, *w) for (o, i), w in sorted(out.items())]
+
+
+TAPS_SQL = "(VALUES " + ", ".join(f"({o}, {i}, {', '.join(num(x) for x in w)})" for o, i, *w in temporal_rows()) + ") AS h(o, i, w0, w1, w2, w3)"
 
 
 def _apart_sql(g: str, e: str, factor: int) -> str:
     return ", ".join(f"{factor} * least(({g}.{p} - {e}.{p}) / greatest({e}.{p[0]}0, 1e-2), 1e3) AS {p}" for p in PLANES)
 
 
-_DIFF_SQL = f"""img AS ({signals.IMAGES_DUCKDB}), lit AS (SELECT vec_id, y, x, {E.display_forward('t')} AS t, {E.display_forward('r')} AS r FROM ({CLIPS.format(img='img')}) AS c),
-g0 AS (SELECT vec_id - vec_id % {FRAMES} + h.o AS vec_id, y, x, {', '.join(f'sum({p[0]} * h.w{p[1]}) AS {p}' for p in PLANES)} FROM lit JOIN {TAPS_SQL} ON vec_id % {FRAMES} = h.i GROUP BY vec_id - vec_id % {FRAMES} + h.o, y, x),
-g1 AS (SELECT * FROM {_separable_sql('g0', I.R8, I.R8, PLANES)} AS z), g2 AS (SELECT * FROM {_separable_sql('g1', I.R4, I.R4, PLANES)} AS z),
-e0 AS (SELECT * FROM {_separable_sql('g1', I.X4, I.X4, PLANES)} AS z), e1 AS (SELECT * FROM {_separable_sql('g2', I.X2, I.X2, PLANES)} AS z),
+_sense = lambda c: "(CASE band " + " ".join(f"WHEN {b} THEN {I.MODEL.sensitivity.sql('lb', rho, c)}" for b, rho in enumerate(I.RHO)) + " END)"
+_scaled = lambda side, c: f"({side}{c} * s{c} * {num(V.GAIN[c])})"
+_MUTUAL = [f"least(abs({_scaled('t', c)}), abs({_scaled('r', c)})) AS m{c}" for c in range(4)]
+_masking = lambda cc: "(" + " + ".join(f"{num(2 ** V.CROSS[c][cc])} * {E.safe_pow(f'(m{c} * {num(10**V.MASK_C)})', V.MASK_Q[c])}" for c in range(4)) + ")"
+_raw = lambda c: E.safe_pow(f"abs({_scaled('t', c)} - {_scaled('r', c)})", V.MASK_P)
+_DIFFERENCE = [f"(CASE WHEN band = 2 THEN abs(t{c} - r{c}) * s{c} ELSE {E.clamp_difference(f'({_raw(c)} / (1e0 + {_masking(c)}))')} END) AS d{c}" for c in range(4)]
+_base = lambda c: f"(CASE band WHEN 2 THEN {num(V.BASEBAND[c])} ELSE 1e0 END)"
+_POOL = [f"{E.safe_pow(f'(sum({E.safe_pow(f"d{c}", 2)}) / count(*))', 0.5)} AS q{c}" for c in range(4)]
+_BANDS = [f"{E.safe_pow(f'sum({E.safe_pow(f"(q{c} * {num(V.CHANNEL_WEIGHT[c])} * {_base(c)})", 4)})', 0.25)} AS q{c}" for c in range(4)]
+_OVER = E.safe_pow("(" + " + ".join(E.safe_pow(f"q{c}", 4) for c in range(4)) + ")", 0.25)
+_CLIP = E.safe_pow(f"(sum({E.safe_pow('q', 2)}) / count(*))", 0.5)
+_HEAT = E.safe_pow("(" + " + ".join(E.safe_pow(f"(d{c} * {num(V.CHANNEL_WEIGHT[c])} * {_base(c)})", 4) for c in range(4)) + ")", 0.25)
+_sep = lambda source, rows, columns, values: f"(SELECT * FROM {L.separable_sql(source, rows, columns, values=tuple(values))} AS z)"
+
+PLANES_SQL = f"""img AS ({signals.IMAGES_DUCKDB}), lit AS (SELECT vec_id, y, x, {E.display_forward('t')} AS t, {E.display_forward('r')} AS r FROM ({CLIPS.format(img='img')}) AS c),
+g0 AS (SELECT vec_id - vec_id % {FRAMES} + h.o AS vec_id, y, x, {', '.join(f'sum({p[0]} * h.w{p[1]}) AS {p}' for p in PLANES)} FROM lit JOIN {TAPS_SQL} ON vec_id % {FRAMES} = h.i GROUP BY vec_id - vec_id % {FRAMES} + h.o, y, x)"""
+_DIFF_SQL = f"""{PLANES_SQL}, g1 AS {_sep('g0', I.R8, I.R8, PLANES)}, g2 AS {_sep('g1', I.R4, I.R4, PLANES)}, e0 AS {_sep('g1', I.X4, I.X4, PLANES)}, e1 AS {_sep('g2', I.X2, I.X2, PLANES)},
 mean AS (SELECT vec_id, avg(greatest(t0, 1e-2)) AS mt, avg(greatest(r0, 1e-2)) AS mr FROM g2 GROUP BY vec_id),
-con AS (SELECT vec_id, 0 AS band, y, x, {_apart_sql('g0', 'e0', 1)} FROM g0 JOIN e0 USING (vec_id, y, x)
-  UNION ALL SELECT vec_id, 1, y, x, {_apart_sql('g1', 'e1', 2)} FROM g1 JOIN e1 USING (vec_id, y, x)
-  UNION ALL SELECT vec_id, 2, y, x, {', '.join(f'least({p} / m{p[0]}, 1e3)' for p in PLANES)} FROM g2 JOIN mean USING (vec_id)),
-mut AS (SELECT *, {', '.join(MUTUAL)} FROM con), fine AS (SELECT * FROM mut WHERE band = 0),
-blur AS (SELECT vec_id, 0 AS band, y, x, {', '.join(f'{m} AS b{m}' for m in M)} FROM {_separable_sql('fine', I.PHASE, I.PHASE, M)} AS z),
-sig AS (SELECT vec_id, band, y, x, {', '.join(PLANES)}, {', '.join(f'coalesce(b{m}, {m}) AS {m}' for m in M)} FROM mut LEFT JOIN blur USING (vec_id, band, y, x)),
-dif AS (SELECT vec_id, band, y, x, {', '.join(DIFFERENCE)} FROM sig)"""
+con AS (SELECT vec_id, 0 AS band, y, x, log10(greatest(e0.r0, 1e-2)) AS lb, {_apart_sql('g0', 'e0', 1)} FROM g0 JOIN e0 USING (vec_id, y, x)
+  UNION ALL SELECT vec_id, 1, y, x, log10(greatest(e1.r0, 1e-2)), {_apart_sql('g1', 'e1', 2)} FROM g1 JOIN e1 USING (vec_id, y, x)
+  UNION ALL SELECT vec_id, 2, y, x, log10(mr), {', '.join(f'least({p} / m{p[0]}, 1e3)' for p in PLANES)} FROM g2 JOIN mean USING (vec_id)),
+sen AS (SELECT *, {', '.join(f'{_sense(c)} AS s{c}' for c in range(4))} FROM con), mut AS (SELECT *, {', '.join(_MUTUAL)} FROM sen), fine AS (SELECT * FROM mut WHERE band = 0),
+blur AS (SELECT vec_id, 0 AS band, y, x, {', '.join(f'{m} AS b{m}' for m in M)} FROM {L.separable_sql('fine', I.PHASE, I.PHASE, values=tuple(M))} AS z),
+sig AS (SELECT vec_id, band, y, x, {', '.join(PLANES + S)}, {', '.join(f'coalesce(b{m}, {m}) AS {m}' for m in M)} FROM mut LEFT JOIN blur USING (vec_id, band, y, x)),
+dif AS (SELECT vec_id, band, y, x, {', '.join(_DIFFERENCE)} FROM sig)"""
 _POOL_SQL = f"{_DIFF_SQL}, p AS (SELECT vec_id, band, {', '.join(_POOL)} FROM dif GROUP BY vec_id, band), s AS (SELECT vec_id, {', '.join(_BANDS)} FROM p GROUP BY vec_id)"
 
 QUERIES |= {"mask_cross_channel": mask_cross_channel, "video_channels": video_channels, "video_score": video_score, "heatmap": heatmap}
@@ -183,24 +121,14 @@ ORACLES |= {
 SELECT clip, frames, round(q, 4) AS q, round({E.jod('q')}, 4) AS score FROM c""",
     "heatmap": f"""WITH {_DIFF_SQL}, h AS (SELECT vec_id, band, y, x, {_HEAT} * (CASE band WHEN 1 THEN 5e-1 ELSE 1e0 END) AS v FROM dif),
 h0 AS (SELECT * FROM h WHERE band = 0), h1 AS (SELECT * FROM h WHERE band = 1), h2 AS (SELECT * FROM h WHERE band = 2),
-u1 AS (SELECT a.vec_id, a.y, a.x, a.v + b.v AS v FROM h1 a JOIN {_separable_sql('h2', I.X2, I.X2, ['v'])} b USING (vec_id, y, x)),
-u0 AS (SELECT a.vec_id, a.y, a.x, a.v + b.v AS v FROM h0 a JOIN {_separable_sql('u1', I.X4, I.X4, ['v'])} b USING (vec_id, y, x))
+u1 AS (SELECT a.vec_id, a.y, a.x, a.v + b.v AS v FROM h1 a JOIN {_sep('h2', I.X2, I.X2, ['v'])} b USING (vec_id, y, x)),
+u0 AS (SELECT a.vec_id, a.y, a.x, a.v + b.v AS v FROM h0 a JOIN {_sep('u1', I.X4, I.X4, ['v'])} b USING (vec_id, y, x))
 SELECT vec_id, y, x, round(1 - {E.jod('v')} / 10, 4) AS v FROM u0""",
 }
 
-# Level counts and centre frequencies of the bands ------------------------------------------------------------------
-
-
-def band_frequencies(height: int, width: int, ppd: float, least: float = 0.2) -> list[float]:
-    """Cycles a degree by band, the base band last; bands end one past the first at or below ``least``."""
-    most = int(np.floor(np.log2(min(height, width)))) - 1
-    centre = ppd / 2 * np.concatenate([[1.0], 0.3228 * 2.0 ** -np.arange(14.0)])
-    low = np.flatnonzero(centre <= least)
-    n = int(np.clip(low[0] + 1 if len(low) else most, 0, most))
-    return [*(float(x) for x in centre[:n]), 0.1]
-
+# Level counts and centre frequencies of the bands: one row a display, size and band -------------------------------------
 
-_rows = [(d, h, b, f) for d, ppd in (("standard_4k", 75.4024493), ("standard_fhd", 37.8425039)) for h in (8, 64, 1080, 2160) for b, f in enumerate(band_frequencies(h, h, ppd))]
+_rows = [(d, h, b, f) for d, ppd in (("standard_4k", 75.4024493), ("standard_fhd", 37.8425039)) for h in (8, 64, 1080, 2160) for b, f in enumerate(V.band_frequencies(h, h, ppd))]
 _SQL_BANDS = " UNION ALL ".join(f"SELECT '{d}' AS display, {h} AS height, {b} AS band, round({num(f)}, 4) AS rho" for d, h, b, f in _rows)
 QUERIES["band_frequencies"] = lambda spark, sf_dir: spark.sql(_SQL_BANDS)
 ORACLES["band_frequencies"] = _SQL_BANDS
