@@ -1,6 +1,7 @@
 """File sources and numbering on small fixtures."""
 
 import numpy as np
+import pytest
 
 from vireo.operators.numbering import numbered
 from vireo.sources import rawvideo as raw
@@ -29,7 +30,12 @@ def test_raw_video(spark, tmp_path):
     assert luma == {(f, y, x): int(want[f * 48 + y * 4 + x]) for f in range(2) for y in range(4) for x in range(4)}
     assert raw.plane_samples(frames.where("bits = 8"), "u").count() == 3 * 12
     raw.write_raw_video(frames, str(tmp_path / "out"))
-    back = {r.path.rsplit("/", 1)[1]: bytes(r.content) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    back = {}
+    for r in spark.read.parquet(str(tmp_path / "out")).orderBy("path", "frame").collect():
+        name = r.path.rsplit("/", 1)[1]
+        back[name] = back.get(name, b"") + bytes(r.content)
+    with pytest.raises(Exception, match="within a frame"):
+        raw.read_raw_video(spark, str(tmp_path / "*.yuv"), strict=True).count()
     assert back == {name: codes.tobytes() for name, (codes, _) in files.items()}
 
 
@@ -43,7 +49,7 @@ def test_condition_table(spark, tmp_path):
     path = tmp_path / "q.csv"
     path.write_text('# quality\nfull-range: true\nfps: 30\n\ntest,jod\n"a,b.mp4",9.5\nc.mp4,8\n')
     rows, settings = raw.read_condition_table(spark, str(path), "test string, jod double")
-    assert settings == {"full_range": "true", "fps": "30"}
+    assert {r.key: r.value for r in settings.collect()} == {"full_range": "true", "fps": "30"}
     assert sorted((r.test, r.jod) for r in rows.collect()) == [("a,b.mp4", 9.5), ("c.mp4", 8.0)]
 
 

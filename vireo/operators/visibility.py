@@ -35,7 +35,7 @@ IMAGE, D_MAX, PHASE, TEXTURE = 0.577918291091919, E.D_MAX, 3, 8
 LOG_SLOPE, LOG_LMS = 0.5, (0.7347, 0.3163)
 
 CONTRASTS = ("weber_g1", "weber_g1_ref", "weber_g0_ref", "log")
-MODELS = ("none", "transducer", "transducer-texture", "mutual", "mutual-old", "similarity")
+MODELS = ("none", "transducer", "transducer-texture", "mutual", "mutual-old", "similarity", "perceptual", "perceptual-smooth")
 
 
 def band_frequencies(height: int, width: int, ppd: float, least: float = 0.2, base: float = 0.1) -> list[float]:
@@ -123,7 +123,7 @@ class Model:
         if kind == "add":
             t, r = (np.sign(v) * np.maximum((np.abs(v) - 1 / s) * self.added_gain * by_channel(ADDED_GAIN) + 1, 0) for v in (t, r))
         else:
-            t, r = (v * s * (1 if name == "mutual-old" else by_channel(GAIN)) for v in (t, r))
+            t, r = (v * s * (1 if name in ("mutual-old", "perceptual", "perceptual-smooth") else by_channel(GAIN)) for v in (t, r))
         if name == "none":
             return self.clamped(np.abs(t - r))
         if name.startswith("transducer"):
@@ -141,6 +141,11 @@ class Model:
         if name == "mutual-old":
             d /= 1 + safe_pow(self.across(m), q)
             return 10**D_MAX * d / (10**D_MAX + d)
+        if name.startswith("perceptual"):
+            if name == "perceptual-smooth":
+                most, d = 10**D_MAX, np.abs(t - r) ** MASK_P
+                d = (most * d + 1) / (most + d)
+            return self.clamped(d / (1 + safe_pow(self.across(m), q)))
         return self.clamped(d / (1 + self.across(safe_pow(m, q))))
 
     def differences(self, x: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:

@@ -53,7 +53,6 @@ def temporal_fir_window(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["temporal_fir_window"], ORACLES["temporal_fir_window"] = temporal_fir_window, ORACLES["temporal_fir_replicate"]
-_sql("temporal_resample", f"WITH {_SEQUENCE}, t AS (SELECT DISTINCT user_id, n FROM seq) SELECT a.user_id, a.i, b.v FROM (SELECT user_id, n, i FROM t LATERAL VIEW explode(sequence(0, CAST(n * 60 / 24 - 1 AS INT))) e AS i) a JOIN seq b ON a.user_id = b.user_id AND b.frame = least(CAST(floor((a.i + 5e-1) * 24e0 / 60e0) AS INT), a.n - 1)", "events", oracle=f"WITH {_SEQUENCE}, t AS (SELECT DISTINCT user_id, n FROM seq) SELECT a.user_id, a.i, b.v FROM (SELECT user_id, n, CAST(unnest(range(CAST(floor(n * 60 / 24) AS INT))) AS INT) AS i FROM t) a JOIN seq b ON a.user_id = b.user_id AND b.frame = least(CAST(floor((a.i + 5e-1) * 24e0 / 60e0) AS INT), a.n - 1)")
 _sql("frame_range_filter", f"WITH {_SEQUENCE} SELECT user_id, CAST(frame AS INT) AS frame, v FROM seq WHERE frame BETWEEN 2 AND 20 AND (frame - 2) % 3 = 0", "events")
 _sql("frame_limit", f"WITH {_SEQUENCE} SELECT user_id, count(*) AS frames, round(avg(v), 6) AS mean FROM seq WHERE frame < 10 GROUP BY user_id", "events")
 _sql("frame_rolling_mean", f"WITH {_SEQUENCE} SELECT user_id, CAST(frame AS INT) AS frame, round(avg(v) OVER (PARTITION BY user_id ORDER BY frame ROWS BETWEEN 8 PRECEDING AND CURRENT ROW), 6) AS m FROM seq", "events")

@@ -11,6 +11,7 @@ from vireo.functions.lookup import interp
 from vireo.operators import linear as L
 from vireo.operators import planes as PL
 from vireo.operators.numbering import numbered
+from vireo.operators.reports import COLOR_MAPS
 from vireo.plans import pixel_queries as P
 from vireo.plans import video_queries as V
 from vireo.sources import signals
@@ -29,14 +30,7 @@ def _sql(name: str, sql: str, *tables: str, oracle: str | None = None) -> None:
     ORACLES[name] = oracle or sql
 
 
-# Colour maps of differences: fixed values, and the range of the difference that they span.
-COLOR_MAPS = {
-    "threshold": (0.1, ((0.2, 0.2, 1.0), (0.2, 1.0, 1.0), (0.2, 1.0, 0.2), (1.0, 1.0, 0.2), (1.0, 0.2, 0.2))),
-    "supra_threshold": (0.3, ((0.2, 1.0, 1.0), (1.0, 1.0, 1.0), (1.0, 1.0, 0.2))),
-    "monochromatic": (1.0, ((1.0, 1.0, 1.0), (1.0, 1.0, 1.0))),
-}
-
-
+# Colour maps of differences.
 def colored(v: str, kind: str, context: str = "5e-1") -> list[str]:
     """Red, green and blue of a difference: the map's colour over its own luminance, times the context, clipped."""
     top, colors = COLOR_MAPS[kind]

@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import re
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,15 +42,17 @@ def frame_bytes() -> str:
     return "CAST((width * height + 2 * (width DIV CASE chroma WHEN '444' THEN 1 ELSE 2 END) * (height DIV CASE chroma WHEN '420' THEN 2 ELSE 1 END)) * CASE WHEN bits > 8 THEN 2 ELSE 1 END AS BIGINT)"
 
 
-def read_raw_video(spark: SparkSession, path: str) -> DataFrame:
+def read_raw_video(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
     """path, frame, bits, chroma, space, fps and planes ``luma``, ``u``, ``v`` as binary, one row a frame.
 
-    A file's trailing part of a frame is left out.  Files are read whole by Spark's binary source, so the reader suits clips of
+    A file's trailing part of a frame is left out, or with ``strict`` an error.  Files are read whole by Spark's binary source, so the reader suits clips of
     up to its 2 GB; the planes are cut out in the JVM.
     """
     files = with_video_format(spark.read.format("binaryFile").load(path).select("path", "length", "content"))
     files = files.withColumn("_n", F.expr(frame_bytes())).withColumn("_wide", F.expr("CASE WHEN bits > 8 THEN 2 ELSE 1 END"))
     files = files.withColumn("_y", F.expr("width * height * _wide")).withColumn("_c", F.expr("CAST((_n - _y) DIV 2 AS INT)"))
+    if strict:
+        files = files.where(F.assert_true(F.expr("length % _n = 0"), F.lit("a file ends within a frame")).isNull())
     frames = files.where("length >= _n").selectExpr("*", "explode(sequence(0, CAST(length DIV _n AS INT) - 1)) AS frame")
     at = "CAST(frame * _n AS INT)"
     return frames.selectExpr("path", "frame", "width", "height", "bits", "chroma", "space", "fps", f"substring(content, {at} + 1, _y) AS luma", f"substring(content, {at} + _y + 1, _c) AS u", f"substring(content, {at} + _y + _c + 1, _c) AS v")
@@ -60,27 +60,20 @@ def read_raw_video(spark: SparkSession, path: str) -> DataFrame:
 
 def plane_samples(frames: DataFrame, plane: str = "luma") -> DataFrame:
     """path, frame, y, x, code: the samples of a plane as integers; 16-bit samples are little-endian."""
-    columns = "path string, frame int, y int, x int, code int"
-
-    def cut(batches):
-        for b in batches:
-            for r in b.itertuples(index=False):
-                dx, dy = CHROMA[r.chroma] if plane != "luma" else (1, 1)
-                w, h = r.width // dx, r.height // dy
-                codes = np.frombuffer(r.plane, "<u2" if r.bits > 8 else "u1").astype(np.int32)
-                y, x = np.divmod(np.arange(w * h, dtype=np.int32), w)
-                yield pd.DataFrame({"path": r.path, "frame": r.frame, "y": y, "x": x, "code": codes})
-
-    return frames.select("path", "frame", "width", "height", "bits", "chroma", F.col(plane).alias("plane")).mapInPandas(cut, columns)
+    across, down = ("1", "1") if plane == "luma" else ("CASE chroma WHEN '444' THEN 1 ELSE 2 END", "CASE chroma WHEN '420' THEN 2 ELSE 1 END")
+    sized = frames.selectExpr("path", "frame", f"width DIV {across} AS w", f"height DIV {down} AS h", "CASE WHEN bits > 8 THEN 2 ELSE 1 END AS bytes", f"`{plane}` AS plane")
+    each = sized.selectExpr("path", "frame", "w", "bytes", "plane", "explode(sequence(0, CAST(h * w AS INT) - 1)) AS i")
+    low, high = (f"conv(hex(substring(plane, i * bytes + {k}, 1)), 16, 10)" for k in (1, 2))
+    return each.selectExpr("path", "frame", "CAST(i DIV w AS INT) AS y", "CAST(i % w AS INT) AS x", f"CAST({low} AS INT) + CASE bytes WHEN 2 THEN 256 * CAST({high} AS INT) ELSE 0 END AS code")
 
 
 def write_raw_video(frames: DataFrame, folder: str) -> None:
-    """Planes back to one file of bytes a clip, as Parquet rows (path, content): Spark has no sink of bare bytes.
+    """Frames as Parquet rows (path, frame, content): Spark has no sink of bare bytes, and a clip need not fit a row.
 
-    frames: path, frame, luma, u, v.  A clip must fit a row, as when it is read.
+    frames: path, frame, luma, u, v.  Within a file rows are in order of clip and frame, so files can be joined as they are.
     """
-    order = F.sort_array(F.collect_list(F.struct("frame", F.concat("luma", "u", "v").alias("b"))))
-    frames.groupBy("path").agg(F.aggregate(order, F.lit(b""), lambda a, s: F.concat(a, s["b"])).alias("content")).write.parquet(folder)
+    rows = frames.select("path", "frame", F.concat("luma", "u", "v").alias("content"))
+    rows.repartitionByRange("path", "frame").sortWithinPartitions("path", "frame").write.parquet(folder)
 
 
 def sequence_frames(names: DataFrame, pattern: str, name: str = "name", start: int = 0, step: int = 1, last: int = 9999) -> DataFrame:
@@ -101,23 +94,15 @@ def sequence_frames(names: DataFrame, pattern: str, name: str = "name", start: i
     return numbered.crossJoin(F.broadcast(ends)).crossJoin(F.broadcast(begins)).where("_has > 0 AND frame <= _end").select("name", "frame")
 
 
-def read_condition_table(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, dict[str, str]]:
-    """Rows of a table of comma-separated values and the ``key: value`` settings that stand before its header.
+def read_condition_table(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
+    """Rows of one file of comma-separated values, and the settings (key, value) that stand ahead of its header.
 
-    Blank lines and lines that start with # are skipped, keys have - turned to _.  The driver reads the first 1000 lines at most, for
-    the settings; the rows are parsed in tasks.
+    Blank lines and lines that start with # count for nothing.  The first other line without a colon is the header; lines
+    before it are ``key: value`` settings, with - in keys turned to _, and all lines after it are rows.  Everything is read in tasks.
     """
-    head = spark.read.text(path, wholetext=False).limit(1000).collect()
-    settings, before = {}, []
-    for (whole,) in head:
-        line = whole.strip("\n ")
-        if line == "" or line.startswith("#"):
-            continue
-        before.append(whole)
-        if ":" not in line:
-            break
-        key, value = line.split(":", 1)
-        settings[key.replace("-", "_")] = value.strip()
-    lines = spark.read.text(path)
-    data = lines.where((F.trim("value") != "") & ~F.col("value").startswith("#") & ~F.col("value").isin(before))
-    return data.select(F.from_csv("value", schema).alias("r")).select("r.*"), settings
+    lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("at"), "value").where(~F.col("value").rlike("^[ \\t]*(#|$)"))
+    header = lines.where(~F.col("value").contains(":")).agg(F.min("at").alias("header"))
+    placed = lines.crossJoin(F.broadcast(header))  # one row
+    key, value = (F.regexp_extract("value", "^[ \\t]*([^:]*?)[ \\t]*:[ \\t]*(.*?)[ \\t]*$", k) for k in (1, 2))
+    settings = placed.where("header IS NULL OR at < header").select(F.replace(key, F.lit("-"), F.lit("_")).alias("key"), value.alias("value"))
+    return placed.where("at > header").select(F.from_csv("value", schema).alias("r")).select("r.*"), settings
