@@ -1,8 +1,9 @@
 """Nearest neighbours by cosine: a block matrix join over int8 tiles with quantisation error bounds.
 
 Vectors are scaled to unit length and quantised to int8 with a scale of their own; the exact length of the quantisation error is kept.
-Vectors are packed into blocks within the tasks that read them.  Every block of queries meets every block of candidates in
-one tile: the blocks are dealt by (query block, salt), so no task gets a whole block row and nothing is broadcast.
+Vectors are packed into blocks within the tasks that read them.  Blocks of queries and of candidates are numbered and dealt
+to a grid of (query group, candidate salt) cells of about GROUP by SALTED rows, so every query block meets every candidate
+block in one tile, no task gets a whole row or column of the grid, and nothing is broadcast.
 In a tile the int8 product gives each cosine within |error| bounds; pairs whose upper bound reaches the k-th lower bound
 survive, are recomputed in double precision from the original vectors and merged into one heap per query.  The heaps of the
 tasks are merged by query.  Nothing is lost: the result is exact.
@@ -11,7 +12,7 @@ Within a block, of equal vectors only the k + 1 smallest ids can be among the k
 
 Defined cases: vectors that are null, empty, zero, or hold nulls or non-finite components take no part, neither do null ids;
 vectors of another length than the query's aren't its candidates; ties go to the smaller id; a row that is repeated (same
-id, same vector) counts once, an id with several vectors once for each, as a query by one of them; an empty table gives no rows; other columns are ignored.
+id, same vector) counts once, an id with several vectors once for each, as a query by the least of them; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,8 +26,8 @@ from pyspark.sql import functions as F
 
 from vireo.llm.common import small_batches, table
 
-#: Rows of a block, at most, and candidates a (query block, salt) task gets on average.
-ROWS, SALTED = 2048, 16_384
+#: Rows of a block, at most, and queries and candidates of a cell of the grid.
+ROWS, GROUP, SALTED = 2048, 16_384, 16_384
 K, EVERY = 5, 50
 BLOCK_SCHEMA = "part int, n int, dim int, ids binary, vectors binary"
 
@@ -126,13 +127,13 @@ def _searched(k: int):
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.float64()))], ["query_id", "vec_id", "score"]) if rows else None
 
     def run(batches):
-        state = None  # key, unpacked query block, heaps, floors
+        state = None  # packed ids, unpacked query block, heaps, floors
         for b in batches:
-            for qb, qn, dim, qi, qv, n, ids, vectors in zip(*(c.to_pylist() for c in b.columns)):
-                if state is None or state[0] != (qb, qi):
+            for qn, dim, qi, qv, n, ids, vectors in zip(*(c.to_pylist() for c in b.columns)):
+                if state is None or state[0] != qi:
                     if state is not None and (out := heaped(state)) is not None:
                         yield out
-                    state = ((qb, qi), _unpack(qn, dim, qi, qv), [[] for _ in range(qn)], np.full(qn, -4.0))
+                    state = (qi, _unpack(qn, dim, qi, qv), [[] for _ in range(qn)], np.full(qn, -4.0))
                 (q_ids, q_vectors, q), heaps, floor = state[1:]
                 for x, vs, ss in tile(q_ids, q_vectors, q, *_unpack(n, dim, ids, vectors), k, floor):
                     for i, v, s in zip(x.tolist(), vs.tolist(), ss.tolist()):
@@ -191,14 +192,18 @@ def _ranked(out):
 
 def nearest(rows: DataFrame, queries: DataFrame, k: int = K, id: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest of rows for each of queries, a row with the query's id excepted."""
-    small_batches(rows.sparkSession, ROWS)
-    candidates, wanted = _usable(rows, id, vector), _usable(queries, id, vector).dropDuplicates(["id"])
-    salts = max(1, -(-rows.count() // SALTED))
-    blocks = _packed(candidates, salts, k + 1)
-    # Query blocks, numbered by where they were packed, once for each salt.
-    asked = _packed(wanted.repartition(F.col("id") % max(1, -(-queries.count() // ROWS))), 1 << 30, None)
-    asked = asked.select(F.col("part").alias("qb"), F.col("n").alias("qn"), "dim", F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("part"))
-    tiles = asked.join(blocks, ["part", "dim"]).select("qb", "qn", "dim", "q_ids", "q_vectors", "n", "ids", "vectors")
+    spark = rows.sparkSession
+    small_batches(spark, ROWS)
+    candidates, wanted = _usable(rows, id, vector), _usable(queries, id, vector).groupBy("id").agg(F.min("v").alias("v"))
+    n, asked_n = rows.count(), queries.count()
+    # As many salts as cores can work on, if there are so many blocks.
+    salts = max(1, -(-n // SALTED), min(spark.sparkContext.defaultParallelism, n // ROWS))
+    groups = max(1, -(-asked_n // GROUP))
+    every = lambda name, m: F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias(name)
+    blocks = _packed(candidates, salts, k + 1).select("*", every("group", groups))
+    asked = _packed(wanted.repartition(max(1, -(-asked_n // ROWS)), "id"), groups, None)
+    asked = asked.select(F.col("part").alias("group"), F.col("n").alias("qn"), "dim", F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"), every("part", salts))
+    tiles = asked.join(blocks, ["group", "part", "dim"]).select("qn", "dim", "q_ids", "q_vectors", "n", "ids", "vectors")
     found = tiles.mapInArrow(_searched(k), "query_id long, vec_id long, score double")
     return found.repartition("query_id").sortWithinPartitions("query_id").mapInArrow(_merged(k), "query_id long, rank int, vec_id long, score double")
 
