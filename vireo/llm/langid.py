@@ -9,7 +9,7 @@ The n-gram counts cover every training text.  Tasks count words first, so n-gram
 at most FEATURES counts a language.  Scoring looks words up in bounded worker caches, so whole texts of any length are read.
 
 Defined cases: null text, or text without a letter, gives ``und`` with score 0; rows with null lang or text are not learned
-from; beyond the MAX_LANGS most frequent languages none is learned; without training rows everything is ``und``; with one
+from; more than MAX_LANGS languages are an error, none is dropped; without training rows everything is ``und``; with one
 language every text with a letter is that language; repeated rows are learned from each; a null id counts as the empty text
 for the fold; other columns are ignored.  Predictions use the text alone.
 """
@@ -37,7 +37,7 @@ _LETTER = np.zeros(0x110000, bool)
 
 def _letters() -> np.ndarray:
     if not _LETTER[97]:
-        _LETTER[:0x30000] = [chr(c).isalpha() for c in range(0x30000)]
+        _LETTER[:] = np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
     return _LETTER
 
 
@@ -135,7 +135,9 @@ def fit(rows: DataFrame, lang: str = "lang", text: str = "text") -> Model:
     """Counts n-grams of all rows by language; the driver gets at most FEATURES counts for each of MAX_LANGS languages."""
     small_batches(rows.sparkSession)
     rows = rows.select(F.col(lang).alias("lang"), F.col(text).alias("text")).where("lang IS NOT NULL AND text IS NOT NULL")
-    langs = sorted(r.lang for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect())
+    langs = sorted(r.lang for r in rows.select("lang").distinct().limit(MAX_LANGS + 1).collect())
+    if len(langs) > MAX_LANGS:
+        raise ValueError(f"more than {MAX_LANGS} languages to learn: the model of n languages holds {FEATURES} counts for each on the driver")
     counts = np.zeros((len(langs), FEATURES))
     if langs:
         made = rows.where(F.col("lang").isin(langs)).mapInArrow(_counts(langs), "lang int, feature int, n long")
