@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 import zlib
@@ -26,9 +27,11 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster shares for intermediate data; a temporary one only where none is set (tests)."""
+    """The folder the cluster shares for intermediate data; a temporary one only where none is set and all runs in one process (tests)."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="spark-vireo-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -47,6 +50,24 @@ def small(df: DataFrame, most: int = 500_000) -> DataFrame:
     return F.broadcast(df) if df.count() <= most else df
 
 
+#: Rows that may share a key before its rows are joined where they are.
+HOT = 1000
+
+
+def spread(rows: DataFrame, keyed: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """rows joined with keyed, which has at most one row a key, so that no task gets all rows of a frequent key.
+
+    Keys that more than HOT rows share are at most one in HOT rows; they are looked up in a table that is broadcast if it is
+    small, and the rows of other keys are shuffled.  rows is read several times, so it is best a written table.
+    """
+    often = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > HOT).select(key)
+    hot = small(often.join(keyed, key, how))
+    if hot.isEmpty():
+        return rows.join(keyed, key, how)
+    cold = rows.join(hot.select(key), key, "left_anti").join(keyed, key, how)
+    return cold.unionByName(rows.join(hot, key))
+
+
 def crc_mod(column: str, n: int):
     """crc32 of the id as text, modulo n (null ids count as the empty text)."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % n

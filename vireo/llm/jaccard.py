@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vireo.llm.common import cut, small, small_batches, table
+from vireo.llm.common import cut, small, small_batches, spread, table
 from vireo.llm.components import components, forest
 from vireo.llm.shingles import as_long, mix, runs, word_hashes
 
@@ -334,14 +334,15 @@ def labelled(docs: DataFrame, k: int, percent: int, id: str = "doc_id", text: st
     placed = scanned.groupBy("node").agg(F.min(F.struct("doc_id", "row")).alias("at"), F.first("n").alias("n")).join(near.union(roots).withColumnRenamed("label", "cluster"), "node")
     links = components(_links(rows, cut(placed), k, percent))
     label = F.coalesce("label", "node")
-    return scanned.select("doc_id", "row", F.col("n").alias("n_shingles"), "node").join(links, "node", "left").select("doc_id", "row", "n_shingles", label.alias("label"))
+    found = spread(scanned.select("doc_id", "row", F.col("n").alias("n_shingles"), "node"), links, "node", "left")
+    return found.select("doc_id", "row", "n_shingles", label.alias("label"))
 
 
 def jaccard_classes(docs: DataFrame, k: int = 3, percent: int = 90, id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, row (xxhash64 of the text), n_shingles, component_id: one row per row of docs."""
-    nodes = labelled(docs, k, percent, id, text)
+    nodes = cut(labelled(docs, k, percent, id, text))
     least = nodes.where("label IS NOT NULL").groupBy("label").agg(F.min("doc_id").alias("least"))
-    return nodes.join(least, "label", "left").select("doc_id", "row", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
+    return spread(nodes, least, "label", "left").select("doc_id", "row", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
 
 
 def _links(rows: DataFrame, placed: DataFrame, k: int, percent: int) -> DataFrame:
@@ -369,10 +370,12 @@ def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     held = cut(labelled(docs, k=5, percent=80).where("label IS NOT NULL").groupBy("label", "doc_id", "row").agg(F.count(F.lit(1)).alias("n")))
     first = held.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first"))
     stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("row") == F.col("first.row"))
-    judged = held.join(first, "label").select(F.col("doc_id").alias("_vdoc"), F.col("row").alias("_vhash"), "n", stays.alias("stays"))
-    same = F.col("doc_id").eqNullSafe(F.col("_vdoc")) & (F.xxhash64("text") == F.col("_vhash"))
-    kept = docs.join(small(judged.where("NOT stays").select("_vdoc", "_vhash")), same, "left_anti")
-    repeated = small(judged.where("stays AND n > 1").select("_vdoc", "_vhash"))
+    judged = spread(held, first, "label").select(F.col("doc_id").alias("v_doc"), F.col("row").alias("v_hash"), "n", stays.alias("stays"))
+    whole = docs.select("doc_id", "text", F.xxhash64("text").alias("hash"), F.struct(*docs.columns).alias("whole"))
+    same = F.col("doc_id").eqNullSafe(F.col("v_doc")) & (F.col("hash") == F.col("v_hash"))
+    kept = whole.join(small(judged.where("NOT stays").select("v_doc", "v_hash")), same, "left_anti")
+    repeated = small(judged.where("stays AND n > 1").select("v_doc", "v_hash"))
     if repeated.isEmpty():
-        return kept
-    return kept.join(repeated, same, "left_anti").unionByName(kept.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "text"]))
+        return kept.select("whole.*")
+    once = kept.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.join(repeated, same, "left_anti").unionByName(once).select("whole.*")
