@@ -102,7 +102,7 @@ class Lexicon:
         mass = np.bincount(self.cls, counts + 1.0, CLASSES)
         mass[HEADS + ENDINGS :] = rare_n + rare_v + 1.0
         self.log_mass = np.log10(np.maximum(mass, 1.0))
-        self.start = np.log(np.maximum(mass, 1e-3) / mass.sum()).astype(np.float32)
+        self.start = np.where(mass > 0, np.log(np.maximum(mass, 1.0) / mass.sum()), -30).astype(np.float32)  # classes without words get nothing
         within = np.full(HEAD, -20, np.float32)
         within[: min(HEAD, len(keys))] = np.log(counts[:HEAD] + 1.0)
         self.within = within.reshape(HEADS, PER_CLASS)
