@@ -12,22 +12,27 @@ from vireo.llm.common import cut
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base check and the certified cutoffs."""
     return quality.quality_stage(spark, docs, sf_dir)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language can be told."""
     return langid.language_stage(spark, docs, sf_dir)
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near copies (five-word shingles, similarity 0.8)."""
     return jaccard.jaccard_stage(spark, docs, sf_dir)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the passages of 50 words or more that a smaller document has."""
     return substrings.substring_stage(spark, docs, sf_dir)
 
 
 def sequence_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of sequences of at most 1024 tokens."""
     return packing.packing_stage(spark, docs, sf_dir)
 
 
