@@ -15,7 +15,7 @@ ROUNDS by id and text, each to one; in a round each task runs truncated backprop
 from the common weights, and the weights are averaged over tasks, by their tokens, in levels of at most 64.  So scores
 depend a little on how the input is split into tasks; for the same splits they are the same, also if a task runs again.
 
-Scoring a batch runs its documents side by side, the longest first.
+Scoring runs documents of like lengths side by side.
 
 Defined cases: null text is empty, its one token is the end; a null id counts as the empty text for the fold; repeated rows are
 counted and scored each; an empty table gives no rows; without training documents every word is unseen; other columns are
@@ -43,8 +43,8 @@ CLASSES = HEADS + 2 * ENDINGS
 INPUTS = HEAD + 2 * ENDINGS
 HIDDEN, ROUNDS = 24, 3
 STREAMS, STEPS, RATE = 512, 8, 0.03
-#: Tokens that each stream holds at least before streams advance, and states that are scored at once.
-SPAN, SETTLED = 128, 16_384
+#: Tokens that each stream holds at least before streams advance; states that are settled and texts that are scored at once.
+SPAN, SETTLED, WIDE = 128, 65_536, 1024
 COUNTED, KEPT, BATCH = 400_000, 400_000, 6000
 END = b"\n"
 #: Steps of the grid of counts, as logarithms.
@@ -88,6 +88,21 @@ def count_words(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(_counted, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
+class _Found(dict):
+    """Codes of the words met so far, KEPT at most."""
+
+    def __init__(self, place: dict[int, int]):
+        self.place = place
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= KEPT:
+            self.clear()
+        key = word_key(word)
+        place = self.place.get(key)
+        self[word] = made = RARE + key if place is None else place
+        return made
+
+
 class Lexicon:
     """The broadcast part of the counts: the table by key, and sums by class."""
 
@@ -106,27 +121,19 @@ class Lexicon:
         within = np.full(HEAD, -20, np.float32)
         within[: min(HEAD, len(keys))] = np.log(counts[:HEAD] + 1.0)
         self.within = within.reshape(HEADS, PER_CLASS)
-        self.found: dict[bytes, int] = {}
+        self.found = _Found(self.place)
 
     def codes(self, text: bytes) -> np.ndarray:
         """Places in the table, or RARE + key, of a text's words and its end."""
-        words, found = text.lower().split(), self.found
-        out = list(map(found.get, words))
-        if None in out:
-            if len(found) > KEPT:
-                found.clear()
-            for w in {w for w, c in zip(words, out) if c is None or w not in found}:
-                key = word_key(w)
-                place = self.place.get(key)
-                found[w] = RARE + key if place is None else place
-            out = list(map(found.__getitem__, words))
-        out.append(0)
-        return np.array(out, np.int64)
+        words = text.lower().split()
+        out = np.zeros(len(words) + 1, np.int64)  # the end has the first place
+        out[:-1] = np.fromiter(map(self.found.__getitem__, words), np.int64, len(words))
+        return out
 
     def classed(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Class and input of each code."""
         rare = codes >= RARE
-        kind = codes % ENDINGS  # RARE is a multiple of ENDINGS
+        kind = codes & (ENDINGS - 1)  # RARE is a multiple of ENDINGS, a power of two
         at = np.where(rare, 0, codes)
         return np.where(rare, HEADS + ENDINGS + kind, self.cls[at]), np.where(rare, HEAD + ENDINGS + kind, self.input[at])
 
@@ -203,7 +210,7 @@ def _log_sums(x: np.ndarray) -> np.ndarray:
     top = x.max(1)
     x -= top[:, None]
     np.exp(x, out=x)
-    return top + np.log(x.sum(1))
+    return top + np.log(x @ np.ones(x.shape[1], np.float32))
 
 
 def _by_head(cls: np.ndarray):
@@ -235,7 +242,7 @@ def _blame(h: np.ndarray, weights: np.ndarray, bias: np.ndarray, target: np.ndar
     x += bias
     x -= x.max(1, keepdims=True)
     np.exp(x, out=x)
-    x *= (1 / (n * x.sum(1)))[:, None]
+    x *= (1 / (n * (x @ np.ones(x.shape[1], np.float32))))[:, None]
     x[np.arange(len(h)), target] -= 1 / n
     return h.T @ x, x.sum(0), x @ weights.T
 
@@ -329,10 +336,8 @@ class Trainer:
             ahead = (dh * keep[t] + pres[t] @ turned) * live[t]
         pres = pres.reshape(-1, 2 * HIDDEN)
         g["turn"][:], g["bias"][:] = before.reshape(-1, HIDDEN).T @ pres, pres.sum(0)
-        order = np.argsort(xs.ravel().astype(np.uint16), kind="stable")
-        own = xs.ravel()[order]
-        starts = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-        g["embed"][own[starts]] = np.add.reduceat(pres.T.take(order, 1), starts, axis=1).T
+        cells = (xs.ravel() * (2 * HIDDEN))[:, None] + np.arange(2 * HIDDEN)
+        g["embed"][:] = np.bincount(cells.ravel(), pres.ravel(), INPUTS * 2 * HIDDEN).reshape(INPUTS, 2 * HIDDEN)
         self.beat += 1
         self.n += n
         self.m += 0.1 * (self.grad - self.m)
@@ -373,9 +378,18 @@ def fit(sample: DataFrame, lex: Lexicon) -> dict[str, np.ndarray]:
 
 def _score(w, lex: Lexicon, codes: list[np.ndarray]) -> np.ndarray:
     """log10 probabilities of texts, but for the shares of words outside the table within their classes."""
+    out = np.zeros(len(codes))
     order = sorted(range(len(codes)), key=lambda i: -len(codes[i]))
-    sizes = np.array([len(codes[i]) for i in order])
-    flat = np.concatenate([codes[i] for i in order])
+    for at in range(0, len(order), WIDE):  # of like lengths, and few enough to stay in the processor's cache
+        part = order[at : at + WIDE]
+        out[part] = _score_together(w, lex, [codes[i] for i in part])
+    return out
+
+
+def _score_together(w, lex: Lexicon, codes: list[np.ndarray]) -> np.ndarray:
+    """The same for texts that run side by side, the longest first."""
+    sizes = np.array([len(c) for c in codes])
+    flat = np.concatenate(codes)
     cls, inputs = lex.classed(flat)
     start = np.cumsum(sizes) - sizes
     out = np.zeros(len(codes))
@@ -413,9 +427,7 @@ def _score(w, lex: Lexicon, codes: list[np.ndarray]) -> np.ndarray:
             held = 0
     if states:
         settle()
-    back = np.zeros(len(codes))
-    back[order] = out
-    return back
+    return out
 
 
 def score(docs: DataFrame, counts: DataFrame, lex: Lexicon, w: dict[str, np.ndarray], id: str = "doc_id", text: str = "text") -> DataFrame:
