@@ -34,7 +34,7 @@ from vireo.llm.components import components, forest
 from vireo.llm.shingles import as_long, mix, runs, word_hashes
 
 #: Part hashes of a bucket on average, those a task holds at most, and shingles of a block of a tile.
-BUCKET, HELD, BLOCK = 2_000_000, 6_000_000, 1_000_000
+BUCKET, HELD, BLOCK = 1_000_000, 3_000_000, 1_000_000
 #: Nodes up to which those that share a key are held against each other by sketches.
 GROUP = 16_384
 #: Places of documents in clusters up to which they are broadcast; beyond, texts are dealt by id.
