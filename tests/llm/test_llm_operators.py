@@ -75,9 +75,8 @@ def test_bpe(spark, docs, empty):
     assert bpe.decode(bpe.encode(empty)).count() == 0
 
 
-@pytest.mark.parametrize("k,percent", [(3, 90), (5, 80)])
-def test_jaccard(spark, docs, empty, k, percent):
-    rows = plain(docs)
+def plain_classes(rows, k, percent):
+    """(doc_id, set size, least id of the class) by comparing all pairs."""
     sets = []
     for _, x in rows:
         w = x.encode().lower().split()
@@ -92,11 +91,39 @@ def test_jaccard(spark, docs, empty, k, percent):
     for (d, _), r in zip(rows, root):
         if d is not None:
             least[r] = min(d, least.get(r, d))
-    want = Counter((d, len(s), least.get(r)) for (d, _), s, r in zip(rows, sets, root))
-    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.jaccard_classes(docs, k, percent).collect()) == want
+    return Counter((d, len(s), least.get(r)) for (d, _), s, r in zip(rows, sets, root))
+
+
+def classes(df, k, percent):
+    return Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.jaccard_classes(df, k, percent).collect())
+
+
+@pytest.mark.parametrize("k,percent", [(3, 90), (5, 80)])
+def test_jaccard(spark, docs, empty, k, percent):
+    assert classes(docs, k, percent) == plain_classes(plain(docs), k, percent)
     assert jaccard.jaccard_classes(empty).count() == 0
 
 
+@pytest.mark.parametrize("k,percent", [(3, 90), (5, 80)])
+def test_jaccard_tiles_of_many_blocks(spark, monkeypatch, k, percent):
+    """A cluster over many size bands and blocks: texts that grow from one to the next, in steps within and beyond the similarity."""
+    monkeypatch.setattr(jaccard, "BLOCK", 400)
+    rng = random.Random(11)
+    words = [str(rng.randrange(10**6)) for _ in range(4000)]
+    rows, n = [], 20
+    while n < 2500:
+        for _ in range(3):
+            own = words[:n]
+            own[rng.randrange(n)] = "other"
+            rows.append((len(rows), " ".join(own)))
+        n = int(n * rng.choice([1.03, 1.1, 1.2, 1.24, 1.3])) + 1
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = plain_classes(rows, k, percent)
+    assert 1 < len({c for _, _, c in want}) < len(rows)
+    assert classes(df, k, percent) == want
+
+
 def test_jaccard_stage(spark, docs, empty):
     """One row of each class stays, also where its rows are repeated, share an id or have none; blank texts all stay."""
     rng = random.Random(8)

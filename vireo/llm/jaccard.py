@@ -9,7 +9,9 @@ flips a bit) differ in more bits than linked sets can differ in elements.  Group
 are.  What stays together makes clusters outside of which there are no links.
 
 Clusters are compared in tiles.  Small ones are one tile.  Larger ones are cut into blocks by size band and salt, each tile
-holds two blocks of the same or neighbouring bands, and no task gets more than two blocks.  In a tile every set has a
+holds two blocks of the same or neighbouring bands, and no task gets more than two blocks.  Bands are twice as wide in
+logarithms as linked sizes can differ, and only sets whose partners can lie in a neighbouring band go to its tiles.  In a
+tile every set has a
 hashed bitmap; the bits in which two bitmaps differ bound the overlap from above, and pairs that pass are settled by exact
 intersection of the sorted arrays.  Pairs that are connected already are skipped, so a group of n near copies costs about n
 intersections, and at most n - 1 links leave a tile.  Components of the links give the classes.
@@ -34,7 +36,7 @@ from vireo.llm.components import components, forest
 from vireo.llm.shingles import as_long, mix, runs, word_hashes
 
 #: Part hashes of a bucket on average, those a task holds at most, and shingles of a block of a tile.
-BUCKET, HELD, BLOCK = 1_000_000, 3_000_000, 1_000_000
+BUCKET, HELD, BLOCK = 1_000_000, 3_000_000, 4_000_000
 #: Nodes up to which those that share a key are held against each other by sketches.
 GROUP = 16_384
 #: Places of documents in clusters up to which they are broadcast; beyond, texts are dealt by id.
@@ -347,13 +349,16 @@ def jaccard_classes(docs: DataFrame, k: int = 3, percent: int = 90, id: str = "d
 
 def _links(rows: DataFrame, placed: DataFrame, k: int, percent: int) -> DataFrame:
     """A forest of the links between the nodes of each cluster (placed: node, at, n, cluster)."""
-    band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent)) + 1e-9).cast("long") if percent < 100 else F.col("n")
-    placed = placed.withColumn("band", band)
+    def band(n):
+        return F.floor(F.log(n.cast("double")) / float(2 * np.log(100 / percent)) + 1e-9).cast("long") if percent < 100 else n
+
+    least, most = F.ceil(F.col("n") * percent / 100 - 1e-6), F.floor(F.col("n") * 100 / percent + 1e-6)  # sizes of partners
+    placed = placed.withColumn("band", band(F.col("n"))).withColumn("down", band(least) < F.col("band")).withColumn("up", band(most) > F.col("band"))
     blocks = placed.groupBy("cluster", "band").agg(F.ceil(F.sum("n") / BLOCK).alias("own"), F.sum("n").alias("size"))
     whole = placed.groupBy("cluster").agg((F.sum("n") <= BLOCK).alias("whole"))
     next_to = lambda d, name: blocks.select("cluster", (F.col("band") + d).alias("band"), F.col("own").alias(name))
     sized = blocks.select("cluster", "band", "own").join(next_to(1, "below"), ["cluster", "band"], "left").join(next_to(-1, "above"), ["cluster", "band"], "left").join(whole, "cluster").na.fill(0)
-    at = placed.join(sized, ["cluster", "band"]).select(F.col("at.doc_id").alias("_doc"), F.col("at.row").alias("_row"), "node", "cluster", "band", F.pmod(F.xxhash64("node"), "own").alias("salt"), "own", "below", "above", "whole")
+    at = placed.join(sized, ["cluster", "band"]).select(F.col("at.doc_id").alias("_doc"), F.col("at.row").alias("_row"), "node", "cluster", "band", F.pmod(F.xxhash64("node"), "own").alias("salt"), "own", F.when(F.col("down"), F.col("below")).otherwise(0).alias("below"), F.when(F.col("up"), F.col("above")).otherwise(0).alias("above"), "whole")
     at = small(at, PLACED)
     texts = rows.join(at, (F.col("row") == F.col("_row")) & F.col("doc_id").eqNullSafe(F.col("_doc")))
     tiles = texts.select("text", "node", "cluster", "band", "salt", "own", "below", "above", "whole").mapInArrow(_tiled(k), "tile long, side int, node long, elements binary")
