@@ -49,18 +49,20 @@ class Library:
     """The library's ids for pieces; one per worker and file.
 
     Where a byte-level file's merges are its ids in order (checked on loading), merging by rank gives the same ids; pieces
-    without special strings then take that faster way.  Everything else is encoded by the tokenizers library itself.
+    without special strings then take that faster way.  Everything else is encoded by the tokenizers library itself.  With
+    ``plain``, special strings inside texts are plain text; else they are matched as the library does by default.
     """
 
-    _made: dict[str, "Library"] = {}
+    _made: dict[tuple[str, bool], "Library"] = {}
 
-    def __init__(self, name: str):
+    def __init__(self, name: str, plain: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import public_tokenizers
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
-        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.tokenizer.encode_special_tokens = plain
+        self.added = [] if plain else [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.ranked = self._by_rank(json.loads(self.tokenizer.to_str()), public_tokenizers.PATTERN)
         if self.ranked is not None:
             self.n_bytes = np.array([len(self.ranked.decode_single_token_bytes(i)) for i in range(self.ranked.n_vocab)])
@@ -82,10 +84,10 @@ class Library:
         return tiktoken.Encoding("ranked", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
     @classmethod
-    def of(cls, name: str) -> "Library":
-        if name not in cls._made:
-            cls._made[name] = cls(name)
-        return cls._made[name]
+    def of(cls, name: str, plain: bool = False) -> "Library":
+        if (name, plain) not in cls._made:
+            cls._made[name, plain] = cls(name, plain)
+        return cls._made[name, plain]
 
     def encode(self, pieces: list[str]) -> list[bytes]:
         """Ids of each piece as little-endian unsigned 32-bit integers.
