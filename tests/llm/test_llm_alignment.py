@@ -73,7 +73,7 @@ def test_chunks_and_blocks(spark, monkeypatch):
     made = alignment.postings(docs).where("kind <> 2").selectExpr("b", "0 AS part", "kind", "a", "n", "rows").orderBy("b", "kind")
     tables = [b for b in made.toArrow().to_batches(max_chunksize=7) if b.num_rows]
     sums = Counter()
-    for b in alignment._contributions(iter(tables)):
+    for b in alignment._totals(alignment._contributions(iter(tables))):
         for r in b.to_pylist():
             sums["n_best"] += r["n_best"]
             sums["count_sum"] += r["count_sum"]

@@ -6,7 +6,8 @@ link is, and each document gets the sums over its links.
 
 Postings: a document's pairs with their multiplicities are shuffled by B's id, in blocks of many documents, as streams sorted by
 id: first the id's counts by A's id, summed in the tasks that made the blocks, then its postings.  The task that holds an id
-adds up its counts, takes their maximum and emits what each document gets; these contributions are summed by document.  An id
+adds up its counts, takes their maximum and emits what each document gets; these contributions are packed by the task that
+encoded their documents, and summed by document there.  An id
 that is linked very often is dealt to several tasks; its counts (at most A's ids) are then summed beforehand and sent to
 each.  Sorting is Spark's, which spills; a task holds one id's share of postings (about ``SHARE``) and a block of results.
 
@@ -35,6 +36,8 @@ A, B = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Postings of an id that a task gets, about; postings that a task collects into blocks, and handles at a time.
 SHARE, BLOCK, CHUNK = 200_000, 500_000, 500_000
 MARK = "▁"
+#: Bits of a row's id below the number of the task that has encoded it.
+HOME = 33
 
 
 def groups_of(a: list[int], b: list[int], a_bytes, b_bytes) -> tuple[list[tuple[list[int], list[int]]], bool]:
@@ -230,10 +233,36 @@ def _summed(batches: list[pa.RecordBatch]):
     most = np.repeat(np.maximum.reduceat(n, ids), np.diff(np.append(ids, len(code))))
     of, _, m, rows = (np.concatenate(c) for c in zip(*postings))
     at = np.searchsorted(code, of)
-    best, total = np.where(n[at] == most[at], m, 0), n[at] * m
     order = np.argsort(rows, kind="stable")
-    starts = _starts(rows[order])
-    yield pa.RecordBatch.from_arrays([pa.array(rows[order][starts]), *(pa.array(np.add.reduceat(v[order], starts), pa.int64()) for v in (best, total))], ["row", "n_best", "count_sum"])
+    rows, starts = rows[order], _starts(rows[order])
+    best, total = (np.add.reduceat(v[order], starts) for v in (np.where(n[at] == most[at], m, 0), n[at] * m))
+    rows = rows[starts]
+    homes = _starts(rows >> HOME)
+    yield pa.RecordBatch.from_arrays([pa.array(rows[homes] >> HOME), *(_lists(homes, v, pa.int64()) for v in (rows, best, total))], ["home", "rows", "n_best", "count_sum"])
+
+
+def _totals(batches):
+    """Contributions sorted by home to the sums of its rows.  Holds two numbers for each row of a home, which is what a task has encoded."""
+    now, sums = None, np.zeros((2, 0), np.int64)
+
+    def told():
+        at = np.flatnonzero(sums.any(0))
+        return pa.RecordBatch.from_arrays([pa.array(at + (now << HOME)), pa.array(sums[0, at]), pa.array(sums[1, at])], ["row", "n_best", "count_sum"])
+
+    for batch in batches:
+        for k, home in enumerate(batch.column("home").to_pylist()):
+            if home != now:
+                if now is not None:
+                    yield told()
+                now, sums = home, np.zeros((2, 0), np.int64)
+            rows, best, total = (batch.column(c)[k].values.to_numpy() for c in ("rows", "n_best", "count_sum"))
+            at = rows - (home << HOME)
+            if at[-1] >= sums.shape[1]:
+                sums = np.pad(sums, ((0, 0), (0, max(int(at[-1]) + 1 - sums.shape[1], sums.shape[1]))))
+            sums[0, at] += best  # rows of one contribution differ
+            sums[1, at] += total
+    if now is not None:
+        yield told()
 
 
 def postings(docs: DataFrame, a: str = A, b: str = B, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -261,7 +290,8 @@ def align(docs: DataFrame, a: str = A, b: str = B, id: str = "doc_id", text: str
     total = pair_counts(made.join(parts.select("b"), "b", "left_semi")).groupBy("b").agg(F.collect_list(F.struct("a", "n")).alias("p")).join(parts, "b")
     sent = total.select("b", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(COUNTS).alias("kind"), F.col("p.a").alias("a"), F.col("p.n").alias("n"), F.lit(None).cast("array<long>").alias("rows"))
     dealt = own.unionByName(sent).repartition("b", "part").sortWithinPartitions("b", "part", "kind")
-    sums = dealt.mapInArrow(_contributions, "row long, n_best long, count_sum long").groupBy("row").agg(F.sum("n_best").alias("n_best"), F.sum("count_sum").alias("count_sum"))
+    parts = dealt.mapInArrow(_contributions, "home long, rows array<long>, n_best array<long>, count_sum array<long>")
+    sums = parts.repartition("home").sortWithinPartitions("home").mapInArrow(_totals, "row long, n_best long, count_sum long")
     found = made.where(F.col("kind") == DOCUMENT).select("row", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256").join(sums, "row", "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0).cast("long")).alias(c)
     return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", zero("n_best"), zero("count_sum"), "groups_sha256")
