@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from vireo.llm import alignment, ann, bpe, chat, jaccard, langid, lm, oracles, packing, quality, substrings, tokencount
+from vireo.llm import alignment, ann, audit, bpe, chat, jaccard, langid, lm, oracles, packing, quality, substrings, tokencount, warc
 
 QUERIES: dict = {
     "op1_token_counts": tokencount.op1_token_counts,
@@ -15,6 +15,8 @@ QUERIES: dict = {
     "op8_chat_formatting": chat.op8_chat_formatting,
     "op9_packing": packing.op9_packing,
     "op10_quality_rules": quality.op10_quality_rules,
+    "op11_filter_audit": audit.op11_filter_audit,
+    "op12_warc": warc.op12_warc,
     "op13_alignment": alignment.op13_alignment,
 }
-ORACLES: dict[str, str] = oracles.ORACLES | {"op2_nearest": ann.ORACLE_OP2, "op8_chat_formatting": chat.ORACLE_OP8}
+ORACLES: dict[str, str] = oracles.ORACLES | {"op2_nearest": ann.ORACLE_OP2, "op8_chat_formatting": chat.ORACLE_OP8, "op11_filter_audit": audit.ORACLE_OP11, "op12_warc": warc.ORACLE_OP12}
