@@ -32,6 +32,8 @@ MIN_WORDS, DISTINCT_PERCENT, CAPITAL_PERCENT, SYMBOLS = 200, 50, 2, b"#$%&*|"
 CAPITALS = bytes(range(ord("A"), ord("Z") + 1))
 #: Bytes of text that a task keeps in chains before it sends them on.
 HELD = 32 << 20
+#: Bytes of text that a partition of fingerprints gets, about.
+PARTITION = 64 << 20
 GOOD, TOXIC = 1, 2
 SCHEMA = "part string, filter_order string, step int, kept long, removed long, redundant long, unique_fails long, good_lost long, toxic_lost long, shapley long"
 
@@ -176,7 +178,9 @@ def audit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "t
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id).cast("long"), F.coalesce(F.col(part), F.lit("")), F.coalesce(F.col(text), F.lit(""))).rdd
-    n = max(rows.getNumPartitions(), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    # shuffles of RDDs aren't resized while they run, so partitions are sized by the texts
+    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    n = max(rows.getNumPartitions(), int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PARTITION))
     decided = rows.mapPartitions(_local(held)).repartitionAndSortWithinPartitions(n, lambda key: key if key < 0 else key >> 8).mapPartitions(_routed)
     flags = labels.where("doc_id IS NOT NULL AND (quality = 1 OR toxic = 1)").select(F.col("doc_id").cast("long"), F.when(F.col("quality") == 1, GOOD).otherwise(0) + F.when(F.col("toxic") == 1, TOXIC).otherwise(0)).rdd
     mine = decided.map(lambda r: (r[0], (0, (r[1], r[2]), r[3])))
