@@ -4,38 +4,51 @@ from __future__ import annotations
 
 import json
 import os
+from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from vireo.functions import expressions as E
 
 num = E.num
 
-# Width, height; distance in metres, or in inches if negative; diagonal in inches; diagonal field of view in degrees;
-# peak in cd/m2; contrast, or black level if negative; ambient light in lux; colour space.
+# Width and height in pixels; distance in metres or inches; diagonal in inches or diagonal field of view in degrees;
+# peak and black level in cd/m2, or the contrast; ambient light in lux; colour space.
 PRESETS = {
-    "standard_4k": (3840, 2160, 0.7472, 30, None, 200, 1000, 250, "sRGB"),
-    "standard_hdr_pq": (3840, 2160, 0.7472, 30, None, 1500, 1000000, 10, "BT.2020-PQ"),
-    "standard_hdr_hlg": (3840, 2160, 0.7472, 30, None, 1500, 1000000, 10, "BT.2020-HLG"),
-    "standard_hdr_linear": (3840, 2160, 0.7472, 30, None, 1500, 1000000, 10, "BT.709-linear"),
-    "standard_hdr_linear_dark": (3840, 2160, 0.7472, 30, None, 1500, 1000000, 0, "BT.709-linear"),
-    "standard_hdr_linear_zoom": (3840, 2160, 0.25, 30, None, 10000, 1000000, 10, "BT.709-linear"),
-    "standard_fhd": (1920, 1080, 0.6, 24, None, 200, 1000, 250, "sRGB"),
-    "standard_hmd": (1440, 1600, 3, None, 110.0, 100, -0.1, 0, "sRGB"),
-    "standard_phone": (2400, 1080, 0.4, 6, None, 500, -0.05, 250, "sRGB"),
-    "sdr_4k_30": (3840, 2160, 0.6, 30, None, 100, 1000, 250, "sRGB"),
-    "sdr_fhd_24": (1920, 1080, 0.6, 24, None, 100, 1000, 250, "sRGB"),
-    "htc_vive_pro": (1440, 1600, 3, None, 110.0, 133.3, -0.1, 0, "sRGB"),
-    "iphone_12_pro": (2532, 1170, -20, 6.1, None, 825, -0.0004, 250, "sRGB"),
-    "iphone_14_pro": (2532, 1170, -20, 6.1, None, 1025, -0.0004, 250, "sRGB"),
-    "iphone_14_pro_vert": (1170, 2532, -20, 6.1, None, 1025, -0.0004, 250, "sRGB"),
-    "iphone_14_pro_hdr": (2532, 1170, -20, 6.1, None, 1590, -0.0004, 10, "BT.2020-HLG"),
-    "iphone_14_pro_hdr_vert": (1170, 2532, -20, 6.1, None, 1590, -0.0004, 10, "BT.2020-HLG"),
-    "ipad_pro_12_9": (2732, 2048, -20, 12.9, None, 600, -0.37, 250, "sRGB"),
-    "macbook_pro_16": (3072, 1920, -25, 16, None, 500, -0.37, 250, "sRGB"),
-    "lg_oled_2017_sdr": (3840, 2160, -101, 64.5, None, 272, -0.014, 100, "sRGB"),
-    "lg_oled_2017_hdr": (3840, 2160, -101, 64.5, None, 754, -0.038, 100, "sRGB"),
-    "eizo_CG3146": (4096, 2160, 0.73406, 31.063, None, 300, 3000, 0, "sRGB"),
+    "standard_4k": {"resolution": (3840, 2160), "metres": 0.7472, "diagonal": 30, "peak": 200, "contrast": 1000, "ambient": 250, "space": "sRGB"},
+    "standard_hdr_pq": {"resolution": (3840, 2160), "metres": 0.7472, "diagonal": 30, "peak": 1500, "contrast": 1000000, "ambient": 10, "space": "BT.2020-PQ"},
+    "standard_hdr_hlg": {"resolution": (3840, 2160), "metres": 0.7472, "diagonal": 30, "peak": 1500, "contrast": 1000000, "ambient": 10, "space": "BT.2020-HLG"},
+    "standard_hdr_linear": {"resolution": (3840, 2160), "metres": 0.7472, "diagonal": 30, "peak": 1500, "contrast": 1000000, "ambient": 10, "space": "BT.709-linear"},
+    "standard_hdr_linear_dark": {"resolution": (3840, 2160), "metres": 0.7472, "diagonal": 30, "peak": 1500, "contrast": 1000000, "ambient": 0, "space": "BT.709-linear"},
+    "standard_hdr_linear_zoom": {"resolution": (3840, 2160), "metres": 0.25, "diagonal": 30, "peak": 10000, "contrast": 1000000, "ambient": 10, "space": "BT.709-linear"},
+    "standard_fhd": {"resolution": (1920, 1080), "metres": 0.6, "diagonal": 24, "peak": 200, "contrast": 1000, "ambient": 250, "space": "sRGB"},
+    "standard_hmd": {"resolution": (1440, 1600), "metres": 3, "fov": 110.0, "peak": 100, "black": 0.1, "ambient": 0, "space": "sRGB"},
+    "standard_phone": {"resolution": (2400, 1080), "metres": 0.4, "diagonal": 6, "peak": 500, "black": 0.05, "ambient": 250, "space": "sRGB"},
+    "sdr_4k_30": {"resolution": (3840, 2160), "metres": 0.6, "diagonal": 30, "peak": 100, "contrast": 1000, "ambient": 250, "space": "sRGB"},
+    "sdr_fhd_24": {"resolution": (1920, 1080), "metres": 0.6, "diagonal": 24, "peak": 100, "contrast": 1000, "ambient": 250, "space": "sRGB"},
+    "htc_vive_pro": {"resolution": (1440, 1600), "metres": 3, "fov": 110.0, "peak": 133.3, "black": 0.1, "ambient": 0, "space": "sRGB"},
+    "iphone_12_pro": {"resolution": (2532, 1170), "inches_away": 20, "diagonal": 6.1, "peak": 825, "black": 0.0004, "ambient": 250, "space": "sRGB"},
+    "iphone_14_pro": {"resolution": (2532, 1170), "inches_away": 20, "diagonal": 6.1, "peak": 1025, "black": 0.0004, "ambient": 250, "space": "sRGB"},
+    "iphone_14_pro_vert": {"resolution": (1170, 2532), "inches_away": 20, "diagonal": 6.1, "peak": 1025, "black": 0.0004, "ambient": 250, "space": "sRGB"},
+    "iphone_14_pro_hdr": {"resolution": (2532, 1170), "inches_away": 20, "diagonal": 6.1, "peak": 1590, "black": 0.0004, "ambient": 10, "space": "BT.2020-HLG"},
+    "iphone_14_pro_hdr_vert": {"resolution": (1170, 2532), "inches_away": 20, "diagonal": 6.1, "peak": 1590, "black": 0.0004, "ambient": 10, "space": "BT.2020-HLG"},
+    "ipad_pro_12_9": {"resolution": (2732, 2048), "inches_away": 20, "diagonal": 12.9, "peak": 600, "black": 0.37, "ambient": 250, "space": "sRGB"},
+    "macbook_pro_16": {"resolution": (3072, 1920), "inches_away": 25, "diagonal": 16, "peak": 500, "black": 0.37, "ambient": 250, "space": "sRGB"},
+    "lg_oled_2017_sdr": {"resolution": (3840, 2160), "inches_away": 101, "diagonal": 64.5, "peak": 272, "black": 0.014, "ambient": 100, "space": "sRGB"},
+    "lg_oled_2017_hdr": {"resolution": (3840, 2160), "inches_away": 101, "diagonal": 64.5, "peak": 754, "black": 0.038, "ambient": 100, "space": "sRGB"},
+    "eizo_CG3146": {"resolution": (4096, 2160), "metres": 0.73406, "diagonal": 31.063, "peak": 300, "contrast": 3000, "ambient": 0, "space": "sRGB"},
+}
+# Transfer function and primaries (RGB to XYZ) of the colour spaces that presets and common files name.
+SPACES = {
+    "sRGB": ("sRGB", E.RGB_TO_XYZ["sRGB"]),
+    "BT.709": ("sRGB", E.RGB_TO_XYZ["sRGB"]),
+    "BT.709-linear": ("linear", E.RGB_TO_XYZ["sRGB"]),
+    "BT.2020-PQ": ("PQ", E.RGB_TO_XYZ["BT.2020"]),
+    "BT.2020-HLG": ("HLG", E.RGB_TO_XYZ["BT.2020"]),
+    "BT.2020-linear": ("linear", E.RGB_TO_XYZ["BT.2020"]),
+    "luminance": ("linear", None),
 }
 REFLECTIVITY, HEADSET_DISTANCE, INCH = 0.005, 3.0, 0.0254
 #: Columns of a table of displays; what is null isn't given.
@@ -44,8 +57,11 @@ SCHEMA = "display string, width int, height int, distance_m double, distance_hei
 
 def preset_rows() -> list[tuple]:
     rows = []
-    for name, (w, h, d, diagonal, fov, peak, contrast, ambient, space) in PRESETS.items():
-        rows.append((name, w, h, float(d if d > 0 else -d * INCH), None, float(diagonal) if diagonal else None, None, None, fov, None, float(peak), float(contrast if contrast > 0 else -peak / contrast), float(ambient), REFLECTIVITY, 1.0, space))
+    for name, d in PRESETS.items():
+        metres = d["metres"] if "metres" in d else d["inches_away"] * INCH
+        contrast = d["contrast"] if "contrast" in d else d["peak"] / d["black"]
+        number = lambda k: float(d[k]) if k in d else None
+        rows.append((name, *d["resolution"], float(metres), None, number("diagonal"), None, None, number("fov"), None, float(d["peak"]), float(contrast), float(d["ambient"]), REFLECTIVITY, 1.0, d["space"]))
     return rows
 
 
@@ -129,3 +145,71 @@ def encoded(v: str, target: str, display: dict) -> str:
     if display.get("eotf", "sRGB") not in ("linear", "PQ"):
         return v
     return f"({E.pu_encode(E.display_forward(v, **display))} / {E.pu_encode(white)})"
+
+
+# Displays of rows of pictures ---------------------------------------------------------------------------------------
+
+
+@dataclass(frozen=True)
+class Display:
+    """How a display turns values into light, and its pixels a degree; the default is the standard 4K display."""
+
+    peak: float = 200.0
+    contrast: float = 1000.0
+    ambient: float = 250.0
+    reflectivity: float = REFLECTIVITY
+    exposure: float = 1.0
+    eotf: str = "sRGB"
+    primaries: tuple | None = sum(E.RGB_TO_XYZ["sRGB"], ())
+    ppd: float = 75.4024493
+
+    def light(self, x: np.ndarray) -> np.ndarray:
+        """cd/m2 of planes (rows, colours, h, w); one plane stands for equal colours."""
+        black, reflected = self.peak / self.contrast, self.ambient / np.pi * self.reflectivity
+        if self.eotf == "linear":
+            return np.clip(x * self.exposure, max(0.005, black), self.peak) + reflected
+        x = np.clip(x, 0, 1)
+        if self.eotf == "PQ":
+            root = x ** (1 / E.PQ_M)
+            absolute = 10000 * (np.maximum(root - E.PQ_C1, 0) / (E.PQ_C2 - E.PQ_C3 * root)) ** (1 / E.PQ_N)
+            return np.clip(absolute * self.exposure, 0.005, self.peak) + black + reflected
+        if self.eotf == "sRGB":
+            shaped = np.where(x > 0.04045, ((x + 0.055) / 1.055) ** 2.4, x / 12.92)
+        elif self.eotf == "HLG":
+            b, c = 1 - 4 * E.HLG_A, 0.5 - E.HLG_A * np.log(4 * E.HLG_A)
+            scene = np.where(x <= 0.5, x * x / 3, (np.exp((x - c) / E.HLG_A) + b) / 12)
+            weights = np.array(E.HLG_WEIGHTS)[:, None, None] if x.shape[1] == 3 else 1.0
+            shaped = (scene * weights).sum(1, keepdims=True) ** (E.hlg_gamma(self.peak, self.ambient) - 1) * scene
+        else:
+            shaped = x ** float(self.eotf)
+        return (self.peak - black) * np.clip(shaped * self.exposure, 0, 1) + black + reflected
+
+    def to(self, *matrices) -> np.ndarray:
+        """The display's colours through matrices from XYZ, the last applied first."""
+        if self.primaries is None:
+            raise ValueError("a display of luminance alone shows no colours")
+        return E.folded(*matrices, np.reshape(self.primaries, (3, 3)))
+
+
+#: Column of the display's numbers; its fields are those of Display.
+SHOWN = "_display"
+_NUMBERS = ("peak", "contrast", "ambient", "reflectivity", "exposure")
+
+
+def described(displays: DataFrame, spaces: dict[str, tuple[str, tuple | None]] = SPACES) -> DataFrame:
+    """display and its numbers as a struct, from rows of SCHEMA; a colour space that isn't among ``spaces`` is an error."""
+    rows = [(k, eotf, None if m is None else [float(v) for row in m for v in row]) for k, (eotf, m) in spaces.items()]
+    known = displays.sparkSession.createDataFrame(rows, "colorspace string, eotf string, primaries array<double>")
+    joined = displays.join(known, "colorspace", "left")
+    joined = joined.where(F.assert_true(F.col("eotf").isNotNull(), F.concat(F.lit("no colour space named "), F.coalesce("colorspace", F.lit("null")))).isNull())
+    return joined.select("display", F.struct(*_NUMBERS, "eotf", "primaries", F.expr(GEOMETRY["ppd"]).alias("ppd")).alias(SHOWN))
+
+
+def with_display(rows: DataFrame, displays: DataFrame | None = None, spaces: dict[str, tuple[str, tuple | None]] = SPACES) -> DataFrame:
+    """rows with the numbers of the display that their column ``display`` names; a name that isn't in the table is an error.
+
+    The table of displays (presets by default) is small, and Spark broadcasts it by its size.
+    """
+    held = described(display_table(rows.sparkSession) if displays is None else displays, spaces)
+    joined = rows.join(held, "display", "left")
+    return joined.where(F.assert_true(F.col(SHOWN).isNotNull(), F.concat(F.lit("no display named "), F.coalesce(F.col("display").cast("string"), F.lit("null")))).isNull())

@@ -82,13 +82,25 @@ def display_forward(v: str, peak: float = 200, contrast: float = 1000, ambient:
     """Light of a display in cd/m2 from encoded values; black level and reflected ambient light are added."""
     black, reflected = peak / contrast, ambient / math.pi * reflectivity
     if eotf == "PQ":
-        return f"({clamp(f'({pq_decode(clamp(v, 0, 1))} * {num(exposure)})', black, peak)} + {num(reflected)})"
+        return f"({clamp(f'({pq_decode(clamp(v, 0, 1))} * {num(exposure)})', 0.005, peak)} + {num(black + reflected)})"
     if eotf == "linear":
         return f"({clamp(f'({v} * {num(exposure)})', max(0.005, black), peak)} + {num(reflected)})"
     shaped = srgb_to_linear(clamp(v, 0, 1)) if eotf == "sRGB" else f"pow({clamp(v, 0, 1)}, {num(float(eotf))})"
+    return _lit(shaped, peak, black, reflected, exposure)
+
+
+def _lit(shaped: str, peak: float, black: float, reflected: float, exposure: float) -> str:
     return f"({num(peak - black)} * {clamp(f'({shaped} * {num(exposure)})', 0, 1)} + {num(black + reflected)})"
 
 
+def display_colours(rgb: tuple[str, str, str], peak: float = 200, contrast: float = 1000, ambient: float = 250, reflectivity: float = 0.005, eotf: str = "sRGB", exposure: float = 1) -> list[str]:
+    """The same for the three components of a colour, which HLG needs together."""
+    if eotf != "HLG":
+        return [display_forward(v, peak, contrast, ambient, reflectivity, eotf, exposure) for v in rgb]
+    shaped = hlg_to_linear(tuple(clamp(v, 0, 1) for v in rgb), hlg_gamma(peak, ambient))
+    return [_lit(v, peak, peak / contrast, ambient / math.pi * reflectivity, exposure) for v in shaped]
+
+
 def matrix(m, v: tuple[str, str, str]) -> list[str]:
     return [f"({' + '.join(f'{num(k)} * {x}' for k, x in zip(row, v))})" for row in np.asarray(m, float).tolist()]
 

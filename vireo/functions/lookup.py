@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 
@@ -42,11 +42,15 @@ class Sensitivity:
     log_rho: np.ndarray
     tables: dict[tuple[int, int], np.ndarray]
     correction: float = -0.2797423303127289  # dB, fixed value
+    #: Rows of the tables by frequency and channel; a display has a few frequencies.
+    _rows: dict = field(default_factory=dict, compare=False, repr=False)
 
     def at(self, rho: float, channel: int) -> list[float]:
         """Over the luminance grid, with the correction; channel 3 is the transient one."""
-        table = self.tables[(0, channel) if channel < 3 else (1, 0)]
-        return (interp_rows(float(np.log10(rho)), self.log_rho, table) + self.correction / 20).tolist()
+        if (rho, channel) not in self._rows:
+            table = self.tables[(0, channel) if channel < 3 else (1, 0)]
+            self._rows[rho, channel] = (interp_rows(float(np.log10(rho)), self.log_rho, table) + self.correction / 20).tolist()
+        return self._rows[rho, channel]
 
     def sql(self, log_l: str, rho: float, channel: int) -> str:
         return f"pow(1e1, {interp_uniform(log_l, float(self.log_l[0]), float(self.log_l[1] - self.log_l[0]), self.at(rho, channel))})"

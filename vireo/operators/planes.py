@@ -34,26 +34,34 @@ def _fields(df: DataFrame, names: list[str]) -> list[str]:
     return [f"`{n}` {df.schema[n].dataType.simpleString()}" for n in names]
 
 
-def over_planes(df: DataFrame, stencil: Stencil, columns: list[str], out: list[str] | None = None, keep: list[str] = []) -> DataFrame:
+def _frozen(value):
+    """A value of a row as one that can be a key: structs and arrays as tuples."""
+    return tuple(map(_frozen, value.values() if isinstance(value, dict) else value)) if isinstance(value, (dict, list)) else value
+
+
+def over_planes(df: DataFrame, stencil: Stencil, columns: list[str], out: list[str] | None = None, keep: list[str] = [], of: str | None = None) -> DataFrame:
     """Columns ``keep``, band, h, w and the planes ``out`` (``columns`` by default) of each labelled result of each row of df.
 
+    With ``of``, rows are also stacked by that column's value, and the stencil gets it (structs and arrays as tuples) after the stack.
     A plane that is null or whose samples don't fill h * w is an error; null samples are NaN; an empty table gives no rows.
     """
     out = out or columns
-    rows = df.select(*keep, "h", "w", *columns)
+    rows = df.select(*keep, "h", "w", *columns, *([F.col(of).alias("_of")] if of else []))
 
     def run(batches):
         for b in batches:
-            size = b.column("h").to_numpy().astype(np.int64) * (1 << 32) + b.column("w").to_numpy()
-            for s in np.unique(size):
-                h, w = divmod(int(s), 1 << 32)
-                of_size = np.flatnonzero(size == s)
+            values = map(_frozen, b.column("_of").to_pylist()) if of else [None] * b.num_rows
+            stacks: dict[tuple, list[int]] = {}
+            for k, key in enumerate(zip(b.column("h").to_pylist(), b.column("w").to_pylist(), values)):
+                stacks.setdefault(key, []).append(k)
+            for (h, w, value), own in stacks.items():
+                of_size, more = np.array(own), (value,) if of else ()
                 step = max(1, STACKED // (h * w * len(columns)))
                 for at in range(0, len(of_size), step):
                     part = of_size[at : at + step]
                     stack = np.stack([_samples(b.column(c), part, h * w).reshape(len(part), h, w) for c in columns], 1)
                     kept = [b.column(k).take(pa.array(part)) for k in keep]
-                    for band, made in stencil(stack):
+                    for band, made in stencil(stack, *more):
                         n, _, oh, ow = made.shape
                         ends = pa.array(np.arange(n + 1, dtype=np.int32) * np.int32(oh * ow))
                         planes = [pa.ListArray.from_arrays(ends, pa.array(np.ascontiguousarray(made[:, k], float).ravel())) for k in range(made.shape[1])]
@@ -63,9 +71,9 @@ def over_planes(df: DataFrame, stencil: Stencil, columns: list[str], out: list[s
     return rows.mapInArrow(run, ", ".join([*_fields(rows, keep), "band int, h int, w int", *(f"`{c}` array<double>" for c in out)]))
 
 
-def filtered(df: DataFrame, fn: Callable[[np.ndarray], np.ndarray], columns: list[str], out: list[str] | None = None, keep: list[str] = []) -> DataFrame:
+def filtered(df: DataFrame, fn: Callable[..., np.ndarray], columns: list[str], out: list[str] | None = None, keep: list[str] = [], of: str | None = None) -> DataFrame:
     """One result a row: columns ``keep``, h, w and planes."""
-    return over_planes(df, lambda x: iter([(0, fn(x))]), columns, out, keep).drop("band")
+    return over_planes(df, lambda *x: iter([(0, fn(*x))]), columns, out, keep, of).drop("band")
 
 
 def long(df: DataFrame, columns: list[str], keep: list[str]) -> DataFrame:
@@ -127,6 +135,29 @@ def resize(x: np.ndarray, h: int, w: int, method: str = "bilinear") -> np.ndarra
     return along(along(x, -2, L.RESIZE[method], x.shape[-2], h), -1, L.RESIZE[method], x.shape[-1], w)
 
 
+def _cut_sums(x: np.ndarray, width: int) -> np.ndarray:
+    """Sums over width x width windows side by side, cut off at the far edges, from a summed area: four look-ups a window."""
+    area = np.zeros((*x.shape[:-2], x.shape[-2] + 1, x.shape[-1] + 1))
+    np.cumsum(x, -2, out=area[..., 1:, 1:])
+    np.cumsum(area[..., 1:, 1:], -1, out=area[..., 1:, 1:])
+    y, x_ = (np.append(np.arange(0, n, width), n) for n in x.shape[-2:])
+    return np.diff(np.diff(area[..., y, :][..., x_], axis=-1), axis=-2)
+
+
+def window_moments(x: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and variance of the samples of each width x width window; those at the far edges are of the samples that are there.
+
+    Samples are taken from the plane's mean, so that large sums don't drown small variances.
+    """
+    if width < 1:
+        raise ValueError("a window has a sample at least")
+    middle = x.mean((-2, -1), keepdims=True)
+    apart = x - middle
+    n = _cut_sums(np.ones(x.shape[-2:]), width)
+    mean = _cut_sums(apart, width) / n
+    return mean + middle, np.maximum(_cut_sums(apart * apart, width) / n - mean * mean, 0)
+
+
 def gaussian(x: np.ndarray, levels: int) -> list[np.ndarray]:
     """The Gaussian pyramid, finest level first; at most log2 of the shorter side levels."""
     if levels > int(np.log2(min(x.shape[-2:]))):

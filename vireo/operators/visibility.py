@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -35,7 +35,7 @@ IMAGE, D_MAX, PHASE, TEXTURE = 0.577918291091919, E.D_MAX, 3, 8
 LOG_SLOPE, LOG_LMS = 0.5, (0.7347, 0.3163)
 
 CONTRASTS = ("weber_g1", "weber_g1_ref", "weber_g0_ref", "log")
-MODELS = ("none", "transducer", "transducer-texture", "mutual", "mutual-old", "similarity", "perceptual", "perceptual-smooth")
+MODELS = ("none", "transducer", "transducer-texture", "mutual", "mutual-old", "similarity", "perceptual", "perceptual-smooth", "perceptual-gain")
 
 
 def band_frequencies(height: int, width: int, ppd: float, least: float = 0.2, base: float = 0.1) -> list[float]:
@@ -91,6 +91,8 @@ class Model:
     clamp: str = "soft"
     cross: bool = True
     added_gain: float = 1.0
+    #: Whether pooled band values have the weights of channels and base bands.
+    weighted: bool = True
     sensitivity: Sensitivity = field(default_factory=stand_in, compare=False)
 
     def bands(self, x: np.ndarray) -> list[float]:
@@ -156,7 +158,7 @@ class Model:
             yield k, np.abs(t - r) * s if k == len(rho) - 1 else self.masked(t, r, s)
 
     def weights(self, channels: int, base: bool) -> np.ndarray:
-        return np.array(CHANNEL_WEIGHT[:channels]) * (np.array(BASEBAND[:channels]) if base else 1)
+        return np.array(CHANNEL_WEIGHT[:channels]) * (np.array(BASEBAND[:channels]) if base else 1) if self.weighted else np.ones(channels)
 
     def pooled(self, x: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         """One 1 x channels plane a band, bands side by side: weighted spatial norms of the differences."""
@@ -165,6 +167,16 @@ class Model:
             q.append(safe_pow(safe_pow(d, 2).mean((-2, -1)), 0.5) * self.weights(d.shape[1], k == n - 1))
         yield 0, np.stack(q, -1)[:, None]  # rows of the plane are channels, columns bands
 
+    def patches(self, x: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """(band, planes): for each channel mean and variance of the test side's contrast times sensitivity, of the reference side's, and
+        of the difference, over windows as many samples wide as a degree of the finest band has, cut off at the far edges."""
+        rho, half, width = self.bands(x), x.shape[1] // 2, math.ceil(self.ppd)
+        for k, c, log_l in contrast_bands(x, len(rho), self.contrast):
+            t, r, s = c[:, :half], c[:, half:], self.sensed(log_l, rho[k], half)
+            d = np.abs(t - r) * s if k == len(rho) - 1 else self.masked(t, r, s)
+            moments = np.stack([m for v in (np.abs(t) * s, np.abs(r) * s, d) for m in P.window_moments(v, width)], 2)
+            yield k, moments.reshape(len(x), 6 * half, *moments.shape[-2:])
+
     def heat(self, x: np.ndarray, scale: float = 1.0) -> Iterator[tuple[int, np.ndarray]]:
         """Share of quality lost by sample: channels pooled in each band, bands put together again."""
         n, bands = len(self.bands(x)), []
@@ -183,26 +195,35 @@ def norm(values: Column, p: float, mean: bool = False) -> Column:
     return power(total / F.size(values) if mean else total, 1 / p)
 
 
-def band_values(pairs: DataFrame, columns: list[str], keep: list[str], model: Model = Model()) -> DataFrame:
-    """keep, channels: for each channel an array of its weighted band values; one row a pair of frames, no shuffle."""
-    made = P.over_planes(pairs, model.pooled, columns, ["q"], keep)
+def shown_on(model: Model, numbers: tuple) -> Model:
+    """The model for a display (the values of its struct): bands lie at its frequencies."""
+    return replace(model, ppd=numbers[-1])
+
+
+def band_values(pairs: DataFrame, columns: list[str], keep: list[str], model: Model = Model(), display: str | None = None) -> DataFrame:
+    """keep, channels: for each channel an array of its weighted band values; one row a pair of frames, no shuffle.
+
+    ``display`` names the column of the row's display, if rows differ in theirs.
+    """
+    stencil = (lambda x, numbers: shown_on(model, numbers).pooled(x)) if display else model.pooled
+    made = P.over_planes(pairs, stencil, columns, ["q"], keep, display)
     return made.select(*keep, F.transform(F.sequence(F.lit(0), F.col("h") - 1), lambda c: F.slice("q", c * F.col("w") + 1, F.col("w"))).alias("channels"))
 
 
-def frame_values(pairs: DataFrame, columns: list[str], keep: list[str], model: Model = Model()) -> DataFrame:
+def frame_values(pairs: DataFrame, columns: list[str], keep: list[str], model: Model = Model(), display: str | None = None) -> DataFrame:
     """keep, q: pooled over bands, then channels."""
-    return band_values(pairs, columns, keep, model).select(*keep, norm(F.transform("channels", lambda b: norm(b, 4)), 4).alias("q"))
+    return band_values(pairs, columns, keep, model, display).select(*keep, norm(F.transform("channels", lambda b: norm(b, 4)), 4).alias("q"))
 
 
-def image_scores(pairs: DataFrame, columns: list[str], keep: list[str], model: Model = Model()) -> DataFrame:
+def image_scores(pairs: DataFrame, columns: list[str], keep: list[str], model: Model = Model(), display: str | None = None) -> DataFrame:
     """keep, q and score of image pairs; 10 means identical."""
-    q = frame_values(pairs, columns, keep, model).withColumn("q", F.col("q") * IMAGE)
+    q = frame_values(pairs, columns, keep, model, display).withColumn("q", F.col("q") * IMAGE)
     return q.withColumn("score", F.expr(E.jod("q")))
 
 
-def video_scores(pairs: DataFrame, columns: list[str], clip: list[str], model: Model = Model()) -> DataFrame:
+def video_scores(pairs: DataFrame, columns: list[str], clip: list[str], model: Model = Model(), display: str | None = None) -> DataFrame:
     """clip, frames, q and score; frames are pooled by one aggregation."""
-    q = frame_values(pairs, columns, clip, model).groupBy(*clip)
+    q = frame_values(pairs, columns, clip, model, display).groupBy(*clip)
     pooled = q.agg(F.count(F.lit(1)).alias("frames"), F.expr(E.safe_pow(f"(sum({E.safe_pow('q', 2)}) / count(*))", 0.5)).alias("q"))
     return pooled.withColumn("score", F.expr(E.jod("q")))
 
