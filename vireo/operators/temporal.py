@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from vireo.operators import linear as L
 from vireo.operators.planes import STACKED, _fields
 
+#: Frames of a block at least; blocks grow with the filter, so that it reaches into one block before its own.
 BLOCK = 64
 #: Plane that feeds each channel: Y, RG, YV, Y.
 FEEDS = (0, 1, 2, 0)
@@ -21,10 +22,13 @@ PADDINGS = ("replicate", "symmetric")
 
 
 class _Filter:
-    """One block's frames in, runs of filtered frames out; a run has ``chunk`` frames or more."""
+    """One block's frames in, from frame ``begin`` on, runs of filtered frames out; a run has ``chunk`` frames or more.
 
-    def __init__(self, first: bool, taps: np.ndarray, padding: str, chunk: int):
-        self.taps, self.padding, self.chunk, self.held, self.padded = taps, padding, chunk, [], not first
+    A clip begins at frame 0; a block that begins later is led in by the frames that its filter reaches back to.
+    """
+
+    def __init__(self, begin: int, taps: np.ndarray, padding: str, chunk: int):
+        self.begin, self.taps, self.padding, self.chunk, self.held, self.padded = begin, taps, padding, chunk, [], begin > 0
 
     def _filtered(self) -> list[tuple[int, np.ndarray]]:
         n = self.taps.shape[1]
@@ -44,8 +48,8 @@ class _Filter:
         self.padded = True
 
     def push(self, frame: int, planes: np.ndarray) -> list[tuple[int, np.ndarray]]:
-        if self.held and frame != self.held[-1][0] + 1:
-            raise ValueError(f"frame {frame} follows frame {self.held[-1][0]}: a frame is missing or there twice")
+        if frame != (self.held[-1][0] + 1 if self.held else self.begin):
+            raise ValueError(f"frame {frame} follows frame {self.held[-1][0] if self.held else self.begin - 1}: a frame is missing or there twice")
         self.held.append((frame, planes))
         if not self.padded and len(self.held) == self.taps.shape[1]:
             self._pad()
@@ -61,18 +65,18 @@ def temporal_channels(frames: DataFrame, fps: float, columns: list[str], clip: s
     """clip, frame, h, w, t0..t3 and, with a reference side, r0..r3.
 
     frames: clip, frame (from 0, without gaps), h, w and ``columns``: the planes Y, RG, YV of the test side, then of the reference;
-    a single plane a side feeds all channels.  A gap or a repeated frame is an error; a null clip is a clip; an empty table
-    gives no rows.
+    a single plane a side feeds all channels.  A gap, also one at the start or at a block's border, or a repeated frame is an error;
+    frames without a number are one too; a null clip is a clip; an empty table gives no rows.  Any frame rate can be filtered.
     """
     if padding not in PADDINGS:
         raise ValueError(f"no padding named {padding}")
     taps = np.array([L.temporal_taps(fps, c, transient) for c in L.SIGMA])
     taps = taps[[list(L.SIGMA).index(c) for c in ("Ysust", "RG", "YV", "Ytrans")]]
     reach, single = taps.shape[1] - 1, len(columns) < 3
-    if reach > BLOCK:
-        raise ValueError("the filter reaches beyond a block of frames")
-    own = F.expr(f"CAST(frame DIV {BLOCK} AS INT)")
-    blocks = F.when(F.col("frame") % BLOCK >= BLOCK - reach, F.array(own, own + 1)).otherwise(F.array(own))
+    length = max(BLOCK, reach + 1)
+    own = F.expr(f"CAST(frame DIV {length} AS INT)")
+    blocks = F.when(F.col("frame") % length >= length - reach, F.array(own, own + 1)).otherwise(F.array(own))
+    frames = frames.where(F.assert_true(F.coalesce(F.col("frame") >= 0, F.lit(False)), F.lit("a frame has no number")).isNull())
     rows = frames.select(F.col(clip).alias("clip"), F.col("frame").cast("int").alias("frame"), F.explode(blocks).alias("block"), "h", "w", *columns)
     rows = rows.repartition("clip", "block").sortWithinPartitions("clip", "block", "frame")
     out = [f"{s}{c}" for s in "tr"[: 1 if len(columns) in (1, 3) else 2] for c in range(4)]
@@ -83,7 +87,7 @@ def temporal_channels(frames: DataFrame, fps: float, columns: list[str], clip: s
         def taken(frames):
             nonlocal held
             for frame, planes in frames:
-                if frame // BLOCK == at[1]:
+                if frame // length == at[1]:
                     made.append((at[0], frame, *size, planes.reshape(len(out), -1)))
                     held += planes.size
 
@@ -104,7 +108,7 @@ def temporal_channels(frames: DataFrame, fps: float, columns: list[str], clip: s
                     if fir is not None:
                         taken(fir.finish())
                     at, size = (c, block), (h, w)
-                    fir = _Filter(block == 0, taps, padding, min(BLOCK, max(1, STACKED // (h * w * len(out)))))
+                    fir = _Filter(max(0, block * length - reach), taps, padding, min(length, max(1, STACKED // (h * w * len(out)))))
                 planes = [v[e[k] : e[k + 1]] for e, v in samples]
                 if (h, w) != size or any(len(p) != h * w for p in planes):
                     raise ValueError("a clip's planes must have one size and hold h * w samples")
