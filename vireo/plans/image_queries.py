@@ -196,7 +196,6 @@ def _over_images(name: str, sql: str) -> None:
     ORACLES[name] = f"WITH img AS ({signals.IMAGES_DUCKDB}) {sql}"
 
 
-_over_images("avg_pool_features", "SELECT vec_id, CAST(floor(y / 3e0) AS INT) AS py, CAST(floor(x / 3e0) AS INT) AS px, round(avg(v), 6) AS mean, round(avg(v * v) - avg(v) * avg(v), 6) AS var FROM img GROUP BY vec_id, CAST(floor(y / 3e0) AS INT), CAST(floor(x / 3e0) AS INT)")
 _moments = "avg(t) AS mt, avg(r) AS mr, avg(t * t) AS tt, avg(r * r) AS rr, avg(t * r) AS tr"
 _over_images("ssim_blocks", f"SELECT vec_id, round(avg((2e0 * mt * mr + 1e-4) * (2e0 * (tr - mt * mr) + 9e-4) / ((mt * mt + mr * mr + 1e-4) * (tt - mt * mt + rr - mr * mr + 9e-4))), 6) AS ssim FROM (SELECT a.vec_id, CAST(floor(a.y / 4e0) AS INT) AS by_, CAST(floor(a.x / 4e0) AS INT) AS bx_, {_moments} FROM (SELECT vec_id, y, x, v AS t FROM img) a JOIN (SELECT vec_id - 1 AS vec_id, y, x, v AS r FROM img) b ON a.vec_id = b.vec_id AND a.y = b.y AND a.x = b.x GROUP BY a.vec_id, CAST(floor(a.y / 4e0) AS INT), CAST(floor(a.x / 4e0) AS INT)) AS s GROUP BY vec_id")
 _over_images("tonemap_hist", "SELECT bin, n, round(sum(p) OVER (ORDER BY bin) / sum(p) OVER (), 6) AS level FROM (SELECT bin, count(*) AS n, pow(CAST(count(*) AS DOUBLE), 1e0 / 3e0) AS p FROM (SELECT CAST(least(floor(v * 64e0), 63e0) AS INT) AS bin FROM img) AS b GROUP BY bin) AS h")

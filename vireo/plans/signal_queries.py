@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from vireo.functions import expressions as E
 from vireo.functions.lookup import interp, interp_uniform, stand_in
 from vireo.operators import linear as L
+from vireo.operators.numbering import ranked
 from vireo.plans import pixel_queries as P
 from vireo.sources import signals
 from vireo.streaming import frames as stream
@@ -39,19 +40,34 @@ _PADDING = {
     "replicate": "greatest(a.frame - h.tap, 0)",
     "symmetric": "(CASE WHEN a.n = 1 THEN 0 ELSE least(abs(a.frame - h.tap) % (2 * a.n - 2 + CAST(a.n = 1 AS INT)), (2 * a.n - 2) - abs(a.frame - h.tap) % (2 * a.n - 2 + CAST(a.n = 1 AS INT))) END)",
 }
-for _name, _channel, _pad in (("temporal_fir_replicate", "Ysust", "replicate"), ("temporal_fir_symmetric", "Ysust", "symmetric"), ("temporal_fir_rg", "RG", "replicate"), ("temporal_transient", "Ytrans", "replicate")):
-    _sql(_name, f"WITH {_SEQUENCE} SELECT a.user_id, CAST(a.frame AS INT) AS frame, round(sum(b.v * h.w), 4) AS v FROM seq a CROSS JOIN {_taps_table(_channel)} JOIN seq b ON b.user_id = a.user_id AND b.frame = {_PADDING[_pad]} GROUP BY a.user_id, a.frame", "events")
-
 
-def temporal_fir_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The sustained filter as lags over a window of frames: one sort, no join."""
-    signals.views(spark, sf_dir, "events")
-    taps = L.temporal_taps(30, "Ysust")
-    over = "OVER (PARTITION BY user_id ORDER BY frame)"
-    v = " + ".join(f"{num(w)} * coalesce(lag(v, {k}) {over}, first_value(v) {over})" for k, w in enumerate(taps))
-    return spark.sql(f"SELECT user_id, CAST(frame AS INT) AS frame, round({v}, 4) AS v FROM ({signals.FRAMES}) AS s")
 
+def _fir(channel: str, pad: str):
+    """A filter as lags over a window of frames: one sort, no join.  Frames before the first come from the other end of the window."""
 
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        signals.views(spark, sf_dir, "events")
+        over = "OVER (PARTITION BY user_id ORDER BY frame)"
+        whole = "OVER (PARTITION BY user_id ORDER BY frame ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"
+        taps = L.temporal_taps(30, channel)
+        # the clip back and forth: its first frames, a filter's length of them at most, by index
+        back = lambda k: f"element_at(head, CAST({_BACK.format(at=f'(frame - {k})')} AS INT) + 1)"
+        early = {"replicate": lambda k: f"first_value(v) {over}", "symmetric": back}[pad]
+        v = " + ".join(f"{num(w)} * coalesce(lag(v, {k}) {over}, {early(k)})" for k, w in enumerate(taps))
+        rows = f"SELECT user_id, frame, v, count(*) OVER (PARTITION BY user_id) AS n FROM ({signals.FRAMES}) AS s"
+        if pad == "symmetric":
+            rows = f"SELECT *, transform(array_sort(collect_list(CASE WHEN frame < {len(taps)} THEN struct(frame, v) END) {whole}), s -> s.v) AS head FROM ({rows}) AS c"
+        return spark.sql(f"SELECT user_id, CAST(frame AS INT) AS frame, round({v}, 4) AS v FROM ({rows}) AS s")
+
+    return query
+
+
+#: Place of a frame before the first when the clip runs back and forth.
+_BACK = "(CASE WHEN n = 1 THEN 0 ELSE least(abs{at} % greatest(2 * n - 2, 1), (2 * n - 2) - abs{at} % greatest(2 * n - 2, 1)) END)"
+for _name, _channel, _pad in (("temporal_fir_replicate", "Ysust", "replicate"), ("temporal_fir_symmetric", "Ysust", "symmetric"), ("temporal_fir_rg", "RG", "replicate"), ("temporal_transient", "Ytrans", "replicate")):
+    QUERIES[_name] = _fir(_channel, _pad)
+    ORACLES[_name] = f"WITH {_SEQUENCE} SELECT a.user_id, CAST(a.frame AS INT) AS frame, round(sum(b.v * h.w), 4) AS v FROM seq a CROSS JOIN {_taps_table(_channel)} JOIN seq b ON b.user_id = a.user_id AND b.frame = {_PADDING[_pad]} GROUP BY a.user_id, a.frame"
+temporal_fir_window = _fir("Ysust", "replicate")
 QUERIES["temporal_fir_window"], ORACLES["temporal_fir_window"] = temporal_fir_window, ORACLES["temporal_fir_replicate"]
 _sql("frame_range_filter", f"WITH {_SEQUENCE} SELECT user_id, CAST(frame AS INT) AS frame, v FROM seq WHERE frame BETWEEN 2 AND 20 AND (frame - 2) % 3 = 0", "events")
 _sql("frame_limit", f"WITH {_SEQUENCE} SELECT user_id, count(*) AS frames, round(avg(v), 6) AS mean FROM seq WHERE frame < 10 GROUP BY user_id", "events")
@@ -74,14 +90,25 @@ _sql("pair_broadcast", "SELECT n_name, r_name FROM nation CROSS JOIN region WHER
 _sql("metric_cross", "SELECT n_nationkey, m.metric FROM nation CROSS JOIN (VALUES ('psnr'), ('score')) AS m(metric)", "nation")
 _sql("display_per_row", "SELECT s_suppkey, n_name AS display FROM supplier JOIN nation ON s_nationkey = n_nationkey", "supplier", "nation")
 _sql("split_semi", "SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')", "orders", "customer")
-_sql("resume_anti", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)", "customer", "orders")
-_sql("split_diff", "SELECT k FROM (SELECT o_custkey AS k FROM orders UNION ALL SELECT c_custkey AS k FROM customer) AS u GROUP BY k HAVING count(*) = 1", "orders", "customer")
+# Done are the conditions that have an urgent order; the test split are the rows that aren't in the training split, nor twice in the table.
+_sql("resume_anti", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')", "customer", "orders")
+_SPLIT = "o_custkey, o_orderpriority, o_orderstatus"
+_sql("split_diff", f"SELECT {_SPLIT} FROM (SELECT {_SPLIT} FROM orders UNION ALL SELECT {_SPLIT} FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment <> 'BUILDING')) AS u GROUP BY {_SPLIT} HAVING count(*) = 1", "orders", "customer")
 _sql("split_counts", "SELECT o_orderpriority, count(DISTINCT o_custkey) AS keys, count(*) AS n FROM orders GROUP BY o_orderpriority", "orders")
 _sql("best_epoch", "SELECT o_orderpriority, o_orderkey FROM (SELECT o_orderpriority, o_orderkey, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice DESC, o_orderkey) AS k FROM orders) AS r WHERE k = 1", "orders")
-# Average ranks come from counts of distinct values, so the window runs over values, not rows.
 _rank = lambda v: f"(SELECT v, sum(n) OVER (ORDER BY v) - n + (n + 1) / 2e0 AS rank FROM (SELECT {v} AS v, count(*) AS n FROM lineitem GROUP BY {v}) AS c)"
 _ranks = f"SELECT l_discount * 10e0 AS a, l_quantity / 50e0 AS b, x.rank AS ra, y.rank AS rb FROM lineitem JOIN {_rank('l_discount')} AS x ON l_discount = x.v JOIN {_rank('l_quantity')} AS y ON l_quantity = y.v"
-_sql("calib_rmse_pearson_spearman", f"SELECT round(sqrt(avg(pow(a - b, 2e0))), 8) AS rmse, round(avg(pow(a - b, 2e0)), 8) AS mse, round(corr(a, b), 8) AS pearson, round(corr(ra, rb), 8) AS spearman FROM ({_ranks}) AS r", "lineitem")
+_AGREE = ["round(sqrt(avg(pow(a - b, 2e0))), 8) AS rmse", "round(avg(pow(a - b, 2e0)), 8) AS mse", "round(corr(a, b), 8) AS pearson", "round(corr(ra, rb), 8) AS spearman"]
+
+
+def calib_rmse_pearson_spearman(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Agreement of two scores; ranks are found by ranges of values."""
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").selectExpr("l_discount * 10e0 AS a", "l_quantity / 50e0 AS b")
+    return ranked(ranked(rows, "a", "ra"), "b", "rb").selectExpr(*_AGREE)
+
+
+QUERIES["calib_rmse_pearson_spearman"] = calib_rmse_pearson_spearman
+ORACLES["calib_rmse_pearson_spearman"] = f"SELECT {', '.join(_AGREE)} FROM ({_ranks}) AS r"
 _wide = "SELECT o_orderpriority AS test, round(avg(CASE WHEN o_orderstatus = 'F' THEN o_totalprice END), 4) AS f, round(avg(CASE WHEN o_orderstatus = 'O' THEN o_totalprice END), 4) AS o FROM orders GROUP BY o_orderpriority"
 
 
@@ -94,11 +121,6 @@ def result_csv_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["result_csv_pivot"], ORACLES["result_csv_pivot"] = result_csv_pivot, _wide
 _sql("result_stdout", "SELECT p_partkey, format_string('%s=%.4f [%s]', p_brand, p_retailprice, 'score') AS line FROM part", "part", oracle="SELECT p_partkey, printf('%s=%.4f [%s]', p_brand, p_retailprice, 'score') AS line FROM part")
 
-# Names of raw video files: <base>_<W>x<H>_<bits>b_<chroma>_<space>_<fps>fps.yuv
-_name = "concat('clip', CAST(p_partkey AS VARCHAR(20)), '_', CAST(640 + p_size * 16 AS VARCHAR(20)), 'x', CAST(360 + p_size * 8 AS VARCHAR(20)), '_', CASE WHEN p_partkey % 2 = 0 THEN '10b' ELSE '8b' END, '_', CASE p_partkey % 3 WHEN 0 THEN '444' WHEN 1 THEN '422' ELSE '420' END, '_', CASE WHEN p_partkey % 5 = 0 THEN '2020' ELSE '709' END, '_', CAST(24 + p_partkey % 37 AS VARCHAR(20)), 'fps.yuv')"
-_sql("yuv_name_build", f"SELECT p_partkey, {_name} AS name FROM part", "part")
-_get = lambda p: f"CAST(regexp_extract(name, '{p}', 1) AS INT)"
-_sql("yuv_name_parse", f"SELECT p_partkey, {_get('_([0-9]+)x')} AS width, {_get('x([0-9]+)_')} AS height, {_get('_([0-9]+)b_')} AS bits, {_get('_(4[24][024])_')} AS chroma, {_get('_(709|2020)_')} AS space, {_get('_([0-9]+)fps')} AS fps FROM (SELECT p_partkey, {_name} AS name FROM part) AS n", "part")
 _sql("condition_id", "SELECT p_partkey, replace(regexp_replace(concat('set/', p_brand, '/', CAST(p_partkey AS VARCHAR(20)), '.mp4'), '[.][a-z0-9]+$', ''), '/', '_') AS id FROM part", "part")
 _sql("feature_json", "SELECT o_custkey, get_json_object(j, '$.t0_b1') AS t0_b1, get_json_object(j, '$.n') AS n FROM (SELECT o_custkey, to_json(named_struct('t0_b1', CAST(count(*) AS STRING), 'n', CAST(max(o_orderkey) AS STRING))) AS j FROM orders GROUP BY o_custkey) AS f", "orders", oracle="SELECT o_custkey, CAST(count(*) AS VARCHAR) AS t0_b1, CAST(max(o_orderkey) AS VARCHAR) AS n FROM orders GROUP BY o_custkey")
 _sql("feature_band_resample", f"SELECT l_tax AS b, round({interp('(log2(greatest(l_tax * 100e0, 1e-3)))', [-1.0, 1.0, 2.0, 6.0], [0.1, 0.5, 0.9, 0.2])}, 6) AS f FROM lineitem", "lineitem")

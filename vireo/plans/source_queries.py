@@ -13,8 +13,10 @@ from vireo.functions import expressions as E
 from vireo.operators import linear as L
 from vireo.operators import metrics as M
 from vireo.operators import planes as P
+from vireo.operators import reports as R
 from vireo.operators import temporal as T
 from vireo.operators import visibility as V
+from vireo.operators.calibration import condition_id
 from vireo.plans import image_queries as I
 from vireo.plans import pixel_queries as PX
 from vireo.plans.signal_queries import _SEQUENCE
@@ -62,8 +64,9 @@ def display_eccentricity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["display_eccentricity"] = display_eccentricity
 ORACLES["display_eccentricity"] = f"SELECT display, angle, round({D.ppd_at('angle')}, 6) AS ppd FROM {D.values_sql(_ROWS)}, (SELECT CAST(unnest(range(0, 60, 10)) AS DOUBLE) AS angle) AS a"
-#: Mean light of the pixels of each pair on each encoded display.
-_SWEEP = f"SELECT pair, display, round(avg((peak - peak / contrast) * {E.srgb_to_linear('t')} + peak / contrast + ambient / {num(np.pi)} * reflectivity), 4) AS light FROM ({PX._rows}) AS p CROSS JOIN {{displays}} WHERE colorspace = 'sRGB' GROUP BY pair, display"
+#: Mean light of the pixels of each pair on each encoded display.  Light is linear in the shaped values, so these are averaged first.
+_SWEEP = f"SELECT pair, display, round((peak - peak / contrast) * shaped + peak / contrast + ambient / {num(np.pi)} * reflectivity, 4) AS light FROM (SELECT pair, avg({E.srgb_to_linear('t')}) AS shaped FROM ({PX._rows}) AS p GROUP BY pair) AS a CROSS JOIN {{displays}} WHERE colorspace = 'sRGB'"
+_SWEEP_SQL = f"SELECT pair, display, round(avg((peak - peak / contrast) * {E.srgb_to_linear('t')} + peak / contrast + ambient / {num(np.pi)} * reflectivity), 4) AS light FROM ({PX._rows}) AS p CROSS JOIN {{displays}} WHERE colorspace = 'sRGB' GROUP BY pair, display"
 
 
 def display_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,7 +75,7 @@ def display_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(_SWEEP.format(displays="vireo_displays"))
 
 
-QUERIES["display_sweep"], ORACLES["display_sweep"] = display_sweep, _SWEEP.format(displays=D.values_sql(D.preset_rows()))
+QUERIES["display_sweep"], ORACLES["display_sweep"] = display_sweep, _SWEEP_SQL.format(displays=D.values_sql(D.preset_rows()))
 _PQ, _LINEAR = {"peak": 1500, "contrast": 1e6, "ambient": 10, "eotf": "PQ"}, {"peak": 1500, "contrast": 1e6, "ambient": 10, "eotf": "linear"}
 for _target in ("display_encoded_01", "display_encoded_100nit", "display_encoded_dmax"):
     PX._scalar(f"{_target}_by_display", sdr=D.encoded("t", _target, {"peak": 200}), pq=D.encoded("t", _target, _PQ), linear=D.encoded("(t * 900e0)", _target, _LINEAR))
@@ -152,17 +155,71 @@ QUERIES["metric_lines"] = lambda spark, sf_dir: M.result_lines(M.evaluate(colour
 ORACLES["metric_lines"] = f"{_METRICS_SQL} SELECT clip, printf('psnr_rgb=%.4f [dB]', psnr_rgb) AS line FROM v UNION ALL SELECT clip, printf('ssim=%.4f', ssim) FROM v"
 
 
-def display_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Both sides as they look on the display, in codes of a PQ display, side by side along the shorter axis."""
-    to_wide = E.folded(E.XYZ_TO_RGB2020, PX.xyz)
+#: Displays of each kind, and what values are multiplied by: linear content is in cd/m2.
+KINDS = {"standard_4k": 1, "standard_hdr_pq": 1, "standard_hdr_hlg": 1, "standard_hdr_linear": 900}
+_SCORED = ["psnr_rgb", "pu_psnr_y", "visible_difference"]
+
+
+def scaled_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Colour pairs for each kind of display, in the values that it takes."""
+    pairs = colour_pairs(spark, sf_dir).select("*", F.inline(F.array(*(F.struct(F.lit(k).alias("display"), F.lit(float(m)).alias("most")) for k, m in KINDS.items()))))
+    return pairs.withColumns({f"{s}{k}": F.expr(f"transform({s}{k}, v -> v * most)") for s in "tr" for k in range(3)}).drop("most")
+
+
+def display_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Colour pairs scored on displays with standard, PQ, HLG and linear content; each row's display comes from the table of displays."""
+    made = M.result_table(M.evaluate(scaled_pairs(spark, sf_dir), _SCORED), _SCORED)
+    return made.select("clip", "display", *(F.round(n, 4).alias(n) for n in _SCORED))
+
+
+def _display_scores_sql() -> str:
+    rows = {r[0]: dict(zip([f.split()[0] for f in D.SCHEMA.split(", ")], r)) for r in D.preset_rows()}
+    lit, coded, ppd = [], [], []
+    for k, (name, most) in enumerate(KINDS.items()):
+        d = rows[name]
+        eotf, primaries = D.SPACES[d["colorspace"]]
+        photometry = {f: d[f] for f in ("peak", "contrast", "ambient", "reflectivity", "exposure")} | {"eotf": eotf}
+        side = lambda s: E.display_colours([f"({s}{c} * {num(most)})" for c in range(3)], **photometry)
+        dkl = lambda s: E.matrix(E.folded(E.LMS_TO_DKL, E.XYZ_TO_LMS, primaries), side(s))
+        lit.append(f"SELECT vec_id * 4 + {k} AS vec_id, y, x, {', '.join(f'{e} AS {s}{c}' for s in 'tr' for c, e in enumerate(dkl(s)))} FROM p")
+        code = lambda v, e: f"({E.pu_encode(e)} / {E.pu_encode('1e2')})" if eotf in ("PQ", "linear") else f"({v} * {num(most)})"
+        rgb = " + ".join(_square(*(code(f"{s}{c}", side(s)[c]) for s in "tr")) for c in range(3))
+        coded.append(f"SELECT vec_id * 4 + {k} AS vec_id, avg(({rgb}) / 3e0) AS rgb, avg({_square(*(E.matrix(primaries, side(s))[1] for s in 'tr'))}) AS lum FROM p GROUP BY vec_id")
+        ppd.append(float(E_PPD[name]))
+    held = two_bands_sql(4, 5, 3, *(V.band_frequencies(4, 5, p) for p in ppd))
+    return f"""{_PAIR_SQL}, g0 AS ({' UNION ALL '.join(lit)}), codes AS ({' UNION ALL '.join(coded)}), {held},
+s AS (SELECT vec_id, q * {num(V.IMAGE)} AS q FROM f), names AS (SELECT * FROM (VALUES {', '.join(f"({k}, '{name}')" for k, name in enumerate(KINDS))}) AS n(k, display))
+SELECT vec_id // 4 AS clip, display, round(20e0 * log10(1e0 / sqrt(rgb)), 4) AS psnr_rgb, round(20e0 * log10({_PU100} / sqrt(lum)), 4) AS pu_psnr_y, round({E.jod('q')}, 4) AS visible_difference
+FROM s JOIN codes USING (vec_id) JOIN names ON k = vec_id % 4"""
+
+
+def two_bands_sql(h: int, w: int, channels: int, *rho: list[float]) -> str:
+    """g1 to f(vec_id, q): pooled differences from g0(vec_id, y, x, t0.., r0..) of planes that have two bands; with several lists of
+    frequencies, that of vec_id modulo their number."""
+    planes = tuple(f"{s}{c}" for s in "tr" for c in range(channels))
+    sense = lambda c: "(CASE " + " ".join(f"WHEN vec_id % {len(rho)} = {k} AND band = {b} THEN {V.Model().sensitivity.sql('lb', f, c)}" for k, own in enumerate(rho) for b, f in enumerate(own)) + " END)"
+    scaled = lambda s, c: f"({s}{c} * s{c} * {num(V.GAIN[c])})"
+    masking = lambda cc: "(" + " + ".join(f"{num(2 ** V.CROSS[c][cc])} * {E.safe_pow(f'(least(abs({scaled('t', c)}), abs({scaled('r', c)})) * {num(10**V.MASK_C)})', V.MASK_Q[c])}" for c in range(channels)) + ")"
+    differ = lambda c: f"(CASE WHEN band = 1 THEN abs(t{c} - r{c}) * s{c} ELSE {E.clamp_difference(f'({E.safe_pow(f'abs({scaled('t', c)} - {scaled('r', c)})', V.MASK_P)} / (1e0 + {masking(c)}))')} END)"
+    pooled = ", ".join(f"{E.safe_pow(f'(sum({E.safe_pow(f'd{c}', 2)}) / count(*))', 0.5)} * {num(V.CHANNEL_WEIGHT[c])} * CASE WHEN band = 1 THEN {num(V.BASEBAND[c])} ELSE 1e0 END AS q{c}" for c in range(channels))
+    bands = " + ".join(E.safe_pow(E.safe_pow(f"sum({E.safe_pow(f'q{c}', 4)})", 0.25), 4) for c in range(channels))
+    e0 = L.separable_sql("g1", L.expand_weights(-(-h // 2), h), L.expand_weights(-(-w // 2), w), values=planes)
+    return f"""g1 AS (SELECT * FROM {L.separable_sql('g0', L.reduce_weights(h), L.reduce_weights(w, bool(h % 2)), values=planes)} AS z), e0 AS (SELECT * FROM {e0} AS z),
+mean AS (SELECT vec_id, avg(greatest(t0, 1e-2)) AS mt, avg(greatest(r0, 1e-2)) AS mr FROM g1 GROUP BY vec_id),
+con AS (SELECT vec_id, 0 AS band, log10(greatest(e0.r0, 1e-2)) AS lb, {', '.join(f'least((g0.{p} - e0.{p}) / greatest(e0.{p[0]}0, 1e-2), 1e3) AS {p}' for p in planes)} FROM g0 JOIN e0 USING (vec_id, y, x)
+  UNION ALL SELECT vec_id, 1, log10(mr), {', '.join(f'least({p} / m{p[0]}, 1e3)' for p in planes)} FROM g1 JOIN mean USING (vec_id)),
+sen AS (SELECT *, {', '.join(f'{sense(c)} AS s{c}' for c in range(channels))} FROM con), dif AS (SELECT vec_id, band, {', '.join(f'{differ(c)} AS d{c}' for c in range(channels))} FROM sen),
+b AS (SELECT vec_id, band, {pooled} FROM dif GROUP BY vec_id, band), f AS (SELECT vec_id, {E.safe_pow(f'({bands})', 0.25)} AS q FROM b GROUP BY vec_id)"""
+
+
+#: Pixels a degree of the standard displays, which share their geometry.
+E_PPD = dict.fromkeys(KINDS, 75.40244934516303)
+QUERIES["display_scores"], ORACLES["display_scores"] = display_scores, _display_scores_sql()
 
-    def seen(x: np.ndarray) -> np.ndarray:
-        y = (np.clip(M.mixed(M.light(x), to_wide), 0, 10000) / 10000) ** E.PQ_N
-        return ((E.PQ_C2 * y + E.PQ_C1) / (1 + E.PQ_C3 * y)) ** E.PQ_M
 
-    beside = lambda x: np.concatenate([seen(x[:, :3]), seen(x[:, 3:])], -1 if x.shape[-1] < x.shape[-2] else -2)
-    made = P.filtered(colour_pairs(spark, sf_dir), beside, [f"{s}{k}" for s in "tr" for k in range(3)], ["red", "green", "blue"], ["clip"])
-    return I._samples(made, ["red", "green", "blue"], ["clip"], 5)
+def display_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both sides as they look on the display, in codes of a PQ display, side by side along the shorter axis."""
+    return I._samples(R.previews(colour_pairs(spark, sf_dir), "dm_preview_sbs"), ["red", "green", "blue"], ["clip"], 5)
 
 
 _codes = lambda s: [E.pq_encode(x) for x in _rgb2020(s)]
@@ -199,7 +256,6 @@ def yuv_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["yuv_samples"] = yuv_samples
 ORACLES["yuv_samples"] = f"SELECT vec_id, CAST(i // 4 AS INTEGER) AS y, CAST(i % 4 AS INTEGER) AS x, CAST({_code('i', '16e0', '224e0')} AS INTEGER) AS code FROM embeddings, range(16) AS g(i) WHERE len(embedding) = 64"
-_sql("frame_cast", "SELECT p_partkey, kind, round(CASE kind WHEN 0 THEN (p_partkey % 256) / 255e0 WHEN 1 THEN (p_partkey * 7 % 65536) / 65535e0 WHEN 2 THEN ((p_partkey * 7 % 65536 - 32768) & 65535) / 65535e0 ELSE p_retailprice END, 8) AS v FROM (SELECT p_partkey, p_retailprice, p_partkey % 4 AS kind FROM part) AS s", "part")
 
 
 def frame_resize(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -273,15 +329,18 @@ _LINE = "concat('\"set,', p_brand, '/', CAST(p_partkey AS STRING), '.mp4\",', CA
 
 
 def quality_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conditions written as a file with settings ahead of its header, read back with a setting on each row and their ids."""
+    """Conditions written as files, the first with settings ahead of its header, read back with a setting on each row and their ids."""
     signals.views(spark, sf_dir, "part")
     at = f"{stream._folder(spark)}/conditions"
-    prelude = spark.createDataFrame([("# conditions",), ("full-range: true",), ("",), ("display: standard_4k",), ("test,jod",)], "value string").coalesce(1)
-    prelude.union(spark.sql(f"SELECT {_LINE} AS value FROM part").coalesce(1)).coalesce(1).write.text(at)
-    rows, settings = rawvideo.read_condition_table(spark, at, "test string, jod double")
+    rows = spark.sql(f"SELECT p_partkey, {_LINE} AS value FROM part")
+    least = rows.agg(F.min("p_partkey")).first()[0]
+    head = F.when(F.col("p_partkey") == least, F.array(*map(F.lit, ("# conditions", "full-range: true", "", "display: standard_4k", "test,jod")))).otherwise(F.array().cast("array<string>"))
+    # ranges of keys, so that files are in order and the first row, with the header's lines ahead of it, is in the first
+    ordered = rows.repartitionByRange("p_partkey").sortWithinPartitions("p_partkey")
+    ordered.select(F.explode(F.concat(head, F.array("value"))).alias("value")).write.text(at)
+    held, settings = rawvideo.read_condition_table(spark, at, "test string, jod double")
     display = settings.where("key = 'display'").agg(F.max("value").alias("display"))
-    ids = F.regexp_replace(F.regexp_replace("test", "[.][^./]*$", ""), "/", "_")
-    return rows.crossJoin(F.broadcast(display)).select(ids.alias("id"), "jod", "display")
+    return held.crossJoin(F.broadcast(display)).select(condition_id(F.col("test")).alias("id"), "jod", "display")
 
 
 QUERIES["quality_table"] = quality_table

@@ -53,12 +53,10 @@ P._scalar("yxy", x=f"({E.matrix(P.xyz, P.light)[0]} / ({' + '.join(E.matrix(P.xy
 _SQUARES = " + ".join(f"pow({E.pu_encode(f'greatest({a}, 5e-3)')} - {E.pu_encode(f'greatest({b}, 5e-3)')}, 2e0)" for a, b in zip(E.matrix(E.folded(E.XYZ_TO_RGB2020, P.xyz), P.light), E.matrix(E.folded(E.XYZ_TO_RGB2020, P.xyz), [E.display_forward(v) for v in ("r", "q", "t")])))
 _sql("pu_psnr_rgb2020", f"SELECT pair, {P._psnr(E.pu_encode('100e0'), f'(avg({_SQUARES}) / 3e0)')} AS psnr FROM ({P._rows}) AS p GROUP BY pair", "lineitem")
 _sql("channel_mask", f"SELECT pair, round({E.jod('q')}, 6) AS score FROM (SELECT pair, {E.safe_pow('sum(' + E.safe_pow('q2', 4) + ')', 0.25)} AS q FROM ({P.Q2}) AS b WHERE vch IN ('F') GROUP BY pair) AS c", "lineitem")
-_sql("least_squares", "SELECT round((tq * rr - rq * tr) / (tt * rr - tr * tr), 8) AS a, round((rq * tt - tq * tr) / (tt * rr - tr * tr), 8) AS b FROM (SELECT sum(t * t) AS tt, sum(t * r) AS tr, sum(r * r) AS rr, sum(t * q) AS tq, sum(r * q) AS rq FROM (" + P._rows + ") AS p) AS s", "lineitem")
 _sql("probe_frames", "SELECT p_partkey, coalesce(CASE WHEN p_size % 3 = 0 THEN p_size END, CASE WHEN p_size % 3 = 1 THEN p_size * 2 END, CAST(floor(p_retailprice * 24e0 / 1e2) AS INT), -1) AS frames FROM part", "part")
 _sql("feature_disable", "SELECT o_orderkey, CASE WHEN o_orderstatus IN ('P') THEN 0e0 ELSE o_totalprice END AS v FROM orders", "orders")
 _PACK = "SELECT vec_id, {at} FROM embeddings"
 _sql("packed_slice", _PACK.format(at="round(CAST(aggregate(slice(embedding, 9, 8), CAST(0 AS DOUBLE), (a, x) -> a + CAST(x AS DOUBLE)) AS DOUBLE), 5) AS second_row, size(slice(embedding, 9, 8)) AS n"), "embeddings", oracle=_PACK.format(at="round(list_sum(list_transform(embedding[9:16], lambda x: CAST(x AS DOUBLE))), 5) AS second_row, CAST(len(embedding[9:16]) AS INTEGER) AS n"))
-_sql("sequence_gap", "SELECT user_id, count(*) AS frames FROM (SELECT user_id, k, row_number() OVER (PARTITION BY user_id ORDER BY k) - 1 AS rn FROM (SELECT DISTINCT user_id, event_id % 50 AS k FROM events) AS d) AS g WHERE k = rn GROUP BY user_id", "events")
 
 
 # Numbering and splits.

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from vireo.functions import expressions as E
 from vireo.operators import planes as P
-from vireo.sources import rawvideo
+from vireo.sources import pictures, rawsource, rawvideo
 
 RGB = ["v0", "v1", "v2"]
 
@@ -40,6 +40,63 @@ def as_unit(values: np.ndarray) -> np.ndarray:
     raise TypeError(f"samples of type {values.dtype} aren't supported")
 
 
+def unit_samples(rows: DataFrame, samples: str, kind: str) -> DataFrame:
+    """rows whose bytes ``samples``, of the little-endian type that the column ``kind`` names (uint8, uint16, int16, float32, ...), are arrays
+    of doubles.  Null bytes stay null; a type that isn't supported, or bytes that don't fill it, is an error."""
+    at = rows.columns.index(samples)
+
+    def run(batches):
+        for b in batches:
+            made = [None if x is None else as_unit(np.frombuffer(x, np.dtype(k).newbyteorder("<"))) for x, k in zip(b.column(at).to_pylist(), b.column(kind).to_pylist())]
+            columns = list(b.columns)
+            columns[at] = pa.array(made, pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays(columns, b.schema.names)
+
+    return rows.mapInArrow(run, ", ".join(f"`{f.name}` {'array<double>' if f.name == samples else f.dataType.simpleString()}" for f in rows.schema.fields))
+
+
+#: Values ahead of packed frames: frames, height, width, bits, chroma, and the height and width to show.
+HEADER = 7
+
+
+def unpacked(rows: DataFrame, packed: str, keep: list[str], yuv: bool = False, space: str = "709") -> DataFrame:
+    """keep, frame, h, w, v0, v1, v2 of frames packed into an array of numbers behind a header: interleaved red, green, blue as shares of
+    the largest value of their bits, or with ``yuv`` planes of luma and chroma, resized as the header says.
+
+    An array that is shorter than its header says is an error.
+    """
+    names = [*keep, "frame", "h", "w", *RGB]
+
+    def run(batches):
+        for b in batches:
+            for k, x in enumerate(b.column(packed).to_pylist()):
+                x = np.array(x, float)
+                n, h, w, bits, chroma, tall, wide = map(int, x[:HEADER])
+                dx, dy = rawvideo.CHROMA[str(chroma)] if yuv else (1, 1)
+                luma, other = (h * w, h // dy * (w // dx)) if yuv else (tall * wide, tall * wide)
+                if len(x) < HEADER + n * (luma + 2 * other):
+                    raise ValueError(f"packed frames hold {len(x) - HEADER} values, their header says {n * (luma + 2 * other)}")
+                for f in range(n):
+                    at = HEADER + f * (luma + 2 * other)
+                    if yuv:
+                        y, u, v = (x[i : i + size].reshape(shape) for i, size, shape in ((at, luma, (h, w)), (at + luma, other, (h // dy, w // dx)), (at + luma + other, other, (h // dy, w // dx))))
+                        rgb = P.resize(_rgb(y, u, v, bits, space), tall, wide) if (tall, wide) != (h, w) else _rgb(y, u, v, bits, space)
+                    else:
+                        rgb = x[at : at + 3 * luma].reshape(tall, wide, 3).transpose(2, 0, 1) / (2**bits - 1)
+                    ends = pa.array([0, tall * wide], pa.int32())
+                    yield pa.RecordBatch.from_arrays([*(b.column(c).slice(k, 1) for c in keep), *(pa.array([v], pa.int32()) for v in (f, tall, wide)), *(pa.ListArray.from_arrays(ends, pa.array(np.ascontiguousarray(p).ravel())) for p in rgb)], names)
+
+    held = rows.where(F.col(packed).isNotNull()).select(*keep, packed)
+    return held.mapInArrow(run, ", ".join([*P._fields(held, keep), "frame int, h int, w int", *(f"{v} array<double>" for v in RGB)]))
+
+
+def _rgb(y: np.ndarray, u: np.ndarray, v: np.ndarray, bits: int, space: str) -> np.ndarray:
+    """(3, h, w) from codes of luma and chroma planes, clipped to 0..1."""
+    y = np.clip(y / (2 ** (bits - 8) * 219) - 16 / 219, 0, 1)
+    u, v = (P.resize(np.clip(p / (2 ** (bits - 8) * 224) - 128 / 224, -0.5, 0.5), *y.shape) for p in (u, v))
+    return np.stack([np.clip(sum(k * x for k, x in zip(row, (y, u, v))), 0, 1) for row in E.YCBCR_TO_RGB["bt2020" if space == "2020" else "bt709"]])
+
+
 def ordered(array: np.ndarray, order: str) -> np.ndarray:
     """An array with its axes named by a string such as HWC, FCHW or BHW, laid out as batch, channel, frame, height, width."""
     order = order.upper()
@@ -94,9 +151,8 @@ def rgb_frames(frames: DataFrame) -> DataFrame:
         for b in batches:
             for path, frame, h, w, bits, chroma, space, *planes in zip(*(b.column(c).to_pylist() for c in ("path", "frame", "height", "width", "bits", "chroma", "space", "luma", "u", "v"))):
                 kind, dx, dy = "<u2" if bits > 8 else "u1", *rawvideo.CHROMA[chroma]
-                y = np.clip(np.frombuffer(planes[0], kind).reshape(h, w) / (2 ** (bits - 8) * 219) - 16 / 219, 0, 1)
-                u, v = (P.resize(np.clip(np.frombuffer(p, kind).reshape(h // dy, w // dx) / (2 ** (bits - 8) * 224) - 128 / 224, -0.5, 0.5), h, w) for p in planes[1:])
-                rgb = [np.clip(sum(k * x for k, x in zip(row, (y, u, v))), 0, 1).ravel() for row in E.YCBCR_TO_RGB["bt2020" if space == "2020" else "bt709"]]
+                y, u, v = (np.frombuffer(p, kind).reshape(shape) for p, shape in zip(planes, ((h, w), (h // dy, w // dx), (h // dy, w // dx))))
+                rgb = [x.ravel() for x in _rgb(y, u, v, bits, space)]
                 ends = pa.array([0, h * w], pa.int32())
                 yield pa.RecordBatch.from_arrays([pa.array([path]), *(pa.array([x], pa.int32()) for x in (frame, h, w)), *(pa.ListArray.from_arrays(ends, pa.array(x)) for x in rgb)], ["clip", "frame", "h", "w", *RGB])
 
@@ -104,12 +160,15 @@ def rgb_frames(frames: DataFrame) -> DataFrame:
     return columns.mapInArrow(run, "clip string, frame int, h int, w int, " + ", ".join(f"{v} array<double>" for v in RGB))
 
 
-def read_sequence(spark: SparkSession, pattern: str, start: int = 0, step: int = 1, last: int = 9999) -> DataFrame:
+def read_sequence(spark: SparkSession, pattern: str, start: int = 0, step: int = 1, last: int | None = None) -> DataFrame:
     """clip (the pattern), frame, h, w, v0, v1, v2 of numbered images, up to the first gap; frames are numbered from 0 on."""
     folder, name = os.path.split(pattern)
-    images = read_images(spark, f"{folder}/{re.sub('%0?[0-9]*d', '*', name)}").withColumn("name", F.regexp_extract("clip", "([^/]*)$", 1))
-    found = rawvideo.sequence_frames(images.select("name"), name, start=start, step=step, last=last)
-    held = images.drop("frame").join(F.broadcast(found), "name").withColumn("frame", ((F.col("frame") - start) / step).cast("int"))
+    files = f"{folder}/{re.sub('%0?[0-9]*d', '*', name)}"
+    base = lambda c: F.regexp_extract(c, "([^/]*)$", 1)
+    names = spark.read.format("binaryFile").load(files).select(base("path").alias("name"))  # names alone, contents aren't read
+    found = rawvideo.sequence_frames(names, name, start=start, step=step, last=last)
+    read = pictures.read_pictures if name.lower().endswith(tuple(pictures.DECODERS)) else read_images
+    held = read(spark, files).withColumn("name", base("clip")).drop("frame").join(found, "name").withColumn("frame", ((F.col("frame") - start) / step).cast("int"))
     return held.select(F.lit(pattern).alias("clip"), "frame", "h", "w", *RGB)
 
 
@@ -118,8 +177,10 @@ def read_frames(spark: SparkSession, path: str, keep: bool = False, **options) -
     if "%" in path:
         source = read_sequence(spark, path, **options)
     elif path.lower().endswith(".yuv"):
-        source = rgb_frames(rawvideo.read_raw_video(spark, path))
-    elif path.lower().endswith((".png", ".jpg", ".jpeg", ".gif", ".bmp")):
+        source = rgb_frames(rawsource.read_video(spark, path, **options))
+    elif path.lower().endswith((".png", ".pfm", ".hdr")):
+        source = pictures.read_pictures(spark, path)
+    elif path.lower().endswith((".jpg", ".jpeg", ".gif", ".bmp")):
         source = read_images(spark, path)
     else:
         raise ValueError(f"no source reads {path}")
@@ -153,6 +214,14 @@ def paired(test: DataFrame, reference: DataFrame, planes: list[str], by: list[st
     return held.select(*by, "frame", F.col("t_h").alias("h"), F.col("t_w").alias("w"), *(f"{s}{k}" for s in "tr" for k in range(len(planes))))
 
 
+def clip_pairs(test: DataFrame, reference: DataFrame, planes: list[str], offset: int = 0, frames: int | None = None, width: int | None = None, by: list[str] = ["clip"]) -> DataFrame:
+    """Pairs of ``frames`` frames (all by default) from frame ``offset`` on, numbered from 0, at another width if one is given, aspect kept."""
+    sides = [frame_range(df, offset, 1, None, frames) for df in (test, reference)]
+    if width:
+        sides = [resized(df, planes, width) for df in sides]
+    return paired(*sides, planes, by)
+
+
 def lengths(test: DataFrame, reference: DataFrame, by: list[str] = ["clip"]) -> DataFrame:
     """by, test, reference, compared: frames of each side and of both; clips whose sides differ can be told by it."""
     count = lambda df, name: df.groupBy(*by).agg(F.count(F.lit(1)).alias(name))

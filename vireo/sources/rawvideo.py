@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 FORMAT = "width int, height int, bits int, chroma string, space string, fps double"
@@ -34,6 +34,20 @@ def with_video_format(files: DataFrame, path: str = "path") -> DataFrame:
     return files.withColumns(columns)
 
 
+def video_name(base: str = "base") -> Column:
+    """A file's name that says its format, from columns base, width, height, bits, chroma, space and fps: the rate has three decimals at
+    most, none where it is whole."""
+    fps = F.regexp_replace(F.regexp_replace(F.format_string("%.3f", "fps"), "[.]0+$", ""), "([.][0-9]*[1-9])0+$", "$1")
+    return F.concat(base, F.format_string("_%dx%d_%db_%s_%s_", "width", "height", "bits", "chroma", "space"), fps, F.lit("fps.yuv"))
+
+
+def probed(spark: SparkSession, path: str, pattern: str = "*.yuv") -> DataFrame:
+    """path, frames, width, height, bits, chroma, space, fps and cut (whether a file ends within a frame) from files' names and sizes alone."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).select("path", "length")
+    sized = with_video_format(files).withColumn("_n", F.expr(frame_bytes()))
+    return sized.select("path", F.expr("length DIV _n").alias("frames"), "width", "height", "bits", "chroma", "space", "fps", (F.col("length") % F.col("_n") > 0).alias("cut"))
+
+
 #: Divisors of the chroma planes' width and height.
 CHROMA = {"444": (1, 1), "422": (2, 1), "420": (2, 2)}
 
@@ -76,7 +90,7 @@ def write_raw_video(frames: DataFrame, folder: str) -> None:
     rows.repartitionByRange("path", "frame").sortWithinPartitions("path", "frame").write.parquet(folder)
 
 
-def sequence_frames(names: DataFrame, pattern: str, name: str = "name", start: int = 0, step: int = 1, last: int = 9999) -> DataFrame:
+def sequence_frames(names: DataFrame, pattern: str, name: str = "name", start: int = 0, step: int = 1, last: int | None = None) -> DataFrame:
     """name, frame of the files that a C pattern such as ``img_%04d.png`` matches: start, start + step, ... up to the first gap.
 
     Names beyond the gap and others are left out; a name that is there twice counts once; without the first frame there are none.
@@ -86,7 +100,7 @@ def sequence_frames(names: DataFrame, pattern: str, name: str = "name", start: i
     before, after = re.escape(pattern[: m.start()]), re.escape(pattern[m.end() :])
     body = f"[0-9]{{{digits},}}" if m[1] else "[0-9]+"
     found = names.select(F.col(name).alias("name"), F.regexp_extract(name, f"^{before}({body}){after}$", 1).alias("_d")).where("_d <> ''")
-    numbered = found.withColumn("frame", F.col("_d").cast("int")).where(f"frame BETWEEN {start} AND {last} AND (frame - {start}) % {step} = 0").select("name", "frame").distinct()
+    numbered = found.withColumn("frame", F.col("_d").cast("int")).where(f"frame >= {start} AND (frame - {start}) % {step} = 0" + ("" if last is None else f" AND frame <= {last}")).select("name", "frame").distinct()
     # The first gap: the least frame that is there while its successor isn't.
     there = numbered.select(F.col("frame").alias("_f"))
     ends = numbered.join(there, F.col("frame") + step == F.col("_f"), "left_anti").agg(F.min("frame").alias("_end"))
