@@ -237,8 +237,8 @@ def test_lm(spark, docs, empty):
 def test_lm_trains_on_the_whole_fold(spark, monkeypatch):
     """Every row of the training fold, also of a null id, is in one round; null ids are spread over the rounds."""
     rows = [(i if i % 3 else None, f"word{i} and more") for i in range(90)]
-    dealt, fit = [], lm.fit
-    monkeypatch.setattr(lm, "fit", lambda sample, lex: dealt.extend((r.round, bytes(r.text).decode()) for r in sample.collect()) or fit(sample, lex))
+    dealt, deal = [], lm.dealt
+    monkeypatch.setattr(lm, "dealt", lambda sample, n: dealt.extend((r.round, bytes(r.text).decode()) for r in deal(sample, n).collect()) or deal(sample, n))
     scored = lm.score_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     learned = [(d, t) for d, t in rows if zlib.crc32(b"" if d is None else str(d).encode()) % 7 != 2]
     assert len(scored) == 90 and sorted(t for _, t in dealt) == sorted(t for _, t in learned)

@@ -11,9 +11,10 @@ to 1.  The state is a gated recurrence over embeddings of words or classes; it s
 carried across windows to its end, so a text is scored whole.
 
 Training.  The weights start as the class-factored unigram model.  All documents of the training fold are dealt to
-ROUNDS by id and text, each to one; in a round each task runs truncated backpropagation over all tokens of its documents
-from the common weights, and the weights are averaged over tasks, by their tokens, in levels of at most 64.  So scores
-depend a little on how the input is split into tasks; for the same splits they are the same, also if a task runs again.
+ROUNDS by id and text, each to one, and within a round to parts of about PART tokens.  A part's documents, in the order of a
+hash, train the common weights by truncated backpropagation over all their tokens; the weights are averaged over parts, by their
+tokens, in levels of at most 64.  The number of parts grows with the corpus, and neither it nor what a part holds depends on how the
+input is split into tasks, so scores don't either.
 
 Scoring runs documents of like lengths side by side.
 
@@ -30,7 +31,6 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,6 +43,8 @@ CLASSES = HEADS + 2 * ENDINGS
 INPUTS = HEAD + 2 * ENDINGS
 HIDDEN, ROUNDS = 24, 3
 STREAMS, STEPS, RATE = 512, 8, 0.03
+#: Tokens of a part, about.
+PART = 1 << 21
 #: Tokens that each stream holds at least before streams advance; states that are settled and texts that are scored at once.
 SPAN, SETTLED, WIDE = 128, 65_536, 1024
 COUNTED, KEPT, BATCH = 400_000, 400_000, 6000
@@ -345,32 +347,49 @@ class Trainer:
         self.flat -= RATE / (1 - 0.9**self.beat) * self.m / (np.sqrt(self.v / (1 - 0.999**self.beat)) + 1e-8)
 
 
+def dealt(sample: DataFrame, tokens: int) -> DataFrame:
+    """text, round, part and order of (id, text) rows with so many tokens, by hashes of both."""
+    by = lambda seed, n: F.pmod(F.xxhash64(F.lit(seed), "id", "text"), F.lit(n))
+    return sample.select("text", by(0, ROUNDS).alias("round"), by(1, max(1, -(-tokens // (ROUNDS * PART)))).alias("part"), F.xxhash64("id", "text").alias("order"))
+
+
 def fit(sample: DataFrame, lex: Lexicon) -> dict[str, np.ndarray]:
-    """Weights after ROUNDS of averaging; sample: text (binary) and round."""
+    """Weights after ROUNDS of averaging; sample: id, text (binary)."""
     spark, w = sample.sparkSession, first_weights(lex)
     sent = spark.sparkContext.broadcast(lex)
+    rows = dealt(sample, lex.total)
 
     def averaged(tables: pa.Table) -> pa.Table:
+        tables = tables.sort_by("part")
         n = tables.column("n").to_numpy().astype(np.float64)
         flat = [np.frombuffer(x, np.float32) for x in tables.column("w").to_pylist()]
         mean = sum(x * (k / n.sum()) for x, k in zip(flat, n)).astype(np.float32)
-        return pa.table([pa.array([tables.column("g")[0].as_py() // 64]), pa.array([int(n.sum())]), pa.array([mean.tobytes()], pa.binary())], ["g", "n", "w"])
+        return pa.table([pa.array([tables.column("part")[0].as_py() // 64]), pa.array([int(n.sum())]), pa.array([mean.tobytes()], pa.binary())], ["part", "n", "w"])
 
     for r in range(ROUNDS):
         weights = packed(w)
 
         def trained(batches, weights=weights):
-            own = Trainer(weights, sent.value)
+            own = at = None
+
+            def told():
+                own.finish()
+                return pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([own.n], pa.int64()), pa.array([own.flat.tobytes()], pa.binary())], ["part", "n", "w"])
+
             for b in batches:
-                for t in b.column(0).to_pylist():
+                for t, part in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                    if part != at:
+                        if own is not None:
+                            yield told()
+                        own, at = Trainer(weights, sent.value), part
                     own.feed(sent.value.codes(t or b""))
-            own.finish()
-            if own.n:
-                yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() // 64], pa.int64()), pa.array([own.n], pa.int64()), pa.array([own.flat.tobytes()], pa.binary())], ["g", "n", "w"])
+            if own is not None:
+                yield told()
 
-        made = cut(sample.where(F.col("round") == r).select("text").mapInArrow(trained, "g long, n long, w binary"))
+        ordered = rows.where(F.col("round") == r).select("text", "part", "order").repartition("part").sortWithinPartitions("part", "order").select("text", "part")
+        made = cut(ordered.mapInArrow(trained, "part long, n long, w binary"))
         while (k := made.count()) > 1:
-            made = cut(made.groupBy("g").applyInArrow(averaged, "g long, n long, w binary"))
+            made = cut(made.groupBy(F.expr("part DIV 64")).applyInArrow(averaged, "part long, n long, w binary"))
         if k:
             w = unpacked(bytes(made.first().w))
     return w
@@ -436,7 +455,7 @@ def score(docs: DataFrame, counts: DataFrame, lex: Lexicon, w: dict[str, np.ndar
     sent = spark.sparkContext.broadcast((lex, packed(w)))
     rows = docs.select(F.col(id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"), F.monotonically_increasing_id().alias("row"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    names = ["doc_id", "row", "n_tokens", "known", "base", "scored", "rare"]
+    names = ["doc_id", "row", "n_tokens", "known", "base", "scored", "rare", "times"]
 
     def run(batches):
         lex, weights = sent.value[0], unpacked(sent.value[1])
@@ -450,18 +469,19 @@ def score(docs: DataFrame, counts: DataFrame, lex: Lexicon, w: dict[str, np.ndar
                 x = lex.log_count[c[in_table]]
                 known.append(int((x > 0).sum()))
                 base.append(float(x.sum()))
-                rare.append(c[~in_table] - RARE)
-            ends = np.concatenate([[0], np.cumsum([len(r) for r in rare])])
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(rare)))
-            made = [pa.array([len(c) for c in codes], pa.int64()), pa.array(known, pa.int64()), pa.array(base), pa.array(_score(weights, lex, codes)), lists]
+                rare.append(np.unique(c[~in_table] - RARE, return_counts=True))
+            ends = pa.array(np.concatenate([[0], np.cumsum([len(r) for r, _ in rare])]), pa.int32())
+            lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate(v).astype(np.int64))) for v in zip(*rare)]
+            made = [pa.array([len(c) for c in codes], pa.int64()), pa.array(known, pa.int64()), pa.array(base), pa.array(_score(weights, lex, codes)), *lists]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *made], names)
 
-    part = cut(rows.mapInArrow(run, f"doc_id {kind}, row long, n_tokens long, known long, base double, scored double, rare array<long>"))
-    rare = part.select("row", F.explode("rare").alias("key")).join(counts, "key")
-    sums = rare.groupBy("row").agg(F.count(F.lit(1)).alias("more"), F.sum(F.log10(F.col("n") + 1.0)).alias("extra"))
+    part = cut(rows.mapInArrow(run, f"doc_id {kind}, row long, n_tokens long, known long, base double, scored double, rare array<long>, times array<long>"))
+    # a row for each document and distinct word outside the table
+    rare = part.select("row", F.inline(F.arrays_zip(F.col("rare").alias("key"), F.col("times").alias("times")))).join(counts, "key")
+    sums = rare.groupBy("row").agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("n") + 1.0)).alias("extra"))
     least = float(np.log10(lex.total + lex.distinct + 1.0))
     extra, more = F.coalesce("extra", F.lit(0.0)), F.coalesce("more", F.lit(0))
-    whole = part.drop("rare").join(sums, "row", "left")
+    whole = part.drop("rare", "times").join(sums, "row", "left")
     return whole.select("doc_id", "n_tokens", (F.col("known") + more).alias("n_known"), (F.col("base") + extra - F.col("n_tokens") * F.lit(least)).alias("base_score"), (F.col("scored") + extra).alias("score"))
 
 
@@ -471,8 +491,7 @@ def score_documents(docs: DataFrame, id: str = "doc_id", text: str = "text") ->
     learned = docs.where(crc_mod(id, FOLDS) != HELD_OUT).select(F.col(id).alias("id"), F.col(text).cast("binary").alias("text"))
     counts = cut(count_words(learned.select("text")))
     lex = lexicon(counts)
-    sample = learned.select("text", F.pmod(F.xxhash64("id", "text"), F.lit(ROUNDS)).cast("int").alias("round"))
-    made = score(docs, counts, lex, fit(sample, lex), id, text)
+    made = score(docs, counts, lex, fit(learned, lex), id, text)
     return made.select("doc_id", (crc_mod("doc_id", FOLDS) == HELD_OUT).alias("held_out"), "n_tokens", "n_known", F.lit(int(lex.total)).cast("long").alias("train_tokens"), "base_score", "score")
 
 
