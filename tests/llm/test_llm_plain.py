@@ -9,6 +9,8 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from vireo.llm import ann, common, jaccard, langid, lm, packing, quality, substrings
 
@@ -186,13 +188,31 @@ def test_language_decoding(spark, small_sf):
     assert seen > 150
 
 
-def test_every_letter_counts_and_no_language_is_dropped(spark, monkeypatch):
+def test_every_letter_counts(spark):
     df = spark.createDataFrame([(k, "the cat sat", "en") for k in range(5)] + [(k, "le chat dort", "fr") for k in range(5, 9)] + [(20, "\U00030000\U00030001", None), (21, "\U00020000", None), (22, "12 ٣ -", None)], "doc_id long, text string, lang string")
     got = {r.doc_id: r.lang_pred for r in langid.predict(df, langid.fit(df), ["doc_id"]).collect()}
     assert got[20] != "und" and got[21] != "und" and got[22] == "und"
-    monkeypatch.setattr(langid, "MAX_LANGS", 1)
-    with pytest.raises(ValueError, match="more than 1 languages"):
-        langid.fit(df)
+
+
+def test_any_number_of_languages(spark, monkeypatch):
+    """Three hundred languages of their own words, learned in tasks that hold counts of a few at a time."""
+    monkeypatch.setattr(langid, "COUNTED", 7)
+    rng = random.Random(9)
+    words = [["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(12)] for _ in range(300)]
+    rows = [(i * 4 + k, " ".join(rng.choice(words[i]) for _ in range(60)), f"l{i}") for i in range(300) for k in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    model = langid.fit(df)
+    got = langid.predict(df, model, ["lang"]).collect()
+    assert len(model.langs) == 300 and sum(r.lang == r.lang_pred for r in got) > 0.98 * len(got)
+    code = langid.codewords(langid.CHOSEN + 100)
+    assert len({tuple(c) for c in code.tolist()}) == len(code)
+
+
+def test_every_language_is_a_stratum(spark):
+    """A hundred languages; one with enough good labels is certified by itself."""
+    measured = spark.createDataFrame([(i, f"l{i % 100}" if i % 101 else None, 50, 250, 0, 0, 0, 5) for i in range(60_000)], "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long")
+    cuts = quality.cutoffs(measured, measured.select("doc_id", F.lit(1).alias("quality"))).collect()
+    assert len(cuts) == 101 and sum(r.level is not None for r in cuts) == 100 + (sum(1 for i in range(60_000) if i % 101 == 0) > 400)
 
 
 # Language model -----------------------------------------------------------------------------------------------------
@@ -409,3 +429,57 @@ def test_stages_with_clashing_columns_and_empty_tables(spark, small_sf):
         if name != corpus_pipeline.STAGES[-1][0]:
             assert got.columns == wide.columns and Counter(map(tuple, got.select(df.columns).collect())) == Counter(map(tuple, plain.collect())), name
         assert stage(spark, wide.where("false"), at).count() == 0, name
+
+
+def plain_score(w, lex, text):
+    """log10 probability of a text, word by word, but for the counts of words outside the table."""
+    h, x, total = np.zeros(lm.HIDDEN), 0, 0.0
+    codes = lex.codes(text)
+    cls, inputs = lex.classed(codes)
+    for code, k, following in zip(codes.tolist(), cls.tolist(), inputs.tolist()):
+        pre = w["embed"][x].astype(float) + w["bias"] + h @ w["turn"]
+        pre = pre / (1 + np.abs(pre))
+        z, c = 0.5 + 0.5 * pre[: lm.HIDDEN], pre[lm.HIDDEN :]
+        h = h + z * (c - h)
+        scores = h @ w["cls"] + w["cls_bias"]
+        total += math.log10(math.exp(scores[k] - scores.max()) / np.exp(scores - scores.max()).sum())
+        if code < lm.HEAD:
+            own = h @ w["word"][k] + w["word_bias"][k]
+            total += math.log10(math.exp(own[code - k * lm.PER_CLASS] - own.max()) / np.exp(own - own.max()).sum())
+        elif code < lm.RARE:
+            total += lex.log_count[code] - lex.log_mass[k]
+        else:
+            total -= lex.log_mass[k]
+        x = following
+    return total
+
+
+def lm_corpus(spark, n=120):
+    rng = random.Random(4)
+    words = [f"w{k}" for k in range(60)]
+    rows = [(i, " ".join(rng.choice(words[: 5 + i % 50]) for _ in range(rng.randint(1, 90))) + (" odd odd once%d" % i if i % 5 == 0 else "")) for i in range(n)] + [(n, None), (n + 1, ""), (None, "w1 w2"), (3, "w1 w2"), (3, "w1 w2")]
+    return spark.createDataFrame(rows, "doc_id long, text string")
+
+
+def test_scores_by_plain_loops(spark):
+
+    docs = lm_corpus(spark).cache()
+    learned = docs.where(common.crc_mod("doc_id", lm.FOLDS) != lm.HELD_OUT).select(F.col("doc_id").alias("id"), F.col("text").cast("binary").alias("text"))
+    counts = common.cut(lm.count_words(learned.select("text")))
+    lex = lm.lexicon(counts)
+    w = lm.fit(learned, lex)
+    n = {r.key: r.n for r in counts.collect()}
+    got = sorted((r.doc_id if r.doc_id is not None else -1, r.score) for r in lm.score(docs, counts, lex, w).collect())
+    want = []
+    for r in docs.collect():
+        codes = lex.codes((r.text or "").encode())
+        extra = sum(math.log10(n.get(int(c) - lm.RARE, 0) + 1) for c in codes if c >= lm.RARE)
+        want.append((r.doc_id if r.doc_id is not None else -1, plain_score(w, lex, (r.text or "").encode()) + extra))
+    assert [a for a, _ in got] == [a for a, _ in sorted(want)] and np.allclose([b for _, b in got], [b for _, b in sorted(want)], rtol=1e-4, atol=1e-3)
+
+
+def test_scores_do_not_depend_on_the_split(spark, monkeypatch):
+    monkeypatch.setattr(lm, "PART", 300)
+    docs = lm_corpus(spark)
+    one, many = (sorted((str(r.doc_id), r.n_tokens, r.score) for r in lm.score_documents(docs.repartition(n, "text")).collect()) for n in (1, 7))
+    assert [r[:2] for r in one] == [r[:2] for r in many] and np.allclose([r[2] for r in one], [r[2] for r in many], rtol=1e-5, atol=1e-4)

@@ -6,10 +6,12 @@ loss-weighted distance: each codeword loses log(1 + exp(-margin)) for each bit,
 training counts; the codeword that loses least wins.  A text is flagged ``ambiguous`` if the two best lose about the same.
 
 The n-gram counts cover every training text.  Tasks count words first, so n-grams are made once per distinct word, and emit
-at most FEATURES counts a language.  Scoring looks words up in bounded worker caches, so whole texts of any length are read.
+their counts by language whenever they hold many.  The log-odds of a feature are made in a task from its counts by language, so the driver gets
+FEATURES rows of two numbers a bit; bits grow with the logarithm of the number of languages, of which there may be any.
+Scoring looks words up in bounded worker caches, so whole texts of any length are read.
 
 Defined cases: null text, or text without a letter, gives ``und`` with score 0; rows with null lang or text are not learned
-from; more than MAX_LANGS languages are an error, none is dropped; without training rows everything is ``und``; with one
+from; without training rows everything is ``und``; with one
 language every text with a letter is that language; repeated rows are learned from each; a null id counts as the empty text
 for the fold; other columns are ignored.  Predictions use the text alone.
 """
@@ -24,9 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vireo.llm.common import crc_mod, small_batches, table
+from vireo.llm.common import crc_mod, cut, small_batches, table
 
-FEATURES, MAX_LANGS, FOLDS, HELD_OUT = 1 << 15, 256, 4, 2
+FEATURES, FOLDS, HELD_OUT = 1 << 15, 4, 2
+#: Languages whose n-grams a task counts at once, and numbers that decoding holds at once.
+COUNTED, DECODED = 64, 1 << 22
 #: Words a worker counts or keeps scores of at most.
 WORDS = 150_000
 #: Scale of the mean log-odds before decoding, and the score below which a prediction is ambiguous.
@@ -68,27 +72,39 @@ def _counts(langs: list[str]):
     place = {x: i for i, x in enumerate(langs)}
 
     def run(batches):
-        seen: dict[int, Counter] = {i: Counter() for i in place.values()}
-        totals = np.zeros((len(langs), FEATURES))
+        seen: dict[int, Counter] = {}
+        totals: dict[int, np.ndarray] = {}
 
-        def flush():
+        def counted():
             for i, words in seen.items():
+                total = totals.setdefault(i, np.zeros(FEATURES))
                 pairs = iter(words.items())
                 while part := list(islice(pairs, 20_000)):
                     grams, word = features([w for w, _ in part])
-                    totals[i] += np.bincount(grams, np.array([n for _, n in part], np.float64)[word], FEATURES)
-                words.clear()
+                    total += np.bincount(grams, np.array([n for _, n in part], np.float64)[word], FEATURES)
+            seen.clear()
 
+        def told():
+            for i, total in totals.items():
+                f = np.flatnonzero(total)
+                if len(f):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(f), i, np.int32)), pa.array(f, pa.int32()), pa.array(total[f].astype(np.int64))], ["lang", "feature", "n"])
+            totals.clear()
+
+        held = 0
         for b in batches:
             for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                seen[place[lang]].update(words_of(text))
-                if sum(map(len, seen.values())) > WORDS:
-                    flush()
-        flush()
-        i, f = np.nonzero(totals)
-        for at in range(0, len(i), 50_000):
-            part = slice(at, at + 50_000)
-            yield pa.RecordBatch.from_arrays([pa.array(i[part], pa.int32()), pa.array(f[part], pa.int32()), pa.array(totals[i[part], f[part]].astype(np.int64))], ["lang", "feature", "n"])
+                words = seen.setdefault(place[lang], Counter())
+                held -= len(words)
+                words.update(words_of(text))
+                held += len(words)
+                if held > WORDS or len(seen) > COUNTED:
+                    counted()
+                    held = 0
+                    if len(totals) > COUNTED:
+                        yield from told()
+        counted()
+        yield from told()
 
     return run
 
@@ -97,7 +113,14 @@ def codewords(n: int) -> np.ndarray:
     """n codewords of -1 and 1: every split of the languages for up to 5; beyond, the best separated of seeded random codes."""
     if n <= 5:
         return np.array([[1 if i == 0 or (split >> (i - 1)) & 1 else -1 for split in range(2 ** (n - 1) - 1)] for i in range(n)]).reshape(n, -1)
-    rng, bits, best = np.random.default_rng(7), int(np.ceil(10 * np.log2(n))), None
+    rng, bits = np.random.default_rng(7), int(np.ceil(10 * np.log2(n)))
+    if n > CHOSEN:  # too many to compare all; random codes of this length are well apart, and none may be there twice
+        while True:
+            code = rng.choice(np.array([-1, 1], np.int8), (n, 2 * bits))
+            code = code[:, np.abs(code.sum(0, dtype=np.int64)) < n]
+            if len(np.unique(code, axis=0)) == n:
+                return code
+    best = None
     for _ in range(50):
         code = rng.choice([-1, 1], (n, bits))
         code = code[:, np.abs(code.sum(0)) < n]
@@ -107,43 +130,70 @@ def codewords(n: int) -> np.ndarray:
     return best[1]
 
 
+#: Languages up to which the best separated of several codes is chosen.
+CHOSEN = 512
+
+
+def log_odds(counts: np.ndarray, totals: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Log-odds by feature and bit, and how well each feature tells the bit (its part of the symmetric divergence), from counts by language
+    and feature and the languages' totals."""
+    share = (counts + 0.05) / (totals[:, None] + 0.05 * FEATURES)
+    has = (code > 0).astype(float)
+    one, other = (share.T @ (h / h.sum(0)) for h in (has, 1 - has))
+    odds = np.log(one / other)
+    return odds, (one - other) * odds
+
+
 class Model:
     """Languages, codewords, weights of the bits, and log-odds by feature and bit."""
 
-    def __init__(self, langs: list[str], counts: np.ndarray):
-        self.langs, self.code = langs, codewords(len(langs)) if langs else np.zeros((0, 0))
-        share = (counts + 0.05) / (counts.sum(1, keepdims=True) + 0.05 * FEATURES)
-        odds, trust = [], []
-        for bit in self.code.T:
-            one, other = share[bit > 0].mean(0), share[bit < 0].mean(0)
-            odds.append(np.log(one / other))
-            trust.append(((one - other) * odds[-1]).sum())  # symmetric divergence: how well the bit can be told
-        self.odds = np.array(odds).T.astype(np.float32).reshape(FEATURES, -1)
-        self.trust = np.array(trust) / (sum(trust) or 1)
+    def __init__(self, langs: list[str], code: np.ndarray, odds: np.ndarray, trust: np.ndarray):
+        self.langs, self.code, self.odds = langs, code, odds.astype(np.float32)
+        told = trust.sum(0)  # how well each bit can be told
+        self.trust = told / (told.sum() or 1)
 
     def decode(self, margins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Best language's place and score of each row of mean log-odds."""
         if len(self.langs) == 1:
             return np.zeros(len(margins), np.int64), np.ones(len(margins))
-        loss = np.logaddexp(0, -SHARPNESS * margins[:, None, :] * self.code[None]) @ self.trust
-        x = np.exp(2 * (loss.min(1, keepdims=True) - loss))
-        best = x.argmax(1)
-        return best, x[np.arange(len(x)), best] / x.sum(1)
+        best, score = np.zeros(len(margins), np.int64), np.zeros(len(margins))
+        step = max(1, DECODED // self.code.size)
+        for at in range(0, len(margins), step):
+            loss = np.logaddexp(0, -SHARPNESS * margins[at : at + step, None, :] * self.code[None]) @ self.trust
+            x = np.exp(2 * (loss.min(1, keepdims=True) - loss))
+            best[at : at + step] = x.argmax(1)
+            score[at : at + step] = x.max(1) / x.sum(1)
+        return best, score
 
 
 def fit(rows: DataFrame, lang: str = "lang", text: str = "text") -> Model:
-    """Counts n-grams of all rows by language; the driver gets at most FEATURES counts for each of MAX_LANGS languages."""
+    """Counts n-grams of all rows by language; the driver gets the languages' names and, for each feature, two numbers a bit."""
     small_batches(rows.sparkSession)
     rows = rows.select(F.col(lang).alias("lang"), F.col(text).alias("text")).where("lang IS NOT NULL AND text IS NOT NULL")
-    langs = sorted(r.lang for r in rows.select("lang").distinct().limit(MAX_LANGS + 1).collect())
-    if len(langs) > MAX_LANGS:
-        raise ValueError(f"more than {MAX_LANGS} languages to learn: the model of n languages holds {FEATURES} counts for each on the driver")
-    counts = np.zeros((len(langs), FEATURES))
-    if langs:
-        made = rows.where(F.col("lang").isin(langs)).mapInArrow(_counts(langs), "lang int, feature int, n long")
-        got = made.groupBy("lang", "feature").agg(F.sum("n").alias("n")).toPandas()
-        counts[got.lang, got.feature] = got.n
-    return Model(langs, counts)
+    langs = sorted(r.lang for r in rows.select("lang").distinct().collect())
+    code = codewords(len(langs)) if langs else np.zeros((0, 0))
+    bits = code.shape[1]
+    totals = np.zeros(len(langs))
+    odds, trust = np.zeros((2, FEATURES, bits))
+    if bits:
+        counts = cut(rows.mapInArrow(_counts(langs), "lang int, feature int, n long").groupBy("lang", "feature").agg(F.sum("n").alias("n")))
+        for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect():
+            totals[r.lang] = r.n
+
+        def made(batches):
+            for b in batches:
+                places, ns = b.column("langs"), b.column("ns").flatten().to_numpy()
+                held = np.zeros((len(langs), b.num_rows))
+                held[places.flatten().to_numpy(), np.repeat(np.arange(b.num_rows), np.diff(places.offsets.to_numpy()))] = ns
+                both = log_odds(held, totals, code)
+                yield pa.RecordBatch.from_arrays([b.column("feature"), *(pa.array(list(v), pa.list_(pa.float64())) for v in both)], ["feature", "odds", "trust"])
+
+        by_feature = counts.groupBy("feature").agg(F.collect_list(F.struct("lang", "n")).alias("c")).select("feature", F.col("c.lang").alias("langs"), F.col("c.n").alias("ns"))
+        got = by_feature.mapInArrow(made, "feature int, odds array<double>, trust array<double>").toArrow()
+        odds[:], trust[:] = (v[0] for v in log_odds(np.zeros((len(langs), 1)), totals, code))  # of features that no text has
+        at = got.column("feature").to_numpy()
+        odds[at], trust[at] = (got.column(c).combine_chunks().flatten().to_numpy().reshape(-1, bits) for c in ("odds", "trust"))
+    return Model(langs, code, odds, trust)
 
 
 def predict(docs: DataFrame, model: Model, keep: list[str], text: str = "text") -> DataFrame:

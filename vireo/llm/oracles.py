@@ -74,7 +74,7 @@ m AS (SELECT w.doc_id, lang, CAST(len(w) AS BIGINT) AS n_words, CAST(length(arra
   FROM words w LEFT JOIN repeated r ON r.doc_id = w.doc_id),
 b AS (SELECT *, n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality.MAX_REPEAT_PERCENT} * n_words AS base_failed FROM m),
 good AS (SELECT * FROM b WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)),
-langs AS (SELECT lang, CASE WHEN lang IS NOT NULL AND row_number() OVER (ORDER BY lang IS NULL, count(*) DESC, lang) <= {quality.MAX_STRATA} THEN lang ELSE '*' END AS stratum FROM good GROUP BY lang),
+langs AS (SELECT lang, coalesce(lang, '*') AS stratum FROM good GROUP BY lang),
 grid AS (SELECT * FROM (VALUES {grid}) AS g(level, {names})),
 tests AS (SELECT stratum, level, sum(over) AS k, count(*) AS n FROM (SELECT lang, level, CAST({over} AS INT) AS over FROM good, grid) AS z JOIN langs ON z.lang IS NOT DISTINCT FROM langs.lang GROUP BY stratum, level),
 certain AS (SELECT *, k < n * {risk!r}::DOUBLE AND list_sum([exp(lgamma(n + 1.0) - lgamma(i + 1.0) - lgamma(n - i + 1.0) + i * ln({risk!r}) + (n - i) * ln({1 - risk!r})) FOR i IN range(0, k::BIGINT + 1)])

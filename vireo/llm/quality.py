@@ -9,8 +9,8 @@ further correction; the strictest bundle certified is taken, and without one the
 1 - level, in every stratum, at most a share ``risk`` of good documents is rejected by the rules.  A stratum needs
 ln(level / strata) / ln(1 - risk) good labels at least: 217 with four strata.
 
-Defined cases: null or blank text has no words, fails the base check and is not kept; null language and languages beyond the
-``MAX_STRATA`` best labelled ones form the pooled stratum ``*``, which also serves languages without good labels; repeated rows
+Defined cases: null or blank text has no words, fails the base check and is not kept; every language is a stratum, however many
+there are; null language forms the stratum ``*``, which also serves languages without good labels; repeated rows
 give repeated results; of several rows of one labelled id the one that is rejected soonest counts; without labels nothing is
 certified and only the base check rejects; other columns of the input are ignored, whatever their names.
 """
@@ -19,15 +19,13 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vireo.llm.common import SPACES, cut, small, table
 
 #: Share of good documents of a stratum that all rules together may reject, and the error level of that statement.
 RISK, LEVEL = 0.02, 0.05
-#: Languages with a stratum of their own; the others share one.  Bounds the broadcast table of cutoffs.
-MAX_STRATA = 64
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 10, 20, 5
 
 LEVELS = 20
@@ -111,31 +109,28 @@ def cutoffs(measured: DataFrame, labels: DataFrame, risk: float = RISK, level: f
     """One row per stratum: ``stratum``, ``level`` of the bundle and ``cut_<rule>`` (null: nothing is certified there).
 
     measured: doc_id, lang and the measures.  labels: doc_id, quality; only quality = 1 rows whose document passes the base
-    check count as good.  A label that is repeated or joins repeated documents counts once.  At most MAX_STRATA + 1 rows.
+    check count as good.  A label that is repeated or joins repeated documents counts once.  One row a language, and one (*) for
+    those without.
     """
     good = labels.where("quality = 1 AND doc_id IS NOT NULL").select("doc_id").distinct()
     rows = measured.where(~base_failed()).select("doc_id", "lang", first_level().alias("first")).join(good, "doc_id", "left_semi")
     rows = rows.groupBy("doc_id").agg(F.min(F.struct("first", "lang")).alias("r")).select("r.*")
     by_lang = rows.groupBy("lang").agg(F.count(F.lit(1)).cast("double").alias("n"), *(F.sum((F.col("first") <= k).cast("double")).alias(f"k_{k}") for k in range(1, LEVELS + 1)))
-    own = F.when((F.row_number().over(_best()) <= MAX_STRATA) & F.col("lang").isNotNull(), F.col("lang")).otherwise("*")
+    own = F.coalesce("lang", F.lit("*"))
     names = [c for c in by_lang.columns if c != "lang"]
     strata = by_lang.select(own.alias("stratum"), *names).groupBy("stratum").agg(*(F.sum(c).alias(c) for c in names))
-    strata = strata.withColumn("strata", F.count(F.lit(1)).over(Window.partitionBy()))
+    strata = strata.crossJoin(F.broadcast(strata.agg(F.count(F.lit(1)).alias("strata"))))  # one row
     tested = strata.select("stratum", "strata", "n", F.posexplode(F.array(*(f"k_{k}" for k in range(1, LEVELS + 1)))).alias("at", "k"))
     certified = F.expr(f"({binomial_cdf('k', 'n', risk)}) <= {level!r}D / strata")
     best = tested.groupBy("stratum").agg(F.max(F.when(certified, F.col("at") + 1)).alias("level"))
     return best.select("stratum", "level", *(F.expr(f"CASE level {' '.join(f'WHEN {k} THEN {c!r}D' for k, c in enumerate(grid, 1))} END").alias(f"cut_{r}") for r, (_, grid) in RULES.items()))
 
 
-def _best():
-    return Window.orderBy(F.col("lang").isNull(), F.col("n").desc(), "lang")
-
-
 def judge(measured: DataFrame, cuts: DataFrame) -> DataFrame:
-    """measured with ``base_failed``, ``failed_rules`` (names) and ``kept``.  cuts has a proven bound on its rows and is broadcast."""
+    """measured with ``base_failed``, ``failed_rules`` (names) and ``kept``.  cuts is broadcast if it is small."""
     own = cuts.select(F.col("stratum").alias("_vs_lang"), F.struct(*(f"cut_{r}" for r in RULES)).alias("_vc_own")).where("_vs_lang <> '*'")
     rest = cuts.where("stratum = '*'").agg(F.first(F.struct(*(f"cut_{r}" for r in RULES))).alias("_vc_rest"))
-    joined = measured.join(F.broadcast(own), F.col("lang") == F.col("_vs_lang"), "left").join(F.broadcast(rest), F.lit(True), "left")
+    joined = measured.join(small(own), F.col("lang") == F.col("_vs_lang"), "left").join(F.broadcast(rest), F.lit(True), "left")
     cut_of = lambda r: F.when(F.col("_vs_lang").isNotNull(), F.col(f"_vc_own.cut_{r}")).otherwise(F.col(f"_vc_rest.cut_{r}"))
     failed = F.array_compact(F.array(*(F.when(F.expr(m) > cut_of(r), F.lit(r)) for r, (m, _) in RULES.items())))
     out = joined.withColumn("base_failed", base_failed()).withColumn("failed_rules", failed)
