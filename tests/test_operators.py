@@ -50,3 +50,32 @@ def test_stream_cut_does_not_matter(spark, tmp_path):
         out.append(sorted(map(tuple, S._run(S.fir(stream, taps)).collect())))
     assert len(out[0]) == 40 and np.allclose(out[0], out[1])
     assert math.isclose(dict(((u, f), v) for u, f, v in out[0])[1, 0], rows[0][2], abs_tol=1e-9)
+
+
+def test_lost_frames_in_a_stream(spark, tmp_path):
+    """A frame that never comes: those after it wait, up to a bound, then it counts as lost; what comes again is left out."""
+    from vireo.streaming import frames as S
+
+    taps = L.temporal_taps(30, "Ysust")
+    for n, rows in enumerate([[(1, 0, 1.0), (1, 1, 2.0), (2, 0, 5.0)], [(1, f, float(f)) for f in range(3, 8)] + [(1, 1, 9.0)], [(1, f, float(f)) for f in range(8, 12)], [(1, 2, 7.0), (2, 1, 6.0)]]):
+        spark.createDataFrame(rows, "user_id long, frame long, v double").coalesce(1).write.parquet(f"file://{tmp_path}/in/{n}")
+        stream = spark.readStream.schema("user_id long, frame long, v double").option("maxFilesPerTrigger", 1).parquet(f"file://{tmp_path}/in/*")
+        query = S.fir(stream, taps, waiting=6).writeStream.format("parquet").option("path", f"file://{tmp_path}/out").option("checkpointLocation", f"file://{tmp_path}/log").trigger(availableNow=True).start()
+        query.awaitTermination()
+    got = {(r.user_id, r.frame): r.v for r in spark.read.parquet(f"file://{tmp_path}/out").collect()}
+    assert set(got) == {(1, f) for f in range(12)} | {(2, 0), (2, 1)} and got[1, 2] is None
+    clip = [1.0, 2.0, 2.0, *map(float, range(3, 12))]  # the lost frame is the one before it
+    for f in (1, 3, 7, 11):
+        assert math.isclose(got[1, f], sum(w * clip[max(f - k, 0)] for k, w in enumerate(taps)), abs_tol=1e-9)
+
+
+def test_jobs_that_cannot_run(spark, tmp_path):
+    from vireo.streaming import jobs
+
+    frames = spark.createDataFrame([(k, 0, 2, 2, [0.1 * k] * 4) for k in (1, 2)], "clip long, frame int, h int, w int, v0 array<double>")
+    lines = ["--test 1 --reference 2 --metric psnr_rgb", "--test 1 --reference 9 --metric psnr_rgb", "--test 1 --reference 2 --metric other", "nonsense"]
+    spark.createDataFrame([(x,) for x in lines], "value string").write.text(f"file://{tmp_path}/in")
+    jobs.run_jobs(spark.readStream.text(f"file://{tmp_path}/in"), frames, ["v0"], f"file://{tmp_path}/out")
+    got = {r.clip: (r.value, r.error) for r in spark.read.parquet(f"file://{tmp_path}/out/*").collect()}
+    assert set(got) == set(lines[:3]) and math.isclose(got[lines[0]][0], 20, rel_tol=1e-9) and got[lines[0]][1] is None
+    assert got[lines[1]] == (None, "no frames of both clips") and got[lines[2]] == (None, "no metric named other")

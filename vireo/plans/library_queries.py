@@ -23,6 +23,7 @@ from vireo.plans.signal_queries import _SEQUENCE
 from vireo.sources import frames as S
 from vireo.sources import pictures, rawsource, rawvideo, signals
 from vireo.streaming import frames as stream
+from vireo.streaming import scores
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -399,3 +400,6 @@ def calibration_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     p, errors = calibration.fit(spark.read.parquet(at), quality, steps=8)
     rows = [(n, float(a), float(b), math.sqrt(errors[0]), math.sqrt(errors[-1])) for n, a, b in zip(calibration.NAMES, calibration.Parameters().array(), p.array())]
     return spark.createDataFrame(rows, "name string, start double, fitted double, rmse_before double, rmse_after double")
+
+
+QUERIES["stream_video_score"], ORACLES["stream_video_score"] = scores.scores_query, Q.ORACLES["video_score"]

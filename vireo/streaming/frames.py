@@ -1,6 +1,7 @@
 """Streams of frames: a temporal filter with carried state, and event-time windows.
 
-The filter keeps the last frames of each sequence as state and must give the same values however the stream is cut.
+The filter keeps the last frames of each sequence as state and must give the same values however the stream is cut.  Its state is
+bounded: by the filter's length, and by the frames that may wait for one that hasn't come.
 """
 
 from __future__ import annotations
@@ -28,27 +29,43 @@ def _folder(spark: SparkSession) -> str:
     return f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
-def fir(frames: DataFrame, taps: list[float]) -> DataFrame:
+#: Frames of a sequence that may wait for one before them.
+WAITING = 4096
+
+
+def fir(frames: DataFrame, taps: list[float], waiting: int = WAITING) -> DataFrame:
     """(user_id, frame, v) rows, streamed in any cut, to filtered frames; the first frame repeats before the clip.
 
-    Frames that arrive before their predecessors wait in the state, which is bounded by the gap and the filter's length.
+    Frames that arrive before their predecessors wait in the state.  Once more than ``waiting`` of them do, the frames missing before
+    the first that waits count as lost: they come out with a null, the filter takes the frame before them again, and those
+    that waited follow.  A frame that comes again or after it was lost is left out.  (Time limits by the clock would keep a stream that
+    is run until its input ends from ending.)
     """
 
     def step(key, batches, state):
-        following, past, waiting = state.get if state.exists else (0, [], "{}")
-        held = {int(k): v for k, v in pd.io.json.ujson_loads(waiting).items()}
+        following, past, numbers, values = state.get if state.exists else (0, [], [], [])
+        held, past, out = dict(zip(numbers, values)), list(past), []
         for b in batches:
-            held.update(zip(b.frame.tolist(), b.v.tolist()))
-        out, past = [], list(past)
-        while following in held:
-            v = held.pop(following)
-            past = ([v] * len(taps) if not past else [*past[1:], v])
-            out.append((key[0], following, sum(w * x for w, x in zip(taps, reversed(past)))))
-            following += 1
-        state.update((following, past, pd.io.json.ujson_dumps({str(k): v for k, v in held.items()}, double_precision=15)))
-        yield pd.DataFrame(out, columns=["user_id", "frame", "v"])
-
-    return frames.groupBy("user_id").applyInPandasWithState(step, "user_id long, frame long, v double", "following long, past array<double>, waiting string", "append", "NoTimeout")
+            held.update((f, v) for f, v in zip(b.frame.tolist(), b.v.tolist()) if f >= following)
+
+        def on(v: float) -> None:
+            past[:] = [v] * len(taps) if not past else [*past[1:], v]
+
+        while held and (following in held or len(held) > waiting):
+            if following in held:
+                on(held.pop(following))
+                out.append((key[0], following, sum(w * x for w, x in zip(taps, reversed(past)))))
+                following += 1
+                continue
+            first = min(held)
+            out.extend((key[0], f, None) for f in range(following, first))
+            for _ in range(min(first - following, len(taps)) if past else 0):
+                on(past[-1])
+            following = first
+        state.update((following, past, list(held), list(held.values())))
+        yield pd.DataFrame(out, columns=["user_id", "frame", "v"]).astype({"v": float})
+
+    return frames.groupBy("user_id").applyInPandasWithState(step, "user_id long, frame long, v double", "following long, past array<double>, numbers array<long>, values array<double>", "append", "NoTimeout")
 
 
 def _run(stream: DataFrame, mode: str = "append") -> DataFrame:
