@@ -58,26 +58,32 @@ def pow_even(x: np.ndarray, p: float) -> np.ndarray:
     return np.maximum(x, E.EPSILON) ** p + np.maximum(-x, E.EPSILON) ** p - E.EPSILON**p
 
 
-def contrast_bands(x: np.ndarray, bands: int, mode: str = "weber_g1") -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(band, contrasts of all planes, log10 background of the reference side), finest first; middle bands count twice."""
+def contrast_of(layer: np.ndarray, around: np.ndarray | None, mode: str) -> tuple[np.ndarray, np.ndarray]:
+    """Contrasts of a level of a pyramid and the log10 background of its reference side; around: the next level, expanded, none for the base."""
     if mode not in CONTRASTS:
         raise ValueError(f"no contrast named {mode}")
-    g, half = P.gaussian(x, bands), x.shape[1] // 2
-    to_log = lambda v: LOG_SLOPE * (v - math.log10(LOG_LMS[0]) + math.log10(LOG_LMS[1]) - math.log10(sum(LOG_LMS)))
-    for k, layer in enumerate(g):
+    base, half = around is None, layer.shape[1] // 2
+    around = layer if base else around
+    c = layer if base else layer - around
+    if mode == "log":
+        return c, LOG_SLOPE * (around[:, half : half + 1] - math.log10(LOG_LMS[0]) + math.log10(LOG_LMS[1]) - math.log10(sum(LOG_LMS)))
+    sides = np.maximum((layer if mode == "weber_g0_ref" else around)[:, ::half], 0.01)  # Y of test and reference
+    if mode.endswith("ref"):
+        sides = np.repeat(sides[:, 1:], 2, 1)
+    elif base:
+        sides = sides.mean((-2, -1), keepdims=True)
+    return np.minimum(c / np.repeat(sides, half, 1), 1000.0), np.log10(sides[:, 1:])
+
+
+def contrast_bands(x: np.ndarray, bands: int, mode: str = "weber_g1", first: int = 0) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(band, contrasts of all planes, log10 background of the reference side), finest first; middle bands count twice.
+
+    With ``first``, x is level ``first`` of the pyramid, and its bands are those from there on.
+    """
+    g = P.gaussian(x, bands - first)
+    for k, layer in enumerate(g, first):
         base = k == bands - 1
-        around = layer if base else P.expand(g[k + 1], *layer.shape[-2:])
-        c = layer if base else layer - around
-        if mode == "log":
-            held = to_log(around[:, half : half + 1])
-        else:
-            sides = np.maximum((layer if mode == "weber_g0_ref" else around)[:, ::half], 0.01)  # Y of test and reference
-            if mode.endswith("ref"):
-                sides = np.repeat(sides[:, 1:], 2, 1)
-            elif base:
-                sides = sides.mean((-2, -1), keepdims=True)
-            c = np.minimum(c / np.repeat(sides, half, 1), 1000.0)
-            held = np.log10(sides[:, 1:])
+        c, held = contrast_of(layer, None if base else P.expand(g[k + 1 - first], *layer.shape[-2:]), mode)
         yield k, c if base or k == 0 else 2 * c, held
 
 
@@ -150,12 +156,17 @@ class Model:
             return self.clamped(d / (1 + safe_pow(self.across(m), q)))
         return self.clamped(d / (1 + self.across(safe_pow(m, q))))
 
-    def differences(self, x: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        """(band, differences by channel) of a stack; the base band isn't masked."""
-        rho, half = self.bands(x), x.shape[1] // 2
-        for k, c, log_l in contrast_bands(x, len(rho), self.contrast):
-            t, r, s = c[:, :half], c[:, half:], self.sensed(log_l, rho[k], half)
-            yield k, np.abs(t - r) * s if k == len(rho) - 1 else self.masked(t, r, s)
+    def differences(self, x: np.ndarray, rho: list[float] | None = None, first: int = 0) -> Iterator[tuple[int, np.ndarray]]:
+        """(band, differences by channel) of a stack; with ``first``, of level ``first`` of a pyramid with bands at ``rho``."""
+        rho = rho or self.bands(x)
+        for k, c, log_l in contrast_bands(x, len(rho), self.contrast, first):
+            yield k, self.difference(c, log_l, rho[k], k == len(rho) - 1)
+
+    def difference(self, c: np.ndarray, log_l: np.ndarray, rho: float, base: bool) -> np.ndarray:
+        """Differences by channel of a band's contrasts; the base band isn't masked."""
+        half = c.shape[1] // 2
+        t, r, s = c[:, :half], c[:, half:], self.sensed(log_l, rho, half)
+        return np.abs(t - r) * s if base else self.masked(t, r, s)
 
     def weights(self, channels: int, base: bool) -> np.ndarray:
         return np.array(CHANNEL_WEIGHT[:channels]) * (np.array(BASEBAND[:channels]) if base else 1) if self.weighted else np.ones(channels)

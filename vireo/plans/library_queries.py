@@ -14,6 +14,7 @@ from vireo.operators import brackets, calibration, clock, regression
 from vireo.operators import linear as L
 from vireo.operators import planes as P
 from vireo.operators import reports as R
+from vireo.operators import tiles
 from vireo.operators import visibility as V
 from vireo.plans import image_queries as I
 from vireo.plans import report_queries as RQ
@@ -313,6 +314,15 @@ def mask_texture_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I._samples(made, ["d"], ["vec_id"], 3)
 
 
+@_query("tiled_score", None)
+def tiled_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pooled differences of planes of 24 x 24 samples that are cut into tiles; tests hold them against those of whole planes."""
+    lit = _wide(spark, sf_dir).withColumn("v", F.expr(f"transform(v, e -> {E.display_forward('e')})"))
+    pairs = lit.withColumnRenamed("v", "t").join(lit.select((F.col("vec_id") - 1).alias("vec_id"), F.col("v").alias("r")), "vec_id")
+    made = tiles.frame_values(tiles.cut_tiles(pairs, ["t", "r"], ["vec_id"], 8, 1), ["t", "r"], ["vec_id"])
+    return made.select("vec_id", F.round("q", 5).alias("q"))
+
+
 @_query("mask_cross_channel_gain", None)
 def mask_cross_channel_gain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Masking of normalised contrasts with gains by channel."""
