@@ -199,6 +199,7 @@ def test_chat_keeps_every_row(spark):
 
     turns = [(1, 0, "user", "q"), (1, 0, "assistant", "a"), (1, 1, "user", "r"), (1, 1, "user", "r"), (2, None, "user", "x"), (2, None, "assistant", "y"), (2, None, "assistant", "y"), (2, 0, "user", None)]
     turns += [(3, 0, None, "b"), (3, 0, "", "a"), (3, 0, None, None), (None, None, "assistant", "z"), (None, None, "assistant", "w<|")] + [(4, 0, "assistant", f"{i:04}") for i in range(2500)]
+    turns += [(5, 0, "a\\b", "t"), (5, 1, "a\nb", "t\\"), (5, 2, "x<|y", "<\\|"), (5, 3, "<\\|\n", "")]  # roles that are escaped
     df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
     got = chat.digest(chat.format_log(chat.events_of(chat.with_hostile(df)))).toPandas()
     con = duckdb.connect()

@@ -173,7 +173,7 @@ def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE_OP8 = r"""
 WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok' UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
-u AS (SELECT *, role || chr(10) || text || chr(10) AS plain, length(regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g')) + length(role) + 24 AS size FROM t)
+u AS (SELECT *, role || chr(10) || text || chr(10) AS plain, length(regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g')) + length(regexp_replace(replace(replace(role, '\', '\\'), chr(10), '\n'), '<(\\*)\|', '<\\\1|', 'g')) + 24 AS size FROM t)
 SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(plain, '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
   coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256, sum(size)::BIGINT AS formatted_chars

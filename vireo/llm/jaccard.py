@@ -316,7 +316,10 @@ def _compared(percent: int):
 
 
 def labelled(docs: DataFrame, k: int, percent: int, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, row (xxhash64 of the text), n_shingles, label (of the class; null for empty sets): one row per row of docs."""
+    """doc_id, row (xxhash64 of the text), n_shingles, label (of the class; null for empty sets): one row per row of docs.
+
+    percent: the least similarity, 67 to 100; below that the parts of sets that are sure to be shared become too many.
+    """
     if not 67 <= percent <= 100:
         raise ValueError("percent must lie between 67 and 100")
     spark = docs.sparkSession
