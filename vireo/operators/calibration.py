@@ -113,6 +113,21 @@ def predicted(q: Column, p: Parameters) -> tuple[Column, list[Column]]:
     return 10 - a * lost, [by_q, -lost, -a * by_e]
 
 
+def parameter_files(rows: DataFrame, keep: list[str], comment: str = "", stamp: bool = True) -> DataFrame:
+    """keep and ``text``: parameters (columns named as those of Parameters) in the layout of parameter files, a row a set."""
+    held = [F.col("chromatic").alias("ch_chrom_w"), F.col("transient").alias("ch_trans_w"), F.array(*(f"base{c}" for c in range(4))).alias("baseband_weight"), "jod_a", "jod_exp"]
+    stamps = ([F.date_format(F.current_date(), "yyyy-MM-dd").alias("calibration_date")] if stamp else []) + ([F.lit(comment).alias("comment")] if comment else [])
+    return rows.select(*keep, F.to_json(F.struct(*held, *stamps)).alias("text"))
+
+
+def read_parameter_files(rows: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
+    """keep and the columns of Parameters; what a file leaves out has its usual value."""
+    d = Parameters()
+    f = F.from_json(text, "ch_chrom_w double, ch_trans_w double, baseband_weight array<double>, jod_a double, jod_exp double")
+    each = {"chromatic": f["ch_chrom_w"], "transient": f["ch_trans_w"], **{f"base{c}": F.get(f["baseband_weight"], c) for c in range(4)}, "jod_a": f["jod_a"], "jod_exp": f["jod_exp"]}
+    return rows.select(*keep, *(F.coalesce(v, F.lit(getattr(d, k))).alias(k) for k, v in each.items()))
+
+
 def scores(features: DataFrame, p: Parameters = Parameters(), by: str = "id") -> DataFrame:
     """by and the score under the parameters."""
     return conditions(features, p, by).select(by, predicted(F.col("q"), p)[0].alias("score"))

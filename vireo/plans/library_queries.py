@@ -399,6 +399,17 @@ def features_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select("id", "jod", "channel", "band", F.col("N_frames").alias("frames"), F.col("frames_per_second").alias("fps"), "width", F.round(F.element_at("rho_band", F.col("band") + 1), 4).alias("rho"), F.round("total", 4).alias("total"))
 
 
+_SETS = "SELECT s_suppkey, 1e0 + s_acctbal / 1e5 AS chromatic, 8e-1 + s_nationkey / 1e2 AS transient, s_suppkey / 1e3 AS base0, 16e-1 AS base1, 4e0 + s_nationkey / 1e1 AS base2, 25e0 AS base3, 4e-2 + s_acctbal / 1e7 AS jod_a, 93e-2 AS jod_exp FROM supplier"
+
+
+@_query("parameter_export", "SELECT s_suppkey, " + ", ".join(f"round({n}, 9) AS {n}" for n in calibration.NAMES) + f" FROM ({_SETS}) AS s")
+def parameter_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A set of parameters a supplier, written as files' texts and read back."""
+    signals.views(spark, sf_dir, "supplier")
+    texts = calibration.parameter_files(spark.sql(_SETS), ["s_suppkey"], "exported")
+    return calibration.read_parameter_files(texts, ["s_suppkey"]).select("s_suppkey", *(F.round(n, 9).alias(n) for n in calibration.NAMES))
+
+
 @_query("calibration_fit", None)
 def calibration_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weights of pooling and the score's curve fitted to scores by damped Gauss-Newton steps: name, start, fitted, rmse before and after."""

@@ -122,15 +122,3 @@ ORACLES |= {
     "pyramid_dump": f"WITH {Q._DIFF_SQL}{_dump_sql('con', _pyramid, [f't{c}' for c in range(4)], '0e0')}",
     "difference_dump": f"WITH {Q._DIFF_SQL}, wd AS (SELECT vec_id, band, y, x, {', '.join(f'd{c} * {num(V.CHANNEL_WEIGHT[c])} * {Q._base(c)} / 10e0 AS d{c}' for c in range(4))} FROM dif){_dump_sql('wd', {'red': f'CASE WHEN v IS NOT NULL THEN {_code("v")} END'}, Q.D, _code(num(R.EMPTY)))}",
 }
-
-
-def parameter_export(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The exported parameters read back: each number of each list."""
-    held = spark.createDataFrame([(R.parameters("exported"),)], "text string")
-    entries = held.select(F.explode(F.from_json("text", "map<string, string>")).alias("name", "v")).where("name NOT IN ('calibration_date', 'comment')")
-    return entries.select("name", F.posexplode(F.from_json(F.when(F.col("v").startswith("["), F.col("v")).otherwise(F.concat(F.lit("["), "v", F.lit("]"))), "array<double>")).alias("place", "value"))
-
-
-_EXPORTED = {"mask_p": [V.MASK_P], "mask_c": [V.MASK_C], "mask_q": V.MASK_Q, "xcm_weights": [w for row in V.CROSS for w in row], "baseband_weight": V.BASEBAND, "ch_trans_w": [V.CHANNEL_WEIGHT[3]], "d_max": [V.D_MAX], "image_int": [V.IMAGE], "jod_a": [E.JOD_A], "jod_exp": [E.JOD_EXP]}
-QUERIES["parameter_export"] = parameter_export
-ORACLES["parameter_export"] = " UNION ALL ".join(f"SELECT '{n}' AS name, {k} AS place, {num(v)} AS value" for n, vs in _EXPORTED.items() for k, v in enumerate(vs))
