@@ -197,7 +197,24 @@ def _over_images(name: str, sql: str) -> None:
 
 
 _moments = "avg(t) AS mt, avg(r) AS mr, avg(t * t) AS tt, avg(r * r) AS rr, avg(t * r) AS tr"
-_over_images("ssim_blocks", f"SELECT vec_id, round(avg((2e0 * mt * mr + 1e-4) * (2e0 * (tr - mt * mr) + 9e-4) / ((mt * mt + mr * mr + 1e-4) * (tt - mt * mt + rr - mr * mr + 9e-4))), 6) AS ssim FROM (SELECT a.vec_id, CAST(floor(a.y / 4e0) AS INT) AS by_, CAST(floor(a.x / 4e0) AS INT) AS bx_, {_moments} FROM (SELECT vec_id, y, x, v AS t FROM img) a JOIN (SELECT vec_id - 1 AS vec_id, y, x, v AS r FROM img) b ON a.vec_id = b.vec_id AND a.y = b.y AND a.x = b.x GROUP BY a.vec_id, CAST(floor(a.y / 4e0) AS INT), CAST(floor(a.x / 4e0) AS INT)) AS s GROUP BY vec_id")
+_SSIM_BLOCKS = f"SELECT vec_id, round(avg((2e0 * mt * mr + 1e-4) * (2e0 * (tr - mt * mr) + 9e-4) / ((mt * mt + mr * mr + 1e-4) * (tt - mt * mt + rr - mr * mr + 9e-4))), 6) AS ssim FROM (SELECT a.vec_id, CAST(floor(a.y / 4e0) AS INT) AS by_, CAST(floor(a.x / 4e0) AS INT) AS bx_, {_moments} FROM (SELECT vec_id, y, x, v AS t FROM img) a JOIN (SELECT vec_id - 1 AS vec_id, y, x, v AS r FROM img) b ON a.vec_id = b.vec_id AND a.y = b.y AND a.x = b.x GROUP BY a.vec_id, CAST(floor(a.y / 4e0) AS INT), CAST(floor(a.x / 4e0) AS INT)) AS s GROUP BY vec_id"
+
+
+def ssim_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Similarity of blocks of 4 x 4 samples of an image and the next one, averaged over blocks; rows stay planes."""
+
+    def similar(x: np.ndarray) -> np.ndarray:
+        t, r = x[:, :1], x[:, 1:]
+        mt, mr, tt, rr, tr = (P.window_moments(v, 4)[0] for v in (t, r, t * t, r * r, t * r))
+        s = (2 * mt * mr + 1e-4) * (2 * (tr - mt * mr) + 9e-4) / ((mt * mt + mr * mr + 1e-4) * (tt - mt * mt + rr - mr * mr + 9e-4))
+        return s.mean((-2, -1), keepdims=True)
+
+    img = signals.images(spark, sf_dir)
+    pairs = img.withColumnRenamed("v", "t").join(img.select((F.col("vec_id") - 1).alias("vec_id"), F.col("v").alias("r")), "vec_id")
+    return P.filtered(pairs, similar, ["t", "r"], ["s"], ["vec_id"]).select("vec_id", F.round(F.col("s")[0], 6).alias("ssim"))
+
+
+QUERIES["ssim_blocks"], ORACLES["ssim_blocks"] = ssim_blocks, f"WITH img AS ({signals.IMAGES_DUCKDB}) {_SSIM_BLOCKS}"
 _over_images("tonemap_hist", "SELECT bin, n, round(sum(p) OVER (ORDER BY bin) / sum(p) OVER (), 6) AS level FROM (SELECT bin, count(*) AS n, pow(CAST(count(*) AS DOUBLE), 1e0 / 3e0) AS p FROM (SELECT CAST(least(floor(v * 64e0), 63e0) AS INT) AS bin FROM img) AS b GROUP BY bin) AS h")
 _over_images("heatmap_color", "SELECT vec_id, y, x, round(least(greatest(CASE WHEN v < 5e-1 THEN 2e0 * v ELSE 1e0 END, 0e0), 1e0), 6) AS red, round(1e0 - abs(2e0 * v - 1e0), 6) AS green, round(least(greatest(CASE WHEN v < 5e-1 THEN 1e0 ELSE 2e0 - 2e0 * v END, 0e0), 1e0), 6) AS blue FROM img")
 _over_images("log_context", "SELECT vec_id, y, x, round(ln(greatest(v, min(CASE WHEN v > 0 THEN v END) OVER (PARTITION BY vec_id))), 6) AS c FROM img")

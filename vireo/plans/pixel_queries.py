@@ -103,7 +103,9 @@ _sql("pnorm_spatial", f"SELECT pair, vch, frame, band, round(q1, 6) AS q1 FROM (
 _sql("pnorm_bands", f"SELECT pair, vch, frame, round(q2, 6) AS q2 FROM ({Q2}) AS x", "lineitem")
 _sql("pnorm_channels", f"SELECT pair, frame, round(q3, 6) AS q3 FROM ({Q3}) AS x", "lineitem")
 _sql("pnorm_rollup", f"SELECT pair, round(q4, 6) AS q4, round({E.jod('q4')}, 6) AS score FROM ({Q4}) AS x", "lineitem")
-_sql("distogram", f"SELECT pair, vch, frame, band, round({E.clamp('(q1 / max(q1) OVER ())', 0, 1)}, 6) AS level FROM ({Q1}) AS x", "lineitem")
+_LEVEL = f"round({E.clamp('(q1 / {top})', 0, 1)}, 6)"
+# The largest value comes from an aggregation of its own, a row that is sent to all tasks.
+_sql("distogram", f"SELECT pair, vch, frame, band, {_LEVEL.format(top='top')} AS level FROM ({Q1}) AS x CROSS JOIN (SELECT max(q1) AS top FROM ({Q1}) AS y) AS m", "lineitem", oracle=f"SELECT pair, vch, frame, band, {_LEVEL.format(top='max(q1) OVER ()')} AS level FROM ({Q1}) AS x")
 
 _mse = lambda f: "avg(" + " + ".join(f"pow({f(a)} - {f(b)}, 2e0)" for a, b in (("t", "r"),)) + ")"
 _rows = "SELECT l_returnflag AS pair, l_discount * 10e0 AS t, l_tax * 12.5e0 AS r, l_quantity / 50e0 AS q FROM lineitem"
