@@ -314,12 +314,16 @@ def mask_texture_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I._samples(made, ["d"], ["vec_id"], 3)
 
 
+def wide_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """vec_id, h, w, t, r: a plane of 24 x 24 samples and the next one, in light of the standard display."""
+    lit = _wide(spark, sf_dir).withColumn("v", F.expr(f"transform(v, e -> {E.display_forward('e')})"))
+    return lit.withColumnRenamed("v", "t").join(lit.select((F.col("vec_id") - 1).alias("vec_id"), F.col("v").alias("r")), "vec_id")
+
+
 @_query("tiled_score", None)
 def tiled_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pooled differences of planes of 24 x 24 samples that are cut into tiles; tests hold them against those of whole planes."""
-    lit = _wide(spark, sf_dir).withColumn("v", F.expr(f"transform(v, e -> {E.display_forward('e')})"))
-    pairs = lit.withColumnRenamed("v", "t").join(lit.select((F.col("vec_id") - 1).alias("vec_id"), F.col("v").alias("r")), "vec_id")
-    made = tiles.frame_values(tiles.cut_tiles(pairs, ["t", "r"], ["vec_id"], 8, 1), ["t", "r"], ["vec_id"])
+    """Pooled differences of planes that are cut into tiles; tests hold them against those of whole planes."""
+    made = tiles.frame_values(tiles.cut_tiles(wide_pairs(spark, sf_dir), ["t", "r"], ["vec_id"], 8, 1), ["t", "r"], ["vec_id"])
     return made.select("vec_id", F.round("q", 5).alias("q"))
 
 
