@@ -27,18 +27,18 @@ FRAMES, FPS = 10, 30
 PLANES = [f"{s}{c}" for s in "tr" for c in range(4)]
 D, M, S = ([f"{x}{c}" for c in range(4)] for x in "dms")
 
-#: Frames: vectors in order of id, FRAMES a clip; a clip's reference is the next clip.  Frames without a reference are left out.
+#: Frames: vectors in order of id, FRAMES a clip; a clip's reference is the next clip.  Frames without a reference count as zeros while others of their clip have one.
 CLIPS = f"SELECT a.vec_id, a.y, a.x, a.v AS t, b.v AS r FROM {{img}} a JOIN {{img}} b ON b.vec_id = a.vec_id + {FRAMES} AND b.y = a.y AND b.x = a.x"
 
 
 def planes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """clip, frame, h, w and the filtered planes, in light of the standard display."""
+    """clip, frame, h, w and the filtered planes, in light of the standard display; frames without a reference count as zeros, as in the SQL."""
     lit = signals.images(spark, sf_dir).withColumn("v", F.expr(f"transform(v, e -> {E.display_forward('e')})"))
     clip = F.expr(f"vec_id DIV {FRAMES}")
     sided = lit.select(F.explode(F.array(F.struct(clip.alias("clip"), F.lit("t").alias("side")), F.struct((clip - 1).alias("clip"), F.lit("r").alias("side")))).alias("s"), (F.col("vec_id") % FRAMES).alias("frame"), "h", "w", "v")
     side = lambda s: F.first(F.when(F.col("s.side") == s, F.col("v")), ignorenulls=True).alias(s)
     paired = sided.groupBy(F.col("s.clip").alias("clip"), "frame").agg(F.first("h").alias("h"), F.first("w").alias("w"), side("t"), side("r"))
-    return temporal_channels(paired.where("t IS NOT NULL AND r IS NOT NULL"), FPS, ["t", "r"])
+    return temporal_channels(paired.where("t IS NOT NULL AND r IS NOT NULL"), FPS, ["t", "r"], span=FRAMES)
 
 
 def _of_frames(df: DataFrame) -> DataFrame:
