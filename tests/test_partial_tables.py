@@ -6,6 +6,7 @@ import pytest
 
 from vireo.operators import temporal as T
 from vireo.plans import catalog
+from vireo.sources import rawvideo
 
 SF = "/root/testdata/sf0.001"
 
@@ -48,3 +49,26 @@ def test_span_of_a_clip(spark):
         T.temporal_channels(frames, 30, ["t", "r"], span=65)
     with pytest.raises(Exception, match="missing or there twice"):
         T.temporal_channels(frames, 30, ["t", "r"], span=5).count()
+
+
+def test_condition_table_in_parts(spark, tmp_path):
+    """The part with the header is the smallest, so that tasks take it last."""
+    (tmp_path / "part-00000.txt").write_text("display: standard_4k\ntest,jod\na,1\n")
+    (tmp_path / "part-00001.txt").write_text("".join(f"b{k},2\n" for k in range(1000)))
+    (tmp_path / "part-00002.txt").write_text("".join(f"c{k},3\n" for k in range(5000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8192")
+    try:
+        rows, settings = rawvideo.read_condition_table(spark, str(tmp_path), "test string, jod double")
+        assert rows.count() == 6001 and [tuple(r) for r in settings.collect()] == [("display", "standard_4k")]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_conditions_of_odd_parts(spark, tmp_path):
+    """Keys that repeat, the least one too, or are null, and sizes that are null."""
+    odd = "CASE WHEN p_partkey < 3 THEN 1 WHEN p_partkey = 7 THEN NULL ELSE p_partkey END AS p_partkey, CASE WHEN p_partkey = 9 THEN NULL ELSE p_size END AS p_size"
+    duckdb.connect().execute(f"COPY (SELECT * REPLACE ({odd}) FROM read_parquet('{SF}/part.parquet')) TO '{tmp_path}/part.parquet' (FORMAT parquet)")
+    got = catalog.QUERIES["quality_table"](spark, str(tmp_path)).collect()
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW part AS SELECT * FROM read_parquet('{tmp_path}/part.parquet')")
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, con.execute(catalog.ORACLES["quality_table"]).fetchall()))

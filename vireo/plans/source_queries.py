@@ -325,19 +325,18 @@ FROM k JOIN seq a ON a.user_id = k.user_id AND a.frame = k.frame LEFT JOIN seq b
 
 # Condition tables and jobs ---------------------------------------------------------------------------------------
 
-_LINE = "concat('\"set,', p_brand, '/', CAST(p_partkey AS STRING), '.mp4\",', CAST(p_size AS STRING))"
+_LINE = "concat(coalesce(concat('\"set,', p_brand, '/', CAST(p_partkey AS STRING), '.mp4\"'), ''), ',', coalesce(CAST(p_size AS STRING), ''))"
 
 
 def quality_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conditions written as files, the first with settings ahead of its header, read back with a setting on each row and their ids."""
     signals.views(spark, sf_dir, "part")
     at = f"{stream._folder(spark)}/conditions"
-    rows = spark.sql(f"SELECT p_partkey, {_LINE} AS value FROM part")
-    least = rows.agg(F.min("p_partkey")).first()[0]
-    head = F.when(F.col("p_partkey") == least, F.array(*map(F.lit, ("# conditions", "full-range: true", "", "display: standard_4k", "test,jod")))).otherwise(F.array().cast("array<string>"))
-    # ranges of keys, so that files are in order and the first row, with the header's lines ahead of it, is in the first
-    ordered = rows.repartitionByRange("p_partkey").sortWithinPartitions("p_partkey")
-    ordered.select(F.explode(F.concat(head, F.array("value"))).alias("value")).write.text(at)
+    # ranges of keys, so that files are in order and the header's lines, which have no key, are the first in the first of them
+    rows = spark.sql(f"SELECT p_partkey, 9 AS place, {_LINE} AS value FROM part")
+    head = spark.sql("SELECT CAST(NULL AS BIGINT) AS p_partkey, posexplode(array('# conditions', 'full-range: true', '', 'display: standard_4k', 'test,jod')) AS (place, value)")
+    ordered = rows.unionByName(head).repartitionByRange("p_partkey").sortWithinPartitions("p_partkey", "place")
+    ordered.select("value").write.text(at)
     held, settings = rawvideo.read_condition_table(spark, at, "test string, jod double")
     display = settings.where("key = 'display'").agg(F.max("value").alias("display"))
     return held.crossJoin(F.broadcast(display)).select(condition_id(F.col("test")).alias("id"), "jod", "display")

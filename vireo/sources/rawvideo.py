@@ -109,12 +109,15 @@ def sequence_frames(names: DataFrame, pattern: str, name: str = "name", start: i
 
 
 def read_condition_table(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
-    """Rows of one file of comma-separated values, and the settings (key, value) that stand ahead of its header.
+    """Rows of a file of comma-separated values, or of a folder of its parts in order of their names, and the settings (key, value)
+    that stand ahead of its header.
 
     Blank lines and lines that start with # count for nothing.  The first other line without a colon is the header; lines
     before it are ``key: value`` settings, with - in keys turned to _, and all lines after it are rows.  Everything is read in tasks.
     """
-    lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("at"), "value").where(~F.col("value").rlike("^[ \\t]*(#|$)"))
+    # tasks take parts by size, so a line's place is by its part first, then by where its split begins
+    at = F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id().alias("line"))
+    lines = spark.read.text(path).select(at.alias("at"), "value").where(~F.col("value").rlike("^[ \\t]*(#|$)"))
     header = lines.where(~F.col("value").contains(":")).agg(F.min("at").alias("header"))
     placed = lines.crossJoin(F.broadcast(header))  # one row
     key, value = (F.regexp_extract("value", "^[ \\t]*([^:]*?)[ \\t]*:[ \\t]*(.*?)[ \\t]*$", k) for k in (1, 2))
