@@ -72,3 +72,11 @@ def test_conditions_of_odd_parts(spark, tmp_path):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW part AS SELECT * FROM read_parquet('{tmp_path}/part.parquet')")
     assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, con.execute(catalog.ORACLES["quality_table"]).fetchall()))
+
+
+@pytest.mark.parametrize("knots,rows", [("p_partkey % 7 IN (2, 3)", None), ("false", 0)])
+def test_curves_without_knots(spark, tmp_path, knots, rows):
+    duckdb.connect().execute(f"COPY (SELECT * FROM read_parquet('{SF}/part.parquet') WHERE {knots}) TO '{tmp_path}/part.parquet' (FORMAT parquet)")
+    duckdb.connect().execute(f"COPY (SELECT * FROM read_parquet('{SF}/orders.parquet')) TO '{tmp_path}/orders.parquet' (FORMAT parquet)")
+    want = against_sql(spark, tmp_path, "interp_table", ["part", "orders"])
+    assert len(want) == rows if rows is not None else 0 < len(want) < 1500
