@@ -4,6 +4,7 @@ import duckdb
 import numpy as np
 import pytest
 
+from vireo.operators import planes as P
 from vireo.operators import temporal as T
 from vireo.plans import catalog
 from vireo.sources import rawvideo
@@ -80,3 +81,10 @@ def test_curves_without_knots(spark, tmp_path, knots, rows):
     duckdb.connect().execute(f"COPY (SELECT * FROM read_parquet('{SF}/orders.parquet')) TO '{tmp_path}/orders.parquet' (FORMAT parquet)")
     want = against_sql(spark, tmp_path, "interp_table", ["part", "orders"])
     assert len(want) == rows if rows is not None else 0 < len(want) < 1500
+
+
+def test_stacks_stay_small(spark):
+    """However many rows a task has, a stack holds a megabyte at most, so that memory doesn't grow with the table."""
+    rows = spark.range(6000, numPartitions=1).selectExpr("id", "8 AS h", "8 AS w", "array_repeat(CAST(id AS DOUBLE), 64) AS v")
+    seen = P.filtered(rows, lambda x: np.full((len(x), 1, 1, 1), float(x.nbytes)), ["v"], ["n"], ["id"]).selectExpr("id", "n[0] AS n").collect()
+    assert len({r.id for r in seen}) == 6000 and max(r.n for r in seen) <= 1 << 20

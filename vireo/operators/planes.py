@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from vireo.operators import linear as L
 
 #: Samples, over all planes, of the rows that are filtered at once, unless a single row has more.
-STACKED = 1 << 20
+STACKED = 1 << 17
 #: A function over a stack (rows, planes, h, w): labelled results of the same form.
 Stencil = Callable[[np.ndarray], Iterator[tuple[int, np.ndarray]]]
 
