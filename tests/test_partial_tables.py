@@ -8,6 +8,7 @@ from vireo.operators import planes as P
 from vireo.operators import temporal as T
 from vireo.plans import catalog
 from vireo.sources import rawvideo
+from vireo.streaming import scores
 
 SF = "/root/testdata/sf0.001"
 
@@ -88,3 +89,16 @@ def test_stacks_stay_small(spark):
     rows = spark.range(6000, numPartitions=1).selectExpr("id", "8 AS h", "8 AS w", "array_repeat(CAST(id AS DOUBLE), 64) AS v")
     seen = P.filtered(rows, lambda x: np.full((len(x), 1, 1, 1), float(x.nbytes)), ["v"], ["n"], ["id"]).selectExpr("id", "n[0] AS n").collect()
     assert len({r.id for r in seen}) == 6000 and max(r.n for r in seen) <= 1 << 20
+
+
+def test_streamed_frames_lie_in_as_many_files_as_tasks_wrote(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(scores, "_folder", lambda _: str(tmp_path))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "9")
+        made = scores.scores_query(spark, SF).collect()
+        assert len(list((tmp_path / "in").rglob("part-*.parquet"))) == 27 and len(list((tmp_path / "out").glob("batch=*"))) == 3
+        assert len(made) == 49
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.adaptive.enabled")

@@ -29,12 +29,14 @@ def latest(spark: SparkSession, folder: str, clip: list[str]) -> DataFrame:
 
 
 def scores_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Clips whose frames come as a stream of files, a few at a time."""
+    """Clips whose frames come as a stream of files, a third of the files at a time; a clip's frames lie in three files."""
     from vireo.plans import video_queries as Q
 
     at = _folder(spark)
     held = Q.planes(spark, sf_dir)
-    held.repartition(6, "frame").write.parquet(f"{at}/in")
-    stream = spark.readStream.schema(held.schema).option("maxFilesPerTrigger", 2).parquet(f"{at}/in")
+    # each task that filtered clips writes them, so files grow in number, not in size
+    held.withColumn("turn", F.col("frame") % 3).write.partitionBy("turn").parquet(f"{at}/in")
+    files = len(spark.read.schema(held.schema).parquet(f"{at}/in").inputFiles())
+    stream = spark.readStream.schema(held.schema).option("maxFilesPerTrigger", max(1, -(-files // 3))).parquet(f"{at}/in/turn=*")
     running_scores(stream, Q.PLANES, ["clip"], f"{at}/out")
     return latest(spark, f"{at}/out", ["clip"]).select("clip", "frames", F.round("q", 4).alias("q"), F.round("score", 4).alias("score"))
