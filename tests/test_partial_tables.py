@@ -4,6 +4,7 @@ import duckdb
 import numpy as np
 import pytest
 
+from vireo.operators import calibration
 from vireo.operators import planes as P
 from vireo.operators import temporal as T
 from vireo.plans import catalog
@@ -121,3 +122,10 @@ def test_one_predictor_throughout(kind):
             before = {0: 0, 1: want[y, x - 1] if x else 0, 2: want[y - 1, x] if y else 0}[kind]
             want[y, x] = (data[y, x].astype(int) + before) % 256
     assert (pictures._unpredicted(np.full(5, kind, np.uint8), data) == want).all()
+
+
+def test_scores_do_not_pass_through_the_driver(spark):
+    features = spark.createDataFrame([("a", [[1.0, 2.0]] * 4), ("b", [[2.0, 1.0]] * 4)], "id string, channels array<array<double>>")
+    quality = spark.createDataFrame([("a", 8.0), ("b", 7.0), ("c", 6.0)], "id string, jod double")
+    joined = calibration.scored(calibration.conditions(features, calibration.Parameters()), quality)
+    assert joined.count() == 2 and "Broadcast" not in joined._jdf.queryExecution().executedPlan().toString()

@@ -133,9 +133,14 @@ def scores(features: DataFrame, p: Parameters = Parameters(), by: str = "id") ->
     return conditions(features, p, by).select(by, predicted(F.col("q"), p)[0].alias("score"))
 
 
+def scored(rows: DataFrame, quality: DataFrame, by: str = "id", how: str = "inner") -> DataFrame:
+    """Rows joined with their conditions' quality; neither side passes through the driver, though one may be small."""
+    return rows.join(quality.hint("merge"), by, how)
+
+
 def equations(features: DataFrame, quality: DataFrame, p: Parameters, by: str = "id", score: str = "jod") -> tuple[int, float, np.ndarray, np.ndarray]:
     """Number of conditions, their squared error, and the normal equations' matrix and right side: one row for the driver."""
-    joined = conditions(features, p, by).join(quality.select(by, F.col(score).cast("double").alias("_jod")).where("_jod IS NOT NULL"), by)
+    joined = scored(conditions(features, p, by), quality.select(by, F.col(score).cast("double").alias("_jod")).where("_jod IS NOT NULL"), by)
     made, (by_q, by_a, by_e) = predicted(F.col("q"), p)
     rows = joined.select((F.col("_jod") - made).alias("e"), F.array(*(F.col("d")[k] * by_q for k in range(WEIGHTS)), by_a, by_e).alias("j"))
     m = len(NAMES)
