@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from pyspark.sql import functions as F
@@ -218,6 +219,29 @@ def test_every_language_is_a_stratum(spark):
 # Language model -----------------------------------------------------------------------------------------------------
 
 
+@pytest.mark.parametrize("piece", [1, 500, lm.PIECE])
+def test_words_of_a_batch(monkeypatch, piece):
+    """Batches of texts are split, hashed and looked up as their words would be one by one."""
+    monkeypatch.setattr(lm, "PIECE", piece)
+    rng = random.Random(6)
+    odd = [None, b"", b" \t\n\x0b\x0c\r ", b"  A b ", b"\nb\x1cB a\x85a\x0ba\xc2\xa0a", "É é ÀB.;".encode(), b"\xff\xfe A \xc3", b"a.,;:!? ... x", b"b" * 300]
+    texts = odd + [" ".join(rng.choice("aBcdé.") * rng.randint(1, 5) for _ in range(rng.randint(0, 40))).encode() for _ in range(200)]
+    words = [(t or b"").lower().split() + [lm.END] for t in texts]
+    counts = Counter(lm.word_key(w) for ws in words for w in ws)
+    batch = pa.array([b"left out", *texts], pa.binary())[1:]
+    got: Counter = Counter()
+    for b in lm._counted([pa.RecordBatch.from_arrays([batch], ["text"]), pa.RecordBatch.from_arrays([batch[:0]], ["text"])]):
+        got.update(dict(zip(b.column(0).to_pylist(), b.column(1).to_pylist())))
+    assert got == counts
+    top = [k for k, n in counts.most_common() if n > 2 and k != lm.END_KEY]
+    lex = lm.Lexicon(np.array([lm.END_KEY, *top]), np.array([counts[k] for k in [lm.END_KEY, *top]]), sum(counts.values()), len(counts), np.ones(lm.ENDINGS), np.ones(lm.ENDINGS))
+    place = {k: i for i, k in enumerate([lm.END_KEY, *top])}
+    want = [[place.get(k, lm.RARE + k) for k in map(lm.word_key, ws)] for ws in words]
+    codes, starts = lex.coded(batch)
+    assert [codes[a:b].tolist() for a, b in zip(starts, starts[1:])] == want and len(starts) == len(texts) + 1
+    assert lex.codes(texts[4]).tolist() == want[4] and any(c >= lm.RARE for c in codes)
+
+
 def test_probabilities_add_up(spark):
     rng = random.Random(1)
     texts = [" ".join(rng.choice("abcdefghij") * rng.randint(1, 4) + rng.choice(["", "ing", "."]) for _ in range(rng.randint(3, 60))) for _ in range(400)]

@@ -1,6 +1,7 @@
 """Language-model scoring: a gated recurrent model with a class-factored softmax, in numpy inside Spark tasks.
 
-Counts.  Word counts cover every training text: tasks count words, Spark sums them.  The most frequent words, at most TABLE, of
+Counts.  Word counts cover every training text: tasks split a batch of texts with Arrow and hash each of its distinct words
+once, Spark sums their counts.  The most frequent words, at most TABLE, of
 those seen twice or more, are broadcast; other words of a text are joined with the counts by hash, so no table that grows
 with the vocabulary is sent around.  Words seen once stay out, so that training meets the classes of rare words.
 
@@ -26,10 +27,10 @@ ignored.  Words are told apart by 64-bit hashes.
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,7 +48,9 @@ STREAMS, STEPS, RATE = 512, 8, 0.03
 PART = 1 << 21
 #: Tokens that each stream holds at least before streams advance; states that are settled and texts that are scored at once.
 SPAN, SETTLED, WIDE = 128, 65_536, 1024
-COUNTED, KEPT, BATCH = 400_000, 400_000, 6000
+#: States of a softmax layer at once when scoring, so that they stay in the processor's cache.
+CACHED = 2048
+BATCH, PIECE = 6000, 4 << 20
 END = b"\n"
 #: Steps of the grid of counts, as logarithms.
 GRID = 0.02
@@ -66,43 +69,45 @@ def word_key(word: bytes) -> int:
 END_KEY = word_key(END)
 
 
-def _counted(batches):
-    seen: Counter = Counter()
+def word_keys(words: pa.Array) -> np.ndarray:
+    """word_key of each word of an array of strings; the empty one is the end."""
+    tails = pc.binary_slice(pc.ascii_rtrim(words, characters=".,;:!?").cast(pa.binary()), -3, None).dictionary_encode()
+    kinds = np.array([zlib.crc32(tail) % ENDINGS for tail in tails.dictionary.to_pylist()], np.int64)
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words.cast(pa.binary()).to_numpy(zero_copy_only=False)), np.uint64, len(words))
+    keys = (hashes >> 2).astype(np.int64) // ENDINGS * ENDINGS + kinds[tails.indices.to_numpy()]
+    return np.where(pc.binary_length(words).to_numpy() == 0, END_KEY, keys)
 
-    def flushed():
-        keys = np.fromiter(map(word_key, seen), np.int64, len(seen))
-        batch = pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.fromiter(seen.values(), np.int64, len(seen)))], ["key", "n"])
-        seen.clear()
-        return batch
 
-    for b in batches:
-        for t in b.column(0).to_pylist():
-            seen.update((t or b"").lower().split())
-            seen[END] += 1
-            if len(seen) > COUNTED:
-                yield flushed()
-    if seen:
-        yield flushed()
+def pieces(texts: pa.Array):
+    """Slices of texts (binary) of about PIECE bytes, which bound the copies that splitting makes."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy()
+    cuts = np.flatnonzero(np.diff(np.cumsum(sizes, dtype=np.int64) // PIECE)) + 1
+    for start, end in zip([0, *cuts.tolist()], [*cuts.tolist(), len(texts)]):
+        yield texts.slice(start, end - start)
 
 
-def count_words(texts: DataFrame) -> DataFrame:
-    """key, n over one binary text column; one end is counted for each text."""
-    return texts.mapInArrow(_counted, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+def split(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """Numbers of words of texts (binary), the distinct words, and the place of each word there.
 
+    An empty word after each text stands for its end.  Arrow splits at the same characters as bytes.split().
+    """
+    lower = pc.ascii_lower(pc.cast(pc.fill_null(texts, b""), options=pc.CastOptions(target_type=pa.string(), allow_invalid_utf8=True)))
+    trimmed = pc.ascii_trim_whitespace(lower)
+    words = pc.ascii_split_whitespace(pc.if_else(pc.equal(trimmed, ""), "", pc.binary_join_element_wise(trimmed, "", " ")))
+    told = words.flatten().dictionary_encode()
+    return pc.list_value_length(words).to_numpy(), told.dictionary, told.indices.to_numpy()
 
-class _Found(dict):
-    """Codes of the words met so far, KEPT at most."""
 
-    def __init__(self, place: dict[int, int]):
-        self.place = place
+def _counted(batches):
+    for b in batches:
+        for piece in pieces(b.column(0)):
+            _, words, places = split(piece)
+            yield pa.RecordBatch.from_arrays([pa.array(word_keys(words)), pa.array(np.bincount(places, minlength=len(words)))], ["key", "n"])
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= KEPT:
-            self.clear()
-        key = word_key(word)
-        place = self.place.get(key)
-        self[word] = made = RARE + key if place is None else place
-        return made
+
+def count_words(texts: DataFrame) -> DataFrame:
+    """key, n over one binary text column; one end is counted for each text."""
+    return texts.mapInArrow(_counted, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
 class Lexicon:
@@ -110,7 +115,8 @@ class Lexicon:
 
     def __init__(self, keys: np.ndarray, counts: np.ndarray, total: int, distinct: int, rare_n: np.ndarray, rare_v: np.ndarray):
         """keys in order of rank, the end first."""
-        self.place = dict(zip(keys.tolist(), range(len(keys))))
+        self.place = np.argsort(keys)
+        self.keys = keys[self.place]
         self.total, self.distinct = total, distinct
         rank, kind = np.arange(len(keys)), keys % ENDINGS
         self.cls = np.where(rank < HEAD, rank // PER_CLASS, HEADS + kind)
@@ -123,14 +129,21 @@ class Lexicon:
         within = np.full(HEAD, -20, np.float32)
         within[: min(HEAD, len(keys))] = np.log(counts[:HEAD] + 1.0)
         self.within = within.reshape(HEADS, PER_CLASS)
-        self.found = _Found(self.place)
+
+    def coded(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Places in the table, or RARE + key, of the words and ends of texts (binary), and where each text begins among them."""
+        sizes, codes = [np.zeros(1, np.int64)], []
+        for piece in pieces(texts):
+            n, words, places = split(piece)
+            keys = word_keys(words)
+            at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+            sizes.append(n)
+            codes.append(np.where(self.keys[at] == keys, self.place[at], RARE + keys)[places])
+        return np.concatenate(codes), np.cumsum(np.concatenate(sizes), dtype=np.int64)
 
     def codes(self, text: bytes) -> np.ndarray:
-        """Places in the table, or RARE + key, of a text's words and its end."""
-        words = text.lower().split()
-        out = np.zeros(len(words) + 1, np.int64)  # the end has the first place
-        out[:-1] = np.fromiter(map(self.found.__getitem__, words), np.int64, len(words))
-        return out
+        """The same of one text."""
+        return self.coded(pa.array([text], pa.binary()))[0]
 
     def classed(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Class and input of each code."""
@@ -165,6 +178,10 @@ def lexicon(counts: DataFrame) -> Lexicon:
 SHAPES = {"embed": (INPUTS, 2 * HIDDEN), "turn": (HIDDEN, 2 * HIDDEN), "bias": (2 * HIDDEN,), "cls": (HIDDEN, CLASSES), "cls_bias": (CLASSES,), "word": (HEADS, HIDDEN, PER_CLASS), "word_bias": (HEADS, PER_CLASS)}
 
 
+#: Places in a table of embeddings, by input.
+CELLS = np.arange(INPUTS * 2 * HIDDEN).reshape(INPUTS, 2 * HIDDEN)
+
+
 def first_weights(lex: Lexicon) -> dict[str, np.ndarray]:
     rng = np.random.default_rng(5)
     w = {k: (rng.standard_normal(s) * 0.1).astype(np.float32) for k, s in SHAPES.items()}
@@ -207,12 +224,24 @@ def recur(w, h: np.ndarray, pre: np.ndarray, out: np.ndarray | None = None) -> n
     return np.add(h, z * (c - h), out=out)
 
 
-def _log_sums(x: np.ndarray) -> np.ndarray:
-    """log(sum(exp(x))) by row; x is overwritten."""
-    top = x.max(1)
-    x -= top[:, None]
-    np.exp(x, out=x)
-    return top + np.log(x @ np.ones(x.shape[1], np.float32))
+def _layer(h: np.ndarray, weights: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    """A softmax layer's logits less their largest, one column a state: numpy reduces columns faster than short rows."""
+    x = weights.T @ h.T
+    x += bias[:, None]
+    x -= x.max(0)
+    return x
+
+
+def _log_soft(h: np.ndarray, weights: np.ndarray, bias: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """Natural log of a softmax layer's probability of each state's target."""
+    out = np.empty(len(h), np.float32)
+    for at in range(0, len(h), CACHED):
+        part = slice(at, at + CACHED)
+        x = _layer(h[part], weights, bias)
+        own = x[target[part], np.arange(x.shape[1])]
+        np.exp(x, out=x)
+        out[part] = own - np.log(np.ones(len(x), np.float32) @ x)
+    return out
 
 
 def _by_head(cls: np.ndarray):
@@ -226,27 +255,19 @@ def _by_head(cls: np.ndarray):
 
 def log_probs(w, h: np.ndarray, cls: np.ndarray, code: np.ndarray) -> np.ndarray:
     """Natural log of P(class | h), times P(word | class, h) for words of the head."""
-    x = h @ w["cls"]
-    x += w["cls_bias"]
-    out = x[np.arange(len(h)), cls]
-    out -= _log_sums(x)
+    out = _log_soft(h, w["cls"], w["cls_bias"], cls)
     for k, rows in _by_head(cls):
-        x = h.take(rows, 0) @ w["word"][k]
-        x += w["word_bias"][k]
-        own = x[np.arange(len(rows)), code[rows] - k * PER_CLASS]
-        out[rows] += own - _log_sums(x)
+        out[rows] += _log_soft(h.take(rows, 0), w["word"][k], w["word_bias"][k], code[rows] - k * PER_CLASS)
     return out
 
 
 def _blame(h: np.ndarray, weights: np.ndarray, bias: np.ndarray, target: np.ndarray, n: int):
     """Gradients of a softmax layer's mean loss over n tokens: of its weights, its bias and the states."""
-    x = h @ weights
-    x += bias
-    x -= x.max(1, keepdims=True)
+    x = _layer(h, weights, bias)
     np.exp(x, out=x)
-    x *= (1 / (n * (x @ np.ones(x.shape[1], np.float32))))[:, None]
-    x[np.arange(len(h)), target] -= 1 / n
-    return h.T @ x, x.sum(0), x @ weights.T
+    x *= 1 / (n * (np.ones(len(x), np.float32) @ x))
+    x[target, np.arange(len(h))] -= 1 / n
+    return h.T @ x.T, x @ np.ones(len(h), np.float32), x.T @ weights.T
 
 
 class Trainer:
@@ -307,8 +328,7 @@ class Trainer:
     def _window(self, xs: np.ndarray, cls: np.ndarray, code: np.ndarray, there: np.ndarray) -> None:
         w, g, (steps, streams) = self.w, self.g, xs.shape
         live = (xs != 0).astype(np.float32)[:, :, None]
-        pre = w["embed"].take(xs, 0)
-        pre += w["bias"]
+        pre = (w["embed"] + w["bias"]).take(xs, 0)
         before, after = np.empty((2, steps, streams, HIDDEN), np.float32)
         h = self.h
         for t in range(steps):
@@ -327,7 +347,10 @@ class Trainer:
         for k, rows in _by_head(cls):
             g["word"][k], g["word_bias"][k], own = _blame(states.take(rows, 0), w["word"][k], w["word_bias"][k], code[rows] - k * PER_CLASS, n)
             blame[rows] += own
-        back[there] = blame
+        if n < len(back):
+            back[there] = blame
+        else:
+            back = blame
         back = back.reshape(steps, streams, HIDDEN)
         to_z, to_c, keep = 0.5 * (c - before) * slope[:, :, :HIDDEN], z * slope[:, :, HIDDEN:], 1 - z
         pres, ahead, turned = np.empty((steps, streams, 2 * HIDDEN), np.float32), np.zeros((streams, HIDDEN), np.float32), w["turn"].T.copy()
@@ -337,9 +360,9 @@ class Trainer:
             np.multiply(dh, to_c[t], out=pres[t, :, HIDDEN:])
             ahead = (dh * keep[t] + pres[t] @ turned) * live[t]
         pres = pres.reshape(-1, 2 * HIDDEN)
-        g["turn"][:], g["bias"][:] = before.reshape(-1, HIDDEN).T @ pres, pres.sum(0)
-        cells = (xs.ravel() * (2 * HIDDEN))[:, None] + np.arange(2 * HIDDEN)
-        g["embed"][:] = np.bincount(cells.ravel(), pres.ravel(), INPUTS * 2 * HIDDEN).reshape(INPUTS, 2 * HIDDEN)
+        g["turn"][:] = before.reshape(-1, HIDDEN).T @ pres
+        g["embed"][:] = np.bincount(CELLS.take(xs.ravel(), 0).ravel(), pres.ravel(), INPUTS * 2 * HIDDEN).reshape(INPUTS, 2 * HIDDEN)
+        g["bias"][:] = g["embed"].sum(0)
         self.beat += 1
         self.n += n
         self.m += 0.1 * (self.grad - self.m)
@@ -377,12 +400,13 @@ def fit(sample: DataFrame, lex: Lexicon) -> dict[str, np.ndarray]:
                 return pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([own.n], pa.int64()), pa.array([own.flat.tobytes()], pa.binary())], ["part", "n", "w"])
 
             for b in batches:
-                for t, part in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                codes, starts = sent.value.coded(b.column(0))
+                for start, end, part in zip(starts, starts[1:], b.column(1).to_pylist()):
                     if part != at:
                         if own is not None:
                             yield told()
                         own, at = Trainer(weights, sent.value), part
-                    own.feed(sent.value.codes(t or b""))
+                    own.feed(codes[start:end].copy())  # a view would hold the whole batch
             if own is not None:
                 yield told()
 
@@ -414,6 +438,7 @@ def _score_together(w, lex: Lexicon, codes: list[np.ndarray]) -> np.ndarray:
     out = np.zeros(len(codes))
     h = np.zeros((len(codes), HIDDEN), np.float32)
     x = np.zeros(len(codes), np.int64)
+    embed = w["embed"] + w["bias"]
     states, places, held = [], [], 0
 
     def settle():
@@ -433,8 +458,7 @@ def _score_together(w, lex: Lexicon, codes: list[np.ndarray]) -> np.ndarray:
     for t in range(int(sizes[0])):
         while sizes[live - 1] <= t:
             live -= 1
-        pre = w["embed"].take(x[:live], 0)
-        pre += w["bias"]
+        pre = embed.take(x[:live], 0)
         h = recur(w, h[:live], pre)
         at = start[:live] + t
         states.append(h)
@@ -460,19 +484,19 @@ def score(docs: DataFrame, counts: DataFrame, lex: Lexicon, w: dict[str, np.ndar
     def run(batches):
         lex, weights = sent.value[0], unpacked(sent.value[1])
         for b in batches:
-            codes = [lex.codes(t) for t in b.column(1).to_pylist()]
-            if not codes:
+            if not len(b):
                 continue
-            known, base, rare = [], [], []
-            for c in codes:
-                in_table = c < RARE
-                x = lex.log_count[c[in_table]]
-                known.append(int((x > 0).sum()))
-                base.append(float(x.sum()))
-                rare.append(np.unique(c[~in_table] - RARE, return_counts=True))
-            ends = pa.array(np.concatenate([[0], np.cumsum([len(r) for r, _ in rare])]), pa.int32())
-            lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate(v).astype(np.int64))) for v in zip(*rare)]
-            made = [pa.array([len(c) for c in codes], pa.int64()), pa.array(known, pa.int64()), pa.array(base), pa.array(_score(weights, lex, codes)), *lists]
+            codes, starts = lex.coded(b.column(1))
+            in_table = codes < RARE
+            x = np.where(in_table, lex.log_count[np.where(in_table, codes, 0)], 0.0)
+            base, known = np.add.reduceat(x, starts[:-1]), np.add.reduceat(x > 0, starts[:-1], dtype=np.int64)
+            # each text's distinct words outside the table and how often it has them
+            keys, nth = np.unique(codes[~in_table] - RARE, return_inverse=True)
+            doc = np.searchsorted(starts, np.flatnonzero(~in_table), "right") - 1
+            pairs, times = np.unique(doc * max(1, len(keys)) + nth, return_counts=True)
+            ends = pa.array(np.searchsorted(pairs, np.arange(len(b) + 1) * max(1, len(keys))), pa.int32())
+            lists = [pa.ListArray.from_arrays(ends, pa.array(v.astype(np.int64))) for v in (keys[pairs % max(1, len(keys))], times)]
+            made = [pa.array(np.diff(starts)), pa.array(known), pa.array(base), pa.array(_score(weights, lex, np.split(codes, starts[1:-1]))), *lists]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *made], names)
 
     part = cut(rows.mapInArrow(run, f"doc_id {kind}, row long, n_tokens long, known long, base double, scored double, rare array<long>, times array<long>"))
