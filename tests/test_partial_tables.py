@@ -4,7 +4,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from vireo.operators import calibration
+from vireo.operators import brackets, calibration
 from vireo.operators import planes as P
 from vireo.operators import temporal as T
 from vireo.plans import catalog
@@ -85,6 +85,45 @@ def test_curves_without_knots(spark, tmp_path, knots, rows):
     assert len(want) == rows if rows is not None else 0 < len(want) < 1500
 
 
+def test_all_parts_are_knots(spark, tmp_path):
+    """Parts that share a place of a curve, as in larger tables, and parts of every key."""
+    con = duckdb.connect()
+    con.execute(f"COPY (SELECT p.* REPLACE (p_partkey + i * 21000 AS p_partkey, (p_size + i * 29) % 50 AS p_size) FROM read_parquet('{SF}/part.parquet') AS p, range(3) AS g(i)) TO '{tmp_path}/part.parquet' (FORMAT parquet)")
+    con.execute(f"COPY (SELECT * FROM read_parquet('{SF}/orders.parquet')) TO '{tmp_path}/orders.parquet' (FORMAT parquet)")
+    want = against_sql(spark, tmp_path, "interp_table", ["part", "orders"])
+    curves = {}
+    for key, size in con.execute(f"SELECT p_partkey, p_size FROM read_parquet('{tmp_path}/part.parquet')").fetchall():
+        places = curves.setdefault(key % 7, {})
+        places[key * 37 % 1000 * 250] = max(size, places.get(key * 37 % 1000 * 250, 0))
+
+    def plain(curve, v):
+        places = sorted(curves[curve])
+        up = next((i for i, p in enumerate(places) if p >= v), len(places) - 1)
+        at, before = places[up], places[max(up - 1, 0)]
+        return curves[curve][before] + (v - before) * (curves[curve][at] - curves[curve][before]) / (at - before + 1e-6) if up else curves[curve][at]
+
+    assert sum(map(len, curves.values())) == 200
+    made = {k: plain(c % 7, v) for k, c, v in con.execute(f"SELECT o_orderkey, o_custkey, o_totalprice FROM read_parquet('{tmp_path}/orders.parquet')").fetchall()}
+    assert len(want) == len(made) == 1500 and all(made[k] == pytest.approx(level, abs=2e-5) for k, level in zip(want["k"], want["level"]))
+
+
+@pytest.mark.parametrize("knots", ["true", "p_partkey < 5"])
+def test_prices_missing(spark, tmp_path, knots):
+    """Prices and customers that are null, over curves of several knots, of one and of none."""
+    con = duckdb.connect()
+    con.execute(f"COPY (SELECT * FROM read_parquet('{SF}/part.parquet') WHERE {knots}) TO '{tmp_path}/part.parquet' (FORMAT parquet)")
+    con.execute(f"COPY (SELECT * REPLACE (CASE WHEN o_orderkey % 5 > 0 THEN o_totalprice END AS o_totalprice, CASE WHEN o_orderkey % 11 > 0 THEN o_custkey END AS o_custkey) FROM read_parquet('{SF}/orders.parquet')) TO '{tmp_path}/orders.parquet' (FORMAT parquet)")
+    want = against_sql(spark, tmp_path, "interp_table", ["part", "orders"])
+    assert want["level"].isna().any() == (knots == "true") and want["level"].notna().any()
+
+
+def test_no_row_is_left_out_by_knots(spark):
+    rows = spark.createDataFrame([(1, 1, 2.5), (2, None, 2.5), (3, 2, None), (4, 3, 1.0), (5, 1, None)], "i int, c int, x double")
+    knots = spark.createDataFrame([(1, 2.0, 5.0, None), (1, 2.0, 7.0, 1.0), (1, 2.0, None, 0.5), (1, 3.0, 8.0, 2.0), (1, 3.0, 9.0, 0.0), (2, 4.0, 6.0, 3.0), (None, 2.0, 4.0, 4.0), (1, None, 99.0, 99.0)], "c int, k double, a double, b double")
+    got = {r.i: (r.a, r.b) for r in brackets.looked_up(rows, knots, "x", "k", ["a", "b"], ["c"]).collect()}
+    assert got == {1: pytest.approx((8.0, 1.5), abs=1e-5), 2: (None, None), 3: (6.0, 3.0), 4: (None, None), 5: (None, None)}
+
+
 def test_stacks_stay_small(spark):
     """However many rows a task has, a stack holds a megabyte at most, so that memory doesn't grow with the table."""
     rows = spark.range(6000, numPartitions=1).selectExpr("id", "8 AS h", "8 AS w", "array_repeat(CAST(id AS DOUBLE), 64) AS v")
